@@ -14,59 +14,61 @@ from ..functions.text import strip
 _FOLD = "\x01"  # stands for the line break inside a folded value
 
 
-def ini_document(value: Column) -> Column:
-    """STRUCT<entries ARRAY<STRUCT<section, key, value>>, error> of one INI text, inside the row.
+def _ini_block(block: Column) -> Column:
+    """One section block as STRUCT<section, entries ARRAY<STRUCT<key, value>>>."""
+    section = F.regexp_extract(block, r"^\[([^\n]+)\]", 1)
+    body = F.regexp_replace(block, r"^\[[^\n]+\][^\n]*", "")
+    # Continuation lines are indented more than the first option of the section.
+    indent = F.length(F.regexp_extract(body, r"^(?:[ \t]*\n)*([ \t]*)\S", 1))
+    deeper = F.concat(F.lit("\n(?=(?:[ \t]*\n)*[ \t]{"), (indent + 1).cast("string"), F.lit(r",}\S)"))
+    folded = F.when(
+        F.regexp_like(body, F.lit(r"\n[ \t]+\S")), F.regexp_replace(body, deeper, F.lit(_FOLD))
+    ).otherwise(body)
+    entries = F.filter(F.split(folded, "\n"), lambda e: strip(e) != "")
+
+    def entry(e: Column) -> Column:
+        split_at = r"(?s)^\s*([^=:\n\x01]*?)\s*[=:](.*)$"
+        raw = F.regexp_extract(e, split_at, 2)
+        folds = F.rtrim(F.array_join(F.transform(F.split(raw, _FOLD), strip), "\n"), F.lit("\n"))
+        return F.struct(
+            F.lower(F.regexp_extract(e, split_at, 1)).alias("key"),
+            F.when(e.contains(_FOLD), folds).otherwise(strip(raw)).alias("value"),
+        )
+
+    return F.struct(section.alias("section"), F.transform(entries, entry).alias("entries"))
+
+
+def ini_sections(files: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """INI texts to (keys, __listed, __defaults, error), inside the row; :func:`ini_entries` makes
+    the entries of it.
 
     Sections in brackets, ``=`` or ``:`` between key and value, ``#`` and ``;`` comment lines,
     indented continuation lines, lower-cased keys, DEFAULT merged into every section and not
     listed. Duplicate sections or keys, lines before the first section and lines without a
-    delimiter make the file an error. Values are not interpolated.
+    delimiter make the file an error with no entries. Values are not interpolated.
+
+    The steps are projections of their own, so each is computed once per file and not once per use.
     """
-    text = F.regexp_replace(F.regexp_replace(value, r"^﻿", ""), "\r\n?", "\n")
+    text = F.regexp_replace(F.regexp_replace(value, "^\ufeff", ""), "\r\n?", "\n")
     text = F.regexp_replace(text, r"(?md)^[ \t]*[#;].*$", "")
     blocks = F.split(text, r"(?md)^(?=\[[^\n]+\])")
-
-    def parse(block: Column) -> Column:
-        section = F.regexp_extract(block, r"^\[([^\n]+)\]", 1)
-        body = F.regexp_replace(block, r"^\[[^\n]+\][^\n]*", "")
-        indent = F.length(F.regexp_extract(body, r"^(?:[ \t]*\n)*([ \t]*)\S", 1))
-        deeper = F.concat(F.lit("\n(?=(?:[ \t]*\n)*[ \t]{"), (indent + 1).cast("string"), F.lit(r",}\S)"))
-        folded = F.regexp_replace(body, deeper, F.lit(_FOLD))
-        entries = F.filter(F.split(folded, "\n"), lambda e: strip(e) != "")
-
-        def entry(e: Column) -> Column:
-            split_at = r"(?s)^\s*([^=:\n\x01]*?)\s*[=:](.*)$"
-            parts = F.transform(F.split(F.regexp_extract(e, split_at, 2), _FOLD), strip)
-            return F.struct(
-                F.lower(F.regexp_extract(e, split_at, 1)).alias("key"),
-                F.rtrim(F.array_join(parts, "\n"), F.lit("\n")).alias("value"),
-            )
-
-        return F.struct(section.alias("section"), F.transform(entries, entry).alias("entries"))
-
-    parsed = F.transform(blocks, parse)
-    named = F.filter(parsed, lambda b: b["section"] != "")
-    listed = F.filter(named, lambda b: b["section"] != "DEFAULT")
-    defaults = F.flatten(
-        F.transform(F.filter(named, lambda b: b["section"] == "DEFAULT"), lambda b: b["entries"])
+    parsed = files.select(*keys, F.transform(blocks, _ini_block).alias("__blocks"))
+    named = parsed.select(
+        *keys, "__blocks",
+        F.filter("__blocks", lambda b: ~b["section"].isin("", "DEFAULT")).alias("__listed"),
+        F.flatten(F.transform(
+            F.filter("__blocks", lambda b: b["section"] == "DEFAULT"), lambda b: b["entries"]
+        )).alias("__defaults"),
     )
 
     def keys_of(entries: Column) -> Column:
         return F.transform(entries, lambda e: e["key"])
 
-    def rows(b: Column) -> Column:
-        own = keys_of(b["entries"])
-        inherited = F.filter(defaults, lambda d: ~F.array_contains(own, d["key"]))
-        return F.transform(
-            F.concat(b["entries"], inherited),
-            lambda e: F.struct(b["section"].alias("section"), e["key"].alias("key"), e["value"].alias("value")),
-        )
-
-    names = F.transform(listed, lambda b: b["section"])
-    headless = F.exists(parsed, lambda b: (b["section"] == "") & (F.size(b["entries"]) > 0))
-    no_key = F.exists(named, lambda b: F.exists(b["entries"], lambda e: e["key"] == ""))
+    names = F.transform("__listed", lambda b: b["section"])
+    headless = F.exists("__blocks", lambda b: (b["section"] == "") & (F.size(b["entries"]) > 0))
+    no_key = F.exists("__blocks", lambda b: F.exists(b["entries"], lambda e: e["key"] == ""))
     same_key = F.exists(
-        named, lambda b: F.size(F.array_distinct(keys_of(b["entries"]))) < F.size(b["entries"])
+        "__blocks", lambda b: F.size(F.array_distinct(keys_of(b["entries"]))) < F.size(b["entries"])
     )
     error = (
         F.when(headless, "file contains no section headers")
@@ -74,7 +76,24 @@ def ini_document(value: Column) -> Column:
         .when(F.size(F.array_distinct(names)) < F.size(names), "section already exists")
         .when(same_key, "option already exists")
     )
-    return F.struct(F.flatten(F.transform(listed, rows)).alias("entries"), error.alias("error"))
+    return named.select(*keys, "__listed", "__defaults", error.alias("error"))
+
+
+def ini_entries() -> Column:
+    """ARRAY<STRUCT<section, key, value>> from the columns of :func:`ini_sections`; null for a
+    broken file. Unnest this expression itself: unnesting a column computed before would make the
+    optimizer check its size in a filter of its own, and parse every file again for that."""
+
+    def rows(b: Column) -> Column:
+        own = F.transform(b["entries"], lambda e: e["key"])
+        inherited = F.filter("__defaults", lambda d: ~F.array_contains(own, d["key"]))
+        merged = F.when(F.size("__defaults") == 0, b["entries"]).otherwise(F.concat(b["entries"], inherited))
+        return F.transform(
+            merged,
+            lambda e: F.struct(b["section"].alias("section"), e["key"].alias("key"), e["value"].alias("value")),
+        )
+
+    return F.when(F.col("error").isNull(), F.flatten(F.transform("__listed", rows)))
 
 
 def env_entries(value: Column) -> Column:

@@ -20,7 +20,7 @@ def safe_convert(df: DataFrame, converted: Column, error: Column, out: str = "co
 
 
 def report_rows(
-    df: DataFrame, op: str, path: str | Column, error: Column, rows: Column | int = 1,
+    df: DataFrame, op: str | Column, path: str | Column, error: Column, rows: Column | int = 1,
     size: Column | int = 0,
 ) -> DataFrame:
     """One report row per input, whether it went well or not."""
@@ -28,7 +28,7 @@ def report_rows(
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     ok = error.isNull()
     return df.select(
-        F.lit(op).alias("op"), path.cast("string").alias("path"), ok.alias("success"), error.alias("error"),
+        (op if isinstance(op, Column) else F.lit(op)).alias("op"), path.cast("string").alias("path"), ok.alias("success"), error.alias("error"),
         F.when(ok, as_col(rows)).otherwise(0).cast("bigint").alias("rows"),
         F.when(ok, as_col(size)).otherwise(0).cast("bigint").alias("bytes"),
     )

@@ -23,6 +23,16 @@ class Outcome(NamedTuple):
     errors: DataFrame
 
 
+def where_present(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is not null, without computing the column again for the test.
+
+    A filter on a computed column is pushed below the projection that computes it and repeats its
+    work there; unnesting a one-element array does the same in one evaluation.
+    """
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, F.explode(F.array_compact(F.array(column))).alias(column))
+
+
 def page_counts(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     return pages.groupBy(doc).agg(F.count(F.lit(1)).alias("page_count"))
 
@@ -92,7 +102,8 @@ def organize(
     """Reorder, repeat (named twice) or drop (not named) pages.
 
     ``order`` is one list for every document or a table (doc, out_page_no, page). Any position
-    outside the document fails the whole document and is listed. Adds ``out_page_no``.
+    outside the document fails the whole document and is listed: in one error row for a list, in a
+    row per offender for a table. Adds ``out_page_no``.
     """
     counts = page_counts(pages, doc)
     n = F.col("page_count")
@@ -101,16 +112,14 @@ def organize(
         bad = F.filter(wanted, lambda p: (p < 1) | (p > n))
         errors = counts.select(doc, "page_count", bad.alias("bad")).filter(F.size("bad") > 0)
         places = F.filter(
-            F.transform(wanted, lambda p, i: F.when(p == F.col(page), i + 1)), lambda i: i.isNotNull()
+            F.transform(wanted, lambda p, i: F.when(p == F.col(page), (i + 1).cast("bigint"))),
+            lambda i: i.isNotNull(),
         )
-        moved = pages.withColumn("out_page_no", F.explode(places).cast("bigint"))
+        moved = pages.withColumn("out_page_no", F.explode(places))
     else:
-        # Offenders of a hot document are counted, and its listing is written in parts elsewhere:
-        # the message carries the lowest and highest offender and how many there are.
+        # An order table has no size limit, so each offender is an error row of its own.
         outside = order.join(counts, doc).filter((F.col(page) < 1) | (F.col(page) > n))
-        errors = outside.groupBy(doc, "page_count").agg(
-            F.array(F.min(page), F.max(page)).alias("bad")
-        )
+        errors = outside.select(doc, "page_count", F.array(page).alias("bad"))
         moved = pages.join(order.select(doc, page, "out_page_no"), [doc, page])
     message = F.concat(
         F.lit("Page numbers out of range (document has "), n.cast("string"), F.lit(" pages): ["),

@@ -76,12 +76,15 @@ def to_html_table(
 def html_table_cells(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """Every cell of every table of a page corpus, with ``tables_found`` per page.
 
-    All work is inside the row: three unnestings and no shuffle. Indexes count from zero.
+    All work is inside the row: three unnestings and no shuffle. Indexes count from zero. The outer
+    unnesting comes first because a plain one has the optimizer test the array's size in a filter
+    of its own, which would parse each page twice more.
     """
     return (
         pages.select(*keys, html_tables(F.col(html)).alias("__tables"))
         .select(*keys, F.size("__tables").cast("bigint").alias("tables_found"),
-                F.posexplode("__tables").alias("table_idx", "__rows"))
+                F.posexplode_outer("__tables").alias("table_idx", "__rows"))
+        .filter(F.col("table_idx").isNotNull())
         .select(*keys, "tables_found", "table_idx", F.posexplode("__rows").alias("row_idx", "__cells"))
         .select(*keys, "tables_found", "table_idx", "row_idx",
                 F.posexplode("__cells").alias("col_idx", "__cell"))
@@ -102,9 +105,9 @@ def nth_table(
     )
     errors = found.filter(have <= table_index).select(*keys, message.alias("error"))
     rows = (
-        found.filter(have > table_index)
-        .select(*keys, have.cast("bigint").alias("tables_found"),
-                F.posexplode(F.col("__tables")[table_index]).alias("row_idx", "__cells"))
+        found.select(*keys, have.cast("bigint").alias("tables_found"),
+                     F.posexplode_outer(F.try_element_at("__tables", F.lit(table_index + 1))).alias("row_idx", "__cells"))
+        .filter(F.col("row_idx").isNotNull())
         .select(*keys, "tables_found", "row_idx", F.posexplode("__cells").alias("col_idx", "__cell"))
         .select(*keys, "tables_found", "row_idx", "col_idx", F.col("__cell.text").alias("text"),
                 F.col("__cell.is_header").alias("is_header"))

@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.config import env_entries, ini_document
+from ..operators.config import env_entries, ini_entries, ini_sections
 from ..operators.ordered import last_write_wins
-from ..operators.sequence import Outcome
+from ..operators.sequence import Outcome, where_present
 
 
 def text_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -23,14 +23,11 @@ def text_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ini(files: DataFrame, keys: list[str], value: str = "value") -> Outcome:
     """(keys, section, key, value) rows of an INI corpus; broken files come back as errors."""
-    parsed = files.select(*keys, ini_document(F.col(value)).alias("__doc"))
-    rows = (
-        parsed.filter(F.col("__doc.error").isNull())
-        .select(*keys, F.explode("__doc.entries").alias("__e"))
-        .select(*keys, "__e.section", "__e.key", "__e.value")
+    parsed = ini_sections(files, keys, value)
+    rows = parsed.select(*keys, F.explode(ini_entries()).alias("__e")).select(
+        *keys, "__e.section", "__e.key", "__e.value"
     )
-    errors = parsed.filter(F.col("__doc.error").isNotNull()).select(*keys, F.col("__doc.error").alias("error"))
-    return Outcome(rows, errors)
+    return Outcome(rows, where_present(parsed.select(*keys, "error"), "error"))
 
 
 def read_env(files: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
