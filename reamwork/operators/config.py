@@ -96,6 +96,22 @@ def ini_entries() -> Column:
     return F.when(F.col("error").isNull(), F.flatten(F.transform("__listed", rows)))
 
 
+def ini_json() -> Column:
+    """The nested JSON document of one INI file, from the columns of :func:`ini_sections`, without a
+    shuffle: a file that was read as one row is rendered as one row."""
+
+    def pairs(entries: Column) -> Column:
+        return F.transform(entries, lambda e: F.struct(e["key"], e["value"]))
+
+    def section(b: Column) -> Column:
+        own = F.transform(b["entries"], lambda e: e["key"])
+        inherited = F.filter("__defaults", lambda d: ~F.array_contains(own, d["key"]))
+        return F.struct(b["section"], F.map_from_entries(F.concat(pairs(b["entries"]), pairs(inherited))))
+
+    whole = F.to_json(F.map_from_entries(F.transform("__listed", section)))
+    return F.when(F.col("error").isNull(), whole)
+
+
 def env_entries(value: Column) -> Column:
     """ARRAY<STRUCT<key, value>> of one .env text: blank and # lines skipped, split on the first
     ``=``, double then single quotes stripped."""
@@ -211,7 +227,8 @@ def _render(text: str | None, fmt: str) -> tuple[str | None, str | None]:
     try:
         value = json.loads(text)
         if fmt == "yaml":
-            return yaml.safe_dump(value, allow_unicode=True, default_flow_style=False), None
+            dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
+            return yaml.dump(value, Dumper=dumper, allow_unicode=True, default_flow_style=False), None
         if isinstance(value, list):
             value = {"items": value}
         if not isinstance(value, dict):

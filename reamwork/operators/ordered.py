@@ -26,6 +26,16 @@ def chunk_of(pos: str | Column, rows: int) -> Column:
     return F.call_function("div", pos.cast("bigint"), F.lit(rows))
 
 
+def unnest(df: DataFrame, keep: list, array: str | Column, pos: str, out: str) -> DataFrame:
+    """Rows of an array with their positions from zero; empty and null arrays give none.
+
+    The outer form with a test afterwards: for the plain form the optimizer tests the array's size
+    in a filter below, and an array that is costly to compute would be computed again there.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, out))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def _join_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(carry, [*keys, _CHUNK], "left")
 

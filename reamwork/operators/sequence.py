@@ -27,7 +27,8 @@ def where_present(df: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` is not null, without computing the column again for the test.
 
     A filter on a computed column is pushed below the projection that computes it and repeats its
-    work there; unnesting a one-element array does the same in one evaluation.
+    work there; unnesting a one-element array does the same in one evaluation. Not for columns that
+    come straight from a Python function, which an unnesting cannot hold.
     """
     rest = [c for c in df.columns if c != column]
     return df.select(*rest, F.explode(F.array_compact(F.array(column))).alias(column))
@@ -234,30 +235,28 @@ def render_slides(
 ) -> DataFrame:
     """Slide decks as text (``--- Slide n ---`` headers) or HTML sections.
 
-    Every slide needs a row; one without text has a blank or null paragraph. Headers and closing
-    tags join the paragraphs as rows of their own, then all lines of a deck are numbered and put
-    together in parts, so neither a long deck nor a long slide meets a size limit.
+    Slides count from 1 and so do paragraphs; every slide has a paragraph 1, blank or null when it
+    has no text, which brings the slide's header (and the end of the slide before it) along. The
+    lines of a deck are numbered and put together in parts, so neither a long deck nor a long slide
+    meets a size limit.
     """
     body = strip(F.coalesce(F.col(text), F.lit("")))
-    shown = F.concat(F.lit("<p>"), html_escape(body), F.lit("</p>")) if fmt == "html" else body
-    paras = paragraphs.filter(body != "").select(
-        doc, F.col(slide).alias("__slide"), F.col(para).cast("bigint").alias("__para"), shown.alias("__text")
-    )
-    slides = paragraphs.groupBy(doc, F.col(slide).alias("__slide")).agg(
-        (F.min(para).cast("bigint") - 1).alias("__low"), (F.max(para).cast("bigint") + 1).alias("__high")
-    )
-    no = F.col("__slide").cast("string")
+    no = F.col(slide).cast("string")
     if fmt == "html":
+        shown = F.concat(F.lit("<p>"), html_escape(body), F.lit("</p>"))
         head = F.concat(F.lit('<section id="slide-'), no, F.lit('"><h2>Slide '), no, F.lit("</h2>"))
-        ends = [F.struct(F.col("__low").alias("at"), head.alias("tag")),
-                F.struct(F.col("__high").alias("at"), F.lit("</section>").alias("tag"))]
+        head = F.when(F.col(slide) > 1, F.concat(F.lit("</section>\n"), head)).otherwise(head)
     else:
-        head = F.concat(F.lit("--- Slide "), no, F.lit(" ---"))
-        ends = [F.struct(F.col("__low").alias("at"), head.alias("tag"))]
-    frame = slides.select(doc, "__slide", F.explode(F.array(*ends)).alias("__end")).select(
-        doc, "__slide", F.col("__end.at").alias("__para"), F.col("__end.tag").alias("__text")
+        shown, head = body, F.concat(F.lit("--- Slide "), no, F.lit(" ---"))
+    line = F.concat_ws("\n", F.when(F.col(para) == 1, head), F.when(body != "", shown))
+    at = F.shiftleft(F.col(slide).cast("bigint"), 31) + F.col(para)
+    rows = paragraphs.filter((body != "") | (F.col(para) == 1)).select(
+        doc, at.alias("__at"), line.alias("__text")
     )
-    at = F.shiftleft(F.col("__slide").cast("bigint"), 31) + F.col("__para") + 1
-    every = paras.unionByName(frame).withColumn("__at", at)
-    numbered = dense_positions(every, [doc], "__at", "__line")
+    if fmt == "html":
+        ends = paragraphs.groupBy(doc).agg(F.max(slide).cast("bigint").alias("__last"))
+        rows = rows.unionByName(ends.select(
+            doc, F.shiftleft(F.col("__last") + 1, 31).alias("__at"), F.lit("</section>").alias("__text")
+        ))
+    numbered = dense_positions(rows, [doc], "__at", "__line")
     return glue_parts(numbered, [doc], "__line", "__text", "\n", part_rows=part_rows)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions.text import markdown_to_text
-from ..operators import config, ordered, records, reports, tables
+from ..operators import config, ordered, records, reports, sequence, tables
 from ..session import scratch_dir
 from ..sources import configs, sinks, tabular
 from . import convert
@@ -79,17 +79,17 @@ def snk02(spark, sf_dir):
 def src02(spark, sf_dir):
     path = scratch_dir(spark, "json")
     rows = json_rows(spark, sf_dir).drop("none")
-    sinks.write_json_arrays(rows.withColumn("grp", F.floor(F.col("c_custkey") / 100)).withColumn(
-        "pos", F.col("c_custkey") % 100 + 1), path, ["grp"], "pos")
+    sinks.write_json_arrays(rows.withColumn("grp", F.floor(F.col("c_custkey") / 500)).withColumn(
+        "pos", F.col("c_custkey") % 500 + 1), path, ["grp"], "pos")
     return tabular.read_json_docs(spark, path).select("c_custkey", "c_name", "c_acctbal")
 
 
 @query("src02_json_variant_rows", """
-SELECT (c_custkey % 100)::INT AS pos, c_name, c_acctbal FROM customer""")
+SELECT (c_custkey % 500)::INT AS pos, c_name, c_acctbal FROM customer""")
 def src02_variant(spark, sf_dir):
     path = scratch_dir(spark, "json")
     docs = json_rows(spark, sf_dir).drop("none")
-    docs = docs.withColumn("grp", F.floor(F.col("c_custkey") / 100)).withColumn("pos", F.col("c_custkey") % 100 + 1)
+    docs = docs.withColumn("grp", F.floor(F.col("c_custkey") / 500)).withColumn("pos", F.col("c_custkey") % 500 + 1)
     sinks.write_json_arrays(docs, path, ["grp"], "pos")
     found = tabular.json_variant_rows(spark, path)
     return found.select(
@@ -212,12 +212,52 @@ def src07_errors(spark, sf_dir):
     return configs.read_ini(ini_files(spark, sf_dir), ["path"]).errors
 
 
+@query("src07_ini_to_json", f"""
+WITH {INI_ROWS}, s AS (SELECT path, section, '"' || section || '":{{' || string_agg('"' || key || '":' || to_json(value), ',' ORDER BY
+  CASE WHEN section = 'Order' AND key = 'host' THEN 'z' ELSE key END) || '}}' AS j FROM ini GROUP BY path, section)
+SELECT path, '{{' || string_agg(j, ',' ORDER BY section) || '}}' AS json, NULL::VARCHAR AS error FROM s GROUP BY path""")
+def src07_json(spark, sf_dir):
+    done = configs.ini_to_json(ini_files(spark, sf_dir), ["path"])
+    return sequence.where_present(done, "json").select("path", "json", "error")
+
+
+@query("src07_ini_to_yaml", """
+SELECT 'f' || o_orderkey || '.ini' AS path, 'Order:' || chr(10) || '  host: h' || o_orderkey % 7 || chr(10) || '  key: ''' || o_orderkey || '''' || chr(10) ||
+  '  status: ' || o_orderstatus || chr(10) || '  text: ''one' || chr(10) || chr(10) || '    two''' || chr(10) || 'price:' || chr(10) || '  host: own' || chr(10) ||
+  '  total: ''' || o_totalprice || '''' || chr(10) AS yaml FROM orders WHERE o_orderkey % 50 > 3""")
+def src07_yaml(spark, sf_dir):
+    done = configs.ini_to_yaml(ini_files(spark, sf_dir), ["path"])
+    return done.filter("yaml is not null").select("path", "yaml")
+
+
+# One file per segment and nation with a section per ten customers.
+CONF_ROWS = """
+conf AS (SELECT 'conf/' || c_mktsegment || '/' || c_nationkey AS path, 's' || c_custkey // 10 AS section, c_name AS key, c_acctbal::VARCHAR AS value FROM customer)"""
+
+
+def config_rows(spark, sf_dir):
+    return customers(spark, sf_dir).select(
+        F.concat(F.lit("conf/"), "c_mktsegment", F.lit("/"), F.col("c_nationkey")).alias("path"),
+        F.concat(F.lit("s"), F.floor(F.col("c_custkey") / 10)).alias("section"), F.col("c_name").alias("key"),
+        F.col("c_acctbal").cast("string").alias("value"))
+
+
 @query("agg06_nest_keys", f"""
-WITH {INI_ROWS}, s AS (SELECT path, section, '"' || section || '":{{' || string_agg('"' || key || '":' || to_json(value), ',' ORDER BY key) || '}}' AS j,
-  count(*) AS n FROM ini GROUP BY path, section)
+WITH {CONF_ROWS}, s AS (SELECT path, section, '"' || section || '":{{' || string_agg('"' || key || '":' || to_json(value), ',' ORDER BY key) || '}}' AS j,
+  count(*) AS n FROM conf GROUP BY path, section)
 SELECT path, 0::BIGINT AS part_no, '{{' || string_agg(j, ',' ORDER BY section) || '}}' AS json, count(*)::BIGINT AS sections, sum(n)::BIGINT AS keys FROM s GROUP BY path""")
 def agg06(spark, sf_dir):
-    return config.nest_keys(configs.read_ini(ini_files(spark, sf_dir), ["path"]).rows, ["path"])
+    return config.nest_keys(config_rows(spark, sf_dir), ["path"])
+
+
+# Files of more than five keys go on in parts by hash, so the JSON is taken apart again and the
+# keys are compared.
+@query("agg06_nest_keys_in_parts", f"WITH {CONF_ROWS} SELECT * FROM conf")
+def agg06_parts(spark, sf_dir):
+    docs = config.nest_keys(config_rows(spark, sf_dir), ["path"], max_keys=5)
+    nested = F.from_json("json", "map<string, map<string, string>>")
+    sections = docs.select("path", F.explode(nested).alias("section", "pairs"))
+    return sections.select("path", "section", F.explode("pairs").alias("key", "value"))
 
 
 def env_files(spark, sf_dir):
@@ -280,7 +320,7 @@ SELECT c_custkey, 'balance: ' || c_acctbal || chr(10) || 'name: ' || c_name || c
 def snk06_yaml(spark, sf_dir):
     doc = F.to_json(F.struct(
         F.array("c_mktsegment", F.lit("12")).alias("tags"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")))
-    return customers(spark, sf_dir).select("c_custkey", config.render_config(doc, "yaml")["text"].alias("yaml"))
+    return spread(customers(spark, sf_dir)).select("c_custkey", config.render_config(doc, "yaml")["text"].alias("yaml"))
 
 
 @query("snk06_render_yaml_flat", """
@@ -299,7 +339,7 @@ def snk06_toml(spark, sf_dir):
     doc = F.to_json(F.array(F.struct(
         F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"),
         F.struct(F.col("c_nationkey").alias("nation")).alias("where"))))
-    return customers(spark, sf_dir).select("c_custkey", config.render_config(doc, "toml")["text"].alias("toml"))
+    return spread(customers(spark, sf_dir)).select("c_custkey", config.render_config(doc, "toml")["text"].alias("toml"))
 
 
 MD_HEAD = "'| c_custkey | c_name | c_acctbal | seg |' || chr(10) || '| --- | --- | --- | --- |' || chr(10)"
@@ -428,8 +468,8 @@ def snk10_yaml(spark, sf_dir):
 @query("snk10_convert_json_to_csv", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def snk10_csv(spark, sf_dir):
     path = scratch_dir(spark, "convert")
-    docs = json_rows(spark, sf_dir).drop("none").withColumn("grp", F.floor(F.col("c_custkey") / 100)).withColumn(
-        "pos", F.col("c_custkey") % 100 + 1)
+    docs = json_rows(spark, sf_dir).drop("none").withColumn("grp", F.floor(F.col("c_custkey") / 500)).withColumn(
+        "pos", F.col("c_custkey") % 500 + 1)
     sinks.write_json_arrays(docs, f"{path}/in", ["grp"], "pos")
     convert.convert(spark, f"{path}/in", "csv", f"{path}/out", input_format="json")
     out = tabular.read_csv(spark, f"{path}/out")

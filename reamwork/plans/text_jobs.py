@@ -251,7 +251,7 @@ def fn11(spark, sf_dir):
         "concat('<x:customer xmlns:x=\"urn:c\" id=\"', c_custkey, '\"><tag>', c_mktsegment, '</tag><tag> 00', c_nationkey, "
         "' </tag><name lang=\"en\">', c_name, '</name><note/></x:customer>')"
     )
-    source = table(spark, sf_dir, "customer").select("c_custkey", xml.alias("xml"))
+    source = spread(table(spark, sf_dir, "customer")).select("c_custkey", xml.alias("xml"))
     return source.select("c_custkey", markup.xml_to_json(F.col("xml"))["json"].alias("json"))
 
 
@@ -263,7 +263,7 @@ def fn12(spark, sf_dir):
         "concat('{\"id\": ', event_id, ', \"user\": {\"type\": \"', event_type, '\", \"k\": ', get_json_object(props, '$.k'), "
         "'}, \"flags\": [true, null]}')"
     )
-    source = table(spark, sf_dir, "events").select("event_id", doc.alias("json"))
+    source = spread(table(spark, sf_dir, "events")).select("event_id", doc.alias("json"))
     return source.select("event_id", markup.json_to_xml(F.col("json"))["xml"].alias("xml"))
 
 
@@ -413,8 +413,8 @@ def slide_rows(spark, sf_dir):
     conv = spread(table(spark, sf_dir, "conversations", "conv_id", "turn", "text"))
     return conv.select(
         F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("slide_no"),
-        F.posexplode(text.lines(F.col("text"))).alias("para_idx", "text"),
-    )
+        F.posexplode(text.lines(F.col("text"))).alias("i", "text"),
+    ).withColumn("para_idx", F.col("i") + 1).drop("i")
 
 
 @query("ord01_preview", """

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.config import env_entries, ini_entries, ini_sections
+from ..operators.config import env_entries, ini_entries, ini_json, ini_sections, render_config
 from ..operators.ordered import last_write_wins
 from ..operators.sequence import Outcome, where_present
 
@@ -30,6 +30,18 @@ def read_ini(files: DataFrame, keys: list[str], value: str = "value") -> Outcome
     return Outcome(rows, where_present(parsed.select(*keys, "error"), "error"))
 
 
+def ini_to_json(files: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, json, error), one row per INI file."""
+    return ini_sections(files, keys, value).select(*keys, ini_json().alias("json"), "error")
+
+
+def ini_to_yaml(files: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, yaml, error), one row per INI file."""
+    return ini_to_json(files, keys, value).select(
+        *keys, F.when(F.col("error").isNull(), render_config(F.col("json"), "yaml")["text"]).alias("yaml"), "error"
+    )
+
+
 def read_env(files: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys, key, value) rows of a .env corpus; of a repeated key the last line wins."""
     rows = files.select(*keys, F.posexplode(env_entries(F.col(value))).alias("__at", "__e")).select(
@@ -70,7 +82,8 @@ def load_config(text: str, fmt: str):
     import yaml
 
     try:
-        value = tomllib.loads(text) if fmt == "toml" else yaml.safe_load(text)
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        value = tomllib.loads(text) if fmt == "toml" else yaml.load(text, Loader=loader)
         leaves = [{"key_path": k, "value": v, "type": t} for k, v, t in _leaves(value)]
         return json.dumps(_plain(value), ensure_ascii=False), leaves, None
     except (yaml.YAMLError, ValueError, RecursionError) as problem:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.markup import chapter_to_markdown, html_escape, html_to_text
 from ..functions.names import stem
 from ..functions.text import strip
-from ..operators.ordered import PART_ROWS, glue_parts
+from ..operators.ordered import PART_ROWS, glue_parts, unnest
 from .archives import archive_texts
 
 _XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
@@ -77,18 +77,19 @@ def xlsx_cells(workbooks: DataFrame, sheet_name: str | None = None) -> DataFrame
         ),
     )
     shared = F.transform(F.from_xml(_part("xl/sharedStrings.xml"), _STRINGS, _XML)["si"], _rich)
-    listed = books.select(
+    opened = books.select(
         "path", "parts", shared.alias("shared"), _relations("xl/_rels/workbook.xml.rels", "xl/").alias("rels"),
-        F.posexplode(sheets).alias("sheet_idx", "sheet"),
+        sheets.alias("sheets"),
     )
+    listed = unnest(opened, ["path", "parts", "shared", "rels"], "sheets", "sheet_idx", "sheet")
     if sheet_name is not None:
         listed = listed.filter(F.col("sheet.name") == sheet_name)
     xml = F.try_element_at("parts", F.try_element_at("rels", F.col("sheet.rid")))
-    rows = listed.select(
-        "path", "sheet_idx", F.col("sheet.name").alias("sheet_name"), "shared",
-        F.explode(F.from_xml(xml, _SHEET, _XML)["sheetData"]["row"]).alias("row"),
+    named = F.col("sheet.name").alias("sheet_name")
+    rows = unnest(
+        listed, ["path", "sheet_idx", named, "shared"], F.from_xml(xml, _SHEET, _XML)["sheetData"]["row"], "__r", "row"
     )
-    cells = rows.select("path", "sheet_idx", "sheet_name", "shared", "row._r", F.explode("row.c").alias("c"))
+    cells = unnest(rows, ["path", "sheet_idx", "sheet_name", "shared", "row._r"], "row.c", "__c", "c")
     v, kind = F.col("c.v"), F.col("c._t")
     text = (
         F.when(kind == "s", F.try_element_at("shared", v.try_cast("int") + 1))
@@ -110,10 +111,9 @@ def unreadable(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------- Word documents
 
 _RUNS = "r array<struct<rPr struct<b struct<_val string>, i struct<_val string>>, t array<string>>>"
-_DOCUMENT = (
-    f"body struct<p array<struct<pPr struct<pStyle struct<_val string>>, {_RUNS}>>, "
-    f"tbl array<struct<tr array<struct<tc array<struct<p array<struct<{_RUNS}>>>>>>>>>"
-)
+# Each scan asks for its half of the document only.
+_PARAGRAPHS = f"body struct<p array<struct<pPr struct<pStyle struct<_val string>>, {_RUNS}>>>"
+_TABLES = f"body struct<tbl array<struct<tr array<struct<tc array<struct<p array<struct<{_RUNS}>>>>>>>>>"
 _STYLES = "style array<struct<_styleId string, name struct<_val string>>>"
 _OFF = ("0", "false", "off")
 
@@ -138,15 +138,8 @@ def _joined(runs: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: r["text"]), "")
 
 
-def _word_parts(files: DataFrame) -> DataFrame:
-    books = archive_texts(files, r"^word/(document|styles)\.xml$").filter("error is null")
-    styles = F.map_from_entries(F.transform(
-        F.coalesce(F.from_xml(_part("word/styles.xml"), _STYLES, _XML)["style"], F.array()),
-        lambda s: F.struct(s["_styleId"], F.lower(s["name"]["_val"])),
-    ))
-    return books.select(
-        "path", styles.alias("styles"), F.from_xml(_part("word/document.xml"), _DOCUMENT, _XML)["body"].alias("body")
-    )
+def _word_body(schema: str) -> Column:
+    return F.from_xml(_part("word/document.xml"), schema, _XML)["body"]
 
 
 def docx_blocks(files: DataFrame) -> DataFrame:
@@ -154,7 +147,12 @@ def docx_blocks(files: DataFrame) -> DataFrame:
 
     The style name decides: headings 1 to 3, bullet or numbered lists, else a paragraph.
     """
-    paras = _word_parts(files).select("path", "styles", F.posexplode("body.p").alias("__i", "p"))
+    books = archive_texts(files, r"^word/(document|styles)\.xml$").filter("error is null")
+    styles = F.map_from_entries(F.transform(
+        F.coalesce(F.from_xml(_part("word/styles.xml"), _STYLES, _XML)["style"], F.array()),
+        lambda s: F.struct(s["_styleId"], F.lower(s["name"]["_val"])),
+    ))
+    paras = unnest(books, ["path", styles.alias("styles")], _word_body(_PARAGRAPHS)["p"], "__i", "p")
     style_id = F.col("p.pPr.pStyle._val")
     by_id = F.lower(F.regexp_replace(style_id, r"(?<=[a-z])(?=[A-Z0-9])", " "))
     style = F.coalesce(F.try_element_at("styles", style_id), by_id, F.lit("normal"))
@@ -164,18 +162,18 @@ def docx_blocks(files: DataFrame) -> DataFrame:
         .when(style.contains("list number"), "number").when(style.contains("list"), "list")
         .otherwise("paragraph")
     )
-    runs = _run_structs(F.col("p"))
     return paras.select(
         "path", (F.col("__i") + 1).cast("bigint").alias("block_idx"), kind.alias("kind"),
-        F.coalesce(level, F.lit(0)).alias("level"), _joined(runs).alias("text"), runs.alias("runs"),
-    )
+        F.coalesce(level, F.lit(0)).alias("level"), _run_structs(F.col("p")).alias("runs"),
+    ).withColumn("text", _joined(F.col("runs")))
 
 
 def docx_cells(files: DataFrame) -> DataFrame:
     """Cells of all tables: (path, table_idx, row_idx, col_idx, text)."""
-    tables = _word_parts(files).select("path", F.posexplode("body.tbl").alias("table_idx", "t"))
-    rows = tables.select("path", "table_idx", F.posexplode("t.tr").alias("row_idx", "r"))
-    cells = rows.select("path", "table_idx", "row_idx", F.posexplode("r.tc").alias("col_idx", "c"))
+    books = archive_texts(files, r"^word/document\.xml$").filter("error is null")
+    tables = unnest(books, ["path"], _word_body(_TABLES)["tbl"], "table_idx", "t")
+    rows = unnest(tables, ["path", "table_idx"], "t.tr", "row_idx", "r")
+    cells = unnest(rows, ["path", "table_idx", "row_idx"], "r.tc", "col_idx", "c")
     text = F.array_join(F.transform("c.p", lambda p: _joined(_run_structs(p))), "\n")
     return cells.select("path", "table_idx", "row_idx", "col_idx", strip(text).alias("text"))
 
@@ -206,9 +204,7 @@ def pptx_text(files: DataFrame) -> DataFrame:
     in_order = F.when(
         F.size(ids) > 0, F.transform(ids, lambda i: F.try_element_at("__rels", i))
     ).otherwise(F.transform(numbered, lambda s: s["name"]))
-    slides = decks.withColumn("__rels", rels).select(
-        "path", "parts", F.posexplode(in_order).alias("__i", "name")
-    )
+    slides = unnest(decks.withColumn("__rels", rels), ["path", "parts"], in_order, "__i", "name")
     shapes = F.from_xml(F.try_element_at("parts", F.col("name")), _SLIDE, _XML)["cSld"]["spTree"]["sp"]
     texts = F.flatten(F.transform(
         F.filter(F.coalesce(shapes, F.array()), lambda s: s["txBody"]["p"].isNotNull()),
@@ -249,8 +245,9 @@ def epub_chapters(files: DataFrame) -> DataFrame:
     title = F.coalesce(
         F.nullif(strip(F.try_element_at("__pkg.metadata.title", F.lit(1))), F.lit("")), stem(F.col("path"))
     )
-    chapters = opened.select("path", "parts", base.alias("__base"), title.alias("title"),
-                             F.posexplode(items).alias("__i", "item"))
+    chapters = unnest(
+        opened, ["path", "parts", base.alias("__base"), title.alias("title")], items, "__i", "item"
+    )
     name = F.concat("__base", F.url_decode("item._href"))
     return chapters.select(
         "path", "title", (F.col("__i") + 1).cast("bigint").alias("chapter_idx"),
