@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import line_kind
 
 CHUNK_ROWS = 65_536
-PART_ROWS = 8_192
+PART_ROWS = 1_024
 _CHUNK, _CARRY, _LOCAL = "__chunk", "__carry", "__local"
 
 
@@ -146,7 +146,8 @@ def glue_parts(
 
     The result has one row per (keys, part_no): a document of up to ``part_rows`` rows is part 0
     alone, a longer one goes on in parts 1, 2, ... whose texts, joined with ``joiner``, are the
-    whole. So no row and no task ever holds an unbounded document.
+    whole. So no row and no task ever holds an unbounded document. Choose ``part_rows`` so that
+    that many rows fit a cell: 1 024 pages of up to a megabyte do.
     """
     text = F.col(text) if isinstance(text, str) else text
     part = chunk_of(F.col(pos) - F.lit(first), part_rows)

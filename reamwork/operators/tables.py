@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.markup import html_row, html_tables
-from ..functions.text import html_escape, number_text
-from .ordered import PART_ROWS, glue_parts
-from .sequence import Outcome
+from ..functions.text import html_escape, number_text, strip
+from .blocks import extracted_blocks
+from .ordered import PART_ROWS, dense_positions, glue_parts
+from .sequence import Outcome, suppress_table_text
 
 
 def value_text(col: Column, dtype: T.DataType, null_text: str = "nan") -> Column:
@@ -149,6 +150,36 @@ def header_names(cells: DataFrame) -> list[str]:
     return [r["text"] for r in first.select("col_idx", "text").orderBy("col_idx").toLocalIterator()]
 
 
+def pages_to_markdown(
+    pages: DataFrame, cells: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text",
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """Extracted pages with their tables as Markdown, in parts.
+
+    Per page the tables come first, then the text lines that are no table cell; short upper-case
+    lines are level-2 headings and a rule stands before every page but the first.
+    """
+    keys = [doc, page]
+    at_page = F.shiftleft(F.col(page).cast("bigint"), 40)
+    rules = pages.filter(F.col(page) > 1).select(
+        doc, at_page.alias("__at"), F.lit("\n\n---\n").alias("__text")
+    )
+    table_rows = cell_lines(cells.withColumn("text", strip(F.coalesce("text", F.lit("")))), [*keys, "table_idx"])
+    grid = table_rows.select(
+        doc,
+        (at_page + F.shiftleft(F.col("table_idx").cast("bigint"), 20) + F.col("row_idx") + 1).alias("__at"),
+        F.col("line").alias("__text"),
+    )
+    lines = extracted_blocks(pages, keys, text)
+    kept = suppress_table_text(lines, cells, "text", "text", (doc, page))
+    shown = F.when(F.col("kind") == "heading", F.concat(F.lit("\n## "), "text", F.lit("\n"))).otherwise(F.col("text"))
+    body = kept.select(
+        doc, (at_page + F.lit(1 << 39) + F.col("block_idx")).alias("__at"), shown.alias("__text")
+    )
+    every = rules.unionByName(grid).unionByName(body)
+    return glue_parts(dense_positions(every, [doc], "__at", "__line"), [doc], "__line", "__text", "\n", part_rows=part_rows)
+
+
 def cell_lines(
     cells: DataFrame, keys: list[str], row: str = "row_idx", col: str = "col_idx", text: str = "text"
 ) -> DataFrame:

@@ -19,7 +19,7 @@ from .. import streaming
 from ..functions.markup import xml_escape
 from ..functions.text import lines
 from ..operators import blocks, sequence, tables
-from ..session import scratch_dir
+from ..session import scratch_dir, settle
 from ..sources import archives, images, office, sqlite, tabular
 from . import sqltext as q
 from .registry import query, spread, table
@@ -298,7 +298,8 @@ def src14(spark, sf_dir):
 WITH {DECK_CTE}, every AS (SELECT * FROM paras UNION ALL SELECT DISTINCT path, slide_no, 0, '--- Slide ' || slide_no || ' ---' FROM paras)
 SELECT path, 0::BIGINT AS part_no, string_agg(text, chr(10) ORDER BY slide_no, p) AS text FROM every GROUP BY path""")
 def src14_render(spark, sf_dir):
-    return sequence.render_slides(office.pptx_text(decks(spark, sf_dir)), "txt", "path")
+    texts = settle(office.pptx_text(decks(spark, sf_dir)), "pptx")
+    return sequence.render_slides(texts, "txt", "path")
 
 
 # ---------------------------------------------------------------------------- e-books

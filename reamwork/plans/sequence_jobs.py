@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import blocks, ordered, sequence
+from ..operators import blocks, ocr, ordered, sequence, tables
 from . import sqltext as q
 from .registry import query, spread, table
 
@@ -104,6 +104,32 @@ def jn02(spark, sf_dir):
     return sequence.suppress_table_text(lines, cells)
 
 
+# Tables on every page: the first three lines as one column under a header, line 2 empty.
+@query("jn02_pages_to_markdown", f"""
+WITH ln AS ({q.lines('conversations', 'conv_id, turn', 'text')}),
+t AS (SELECT conv_id, turn, i, {q.strip('line')} AS line FROM ln WHERE {q.not_blank('line')}),
+cell AS (SELECT conv_id, turn, i - 1 AS row_idx, {q.strip('line')} AS cell FROM ln WHERE i <= 3),
+every AS (
+  SELECT conv_id, turn, 0 AS k, 0 AS n, chr(10) || chr(10) || '---' || chr(10) AS s FROM conversations WHERE turn > 0
+  UNION ALL SELECT conv_id, turn, 1, row_idx, '| ' || cell || ' | c |' || CASE WHEN row_idx = 0 THEN chr(10) || '| --- | --- |' ELSE '' END FROM cell
+  UNION ALL SELECT conv_id, turn, 2, i, CASE WHEN length(line) < 60 AND upper(line) = line AND lower(line) <> line THEN chr(10) || '## ' || line || chr(10) ELSE line END
+    FROM t WHERE line <> 'c' AND NOT EXISTS (SELECT 1 FROM cell WHERE cell.conv_id = t.conv_id AND cell.turn = t.turn AND cell = line))
+SELECT conv_id AS doc_id, 0::BIGINT AS part_no, string_agg(s, chr(10) ORDER BY turn, k, n) AS text FROM every GROUP BY conv_id""")
+def jn02_markdown(spark, sf_dir):
+    pages = spread(page_table(spark, sf_dir, "doc_id", "page_no", "text"))
+    grid = pages.select("doc_id", "page_no", F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("row_idx", "line"))
+    cells = grid.select("doc_id", "page_no", F.lit(0).alias("table_idx"), "row_idx",
+                        F.posexplode(F.array("line", F.lit("c"))).alias("col_idx", "text"))
+    return tables.pages_to_markdown(pages, cells)
+
+
+@query("agg01_ocr_page_break", f"""
+WITH {PAGED} SELECT doc_id, 0::BIGINT AS part_no, string_agg(text, chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10) ORDER BY page_no) AS text,
+  sum(length(text))::BIGINT AS char_count FROM p GROUP BY doc_id""")
+def agg01_break(spark, sf_dir):
+    return sequence.concat_pages(page_table(spark, sf_dir, "doc_id", "page_no", "text"), ocr.PAGE_BREAK)
+
+
 @query("agg01_concat_pages", f"""
 WITH {PAGED} SELECT doc_id, 0::BIGINT AS part_no, string_agg(CASE WHEN page_no > 1 THEN chr(10) || chr(10) || '--- Page ' || page_no || ' ---' ||
   chr(10) || chr(10) ELSE '' END || text, '' ORDER BY page_no) AS text, sum(length(text))::BIGINT AS char_count FROM p GROUP BY doc_id""")

@@ -226,8 +226,7 @@ SELECT 'f' || o_orderkey || '.ini' AS path, 'Order:' || chr(10) || '  host: h' |
   '  status: ' || o_orderstatus || chr(10) || '  text: ''one' || chr(10) || chr(10) || '    two''' || chr(10) || 'price:' || chr(10) || '  host: own' || chr(10) ||
   '  total: ''' || o_totalprice || '''' || chr(10) AS yaml FROM orders WHERE o_orderkey % 50 > 3""")
 def src07_yaml(spark, sf_dir):
-    done = configs.ini_to_yaml(ini_files(spark, sf_dir), ["path"])
-    return done.filter("yaml is not null").select("path", "yaml")
+    return configs.ini_to_yaml(ini_files(spark, sf_dir), ["path"]).rows
 
 
 # One file per segment and nation with a section per ten customers.
@@ -421,9 +420,9 @@ def prj05_pick(spark, sf_dir):
 
 
 @query("snk09_keyed_document", """
-SELECT 'customer' AS table_name, c_custkey // 8192 AS part_no, '[' || string_agg('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}', ',' ORDER BY c_custkey) || ']' AS json,
+SELECT 'customer' AS table_name, c_custkey // 1024 AS part_no, '[' || string_agg('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}', ',' ORDER BY c_custkey) || ']' AS json,
   count(*)::BIGINT AS records FROM customer GROUP BY ALL
-UNION ALL SELECT 'supplier', s_suppkey // 8192, '[' || string_agg('{"s_suppkey":' || s_suppkey || ',"s_acctbal":' || s_acctbal || '}', ',' ORDER BY s_suppkey) || ']',
+UNION ALL SELECT 'supplier', s_suppkey // 1024, '[' || string_agg('{"s_suppkey":' || s_suppkey || ',"s_acctbal":' || s_acctbal || '}', ',' ORDER BY s_suppkey) || ']',
   count(*)::BIGINT FROM supplier GROUP BY ALL""")
 def snk09(spark, sf_dir):
     return sinks.keyed_document({

@@ -482,7 +482,7 @@ def ocr_blocks(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, l_partkey, (l_quantity - 2) * (72.0::DOUBLE / 200) AS x0, l_partkey::DOUBLE * (72.0::DOUBLE / 200) AS y0,
   (l_quantity + 50) * (72.0::DOUBLE / 200) AS x1, (l_partkey::DOUBLE + 22) * (72.0::DOUBLE / 200) AS y1 FROM lineitem""")
 def agg04(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    items = spread(table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
     x, y = F.col("l_quantity"), F.col("l_partkey").cast("double")
     box = F.array(F.array(x, y), F.array(x + 50, y + 2), F.array(x + 48, y + 22), F.array(x - 2, y + 20))
     return items.select(

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on. AQE re-plans joins from measured sizes (so a side is
 # broadcast only when its real size allows it) and splits skewed join partitions.
@@ -28,6 +28,15 @@ def build_session(master: str | None = None, app: str = "reamwork", **extra: str
     return builder.getOrCreate()
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a costly intermediate table to the shared folder and read it back: operators with
+    several branches then scan the table instead of computing it once per branch, and a lost
+    executor costs nothing but its own tasks."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -35,11 +35,12 @@ def ini_to_json(files: DataFrame, keys: list[str], value: str = "value") -> Data
     return ini_sections(files, keys, value).select(*keys, ini_json().alias("json"), "error")
 
 
-def ini_to_yaml(files: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """(keys, yaml, error), one row per INI file."""
-    return ini_to_json(files, keys, value).select(
-        *keys, F.when(F.col("error").isNull(), render_config(F.col("json"), "yaml")["text"]).alias("yaml"), "error"
-    )
+def ini_to_yaml(files: DataFrame, keys: list[str], value: str = "value") -> Outcome:
+    """(keys, yaml) per INI file, and (keys, error) of the broken ones."""
+    done = ini_to_json(files, keys, value)
+    good = where_present(done.select(*keys, "json"), "json")
+    rows = good.select(*keys, render_config(F.col("json"), "yaml")["text"].alias("yaml"))
+    return Outcome(rows, where_present(done.select(*keys, "error"), "error"))
 
 
 def read_env(files: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import PART_ROWS
 from ..operators.records import json_array_docs
 from ..operators.tables import markdown_header, markdown_rows, to_html_table
 
@@ -86,7 +87,7 @@ def export_tables(
     return {name: writers[fmt](df, f"{path}/{name}", mode=mode) for name, df in tables.items()}
 
 
-def keyed_document(tables: dict[str, tuple[DataFrame, str]], first: int = 0, part_rows: int = 8_192) -> DataFrame:
+def keyed_document(tables: dict[str, tuple[DataFrame, str]], first: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
     """All tables as JSON arrays keyed by table name: (table_name, part_no, json, records).
 
     ``tables`` maps a name to its DataFrame and position column. Values that JSON lacks become text.

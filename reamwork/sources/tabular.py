@@ -98,20 +98,11 @@ def json_variant_rows(spark: SparkSession, path: str) -> DataFrame:
     docs = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("path"), F.try_parse_json("value").alias("__doc")
     )
-    bad = docs.filter(F.col("__doc").isNull()).select(
-        "path", F.lit(0).alias("pos"), F.col("__doc").alias("record"), F.lit("not valid JSON").alias("error")
-    )
-    wrapped = docs.filter(F.col("__doc").isNotNull()).withColumn(
-        "__doc",
-        F.when(F.schema_of_variant("__doc").startswith("ARRAY"), F.col("__doc"))
-        .otherwise(F.try_parse_json(F.concat(F.lit("["), F.to_json("__doc"), F.lit("]")))),
-    )
-    wrapped.createOrReplaceTempView("__reamwork_json_docs")
-    good = spark.sql(
-        "SELECT path, e.pos, e.value AS record, CAST(NULL AS STRING) AS error "
-        "FROM __reamwork_json_docs, LATERAL variant_explode(__doc) AS e"
-    )
-    return good.unionByName(bad)
+    is_list = F.schema_of_variant("__doc").startswith("ARRAY")
+    items = F.when(is_list, F.try_variant_get("__doc", "$", "array<variant>")).otherwise(F.array("__doc"))
+    error = F.when(F.col("__doc").isNull(), "not valid JSON")
+    # a broken file gives one row with a null record
+    return docs.select("path", error.alias("error"), F.posexplode_outer(items).alias("pos", "record"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
