@@ -88,6 +88,20 @@ def _jpeg_size(raw: bytes):
     return None
 
 
+def _tiff_size(raw: bytes):
+    end = "<" if raw[:2] == b"II" else ">"
+    (at,) = struct.unpack(end + "I", raw[4:8])
+    (count,) = struct.unpack(end + "H", raw[at:at + 2])
+    tags = {}
+    for i in range(count):
+        entry = raw[at + 2 + 12 * i:at + 14 + 12 * i]
+        tag, kind = struct.unpack(end + "HH", entry[:4])
+        tags[tag] = struct.unpack(end + ("H" if kind == 3 else "I"), entry[8:10] if kind == 3 else entry[8:12])[0]
+    # tags: 256 width, 257 height, 262 colour model, 277 samples per pixel
+    mode = {0: "L", 1: "L", 2: "RGB", 3: "P", 5: "CMYK"}.get(tags.get(262), "RGB")
+    return tags[256], tags[257], "RGBA" if (mode, tags.get(277)) == ("RGB", 4) else mode
+
+
 def read_image_header(raw: bytes):
     """(format, width, height, mode) from the header bytes, None for anything unreadable."""
     try:
@@ -103,6 +117,8 @@ def read_image_header(raw: bytes):
         if raw[:3] == b"\xff\xd8\xff":
             size = _jpeg_size(raw)
             return ("JPEG", *size) if size else None
+        if raw[:4] in (b"II*\x00", b"MM\x00*"):
+            return ("TIFF", *_tiff_size(raw))
         if raw[:4] == b"RIFF" and raw[8:12] == b"WEBP":
             if raw[12:16] == b"VP8X":
                 width = 1 + int.from_bytes(raw[24:27], "little")

@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructType
 
-_KINDS = (("INT", "bigint"), ("CHAR", "string"), ("CLOB", "string"), ("TEXT", "string"), ("BLOB", "binary"),
-          ("REAL", "double"), ("FLOA", "double"), ("DOUB", "double"))
+_KINDS = (("INT", LongType()), ("CHAR", StringType()), ("CLOB", StringType()), ("TEXT", StringType()),
+          ("BLOB", BinaryType()), ("REAL", DoubleType()), ("FLOA", DoubleType()), ("DOUB", DoubleType()))
 
 
 def _open(path: str) -> sqlite3.Connection:
@@ -53,7 +53,7 @@ class SqliteReader(DataSourceReader):
         finally:
             conn.close()
         if low is None:
-            return []
+            return [RowRange(0, 0)]
         step = max(1, -(-(high - low + 1) // self.parts))
         return [RowRange(at, min(at + step, high + 1)) for at in range(low, high + 1, step)]
 
@@ -102,7 +102,7 @@ class SqliteSource(DataSource):
         out = StructType()
         for _, name, declared, *_ in rows:
             declared = (declared or "TEXT").upper()
-            out.add(name, next((kind for mark, kind in _KINDS if mark in declared), "double"))
+            out.add(name, next((kind for mark, kind in _KINDS if mark in declared), DoubleType()))
         return out
 
     def reader(self, schema: StructType) -> DataSourceReader:

@@ -132,34 +132,47 @@ def default_record_tag(spark: SparkSession, path: str) -> str:
     return tag
 
 
+def _own_text(col: Column, kind: T.DataType) -> Column:
+    """Text of a child element: the last one of a repeated child, and of a child with attributes or
+    children of its own the text before the first of these."""
+    if isinstance(kind, T.ArrayType):
+        return _own_text(F.try_element_at(col, F.lit(-1)), kind.elementType)
+    if not isinstance(kind, T.StructType):
+        return strip(col.cast("string"))
+    inner = F.lit("")
+    if "_text" in kind.names:
+        text = col["_text"]
+        inner = F.try_element_at(text, F.lit(1)) if isinstance(kind["_text"].dataType, T.ArrayType) else text
+    return F.when(col.isNotNull(), strip(F.coalesce(inner, F.lit(""))))
+
+
 def read_xml_records(
     spark: SparkSession, path: str, record_tag: str | None = None, schema: str | None = None
 ) -> DataFrame:
-    """Repeating elements as rows of text columns: attributes and the direct children's own text.
+    """Repeating elements as rows of text columns: attributes and the direct children's own text; of
+    an attribute and a child with the same name the child stands.
 
     Files are split at the record tag, so one huge file is read by many tasks. Give ``schema`` (all
-    STRING fields for plain children) to spare the pass that finds the columns.
+    STRING fields for plain children and attributes) to spare the pass that finds the columns.
     """
+    mark = "@"
     reader = (
         spark.read.format("xml").option("rowTag", record_tag or default_record_tag(spark, path))
-        .option("attributePrefix", "").option("valueTag", "_text").option("inferSchema", False)
+        .option("attributePrefix", mark).option("valueTag", "_text").option("inferSchema", False)
         .option("ignoreNamespace", True)
     )
-    raw = (reader.schema(schema) if schema else reader).load(path)
+    if schema:
+        wanted = T.StructType.fromDDL(schema)
+        both = T.StructType(wanted.fields + [T.StructField(mark + f.name, T.StringType()) for f in wanted])
+        raw = reader.schema(both).load(path)
+    else:
+        raw = reader.load(path)
+    have = {f.name: f.dataType for f in raw.schema.fields if f.name != "_text"}
+    names = list(dict.fromkeys(n.removeprefix(mark) for n in have))
     cols = []
-    for f in raw.schema.fields:
-        if f.name == "_text":
-            continue
-        col, kind = F.col(f"`{f.name}`"), f.dataType
-        if isinstance(kind, T.ArrayType):
-            # a repeated child: the last one stands
-            col, kind = F.try_element_at(col, F.lit(-1)), kind.elementType
-        if isinstance(kind, T.StructType):
-            col = col["_text"] if "_text" in kind.names else F.lit(None)
-            if isinstance(kind["_text"].dataType if "_text" in kind.names else None, T.ArrayType):
-                col = F.try_element_at(col, F.lit(1))
-        cols.append(strip(F.coalesce(col.cast("string"), F.lit(""))).alias(f.name)
-                    if isinstance(kind, T.StructType) else strip(col.cast("string")).alias(f.name))
+    for n in names:
+        found = [_own_text(F.col(f"`{c}`"), have[c]) for c in (n, mark + n) if c in have]
+        cols.append(F.coalesce(*found).alias(n))
     return raw.select(*cols)
 
 
