@@ -23,6 +23,15 @@ def content_lines(
     return kept.select(*keys, (F.col("__i") + 1).cast("bigint").alias("line_no"), "line")
 
 
+def text_paragraphs(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Every line of a plain text, blank ones too, as a paragraph block."""
+    rows = docs.select(*keys, F.posexplode(lines(F.col(text))).alias("__i", "text"))
+    return rows.select(
+        *keys, (F.col("__i") + 1).cast("bigint").alias("block_idx"), F.lit("paragraph").alias("kind"),
+        F.lit(0).alias("level"), "text",
+    )
+
+
 def markdown_blocks(docs: DataFrame, keys: list[str], text: str = "text", runs: bool = True) -> DataFrame:
     """Markdown lines to headings, bullets, numbered items and paragraphs, blank lines dropped.
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape, preview, strip
-from .ordered import PART_ROWS, glue_parts
+from .ordered import PART_ROWS, glue_framed, glue_parts
 
 # Fixed value: what stands between the pages of recognised text.
 PAGE_BREAK = "\n\n--- Page Break ---\n\n"
@@ -35,6 +35,31 @@ def assemble_ocr(
     return glue_parts(blocks, keys, pos, line, joiner, part_rows=part_rows, **count)
 
 
+# The page shell around recognised text.
+_HTML_HEAD = '<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><title>'
+_HTML_MID = (
+    "</title><style>body{font-family:sans-serif;max-width:900px;margin:auto;padding:2em}"
+    "p{margin:0.3em 0}</style></head><body>\n"
+)
+_HTML_TAIL = "\n</body></html>"
+
+
+def ocr_document(
+    blocks: DataFrame, fmt: str, keys: list[str], title: Column, pos: str = "block_idx",
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """Recognised blocks as a titled HTML page or Markdown document, in parts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    if fmt == "html":
+        line = F.concat(F.lit("<p>"), html_escape(text), F.lit("</p>"))
+        head = F.concat(F.lit(_HTML_HEAD), html_escape(title), F.lit(_HTML_MID))
+        return glue_framed(blocks, keys, pos, line, head, F.lit(_HTML_TAIL), "\n", part_rows=part_rows, text_blocks=F.lit(1))
+    # an empty line of its own follows the title, whether or not the first block is blank
+    heading = F.when(F.col(pos) == 1, F.concat(F.lit("# "), title, F.lit("\n")))
+    line = F.nullif(F.concat_ws("\n\n", heading, F.when(strip(text) != "", text)), F.lit(""))
+    return glue_parts(blocks, keys, pos, line, "\n\n", part_rows=part_rows, text_blocks=F.lit(1))
+
+
 def ocr_preview(assembled: DataFrame, n: int = 500) -> DataFrame:
     """First characters of each assembled text. The first part is longer than any preview or is
     all there is, so no other part is read; the count covers all parts."""

@@ -138,6 +138,22 @@ def list_runs(
     )
 
 
+def glue_framed(
+    df: DataFrame, keys: list[str], pos: str, text: Column, head: Column, tail: Column, joiner: str = "",
+    out: str = "text", part_rows: int = PART_ROWS, first: int = 1, **more: Column,
+) -> DataFrame:
+    """:func:`glue_parts` with ``head`` right before the first text and ``tail`` right after the last.
+
+    The last position of each sequence is a partial aggregate that is joined back. A null text still
+    lets head and tail stand.
+    """
+    last = df.groupBy(*keys).agg(F.max(pos).alias("__last"))
+    begins, ends = F.when(F.col(pos) == first, head), F.when(F.col(pos) == F.col("__last"), tail)
+    framed = F.concat(F.coalesce(begins, F.lit("")), F.coalesce(text, F.lit("")), F.coalesce(ends, F.lit("")))
+    kept = F.when(text.isNotNull() | begins.isNotNull() | ends.isNotNull(), framed)
+    return glue_parts(df.join(last, keys), keys, pos, kept, joiner, out, part_rows, first, **more)
+
+
 def glue_parts(
     df: DataFrame, keys: list[str], pos: str, text: str | Column, joiner: str = "",
     out: str = "text", part_rows: int = PART_ROWS, first: int = 1, **more: Column,

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.markup import html_row, html_tables
-from ..functions.text import html_escape, number_text, strip
+from ..functions.names import page_table_name
+from ..functions.text import PAGE_HEAD, PAGE_TAIL, extracted_page_html, html_escape, number_text, strip
 from .blocks import extracted_blocks
-from .ordered import PART_ROWS, dense_positions, glue_parts
+from .ordered import PART_ROWS, dense_positions, glue_framed, glue_parts
 from .sequence import Outcome, suppress_table_text
 
 
@@ -61,17 +62,12 @@ def to_html_table(
 ) -> DataFrame:
     """One HTML table per group, in parts, headed by its name. The closing tags go after the row
     whose position is the group's highest."""
-    last = df.groupBy(*group).agg(F.max(pos).alias("__last"))
-    sized = df.join(last, group)
     row = html_row(_texts(df, columns, null_text))
     title = F.concat(F.lit("<h2>"), html_escape(name), F.lit("</h2>\n")) if name is not None else F.lit("")
     head = html_row([F.lit(c) for c in columns], "th")
     opening = F.concat(title, F.lit("<table border='1'>\n<thead>"), head, F.lit("</thead>\n<tbody>\n"))
-    text = F.concat(
-        F.when(F.col(pos) == first, opening).otherwise(""), row,
-        F.when(F.col(pos) == F.col("__last"), "\n</tbody>\n</table>").otherwise(""),
-    )
-    return glue_parts(sized, group, pos, text, "\n", "html", part_rows, first, rows=F.lit(1))
+    closing = F.lit("\n</tbody>\n</table>")
+    return glue_framed(df, group, pos, row, opening, closing, "\n", "html", part_rows, first, rows=F.lit(1))
 
 
 def html_table_cells(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
@@ -150,6 +146,42 @@ def header_names(cells: DataFrame) -> list[str]:
     return [r["text"] for r in first.select("col_idx", "text").orderBy("col_idx").toLocalIterator()]
 
 
+def workbook_cells(cells: DataFrame, pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
+    """Tables of extracted pages as sheet cells: (doc, sheet_name, row_idx, col_idx, text).
+
+    Each table is a sheet named by page and table; a document without any table has its text lines
+    on one sheet named Text, numbered within their page.
+    """
+    sheets = cells.select(
+        doc, page_table_name(F.col(page), F.col("table_idx") + 1).alias("sheet_name"), F.col(page).alias("page"),
+        F.col("row_idx").cast("int").alias("row_idx"), F.col("col_idx").cast("int").alias("col_idx"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    bare = pages.join(cells.select(doc), doc, "left_anti")
+    lines = bare.select(doc, F.col(page).alias("page"), F.posexplode(F.split(text, "\n")).alias("row_idx", "text"))
+    return sheets.unionByName(lines.select(
+        doc, F.lit("Text").alias("sheet_name"), "page", "row_idx", F.lit(0).alias("col_idx"), "text"
+    ))
+
+
+# Fixed value: the page shell around extracted pages.
+_PAGES_MID = (
+    "</title>\n  <style>body{font-family:sans-serif;max-width:800px;margin:auto;padding:2em}"
+    "section{border-bottom:1px solid #ccc;margin-bottom:2em}.page-label{color:#999;font-size:.8em}</style>\n"
+    "</head>\n<body>\n"
+)
+
+
+def pages_to_html(
+    pages: DataFrame, title: Column, doc: str = "doc_id", page: str = "page_no", text: str = "text",
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """Extracted pages as one HTML page per document, a section per page, in parts."""
+    head = F.concat(F.lit(PAGE_HEAD), html_escape(title), F.lit(_PAGES_MID))
+    section = extracted_page_html(F.col(text), F.col(page))
+    return glue_framed(pages, [doc], page, section, head, F.lit(PAGE_TAIL), "\n", "html", part_rows)
+
+
 def pages_to_markdown(
     pages: DataFrame, cells: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text",
     part_rows: int = PART_ROWS,

@@ -208,6 +208,28 @@ def src12_table(spark, sf_dir):
     return rows.select("path", F.col("id").cast("bigint").alias("id"), "name", "seg")
 
 
+def sheet_rows(spark, sf_dir):
+    cells = office.xlsx_cells(workbooks(spark, sf_dir), "People & co")
+    return tables.cells_to_rows(cells, ["path"], ["id", "name", "gap", "seg"]).drop("gap")
+
+
+@query("src12_xlsx_to_markdown", """
+SELECT 'w' || c_custkey // 100 AS path, 0::BIGINT AS part_no, '| id | name | seg |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
+  string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' & co |', chr(10) ORDER BY c_custkey) AS markdown, count(*)::BIGINT AS rows FROM customer GROUP BY c_custkey // 100""")
+def src12_markdown(spark, sf_dir):
+    return tables.to_markdown_table(sheet_rows(spark, sf_dir), ["path"], "row_idx", ["id", "name", "seg"])
+
+
+@query("src12_xlsx_to_html", """
+SELECT 'w' || c_custkey // 100 AS path, 0::BIGINT AS part_no, '<h2>People &amp; co</h2>' || chr(10) || '<table border=''1''>' || chr(10) ||
+  '<thead><tr><th>id</th><th>name</th><th>seg</th></tr></thead>' || chr(10) || '<tbody>' || chr(10) || string_agg('<tr><td>' || c_custkey || '</td><td>' || c_name ||
+  '</td><td>' || c_mktsegment || ' &amp; co</td></tr>', chr(10) ORDER BY c_custkey) || chr(10) || '</tbody>' || chr(10) || '</table>' AS html, count(*)::BIGINT AS rows
+FROM customer GROUP BY c_custkey // 100""")
+def src12_html(spark, sf_dir):
+    rows = settle(sheet_rows(spark, sf_dir), "sheet")
+    return tables.to_html_table(rows, ["path"], "row_idx", ["id", "name", "seg"], F.lit("People & co"))
+
+
 # ---------------------------------------------------------------------------- Word documents
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -339,12 +361,17 @@ def src15_text(spark, sf_dir):
     return office.epub_text(office.epub_chapters(books(spark, sf_dir)))
 
 
+def chapters_once(spark, sf_dir):
+    """Chapters as a written table: the framed rendering reads them twice."""
+    return settle(office.epub_chapters(books(spark, sf_dir)), "chapters")
+
+
 @query("src15_epub_to_html", f"""
 WITH {BOOK_CTE}, t AS (SELECT path, title, n, regexp_extract(html, '(?is)(<body\\b.*</body\\s*>)', 1) AS body, html FROM bk)
 SELECT path, 0::BIGINT AS part_no, {q.lit(office._BOOK_HEAD)} || {q.escape('any_value(title)')} || {q.lit(office._BOOK_MID)} ||
   string_agg(CASE WHEN body <> '' THEN body ELSE html END, chr(10) ORDER BY n) || {q.lit(office._BOOK_TAIL)} AS text FROM t GROUP BY path""")
 def src15_html(spark, sf_dir):
-    return office.epub_html(office.epub_chapters(books(spark, sf_dir)))
+    return office.epub_html(chapters_once(spark, sf_dir))
 
 
 @query("src15_epub_to_markdown", f"""

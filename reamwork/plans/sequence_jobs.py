@@ -123,6 +123,21 @@ def jn02_markdown(spark, sf_dir):
     return tables.pages_to_markdown(pages, cells)
 
 
+# Pages of more than one line have a table of their first two lines; documents without any go to
+# a sheet of text lines.
+@query("win06_workbook_cells", f"""
+WITH ln AS ({q.lines('conversations', 'conv_id, turn', 'text')}), n AS (SELECT conv_id, turn, max(i) AS n FROM ln GROUP BY ALL),
+c AS (SELECT ln.* FROM ln JOIN n USING (conv_id, turn) WHERE n > 1 AND i <= 2)
+SELECT conv_id AS doc_id, 'Page' || (turn + 1) || '_T1' AS sheet_name, turn + 1 AS page, (i - 1)::INT AS row_idx, 0 AS col_idx, line AS text FROM c
+UNION ALL SELECT conv_id, 'Text', turn + 1, (i - 1)::INT, 0, line FROM ln WHERE conv_id NOT IN (SELECT conv_id FROM c)""")
+def win06_workbook(spark, sf_dir):
+    pages = spread(page_table(spark, sf_dir, "doc_id", "page_no", "text"))
+    ls = F.split("text", "\n")
+    grid = pages.filter(F.size(ls) > 1).select(
+        "doc_id", "page_no", F.lit(0).alias("table_idx"), F.posexplode(F.slice(ls, 1, 2)).alias("row_idx", "text"))
+    return tables.workbook_cells(grid.withColumn("col_idx", F.lit(0)), pages)
+
+
 @query("agg01_ocr_page_break", f"""
 WITH {PAGED} SELECT doc_id, 0::BIGINT AS part_no, string_agg(text, chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10) ORDER BY page_no) AS text,
   sum(length(text))::BIGINT AS char_count FROM p GROUP BY doc_id""")

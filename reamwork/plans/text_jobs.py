@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import binary, markup, names, text
-from ..operators import blocks, ocr, ordered, records
+from ..operators import blocks, ocr, ordered, records, tables
 from ..operators.sequence import render_slides
 from . import sqltext as q
 from .registry import query, spread, table
@@ -243,6 +243,18 @@ def fn10_markdown(spark, sf_dir):
     return ordered.glue_parts(page_texts(spark, sf_dir), ["doc_id"], "page_no", marked, "\n", "markdown")
 
 
+# The whole document: every page of a conversation in one HTML page.
+@query("fn10_document_html", f"""
+WITH {PAGE_TEXT_CTE}, sections AS (SELECT doc_id, page_no, '<section id="page-' || page_no || '">' || chr(10) ||
+  '  <h3 class="page-label">Page ' || page_no || '</h3>' || chr(10) || string_agg(CASE WHEN head THEN '  <h2>' || {q.escape('line')} || '</h2>'
+  ELSE '  <p>' || {q.escape('line')} || '</p>' END, chr(10) ORDER BY i) || chr(10) || '</section>' AS s FROM heads GROUP BY doc_id, page_no)
+SELECT doc_id, 0::BIGINT AS part_no, {q.lit(text.PAGE_HEAD)} || 'Doc &lt;' || doc_id || '&gt;' || {q.lit(tables._PAGES_MID)} ||
+  string_agg(s, chr(10) ORDER BY page_no) || {q.lit(text.PAGE_TAIL)} AS html FROM sections GROUP BY doc_id""")
+def fn10_document(spark, sf_dir):
+    title = F.concat(F.lit("Doc <"), F.col("doc_id"), F.lit(">"))
+    return tables.pages_to_html(page_texts(spark, sf_dir), title)
+
+
 @query("fn11_xml_to_json", """
 SELECT c_custkey, '{"customer": {"id": "' || c_custkey || '", "tag": ["' || c_mktsegment || '", "00' || c_nationkey || '"], "name": {"lang": "en", "_text": "' || c_name || '"}, "note": {}}}' AS json
 FROM customer""")
@@ -440,6 +452,12 @@ def prj04(spark, sf_dir):
     return blocks.content_lines(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"], comments=True)
 
 
+@query("prj04_text_paragraphs", f"""
+WITH ln AS ({q.lines('documents', 'doc_id', 'text')}) SELECT doc_id, i::BIGINT AS block_idx, 'paragraph' AS kind, 0 AS level, line AS text FROM ln""")
+def prj04_paragraphs(spark, sf_dir):
+    return blocks.text_paragraphs(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"])
+
+
 @query("prj06_plan_resize", """
 SELECT p_partkey, w AS width, h AS height, CASE WHEN tw > 0 THEN tw WHEN th > 0 THEN (w * th) // h ELSE w END::BIGINT AS new_width,
   CASE WHEN th > 0 THEN th WHEN tw > 0 THEN (h * tw) // w ELSE h END::BIGINT AS new_height, greatest(1, least(95, p_size * 3)) AS quality
@@ -518,6 +536,22 @@ def ord01_ocr(spark, sf_dir):
     return ocr.ocr_preview(ocr.assemble_ocr(ocr_blocks(spark, sf_dir), "text", ["doc_id"]))
 
 
+@query("agg05_ocr_document_html", f"""
+WITH {OCR_CTE} SELECT doc_id, 0::BIGINT AS part_no, {q.lit(ocr._HTML_HEAD)} || 'd' || doc_id || {q.lit(ocr._HTML_MID)} ||
+  string_agg('<p>' || {q.escape('text')} || '</p>', chr(10) ORDER BY block_idx) || {q.lit(ocr._HTML_TAIL)} AS text, count(*)::BIGINT AS text_blocks FROM ocr GROUP BY doc_id""")
+def agg05_document(spark, sf_dir):
+    title = F.concat(F.lit("d"), F.col("doc_id"))
+    return ocr.ocr_document(ocr_blocks(spark, sf_dir), "html", ["doc_id"], title)
+
+
+@query("agg05_ocr_document_markdown", f"""
+WITH {OCR_CTE} SELECT doc_id, 0::BIGINT AS part_no, '# d' || doc_id || chr(10) || coalesce(chr(10) || chr(10) || string_agg(CASE WHEN {q.not_blank('text')} THEN text END,
+  chr(10) || chr(10) ORDER BY block_idx), '') AS text, count(*)::BIGINT AS text_blocks FROM ocr GROUP BY doc_id""")
+def agg05_document_markdown(spark, sf_dir):
+    title = F.concat(F.lit("d"), F.col("doc_id"))
+    return ocr.ocr_document(ocr_blocks(spark, sf_dir), "markdown", ["doc_id"], title)
+
+
 @query("agg05_assemble_ocr_json", f"""
 WITH {OCR_CTE} SELECT doc_id, 0::BIGINT AS part_no, '[' || string_agg('{{"text":' || to_json(text) || ',"confidence":' || round(confidence, 4) || ',"bbox":[[' ||
   x || ',' || y || '],[' || (x + 50) || ',' || (y + 2) || '],[' || (x + 48) || ',' || (y + 22) || '],[' || (x - 2) || ',' || (y + 20) || ']]}}',

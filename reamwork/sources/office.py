@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.markup import chapter_to_markdown, html_escape, html_to_text
 from ..functions.names import stem
 from ..functions.text import strip
-from ..operators.ordered import PART_ROWS, glue_parts, unnest
+from ..operators.ordered import PART_ROWS, glue_framed, glue_parts, unnest
 from .archives import archive_texts
 
 _XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
@@ -277,12 +277,9 @@ _BOOK_TAIL = "</body></html>"
 
 def epub_html(chapters: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """One HTML page per book. The shell's head goes before chapter 1 and its end after the last."""
-    last = chapters.groupBy("path").agg(F.max("chapter_idx").alias("__last"))
     body = F.regexp_extract("html", r"(?is)(<body\b.*</body\s*>)", 1)
     section = F.when(body != "", body).otherwise(F.col("html"))
     head = F.concat(F.lit(_BOOK_HEAD), html_escape(F.col("title")), F.lit(_BOOK_MID))
-    text = F.concat(
-        F.when(F.col("chapter_idx") == 1, head).otherwise(""), section,
-        F.when(F.col("chapter_idx") == F.col("__last"), _BOOK_TAIL).otherwise(""),
+    return glue_framed(
+        chapters, ["path"], "chapter_idx", section, head, F.lit(_BOOK_TAIL), "\n", part_rows=part_rows
     )
-    return glue_parts(chapters.join(last, "path"), ["path"], "chapter_idx", text, "\n", part_rows=part_rows)

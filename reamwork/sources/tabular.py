@@ -34,8 +34,9 @@ def infer_types(df: DataFrame) -> T.StructType:
         col = F.col(f"`{c}`")
         aggs += [
             F.count(col).alias(f"n{i}"),
-            F.count(F.when(F.regexp_like(col, F.lit(r"^[+-]?\d+$")), col.try_cast("bigint"))).alias(f"i{i}"),
-            F.count(F.when(~F.regexp_like(col, F.lit(r"[dDfF]$")), col.try_cast("double"))).alias(f"d{i}"),
+            F.count(col.try_cast("bigint")).alias(f"i{i}"),
+            # a trailing d or f is a number to the JVM only
+            F.count(F.when(~F.lower(F.right(col, F.lit(1))).isin("d", "f"), col.try_cast("double"))).alias(f"d{i}"),
             F.count(_bool(col)).alias(f"b{i}"),
         ]
     row = df.agg(*aggs).first()
