@@ -204,7 +204,9 @@ def merge_sequences(
     """Documents of each list one after the other, pages numbered on continuously.
 
     ``order`` holds (merge keys, position, doc). Offsets are running totals over the small
-    per-document counts, not over the pages. A list of fewer than two documents is an error.
+    per-document counts, not over the pages. A list of fewer than two documents is an error. Without
+    merge keys there is one list: its error row says when it is too short, and no join with that one
+    row is made.
     """
     counts = page_counts(pages, doc)
     sized = order.join(counts, doc)
@@ -213,7 +215,7 @@ def merge_sequences(
     errors = per_list.filter("files_merged < 2").select(
         *merge_keys, F.lit("Provide at least two inputs.").alias("error")
     )
-    good = offsets.join(errors.select(*merge_keys), merge_keys, "left_anti")
+    good = offsets.join(errors.select(*merge_keys), merge_keys, "left_anti") if merge_keys else offsets
     rows = (
         pages.join(good.select(*merge_keys, position, doc, "page_offset"), doc)
         .withColumn("merged_page_no", (F.col(page) + F.col("page_offset")).cast("bigint"))

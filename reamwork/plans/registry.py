@@ -24,8 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Job], Job]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table of the corpus. Tables in fewer files than the cluster has cores are spread over the
-    cores; a table of many files is left as it is, so at scale this adds no shuffle."""
+    """A table of the corpus, with only the named columns."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if columns:
         df = df.select(*columns)

@@ -216,10 +216,8 @@ def win04(spark, sf_dir):
 WITH {PAGED} SELECT doc_id, page_no, row_number() OVER (ORDER BY doc_id, page_no) AS merged_page_no FROM p""")
 def win04_all(spark, sf_dir):
     pages = page_table(spark, sf_dir, "doc_id", "page_no")
-    order = pages.select("doc_id").distinct().select(
-        F.lit(1).alias("merge_id"), F.col("doc_id").alias("position"), "doc_id"
-    )
-    return sequence.merge_sequences(pages, order, ["merge_id"]).rows.drop("merge_id", "position")
+    order = pages.select("doc_id").distinct().select(F.col("doc_id").alias("position"), "doc_id")
+    return sequence.merge_sequences(pages, order, [], chunk_rows=100).rows.drop("position")
 
 
 @query("win04_merge_totals", f"""

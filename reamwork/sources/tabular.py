@@ -16,6 +16,9 @@ NA_TOKENS = [
 # Cell texts read as booleans.
 TRUE_TOKENS, FALSE_TOKENS = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 
+_WHOLE = r"^\s*[+-]?\d{1,19}\s*$"
+_NUMBER = r"(?i)^\s*[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf|infinity)\s*$"
+
 
 def _na_to_null(name: str) -> Column:
     col = F.col(f"`{name}`")
@@ -34,9 +37,9 @@ def infer_types(df: DataFrame) -> T.StructType:
         col = F.col(f"`{c}`")
         aggs += [
             F.count(col).alias(f"n{i}"),
-            F.count(col.try_cast("bigint")).alias(f"i{i}"),
-            # a trailing d or f is a number to the JVM only
-            F.count(F.when(~F.lower(F.right(col, F.lit(1))).isin("d", "f"), col.try_cast("double"))).alias(f"d{i}"),
+            # patterns first: a cast that fails is far slower than a pattern that does not match
+            F.count(F.when(F.regexp_like(col, F.lit(_WHOLE)), col.try_cast("bigint"))).alias(f"i{i}"),
+            F.count(F.when(F.regexp_like(col, F.lit(_NUMBER)), 1)).alias(f"d{i}"),
             F.count(_bool(col)).alias(f"b{i}"),
         ]
     row = df.agg(*aggs).first()
