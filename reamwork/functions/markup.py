@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html.entities
 import json
+import re
 import xml.etree.ElementTree as ET
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column
@@ -268,15 +270,19 @@ def record_to_xml(col: Column, dtype: T.StructType, root_tag: str = "root") -> C
     return F.concat(F.lit(XML_DECLARATION), xml_element(root_tag, col, dtype))
 
 
-def _fill_element(parent: ET.Element, value) -> None:
-    if isinstance(value, dict):
-        for key, inner in value.items():
-            _fill_element(ET.SubElement(parent, str(key)), inner)
-    elif isinstance(value, list):
-        for inner in value:
-            _fill_element(ET.SubElement(parent, "item"), inner)
+_TAG = re.compile(r"[^\W\d][\w.\-]*")
+
+
+def _tagged(tag: str, value) -> str:
+    """XML text of one named value; list entries are all named item."""
+    if not _TAG.fullmatch(tag):
+        raise ValueError(f"Invalid tag name {tag!r}")
+    if isinstance(value, (dict, list)):
+        pairs = value.items() if isinstance(value, dict) else (("item", v) for v in value)
+        body = "".join(_tagged(t, v) for t, v in pairs)
     else:
-        parent.text = str(value)
+        body = escape(str(value))
+    return f"<{tag}>{body}</{tag}>"
 
 
 def _json_xml(text: str | None, root_tag: str) -> tuple[str | None, str | None]:
@@ -284,10 +290,7 @@ def _json_xml(text: str | None, root_tag: str) -> tuple[str | None, str | None]:
         value = json.loads(text)
         if isinstance(value, dict) and len(value) == 1:
             root_tag, value = next(iter(value.items()))
-        root = ET.Element(root_tag)
-        _fill_element(root, value)
-        body = ET.tostring(root, encoding="unicode", short_empty_elements=True)
-        return XML_DECLARATION + body, None
+        return XML_DECLARATION + _tagged(root_tag, value), None
     except (ValueError, TypeError) as problem:
         return None, str(problem)
 

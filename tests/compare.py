@@ -26,7 +26,7 @@ def duck(sf_dir: str):
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.12g}")
+        return "nan" if math.isnan(value) else value
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     return value
@@ -38,12 +38,7 @@ def canonical(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
-def kinds(names: list[str], types: dict[str, str]) -> list[str]:
-    group = {
-        "bigint": "int", "int": "int", "integer": "int", "smallint": "int", "hugeint": "HUGE", "double": "float",
-        "float": "float", "string": "str", "varchar": "str", "boolean": "bool",
-    }
-    return [group.get(types[n].lower(), types[n].lower()) for n in names]
+SQL_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def compare(spark, con, name: str, job, sql: str | None, sf_dir: str) -> str | None:
@@ -57,10 +52,10 @@ def compare(spark, con, name: str, job, sql: str | None, sf_dir: str) -> str | N
     want_names, want = canonical([d[0] for d in described], result.fetchall())
     if have_names != want_names:
         return f"columns {have_names} and {want_names}"
-    ks = kinds(have_names, {f.name: f.dataType.simpleString() for f in df.schema.fields})
-    kd = kinds(want_names, dict(described))
-    if ks != kd:
-        return f"types {list(zip(have_names, ks, kd))}"
+    have_types = {f.name: SQL_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    wrong = {n: (have_types[n], t) for n, t in described if have_types[n] != t}
+    if wrong:
+        return f"types {wrong}"
     if len(have) != len(want):
         return f"{len(have)} rows and {len(want)}"
     for a, b in zip(have, want):

@@ -22,13 +22,14 @@ def test_typed_xml_to_json_in_the_jvm(frame):
 
 
 def test_json_to_xml_rules(frame):
-    docs = ['{"a": [1, null], "b": {"c": true}}', '{"only": {"x": "<&>"}}', "[1, 2]", "{"]
+    docs = ['{"a": [1, null], "b": {"c": true}}', '{"only": {"x": "<&>"}}', "[1, 2]", "{", '{"a b": 1, "c": 2}']
     got = frame([(d,) for d in docs], "j string").select(markup.json_to_xml(F.col("j")).alias("x")).select("x.*").collect()
     body = [r.xml.split("\n", 1)[1] if r.xml else None for r in got]
     assert body[0] == "<root><a><item>1</item><item>None</item></a><b><c>True</c></b></root>"
     assert body[1] == "<only><x>&lt;&amp;&gt;</x></only>"
     assert body[2] == "<root><item>1</item><item>2</item></root>"
     assert body[3] is None and got[3].error
+    assert body[4] is None and "a b" in got[4].error
 
 
 def test_typed_record_to_xml(frame):
