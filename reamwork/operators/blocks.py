@@ -105,25 +105,27 @@ def _run_text(runs: Column, fmt: str) -> Column:
     return F.array_join(F.transform(runs, one), "")
 
 
-def block_line(fmt: str) -> Column:
-    """The rendered line of a block row (kind, level, text, runs); null where it renders to nothing."""
-    text, kind, level = strip(F.col("text")), F.col("kind"), F.col("level").cast("string")
+def block_line(fmt: str, block: Column | None = None) -> Column:
+    """The rendered line of a block (kind, level, text, runs), given as a struct or as the columns of
+    a row; null where it renders to nothing."""
+    part = (lambda n: block[n]) if block is not None else F.col
+    text, kind, level = strip(part("text")), part("kind"), part("level").cast("string")
     if fmt == "txt":
-        return F.when(text != "", F.col("text"))
+        return F.when(text != "", part("text"))
     if fmt == "html":
         tag = F.concat(F.lit("h"), level)
         shown = html_escape(text)
         line = (
             F.when(kind == "heading", F.concat(F.lit("<"), tag, F.lit(">"), shown, F.lit("</"), tag, F.lit(">")))
-            .when(kind.isin("bullet", "number"), F.concat(F.lit("<li>"), shown, F.lit("</li>")))
-            .otherwise(F.concat(F.lit("<p>"), _run_text(F.col("runs"), fmt), F.lit("</p>")))
+            .when(kind.isin("bullet", "number", "list"), F.concat(F.lit("<li>"), shown, F.lit("</li>")))
+            .otherwise(F.concat(F.lit("<p>"), _run_text(part("runs"), fmt), F.lit("</p>")))
         )
         return F.when(text != "", line)
     line = (
-        F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), text))
+        F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), part("level")), F.lit(" "), text))
         .when(kind == "bullet", F.concat(F.lit("- "), text))
         .when(kind == "number", F.concat(F.lit("1. "), text))
-        .otherwise(_run_text(F.col("runs"), fmt))
+        .otherwise(_run_text(part("runs"), fmt))
     )
     return F.when(text == "", "").otherwise(line)
 

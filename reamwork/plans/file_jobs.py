@@ -280,6 +280,31 @@ def src13_markdown(spark, sf_dir):
     return blocks.render_blocks(office.docx_blocks(word_files(spark, sf_dir)), "md", ["path"])
 
 
+@query("src13_docx_to_text", f"""
+WITH {WORD_CTE} SELECT path, string_agg(text, chr(10) || chr(10) ORDER BY block_idx) AS text FROM word WHERE {q.not_blank('text')} GROUP BY path""")
+def src13_text(spark, sf_dir):
+    return office.docx_render(word_files(spark, sf_dir), "txt")
+
+
+@query("src13_docx_to_markdown_file", f"""
+WITH {WORD_CTE}, c AS (SELECT conv_id || '-' || turn AS path, '| conv | turn |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || conv_id || ' | ' || turn || ' |' ||
+  chr(10) AS grid FROM conversations), w AS (SELECT path, string_agg(md, chr(10) ORDER BY block_idx) AS body FROM word GROUP BY path)
+SELECT path, body || chr(10) || grid AS text FROM w JOIN c USING (path)""")
+def src13_markdown_file(spark, sf_dir):
+    return office.docx_render(word_files(spark, sf_dir), "md")
+
+
+@query("src13_docx_to_html", f"""
+WITH {WORD_CTE}, h AS (SELECT path, block_idx, CASE kind WHEN 'heading' THEN '<h1>' || {q.escape('text')} || '</h1>' WHEN 'bullet' THEN '<li>' || {q.escape('text')} || '</li>'
+  ELSE '<p><strong>' || {q.escape('substr(text, 1, 5)')} || '</strong>' || {q.escape('substr(text, 6)')} || '</p>' END AS line FROM word WHERE {q.not_blank('text')}),
+w AS (SELECT path, string_agg(line, chr(10) ORDER BY block_idx) AS body FROM h GROUP BY path),
+c AS (SELECT conv_id || '-' || turn AS path, '<table border=''1''><tbody><tr><th>conv</th><th>turn</th></tr><tr><td>' || conv_id || '</td><td>' || turn ||
+  '</td></tr></tbody></table>' AS grid FROM conversations)
+SELECT path, body || chr(10) || grid AS text FROM w JOIN c USING (path)""")
+def src13_html(spark, sf_dir):
+    return office.docx_render(word_files(spark, sf_dir), "html")
+
+
 # ---------------------------------------------------------------------------- slide decks
 
 
@@ -324,6 +349,23 @@ def src14_render(spark, sf_dir):
     return sequence.render_slides(texts, "txt", "path")
 
 
+@query("src14_pptx_render_text", f"""
+WITH {DECK_CTE}, every AS (SELECT * FROM paras UNION ALL SELECT DISTINCT path, slide_no, 0, '--- Slide ' || slide_no || ' ---' FROM paras)
+SELECT path, max(slide_no)::BIGINT AS slides, string_agg(text, chr(10) ORDER BY slide_no, p) AS text FROM every GROUP BY path""")
+def src14_file_text(spark, sf_dir):
+    return office.pptx_render(decks(spark, sf_dir), "txt")
+
+
+@query("src14_pptx_render_html", f"""
+WITH {DECK_CTE}, n AS (SELECT DISTINCT path, slide_no FROM paras), every AS (
+  SELECT path, slide_no, p, '<p>' || {q.escape('text')} || '</p>' AS line FROM paras
+  UNION ALL SELECT path, slide_no, 0, '<section id="slide-' || slide_no || '"><h2>Slide ' || slide_no || '</h2>' FROM n
+  UNION ALL SELECT path, slide_no, 9, '</section>' FROM n)
+SELECT path, max(slide_no)::BIGINT AS slides, string_agg(line, chr(10) ORDER BY slide_no, p) AS text FROM every GROUP BY path""")
+def src14_file_html(spark, sf_dir):
+    return office.pptx_render(decks(spark, sf_dir), "html")
+
+
 # ---------------------------------------------------------------------------- e-books
 
 

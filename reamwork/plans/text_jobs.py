@@ -267,6 +267,20 @@ def fn11(spark, sf_dir):
     return source.select("c_custkey", markup.xml_to_json(F.col("xml"))["json"].alias("json"))
 
 
+# The same records with a known shape stay inside the JVM.
+@query("fn11_typed_xml_to_json", """
+SELECT c_custkey, '{"customer":{"id":"' || c_custkey || '","tag":["' || c_mktsegment || '","00' || c_nationkey || '"],"name":{"lang":"en","_text":"' || c_name || '"}}}' AS json
+FROM customer""")
+def fn11_typed(spark, sf_dir):
+    xml = F.expr(
+        "concat('<x:customer xmlns:x=\"urn:c\" id=\"', c_custkey, '\"><tag>', c_mktsegment, '</tag><tag>00', c_nationkey, "
+        "'</tag><name lang=\"en\">', c_name, '</name></x:customer>')"
+    )
+    source = spread(table(spark, sf_dir, "customer")).select("c_custkey", xml.alias("xml"))
+    shape = "id string, tag array<string>, name struct<lang string, _text string>"
+    return source.select("c_custkey", markup.typed_xml_to_json(F.col("xml"), shape).alias("json"))
+
+
 @query("fn12_json_to_xml", f"""
 SELECT event_id, {q.lit(markup.XML_DECLARATION)} || '<root><id>' || event_id || '</id><user><type>' || event_type ||
  '</type><k>' || json_extract_string(props, '$.k') || '</k></user><flags><item>True</item><item>None</item></flags></root>' AS xml FROM events""")

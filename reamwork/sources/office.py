@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.markup import chapter_to_markdown, html_escape, html_to_text
 from ..functions.names import stem
+from ..functions.text import html_escape as text_escape
 from ..functions.text import strip
+from ..operators.blocks import block_line
 from ..operators.ordered import PART_ROWS, glue_framed, glue_parts, unnest
 from .archives import archive_texts
 
@@ -114,6 +116,7 @@ _RUNS = "r array<struct<rPr struct<b struct<_val string>, i struct<_val string>>
 # Each scan asks for its half of the document only.
 _PARAGRAPHS = f"body struct<p array<struct<pPr struct<pStyle struct<_val string>>, {_RUNS}>>>"
 _TABLES = f"body struct<tbl array<struct<tr array<struct<tc array<struct<p array<struct<{_RUNS}>>>>>>>>>"
+_WHOLE = f"{_PARAGRAPHS[:-1]}, {_TABLES.removeprefix('body struct<')}"
 _STYLES = "style array<struct<_styleId string, name struct<_val string>>>"
 _OFF = ("0", "false", "off")
 
@@ -142,18 +145,16 @@ def _word_body(schema: str) -> Column:
     return F.from_xml(_part("word/document.xml"), schema, _XML)["body"]
 
 
-def docx_blocks(files: DataFrame) -> DataFrame:
-    """Paragraphs as typed blocks (path, block_idx, kind, level, text, runs), blank ones included.
-
-    The style name decides: headings 1 to 3, bullet or numbered lists, else a paragraph.
-    """
-    books = archive_texts(files, r"^word/(document|styles)\.xml$").filter("error is null")
-    styles = F.map_from_entries(F.transform(
+def _word_styles() -> Column:
+    return F.map_from_entries(F.transform(
         F.coalesce(F.from_xml(_part("word/styles.xml"), _STYLES, _XML)["style"], F.array()),
         lambda s: F.struct(s["_styleId"], F.lower(s["name"]["_val"])),
     ))
-    paras = unnest(books, ["path", styles.alias("styles")], _word_body(_PARAGRAPHS)["p"], "__i", "p")
-    style_id = F.col("p.pPr.pStyle._val")
+
+
+def _word_block(p: Column) -> Column:
+    """A paragraph as STRUCT<kind, level, runs>; its style name comes from the column ``styles``."""
+    style_id = p["pPr"]["pStyle"]["_val"]
     by_id = F.lower(F.regexp_replace(style_id, r"(?<=[a-z])(?=[A-Z0-9])", " "))
     style = F.coalesce(F.try_element_at("styles", style_id), by_id, F.lit("normal"))
     level = F.regexp_extract(style, "heading ([123])", 1).try_cast("int")
@@ -162,10 +163,63 @@ def docx_blocks(files: DataFrame) -> DataFrame:
         .when(style.contains("list number"), "number").when(style.contains("list"), "list")
         .otherwise("paragraph")
     )
-    return paras.select(
-        "path", (F.col("__i") + 1).cast("bigint").alias("block_idx"), kind.alias("kind"),
-        F.coalesce(level, F.lit(0)).alias("level"), _run_structs(F.col("p")).alias("runs"),
-    ).withColumn("text", _joined(F.col("runs")))
+    return F.struct(kind.alias("kind"), F.coalesce(level, F.lit(0)).alias("level"), _run_structs(p).alias("runs"))
+
+
+def docx_blocks(files: DataFrame) -> DataFrame:
+    """Paragraphs as typed blocks (path, block_idx, kind, level, text, runs), blank ones included.
+
+    The style name decides: headings 1 to 3, bullet or numbered lists, else a paragraph.
+    """
+    books = archive_texts(files, r"^word/(document|styles)\.xml$").filter("error is null")
+    paras = unnest(books, ["path", _word_styles().alias("styles")], _word_body(_PARAGRAPHS)["p"], "__i", "p")
+    made = paras.select("path", (F.col("__i") + 1).cast("bigint").alias("block_idx"), _word_block(F.col("p")).alias("b"))
+    return made.select("path", "block_idx", "b.kind", "b.level", "b.runs").withColumn("text", _joined(F.col("runs")))
+
+
+def _word_table_lines(table: Column, fmt: str) -> Column:
+    """Lines of one table: a single HTML line, or a Markdown table and an empty line."""
+    def cell_text(c: Column) -> Column:
+        return strip(F.array_join(F.transform(c["p"], lambda p: _joined(_run_structs(p))), "\n"))
+
+    rows = F.filter(F.coalesce(table["tr"], F.array()), lambda r: r["tc"].isNotNull())
+    if fmt == "html":
+        def row(r: Column, i: Column) -> Column:
+            tag = F.when(i == 0, "th").otherwise("td")
+            cells = F.transform(r["tc"], lambda c: F.concat(
+                F.lit("<"), tag, F.lit(">"), text_escape(cell_text(c)), F.lit("</"), tag, F.lit(">")))
+            return F.concat(F.lit("<tr>"), F.array_join(cells, ""), F.lit("</tr>"))
+
+        body = F.array_join(F.transform(rows, row), "")
+        return F.array(F.concat(F.lit("<table border='1'><tbody>"), body, F.lit("</tbody></table>")))
+
+    def line(r: Column, i: Column) -> Column:
+        cells = F.concat(F.lit("| "), F.array_join(F.transform(r["tc"], cell_text), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("\n| "), F.array_join(F.transform(r["tc"], lambda c: F.lit("---")), " | "), F.lit(" |"))
+        return F.when(i == 0, F.concat(cells, rule)).otherwise(cells)
+
+    lines = F.transform(rows, line)
+    return F.when(F.size(rows) > 0, F.concat(lines, F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
+
+
+def docx_render(files: DataFrame, fmt: str) -> DataFrame:
+    """Word files as HTML, Markdown or plain text (``txt``, without tables): (path, text), one row per
+    file and no shuffle. All paragraphs come first and the tables after them."""
+    books = archive_texts(files, r"^word/(document|styles)\.xml$").filter("error is null")
+    opened = books.select("path", _word_styles().alias("styles"), _word_body(_WHOLE).alias("body"))
+    # A column of its own, so that rendering does not parse the paragraphs again for each use.
+    parsed = opened.select("path", "body", F.transform(
+        F.coalesce("body.p", F.array()), _word_block).alias("blocks"))
+
+    def line(b: Column) -> Column:
+        whole = F.struct(b["kind"].alias("kind"), b["level"].alias("level"), _joined(b["runs"]).alias("text"), b["runs"].alias("runs"))
+        return block_line(fmt, whole)
+
+    lines = F.transform("blocks", line)
+    if fmt != "txt":
+        tables = F.transform(F.coalesce("body.tbl", F.array()), lambda t: _word_table_lines(t, fmt))
+        lines = F.concat(lines, F.flatten(tables))
+    return parsed.select("path", F.array_join(lines, "\n\n" if fmt == "txt" else "\n").alias("text"))
 
 
 def docx_cells(files: DataFrame) -> DataFrame:
@@ -185,12 +239,8 @@ _SLIDE = (
 )
 
 
-def pptx_text(files: DataFrame) -> DataFrame:
-    """Paragraphs of slide decks: (path, slide_no, para_idx, text).
-
-    Slides come in presentation order. Blank paragraphs are dropped; a slide without text keeps one
-    row with null text, so that slides can be counted.
-    """
+def _deck_parts(files: DataFrame) -> DataFrame:
+    """(path, parts, slides): the names of the slides of each deck in presentation order."""
     wanted = r"^ppt/(presentation\.xml|_rels/presentation\.xml\.rels|slides/slide\d+\.xml)$"
     decks = archive_texts(files, wanted).filter("error is null")
     ids = F.regexp_extract_all(
@@ -204,8 +254,12 @@ def pptx_text(files: DataFrame) -> DataFrame:
     in_order = F.when(
         F.size(ids) > 0, F.transform(ids, lambda i: F.try_element_at("__rels", i))
     ).otherwise(F.transform(numbered, lambda s: s["name"]))
-    slides = unnest(decks.withColumn("__rels", rels), ["path", "parts"], in_order, "__i", "name")
-    shapes = F.from_xml(F.try_element_at("parts", F.col("name")), _SLIDE, _XML)["cSld"]["spTree"]["sp"]
+    return decks.withColumn("__rels", rels).select("path", "parts", in_order.alias("slides"))
+
+
+def _slide_texts(name: Column) -> Column:
+    """Non-blank paragraphs of one slide."""
+    shapes = F.from_xml(F.try_element_at("parts", name), _SLIDE, _XML)["cSld"]["spTree"]["sp"]
     texts = F.flatten(F.transform(
         F.filter(F.coalesce(shapes, F.array()), lambda s: s["txBody"]["p"].isNotNull()),
         lambda s: F.transform(
@@ -213,14 +267,43 @@ def pptx_text(files: DataFrame) -> DataFrame:
             lambda p: strip(F.array_join(F.transform(F.coalesce(p["r"], F.array()), lambda r: r["t"]), "")),
         ),
     ))
-    kept = F.filter(texts, lambda t: t != "")
+    return F.filter(texts, lambda t: t != "")
+
+
+def pptx_text(files: DataFrame) -> DataFrame:
+    """Paragraphs of slide decks: (path, slide_no, para_idx, text).
+
+    Slides come in presentation order. Blank paragraphs are dropped; a slide without text keeps one
+    row with null text, so that slides can be counted.
+    """
+    slides = unnest(_deck_parts(files), ["path", "parts"], "slides", "__i", "name")
     return slides.select(
-        "path", (F.col("__i") + 1).cast("bigint").alias("slide_no"), F.posexplode_outer(kept).alias("__p", "text")
+        "path", (F.col("__i") + 1).cast("bigint").alias("slide_no"),
+        F.posexplode_outer(_slide_texts(F.col("name"))).alias("__p", "text"),
     ).select(
         "path", "slide_no", (F.coalesce("__p", F.lit(0)) + 1).cast("bigint").alias("para_idx"), "text"
     )
 
 
+def pptx_render(files: DataFrame, fmt: str = "txt") -> DataFrame:
+    """Slide decks as text or HTML sections: (path, slides, text), one row per deck and no shuffle."""
+
+    def section(name: Column, i: Column) -> Column:
+        no, texts = (i + 1).cast("string"), _slide_texts(name)
+        if fmt == "html":
+            head = F.concat(F.lit('<section id="slide-'), no, F.lit('"><h2>Slide '), no, F.lit("</h2>"))
+            paras = F.transform(texts, lambda t: F.concat(F.lit("<p>"), text_escape(t), F.lit("</p>")))
+            return F.array_join(F.concat(F.array(head), paras, F.array(F.lit("</section>"))), "\n")
+        head = F.concat(F.lit("--- Slide "), no, F.lit(" ---"))
+        return F.array_join(F.concat(F.array(head), texts), "\n")
+
+    decks = _deck_parts(files)
+    return decks.select(
+        "path", F.size("slides").cast("bigint").alias("slides"),
+        F.array_join(F.transform("slides", section), "\n").alias("text"),
+    )
+
+
 # ---------------------------------------------------------------------------- e-books
 
 _PACKAGE = (
