@@ -207,19 +207,15 @@ def docx_render(files: DataFrame, fmt: str) -> DataFrame:
     file and no shuffle. All paragraphs come first and the tables after them."""
     books = archive_texts(files, r"^word/(document|styles)\.xml$").filter("error is null")
     opened = books.select("path", _word_styles().alias("styles"), _word_body(_WHOLE).alias("body"))
-    # A column of its own, so that rendering does not parse the paragraphs again for each use.
-    parsed = opened.select("path", "body", F.transform(
-        F.coalesce("body.p", F.array()), _word_block).alias("blocks"))
-
-    def line(b: Column) -> Column:
-        whole = F.struct(b["kind"].alias("kind"), b["level"].alias("level"), _joined(b["runs"]).alias("text"), b["runs"].alias("runs"))
-        return block_line(fmt, whole)
-
-    lines = F.transform("blocks", line)
+    # Two passes over the paragraphs: what the second uses more than once, the first has computed.
+    blocks = F.transform(F.coalesce("body.p", F.array()), _word_block)
+    with_text = F.transform(blocks, lambda b: F.struct(
+        b["kind"].alias("kind"), b["level"].alias("level"), _joined(b["runs"]).alias("text"), b["runs"].alias("runs")))
+    lines = F.transform(with_text, lambda b: block_line(fmt, b))
     if fmt != "txt":
         tables = F.transform(F.coalesce("body.tbl", F.array()), lambda t: _word_table_lines(t, fmt))
         lines = F.concat(lines, F.flatten(tables))
-    return parsed.select("path", F.array_join(lines, "\n\n" if fmt == "txt" else "\n").alias("text"))
+    return opened.select("path", F.array_join(lines, "\n\n" if fmt == "txt" else "\n").alias("text"))
 
 
 def docx_cells(files: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ ENV = "# c\n\nA=b=c\n  Q = \"x 'y'\"  \nS='z'\nA=last\nno line\nE=\n\"K\"='\"v\"
 
 def test_env_last_line_wins(frame):
     got = configs.read_env(frame([("f", ENV)], "path string, value string"), ["path"]).collect()
-    assert {r.key: r.value for r in got} == {"A": "last", "Q": "x 'y", "S": "z", "E": "", '"K"': "v"}
+    assert {r.key: r.value for r in got} == {"A": "last", "Q": "x 'y", "S": "z", "E": "", '"K"': '"v"'}
 
 
 @pytest.mark.parametrize("limit", [3, 100_000])
