@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_dir
-from . import bpe_codec, decontaminate, html_extract, licenses, line_dedup, lm_scoring, quality_rules, token_counts, warc
+from . import bpe_codec, decontaminate, html_extract, jaccard_join, licenses, line_dedup, lm_scoring, quality_rules, token_counts, warc
 from .common import table
 
 #: Vocabulary files of public tokenizers, on every machine.
@@ -25,6 +25,10 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +61,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JOBS: dict[str, Job] = {
     f.__name__: f for f in (
-        op1_license_scan, op2_bpe_codec, op4_decontaminate, op5_line_dedup, op6_token_counts, op7_html_extract,
+        op1_license_scan, op2_bpe_codec, op3_jaccard_join, op4_decontaminate, op5_line_dedup, op6_token_counts, op7_html_extract,
         op8_warc, op9_quality_rules, op10_lm_score)
 }
 SQL: dict[str, str] = {
