@@ -47,7 +47,7 @@ WINDOW = 32
 BATCH = 64
 SHARD_WINDOWS = 8_192
 ROUNDS = 2
-RATE = 0.08
+RATE = 0.1
 SEED = 11
 END = b""  # no word is empty
 OUTPUT_ROWS = 8_192
