@@ -7,13 +7,14 @@ Jaccard similarity reaches the threshold; the result names the component of ever
 2. A linking pair shares a token among the first ``n - ceil(t n) + 1`` of both sets in any order common to all.
    The order is: tokens that are frequent in a sample of the sets last, else by hash. The sample only makes
    the order good; the result does not depend on it. Each shared token is the root of a signature tree.
-3. First links: every set is held against the most often met least member of its roots. Verified links make
+3. First links: every set is held against the most often met least member of its roots, if they meet often enough. Verified links make
    components, so that near copies by the thousand are one node from then on.
 4. Signature trees: below a root stand nodes, the components met there, each with the OR of its
    members' token bitmaps, their range of sizes and their greatest slack (tokens minus bits); below a node its members, with their
    own. Nodes, then members of the node pairs that are left, are traversed in pairs; a pair goes on only
    if its sizes can meet the threshold and the bits both have, plus the lesser slack, reach the
    overlap that the least sizes need. Pairs inside one component need no look. A node is a partial aggregate, however many members it has.
+   A pair of members found under several roots is one pair, with the number of roots: the first tokens they share bound their overlap.
 5. Pairs of members that are left are verified on the sets themselves; their links join components.
 
 No link between different sets is lost: a pruned pair can't reach the threshold, and every other pair that shares a root
@@ -178,16 +179,25 @@ def _bound(a: str, b: str, percent: int) -> Column:
     )
 
 
+def _enough(times: str, a: str, b: str, percent: int) -> Column:
+    """Whether two sets that share so many of their first tokens can link: where the first tokens of one of them
+    end, it has only its other tokens left to share."""
+    rest = F.greatest(*[F.ceil(F.col(f"{x}.low") * percent / 100) - 1 for x in (a, b)])
+    return (F.col(times) + rest) * (100 + percent) >= (F.col(f"{a}.low") + F.col(f"{b}.low")) * percent
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int, label: str) -> DataFrame:
     """The pairs ``a, b`` whose sets link."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = rows.join(_near(wanted), "id", "left_semi")
-    sets = settle(_sets(texts, size).dropDuplicates(["id"]), f"{label}-sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b")
+    sets = settle(_sets(texts, size), f"{label}-sets")
+    of_a = sets.join(_near(pairs.select(F.col("a").alias("id")).distinct()), "id", "left_semi")
+    of_b = sets.join(_near(pairs.select(F.col("b").alias("id")).distinct()), "id", "left_semi")
+    left = pairs.join(of_a.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a")
+    both = left.join(of_b.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
     return both.select("a", "b", shared.alias("i"), (F.size("s") + F.size("t")).alias("sum")).filter(
-        F.col("i") * (100 + percent) >= F.col("sum") * percent).select("a", "b")
+        F.col("i") * (100 + percent) >= F.col("sum") * percent).select("a", "b").distinct()
 
 
 def jaccard_components(
@@ -210,11 +220,11 @@ def jaccard_components(
 
     # First links.
     often = met.filter("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("times"))
-    first = often.groupBy("id").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("least"))
-    first = first.select(F.col("id").alias("a"), F.col("least").alias("b"))
+    first = often.groupBy("id").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("least"), F.max("times").alias("times"))
+    first = first.select(F.col("id").alias("a"), F.col("least").alias("b"), "times")
     pairs = settle(
         first.join(leaves.alias("x"), F.col("a") == F.col("x.id")).join(leaves.alias("y"), F.col("b") == F.col("y.id"))
-        .filter(_bound("x", "y", percent)).select("a", "b"), "join-first")
+        .filter(_bound("x", "y", percent) & _enough("times", "x", "y", percent)).select("a", "b"), "join-first")
     near = components(_verified(pairs, rows, size, percent, "join-first"), "join-near")
 
     # Signature trees over the components that meet under a root.
@@ -231,8 +241,9 @@ def jaccard_components(
     left = open_nodes.alias("o").join(x, (F.col("o.token") == F.col("x.token")) & (F.col("o.p") == F.col("x.node"))).select("o.q", "x.*")
     found = left.alias("x").join(
         y, (F.col("x.token") == F.col("y.token")) & (F.col("x.q") == F.col("y.node")) & _bound("x", "y", percent),
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.node").alias("p"), F.col("y.node").alias("q")).distinct()
-    pairs = settle(found, "join-pairs")
+    ).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.node").alias("p"), F.col("y.node").alias("q")).agg(
+        F.count(F.lit(1)).alias("times"), F.first(F.struct("x.low")).alias("x"), F.first(F.struct("y.low")).alias("y"))
+    pairs = settle(found.filter(_enough("times", "x", "y", percent)).select("a", "b", "p", "q"), "join-pairs")
     links = _verified(pairs.select("a", "b"), rows, size, percent, "join-pairs").join(pairs, ["a", "b"])
     far = components(links.select(F.col("p").alias("a"), F.col("q").alias("b")), "join-far")
 
