@@ -43,7 +43,7 @@ BITMAP_LONGS = 16
 #: One set in so many is looked at for frequent tokens; a token is frequent from so many sets of these on,
 #: and the most frequent ones, so many at most, go last in the order.
 SAMPLE = 16
-FREQUENT = 8
+FREQUENT = 2
 FREQUENT_TOKENS = 1_000_000
 BROADCAST_ROWS = 2_000_000
 WORD_CACHE = 400_000
@@ -115,10 +115,10 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
 
 
 def frequent_tokens(rows: DataFrame, size: int) -> np.ndarray:
-    """Tokens of many sets in a sample by text hash, for the order only."""
+    """Tokens of several texts in a sample by text hash, for the order only."""
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    distinct = _sets(sample, size).groupBy(F.xxhash64("tokens").alias("h")).agg(F.first("tokens").alias("tokens"))
-    counted = distinct.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    distinct = sample.groupBy("text").agg(F.min("id").alias("id")).select("id", "text")
+    counted = _sets(distinct, size).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     top = counted.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).select("token")
     return np.sort(top.toPandas()["token"].to_numpy(np.int64))
 
