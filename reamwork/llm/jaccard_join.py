@@ -7,14 +7,14 @@ Jaccard similarity reaches the threshold; the result names the component of ever
 2. A linking pair shares a token among the first ``n - ceil(t n) + 1`` of both sets in any order common to all.
    The order is: tokens that are frequent in a sample of the sets last, else by hash. The sample only makes
    the order good; the result does not depend on it. Each shared token is the root of a signature tree.
-3. First links: every set is held against the most often met least member of its roots, if they meet often enough. Verified links make
-   components, so that near copies by the thousand are one node from then on.
-4. Signature trees: below a root stand nodes, the components met there, each with the OR of its
-   members' token bitmaps, their range of sizes and their greatest slack (tokens minus bits); below a node its members, with their
-   own. Nodes, then members of the node pairs that are left, are traversed in pairs; a pair goes on only
-   if its sizes can meet the threshold and the bits both have, plus the lesser slack, reach the
-   overlap that the least sizes need. Pairs inside one component need no look. A node is a partial aggregate, however many members it has.
-   A pair of members found under several roots is one pair, with the number of roots: the first tokens they share bound their overlap.
+3. First links, in rounds: every set is held against that set at an end of its roots with which it shares most of them,
+   if it shares enough. Verified links make components, so that near copies by the thousand are one node from then on.
+4. Signature trees: below a root stand nodes, the components met there, each with the OR of its members' token bitmaps, their
+   range of sizes and their greatest slack (tokens minus bits); below a node its members, with their own. The trees of all
+   roots are traversed together, nodes with nodes, then the members of the node pairs that are left. A pair goes on only if its sizes can
+   meet the threshold, the bits both have, plus the lesser slack, reach the overlap that the least sizes need,
+   and so does what the number of their common roots allows. Pairs inside one component need no look. A node is a
+   partial aggregate, however many members it has.
 5. Pairs of members that are left are verified on the sets themselves; their links join components.
 
 No link between different sets is lost: a pruned pair can't reach the threshold, and every other pair that shares a root
@@ -46,6 +46,8 @@ SAMPLE = 16
 FREQUENT = 2
 FREQUENT_TOKENS = 1_000_000
 BROADCAST_ROWS = 2_000_000
+#: Rounds of first links. They only save work: what they leave open, the trees decide.
+FIRST_ROUNDS = 2
 WORD_CACHE = 400_000
 
 BITS = [f"b{i}" for i in range(BITMAP_LONGS)]
@@ -180,10 +182,40 @@ def _bound(a: str, b: str, percent: int) -> Column:
 
 
 def _enough(times: str, a: str, b: str, percent: int) -> Column:
-    """Whether two sets that share so many of their first tokens can link: where the first tokens of one of them
-    end, it has only its other tokens left to share."""
-    rest = F.greatest(*[F.ceil(F.col(f"{x}.low") * percent / 100) - 1 for x in (a, b)])
-    return (F.col(times) + rest) * (100 + percent) >= (F.col(f"{a}.low") + F.col(f"{b}.low")) * percent
+    """Whether two nodes can hold a linking pair if their members share so many first tokens at most.
+
+    Where the first tokens of one of two sets end, it has only its other tokens left to share. That bound is the widest for
+    the greatest size of one node and the least size of the other that can still link with it.
+    """
+    def widest(large: str, small: str) -> Column:
+        n = F.col(f"{large}.high")
+        m = F.least(n, F.greatest(F.col(f"{small}.low"), F.ceil(n * percent / 100)))
+        return (F.col(times) + F.ceil(n * percent / 100) - 1) * (100 + percent) >= (n + m) * percent
+
+    return widest(a, b) | widest(b, a)
+
+
+def _placed(met: DataFrame, near: DataFrame | None) -> DataFrame:
+    """``token, id, node``: the component of every member of a root."""
+    if near is None:
+        return met.select("token", "id", F.col("id").alias("node"))
+    return met.join(near.withColumnRenamed("v", "id"), "id", "left").select("token", "id", F.coalesce("c", "id").alias("node"))
+
+
+def _first_pairs(met: DataFrame, near: DataFrame | None, leaves: DataFrame, percent: int, label: str) -> DataFrame:
+    """For every set the other with which it shares most roots, of those that stand at the ends of a root:
+    the member of its least component and that of its greatest."""
+    placed = _placed(met, near)
+    ends = placed.groupBy("token").agg(
+        F.min(F.struct("node", "id")).alias("low"), F.max(F.struct("node", "id")).alias("high")).filter("low.node <> high.node")
+    other = F.when(F.col("node") == F.col("low.node"), F.col("high.id")).otherwise(F.col("low.id"))
+    often = placed.join(ends, "token").select("id", other.alias("other")).groupBy("id", "other").agg(F.count(F.lit(1)).alias("times"))
+    best = often.groupBy("id").agg(
+        F.max_by("other", F.struct("times", -F.col("other"))).alias("other"), F.max("times").alias("times"))
+    pairs = best.groupBy(F.least("id", "other").alias("b"), F.greatest("id", "other").alias("a")).agg(F.max("times").alias("times"))
+    return settle(
+        pairs.join(leaves.alias("x"), F.col("a") == F.col("x.id")).join(leaves.alias("y"), F.col("b") == F.col("y.id"))
+        .filter(_bound("x", "y", percent) & _enough("times", "x", "y", percent)).select("a", "b"), label)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int, label: str) -> DataFrame:
@@ -215,35 +247,35 @@ def jaccard_components(
         (F.bit_count(F.col(b)) for b in BITS[1:]), F.bit_count(F.col(BITS[0]))))
 
     tokens = described.filter("n > 0 and id is not null").join(_near(copies), "id", "left_anti").select("id", F.explode("prefix").alias("token"))
-    roots = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least")).filter("m > 1")
-    met = settle(tokens.join(roots.select("token", "least"), "token").select("token", "id", "least"), "join-met")
+    roots = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
+    met = settle(tokens.join(roots, "token").select("token", "id"), "join-met")
 
-    # First links.
-    often = met.filter("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("times"))
-    first = often.groupBy("id").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("least"), F.max("times").alias("times"))
-    first = first.select(F.col("id").alias("a"), F.col("least").alias("b"), "times")
-    pairs = settle(
-        first.join(leaves.alias("x"), F.col("a") == F.col("x.id")).join(leaves.alias("y"), F.col("b") == F.col("y.id"))
-        .filter(_bound("x", "y", percent) & _enough("times", "x", "y", percent)).select("a", "b"), "join-first")
-    near = components(_verified(pairs, rows, size, percent, "join-first"), "join-near")
+    near = None
+    for k in range(FIRST_ROUNDS):
+        pairs = _first_pairs(met, near, leaves, percent, f"join-first-{k}")
+        links = _verified(pairs, rows, size, percent, f"join-first-{k}")
+        links = settle(links if near is None else links.union(near.filter("v <> c").select(F.col("v").alias("a"), F.col("c").alias("b"))), f"join-links-{k}")
+        near = components(links, f"join-near-{k}")
 
     # Signature trees over the components that meet under a root.
-    placed = met.join(near.withColumnRenamed("v", "id"), "id", "left").select("token", "id", F.coalesce("c", "id").alias("node"))
+    placed = _placed(met, near)
     mixed = placed.groupBy("token").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p <> q").select("token")
-    members = settle(placed.join(mixed, "token").join(leaves, "id"), "join-members")
-    nodes = settle(members.groupBy("token", "node").agg(
+    members = settle(placed.join(mixed, "token").select("token", "node", "id"), "join-members")
+    nodes = settle(members.select("node", "id").distinct().join(leaves, "id").groupBy("node").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"),
         *[F.bit_or(b).alias(b) for b in BITS]), "join-nodes")
-    a, b = nodes.alias("a"), nodes.alias("b")
-    open_nodes = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & _bound("a", "b", percent)).select(
-        F.col("a.token").alias("token"), F.col("a.node").alias("p"), F.col("b.node").alias("q"))
-    x, y = members.alias("x"), members.alias("y")
-    left = open_nodes.alias("o").join(x, (F.col("o.token") == F.col("x.token")) & (F.col("o.p") == F.col("x.node"))).select("o.q", "x.*")
-    found = left.alias("x").join(
-        y, (F.col("x.token") == F.col("y.token")) & (F.col("x.q") == F.col("y.node")) & _bound("x", "y", percent),
-    ).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.node").alias("p"), F.col("y.node").alias("q")).agg(
-        F.count(F.lit(1)).alias("times"), F.first(F.struct("x.low")).alias("x"), F.first(F.struct("y.low")).alias("y"))
-    pairs = settle(found.filter(_enough("times", "x", "y", percent)).select("a", "b", "p", "q"), "join-pairs")
+    under = members.select("token", "node").distinct()
+    meet = under.select("token", F.col("node").alias("p")).join(under.select("token", F.col("node").alias("q")), "token").filter("p < q")
+    met_nodes = settle(meet.groupBy("p", "q").agg(F.count(F.lit(1)).alias("times")), "join-meet")
+    open_nodes = settle(
+        met_nodes.join(nodes.alias("a"), F.col("p") == F.col("a.node")).join(nodes.alias("b"), F.col("q") == F.col("b.node"))
+        .filter(_enough("times", "a", "b", percent) & _bound("a", "b", percent)).select("p", "q"), "join-open")
+    x = members.select("token", F.col("node").alias("p"), F.col("id").alias("a")).join(open_nodes, "p")
+    y = members.select("token", F.col("node").alias("q"), F.col("id").alias("b"))
+    found = x.join(y, ["token", "q"]).groupBy("a", "b", "p", "q").agg(F.count(F.lit(1)).alias("times"))
+    pairs = settle(
+        found.join(leaves.alias("x"), F.col("a") == F.col("x.id")).join(leaves.alias("y"), F.col("b") == F.col("y.id"))
+        .filter(_enough("times", "x", "y", percent) & _bound("x", "y", percent)).select("a", "b", "p", "q"), "join-pairs")
     links = _verified(pairs.select("a", "b"), rows, size, percent, "join-pairs").join(pairs, ["a", "b"])
     far = components(links.select(F.col("p").alias("a"), F.col("q").alias("b")), "join-far")
 
