@@ -27,6 +27,16 @@ def unboxed(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
     return df.select(*[replaced.get(c, field(c)).alias(c) for c in columns])
 
 
+def rows_where(df: DataFrame, condition: Column) -> DataFrame:
+    """The boxed rows for which a costly condition holds.
+
+    Not a plain filter: the optimizer pushes that below the columns it is computed from and writes their
+    expressions out again for every use, which multiplies from column to column.
+    """
+    kept = df.select(F.explode_outer(F.when(condition, F.array("row"))).alias("row"))
+    return kept.filter(F.col("row").isNotNull())
+
+
 def words(text: Column) -> Column:
     """Runs of characters other than ASCII white space; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, field, first_n, unboxed
+from .common import boxed, field, first_n, rows_where, unboxed
 
 WINDOW = 10
 GRAM = 5
@@ -140,7 +140,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, **names: str) -> DataFram
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
     """The documents without a hit, with the columns they came with."""
-    return unboxed(mark_hits(df, benchmark, **names).filter(F.size("hit") == 0), df.columns)
+    return unboxed(rows_where(mark_hits(df, benchmark, **names), F.size("hit") == 0), df.columns)
 
 
 #: DuckDB SQL over {docs} and the table benchmark, without fingerprints.

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, boxed, field, first_n, unboxed, words
+from .common import SPACE, boxed, field, first_n, rows_where, unboxed, words
 
 #: The symbols that are counted, the window of repeated passages and the base limits.
 SYMBOLS = "#*$%&|<>"
@@ -120,7 +120,7 @@ def quality_rules(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return unboxed(judge(df, text).filter("kept"), df.columns)
+    return unboxed(rows_where(judge(df, text), F.col("kept")), df.columns)
 
 
 ORACLE_SQL = r"""
