@@ -52,13 +52,18 @@ def _hashed(rows: DataFrame) -> DataFrame:
 def winnow(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``keep, h, p``: the fingerprints of the texts in ``words``, with their positions from zero.
 
-    Of equal least hashes in a window the rightmost stands; any choice finds the same hash.
+    Of equal least hashes in a window the leftmost stands; any choice finds the same hash. From window to window the place
+    of the least hash never goes back, so a fingerprint is new where it differs from the window before.
     """
     grams = _hashed(rows).select(*keep, _grams("hashes", GRAM).alias("grams"))
-    least = F.transform(first_n(F.size("grams") - F.lit(PER_WINDOW - 1)), lambda i: F.array_min(F.transform(
-        F.slice("grams", i, PER_WINDOW), lambda h, j: F.struct(h.alias("h"), (F.lit(1) - i - j).alias("minus_p")))))
-    each = grams.select(*keep, F.explode_outer(F.array_distinct(least)).alias("f")).filter(F.col("f").isNotNull())
-    return each.select(*keep, F.col("f.h").alias("h"), (-F.col("f.minus_p")).alias("p"))
+    part = lambda i: F.slice("grams", i, PER_WINDOW)
+    placed = grams.withColumn("places", F.transform(
+        first_n(F.size("grams") - F.lit(PER_WINDOW - 1)), lambda i: i.cast("bigint") + F.array_position(part(i), F.array_min(part(i))) - 2))
+    fresh = placed.withColumn("places", F.filter(
+        "places", lambda p, i: (i == 0) | (p != F.get("places", F.greatest(i - 1, F.lit(0))))))
+    each = fresh.select(*keep, F.explode_outer(F.transform("places", lambda p: F.struct(
+        F.get("grams", p.cast("int")).alias("h"), p.cast("int").alias("p")))).alias("f")).filter(F.col("f").isNotNull())
+    return each.select(*keep, "f.h", "f.p")
 
 
 def whole_grams(rows: DataFrame, keep: list[str], length: int) -> DataFrame:
