@@ -130,14 +130,17 @@ def env_entries(value: Column) -> Column:
 
 def nest_keys(
     rows: DataFrame, doc: list[str], max_keys: int = 100_000, section: str = "section",
-    key: str = "key", value: str = "value",
+    key: str = "key", value: str = "value", pos: str | None = None,
 ) -> DataFrame:
     """Tall (section, key, value) rows to one nested JSON document per file.
 
     A file of more than ``max_keys`` keys is written as several documents whose deep merge is the
     whole: keys are spread over as many parts as needed by hash, so no group grows without bound.
-    Adds ``sections`` and ``keys`` per part.
+    Of a key that a section repeats the row with the highest ``pos`` stands (without ``pos`` the greatest
+    value), by a partial aggregate. Adds ``sections`` and ``keys`` per part.
     """
+    stands = F.max(value) if pos is None else F.max_by(value, pos)
+    rows = rows.groupBy(*doc, section, key).agg(stands.alias(value))
     big = (
         rows.groupBy(*doc).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_keys)
         .select(*doc, F.ceil(F.col("__n") / (max_keys / 2)).cast("int").alias("__parts"))

@@ -23,7 +23,8 @@ def assemble_ocr(
     count = {"text_blocks": F.lit(1)}
     text = F.coalesce(F.col("text"), F.lit(""))
     if fmt == "json":
-        record = F.to_json(F.struct("text", F.round("confidence", 4).alias("confidence"), "bbox"))
+        record = F.to_json(
+            F.struct(text.alias("text"), F.round("confidence", 4).alias("confidence"), "bbox"), {"ignoreNullFields": "false"})
         out = glue_parts(blocks, keys, pos, record, ",", part_rows=part_rows, **count)
         return out.withColumn("text", F.concat(F.lit("["), F.col("text"), F.lit("]")))
     if fmt == "html":

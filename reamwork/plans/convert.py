@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,13 @@ def _documents(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return configs.parse_config_docs(files.withColumn("format", F.lit(fmt))).select("path", "json", "error")
 
 
+def _readable_types(shape: str) -> str:
+    """Types of a VARIANT as types of ``from_json``. Only types are rewritten: they stand at the start,
+    after a name's colon or after an opening bracket, so a key like ``AVOID_TAX`` stays."""
+    shape = re.sub(r"(^|: |<)OBJECT<", r"\1STRUCT<", shape)
+    return re.sub(r"(^|: |<)VOID(?=[,>]|$)", r"\1STRING", shape)
+
+
 def document_records(docs: DataFrame, schema: str | None = None) -> DataFrame:
     """Records of documents, arrays unnested and objects taken whole. Without ``schema`` the common
     shape comes from one aggregate over all records."""
@@ -52,7 +61,7 @@ def document_records(docs: DataFrame, schema: str | None = None) -> DataFrame:
     rows = parsed.select(F.explode(items).alias("record"))
     if schema is None:
         shape = rows.agg(F.schema_of_variant_agg("record").alias("s")).first()["s"]
-        schema = shape.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+        schema = _readable_types(shape)
     return rows.select(F.from_json(F.to_json("record"), schema).alias("r")).select("r.*")
 
 

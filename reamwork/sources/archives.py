@@ -113,14 +113,17 @@ def pack_manifest(packed: DataFrame, bundle: str, size: str) -> DataFrame:
     )
 
 
+PACKED_CODECS = ("uncompressed", "gzip", "zstd", "snappy", "lz4")
+
+
 def write_packed(packed: DataFrame, path: str, bundle: str, compression: str = "gzip", mode: str = "errorifexists") -> None:
     """Many small members into few compressed Parquet containers, one set per bundle.
 
     Hot bundles were given several parts by :func:`spread_bundles`, so no single task writes one.
     """
-    codec = {"": "uncompressed", "none": "uncompressed", "gz": "gzip", "xz": "zstd", "bz2": "zstd"}.get(
-        compression, compression
-    )
+    codec = {"": "uncompressed", "none": "uncompressed", "gz": "gzip"}.get(compression, compression)
+    if codec not in PACKED_CODECS:
+        raise ValueError(f"containers can't be compressed with {compression!r}, only with {', '.join(PACKED_CODECS)}")
     (
         packed.repartition(bundle, "bundle_part").write.mode(mode).option("compression", codec)
         .partitionBy(bundle).parquet(path)

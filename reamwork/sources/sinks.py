@@ -84,6 +84,9 @@ def export_tables(
     writers = {"csv": write_csv, "json": write_jsonl, "parquet": write_parquet}
     if fmt not in writers:
         raise ValueError(f"Unsupported format '{fmt}'. Choose from {sorted(writers)}")
+    for name in tables:
+        if not name or name in (".", "..") or "/" in name or "\\" in name or ":" in name:
+            raise ValueError(f"table name {name!r} can't be a folder")
     return {name: writers[fmt](df, f"{path}/{name}", mode=mode) for name, df in tables.items()}
 
 
