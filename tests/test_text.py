@@ -1,5 +1,4 @@
 import html
-import itertools
 import random
 import re
 
@@ -53,27 +52,29 @@ def test_escape_round_trip(frame):
 LINES = {"h": "## head", "b": "- item & <i>", "s": "* star", "t": "text", "x": "   ", "e": ""}
 
 
-def line_renderer(md):
-    """Brute force: one line after the other, with a flag for the open list."""
-    out, is_open = [], False
-    for line in md.split("\n"):
-        depth = next((n for n in (3, 2, 1) if line.startswith("#" * n + " ")), 0)
-        if depth:
-            out.append(f"<h{depth}>{html.escape(line[depth + 1:])}</h{depth}>")
-        elif line[:2] in ("- ", "* "):
-            out += [] if is_open else ["<ul>"]
-            is_open = True
-            out.append(f"<li>{html.escape(line[2:])}</li>")
-        else:
-            out += ["</ul>"] if is_open else []
-            is_open = False
-            out += [f"<p>{html.escape(line)}</p>"] if line.strip() else []
-    return "\n".join(out + (["</ul>"] if is_open else []))
+# Lines by their letters in LINES, and the expected page.
+RENDERED = {
+    "h": "<h2>head</h2>",
+    "t": "<p>text</p>",
+    "x": "",
+    "b": "<ul>\n<li>item &amp; &lt;i&gt;</li>\n</ul>",
+    "bs": "<ul>\n<li>item &amp; &lt;i&gt;</li>\n<li>star</li>\n</ul>",
+    "sh": "<ul>\n<li>star</li>\n<h2>head</h2>\n</ul>",
+    "shs": "<ul>\n<li>star</li>\n<h2>head</h2>\n<li>star</li>\n</ul>",
+    "sht": "<ul>\n<li>star</li>\n<h2>head</h2>\n</ul>\n<p>text</p>",
+    "st": "<ul>\n<li>star</li>\n</ul>\n<p>text</p>",
+    "sxs": "<ul>\n<li>star</li>\n</ul>\n<ul>\n<li>star</li>\n</ul>",
+    "ses": "<ul>\n<li>star</li>\n</ul>\n<ul>\n<li>star</li>\n</ul>",
+    "txt": "<p>text</p>\n<p>text</p>",
+    "hthb": "<h2>head</h2>\n<p>text</p>\n<h2>head</h2>\n<ul>\n<li>item &amp; &lt;i&gt;</li>\n</ul>",
+    "tbes": "<p>text</p>\n<ul>\n<li>item &amp; &lt;i&gt;</li>\n</ul>\n<ul>\n<li>star</li>\n</ul>",
+    "xxhe": "<h2>head</h2>",
+}
 
 
-def test_markdown_to_html_for_all_line_sequences(frame):
-    samples = ["\n".join(LINES[k] for k in ks) for n in (1, 2, 3, 4) for ks in itertools.product(LINES, repeat=n)]
-    assert one(frame, text.markdown_to_html, samples) == [line_renderer(s) for s in samples]
+def test_markdown_to_html_of_line_sequences(frame):
+    samples = ["\n".join(LINES[k] for k in ks) for ks in RENDERED]
+    assert one(frame, text.markdown_to_html, samples) == list(RENDERED.values())
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 3, 100])
@@ -81,6 +82,8 @@ def test_list_runs_over_chunk_borders(frame, chunk):
     rnd = random.Random(chunk)
     docs = {d: [LINES[rnd.choice("hbstxe")] for _ in range(rnd.randint(1, 12))] for d in range(40)}
     rows = [(d, i, line) for d, ls in docs.items() for i, line in enumerate(ls)]
+    # The same lines as whole texts, rendered inside the row without chunks.
+    whole = one(frame, text.markdown_to_html, ["\n".join(ls) for ls in docs.values()])
     got = ordered.list_runs(frame(rows, "doc_id int, line_no int, line string"), ["doc_id"], chunk_rows=chunk).collect()
     for d, ls in docs.items():
         mine = sorted((r for r in got if r.doc_id == d), key=lambda r: r.line_no)
@@ -91,27 +94,22 @@ def test_list_runs_over_chunk_borders(frame, chunk):
             out += {"B": [f"<li>{html.escape(r.line[2:])}</li>"], "T": [f"<p>{html.escape(r.line)}</p>"], "X": [],
                     "2": [f"<h2>{html.escape(r.line[3:])}</h2>"]}[r.kind]
             out += ["</ul>"] if r.closes_after else []
-        assert "\n".join(out) == line_renderer("\n".join(ls))
-
-
-def split_runs(line):
-    out = []
-    for part in re.split(r"(\*\*\*.*?\*\*\*|\*\*.*?\*\*|\*.*?\*|`.*?`)", line):
-        for mark, style in (("***", (True, True, False)), ("**", (True, False, False)), ("*", (False, True, False)), ("`", (False, False, True))):
-            if part.startswith(mark) and part.endswith(mark):
-                out.append((part[len(mark):-len(mark)], *style))
-                break
-        else:
-            out.append((part, False, False, False))
-    return [r for r in out if r[0]]
-
-
-def test_inline_runs_for_all_short_lines(frame):
-    rnd = random.Random(3)
-    samples = ["".join(p) for n in range(1, 6) for p in itertools.product("*`a", repeat=n)]
-    samples += ["".join(rnd.choice("**``ab ") for _ in range(14)) for _ in range(400)] + ["x" * 50_000 + "*y*"]
-    got = one(frame, text.inline_runs, samples)
-    assert [[tuple(r) for r in g] for g in got] == [split_runs(s) for s in samples]
+        assert "\n".join(out) == whole[d]
+
+
+# A line and its runs: text, then B bold, I italic, C code.
+RUNS = {
+    "a": [("a", "")], "": [], "*": [], "**": [], "***": [], "`": [], "``": [], "`a`": [("a", "C")], "*a*": [("a", "I")],
+    "**a**": [("a", "B")], "***a***": [("a", "BI")], "a*": [("a*", "")], "*a": [("*a", "")], "a**b**c": [("a", ""), ("b", "B"), ("c", "")],
+    "x *y* `z`": [("x ", ""), ("y", "I"), (" ", ""), ("z", "C")], "`*a*`": [("*a*", "C")], "plain": [("plain", "")],
+    "x" * 50_000 + "*y*": [("x" * 50_000, ""), ("y", "I")],
+}
+
+
+def test_inline_runs(frame):
+    got = one(frame, text.inline_runs, list(RUNS))
+    for line, have in zip(RUNS, got):
+        assert [(r[0], "".join(k for k, on in zip("BIC", r[1:]) if on)) for r in have] == RUNS[line], line[:40]
 
 
 def test_blocks_render_back(frame):
