@@ -144,14 +144,30 @@ def glue_framed(
 ) -> DataFrame:
     """:func:`glue_parts` with ``head`` right before the first text and ``tail`` right after the last.
 
-    The last position of each sequence is a partial aggregate that is joined back. A null text still
-    lets head and tail stand.
+    The first position is the lowest that the sequence has, so a missing first row costs no head. Head
+    and tail of a sequence come from one small aggregate row each, which goes to the parts of these
+    positions along with the texts; no text is joined. They stand even where all texts are null.
     """
-    last = df.groupBy(*keys).agg(F.max(pos).alias("__last"))
-    begins, ends = F.when(F.col(pos) == first, head), F.when(F.col(pos) == F.col("__last"), tail)
-    framed = F.concat(F.coalesce(begins, F.lit("")), F.coalesce(text, F.lit("")), F.coalesce(ends, F.lit("")))
-    kept = F.when(text.isNotNull() | begins.isNotNull() | ends.isNotNull(), framed)
-    return glue_parts(df.join(last, keys), keys, pos, kept, joiner, out, part_rows, first, **more)
+    ends = df.select(*keys, F.col(pos).alias("__pos"), head.alias("__head"), tail.alias("__tail")).groupBy(*keys).agg(
+        F.min_by("__head", "__pos").alias("__head"), F.max_by("__tail", "__pos").alias("__tail"),
+        F.min("__pos").alias("__low"), F.max("__pos").alias("__high"))
+    none = F.lit(None).cast("string")
+    # both from one pass over the aggregate
+    frame = ends.select(*keys, F.inline(F.array(
+        F.struct(F.col("__low").alias("__pos"), F.col("__head").alias("__head"), none.alias("__tail")),
+        F.struct(F.col("__high").alias("__pos"), none.alias("__head"), F.col("__tail").alias("__tail")))))
+    rows = df.select(*keys, F.col(pos).alias("__pos"), text.alias("__text"), *[c.alias(f"__{n}") for n, c in more.items()])
+    every = rows.unionByName(frame, allowMissingColumns=True)
+    part = chunk_of(F.col("__pos") - F.lit(first), part_rows)
+    blank = F.lit("")
+    return every.groupBy(*keys, part.alias("part_no")).agg(
+        F.concat(F.coalesce(F.max("__head"), blank), F.coalesce(_in_order(joiner), blank), F.coalesce(F.max("__tail"), blank)).alias(out),
+        *[F.sum(f"__{n}").alias(n) for n in more])
+
+
+def _in_order(joiner: str) -> Column:
+    quoted = joiner.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return F.expr(f"listagg(__text, '{quoted}') within group (order by __pos)")
 
 
 def glue_parts(
@@ -167,11 +183,9 @@ def glue_parts(
     """
     text = F.col(text) if isinstance(text, str) else text
     part = chunk_of(F.col(pos) - F.lit(first), part_rows)
-    quoted = joiner.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-    glued = F.expr(f"listagg(__text, '{quoted}') within group (order by __pos)")
     return (
         df.select(*keys, part.alias("part_no"), F.col(pos).alias("__pos"), text.alias("__text"),
                   *[c.alias(f"__{n}") for n, c in more.items()])
         .groupBy(*keys, "part_no")
-        .agg(glued.alias(out), *[F.sum(f"__{n}").alias(n) for n in more])
+        .agg(_in_order(joiner).alias(out), *[F.sum(f"__{n}").alias(n) for n in more])
     )

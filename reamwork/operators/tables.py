@@ -49,11 +49,10 @@ def to_markdown_table(
     df: DataFrame, group: list[str], pos: str, columns: list[str], null_text: str = "nan",
     first: int = 1, part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """One Markdown table per group, in parts; the row at position ``first`` brings the header."""
-    line = markdown_rows(df, columns, null_text)
+    """One Markdown table per group, in parts; the header goes before the row of the lowest position."""
     head = F.lit(markdown_header(columns) + "\n")
-    text = F.when(F.col(pos) == first, F.concat(head, line)).otherwise(line)
-    return glue_parts(df, group, pos, text, "\n", "markdown", part_rows, first, rows=F.lit(1))
+    line = markdown_rows(df, columns, null_text)
+    return glue_framed(df, group, pos, line, head, F.lit(""), "\n", "markdown", part_rows, first, rows=F.lit(1))
 
 
 def to_html_table(

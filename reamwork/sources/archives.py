@@ -7,6 +7,7 @@ import tarfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -156,26 +157,48 @@ def zip_bundles(packed: DataFrame, bundle: str, member: str, content: str, level
     )
 
 
-def archive_texts(archives: DataFrame, wanted: str, path: str = "path", content: str = "content") -> DataFrame:
+def _check_xml(name: str, raw: bytes) -> None:
+    parser = expat.ParserCreate()
+    try:
+        parser.Parse(raw, True)
+    except expat.ExpatError as problem:
+        raise ValueError(f"{name} is not well-formed XML: {problem}") from problem
+
+
+def archive_texts(
+    archives: DataFrame, wanted: str, path: str = "path", content: str = "content", main: str | None = None,
+    checked: str | None = None,
+) -> DataFrame:
     """One row per archive with its wanted text members: (path, parts MAP<STRING,STRING>, error).
 
     For formats that are an archive of XML parts: lookups between the parts of one file then stay
-    inside the row and need no join and no shuffle.
+    inside the row and need no join and no shuffle. A file has either parts or an error: it is an
+    error that no member matches ``main``, that a wanted member is not UTF-8, and that one whose
+    name matches ``checked`` is no well-formed XML.
     """
     import re
 
     pattern = re.compile(wanted)
+    needed, strict = re.compile(main or ""), re.compile(checked or "(?!)")
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for where, raw in zip(frame["path"], frame["content"]):
                 parts, error = None, None
                 try:
-                    with zipfile.ZipFile(io.BytesIO(raw)) as box:
-                        names = [n for n in box.namelist() if pattern.search(n)]
-                        parts = [{"name": n, "text": box.read(n).decode("utf-8-sig")} for n in names]
+                    with zipfile.ZipFile(io.BytesIO(raw or b"")) as box:
+                        if main and not any(map(needed.search, box.namelist())):
+                            raise ValueError(f"no part of the archive matches {main}")
+                        read = []
+                        # a repeated member name counts once, as the last of that name
+                        for name in dict.fromkeys(n for n in box.namelist() if pattern.search(n)):
+                            data = box.read(name)
+                            if strict.search(name):
+                                _check_xml(name, data)
+                            read.append({"name": name, "text": data.decode("utf-8-sig")})
+                        parts = read
                 except (zipfile.BadZipFile, RuntimeError, OSError, EOFError, zlib.error,
-                        NotImplementedError, UnicodeDecodeError) as problem:
+                        NotImplementedError, ValueError) as problem:
                     error = _error_text(problem)
                 yield pd.DataFrame({"path": [where], "parts": [parts], "error": [error]})
 

@@ -22,6 +22,25 @@ _XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
 _RELS = "Relationship array<struct<_Id string, _Target string>>"
 
 
+# Of each kind: the parts that its scans read, and the one that a file can't do without.
+_KINDS = {
+    "xlsx": (r"^xl/(workbook\.xml|sharedStrings\.xml|_rels/workbook\.xml\.rels|worksheets/[^/]+\.xml)$", r"^xl/workbook\.xml$"),
+    "docx": (r"^word/(document|styles)\.xml$", r"^word/document\.xml$"),
+    "pptx": (r"^ppt/(presentation\.xml|_rels/presentation\.xml\.rels|slides/slide\d+\.xml)$", r"^ppt/(presentation|slides/slide\d+)\.xml$"),
+    "epub": (r"(?i)(\.opf|\.x?html?|^META-INF/container\.xml)$", r"(?i)\.opf$"),
+}
+
+
+def _opened(files: DataFrame, kind: str) -> DataFrame:
+    """(path, parts, error) of the files of a kind; chapters of books need not be well-formed."""
+    wanted, main = _KINDS[kind]
+    return archive_texts(files, wanted, main=main, checked=r"(?i)\.(xml|rels|opf)$")
+
+
+def _readable(files: DataFrame, kind: str) -> DataFrame:
+    return _opened(files, kind).filter("error is null")
+
+
 def _part(name: str) -> Column:
     return F.try_element_at("parts", F.lit(name))
 
@@ -65,8 +84,7 @@ def xlsx_cells(workbooks: DataFrame, sheet_name: str | None = None) -> DataFrame
     Row and column indexes count from zero and keep the gaps of sparse sheets. A workbook that
     cannot be read is left out here and listed by :func:`unreadable`.
     """
-    wanted = r"^xl/(workbook\.xml|sharedStrings\.xml|_rels/workbook\.xml\.rels|worksheets/[^/]+\.xml)$"
-    books = archive_texts(workbooks, wanted).filter("error is null")
+    books = _readable(workbooks, "xlsx")
     # r:id has the only prefixed attribute name that ends in id
     sheet_tag = r'<(?:\w+:)?sheet\s[^>]*>'
     tags = F.regexp_extract_all(_part("xl/workbook.xml"), F.lit(sheet_tag), F.lit(0))
@@ -105,9 +123,15 @@ def xlsx_cells(workbooks: DataFrame, sheet_name: str | None = None) -> DataFrame
     ).filter(F.col("text").isNotNull())
 
 
-def unreadable(files: DataFrame) -> DataFrame:
-    """Files that are no readable archive: (path, error)."""
-    return archive_texts(files, "^$").filter("error is not null").select("path", "error")
+def unreadable(files: DataFrame, kind: str | None = None) -> DataFrame:
+    """Files that the scans leave out: (path, error).
+
+    With ``kind`` (``xlsx``, ``docx``, ``pptx`` or ``epub``) every file that the scans of that kind
+    can't read whole: no archive, no main part, a part that is not UTF-8, broken XML. Without it,
+    only those that are no archive.
+    """
+    opened = _opened(files, kind) if kind else archive_texts(files, "^$")
+    return opened.filter("error is not null").select("path", "error")
 
 
 # ---------------------------------------------------------------------------- Word documents
@@ -171,7 +195,7 @@ def docx_blocks(files: DataFrame) -> DataFrame:
 
     The style name decides: headings 1 to 3, bullet or numbered lists, else a paragraph.
     """
-    books = archive_texts(files, r"^word/(document|styles)\.xml$").filter("error is null")
+    books = _readable(files, "docx")
     paras = unnest(books, ["path", _word_styles().alias("styles")], _word_body(_PARAGRAPHS)["p"], "__i", "p")
     made = paras.select("path", (F.col("__i") + 1).cast("bigint").alias("block_idx"), _word_block(F.col("p")).alias("b"))
     return made.select("path", "block_idx", "b.kind", "b.level", "b.runs").withColumn("text", _joined(F.col("runs")))
@@ -205,7 +229,7 @@ def _word_table_lines(table: Column, fmt: str) -> Column:
 def docx_render(files: DataFrame, fmt: str) -> DataFrame:
     """Word files as HTML, Markdown or plain text (``txt``, without tables): (path, text), one row per
     file and no shuffle. All paragraphs come first and the tables after them."""
-    books = archive_texts(files, r"^word/(document|styles)\.xml$").filter("error is null")
+    books = _readable(files, "docx")
     opened = books.select("path", _word_styles().alias("styles"), _word_body(_WHOLE).alias("body"))
     # Two passes over the paragraphs: what the second uses more than once, the first has computed.
     blocks = F.transform(F.coalesce("body.p", F.array()), _word_block)
@@ -220,7 +244,7 @@ def docx_render(files: DataFrame, fmt: str) -> DataFrame:
 
 def docx_cells(files: DataFrame) -> DataFrame:
     """Cells of all tables: (path, table_idx, row_idx, col_idx, text)."""
-    books = archive_texts(files, r"^word/document\.xml$").filter("error is null")
+    books = _readable(files, "docx")
     tables = unnest(books, ["path"], _word_body(_TABLES)["tbl"], "table_idx", "t")
     rows = unnest(tables, ["path", "table_idx"], "t.tr", "row_idx", "r")
     cells = unnest(rows, ["path", "table_idx", "row_idx"], "r.tc", "col_idx", "c")
@@ -237,8 +261,7 @@ _SLIDE = (
 
 def _deck_parts(files: DataFrame) -> DataFrame:
     """(path, parts, slides): the names of the slides of each deck in presentation order."""
-    wanted = r"^ppt/(presentation\.xml|_rels/presentation\.xml\.rels|slides/slide\d+\.xml)$"
-    decks = archive_texts(files, wanted).filter("error is null")
+    decks = _readable(files, "pptx")
     ids = F.regexp_extract_all(
         _part("ppt/presentation.xml"), F.lit(r'<(?:\w+:)?sldId\s[^>]*?\w+:id="([^"]+)"'), F.lit(1)
     )
@@ -311,8 +334,7 @@ _PACKAGE = (
 def epub_chapters(files: DataFrame) -> DataFrame:
     """Chapters in manifest order: (path, title, chapter_idx, html); title is the book's, else the
     file stem."""
-    wanted = r"(?i)(\.opf|\.x?html?|^META-INF/container\.xml)$"
-    books = archive_texts(files, wanted).filter("error is null")
+    books = _readable(files, "epub")
     named = F.regexp_extract(_part("META-INF/container.xml"), r'full-path="([^"]+)"', 1)
     any_opf = F.filter(F.map_keys("parts"), lambda k: F.lower(k).endswith(".opf"))
     opf = F.coalesce(F.nullif(named, F.lit("")), F.try_element_at(any_opf, F.lit(1)))

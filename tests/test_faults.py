@@ -1,13 +1,17 @@
 """Inputs that once were lost or stopped a whole job."""
 
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from reamwork.operators.config import nest_keys
 from reamwork.operators.ocr import assemble_ocr
+from reamwork.operators.tables import to_html_table, to_markdown_table
 from reamwork.plans.convert import document_records
+from reamwork.sources import office
 from reamwork.sources.archives import write_packed
 from reamwork.sources.sinks import export_tables
 
@@ -39,3 +43,37 @@ def test_refusals(spark, tmp_path):
     for name in ("..", "a/b", ""):
         with pytest.raises(ValueError):
             export_tables({name: one}, str(tmp_path / "y"))
+
+
+def box(**parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in parts.items():
+            z.writestr(name.replace("__", "/").replace("_xml", ".xml"), data)
+    return out.getvalue()
+
+
+def test_every_office_file_has_rows_or_an_error(frame):
+    word = b"<document><body><p><r><t>hello</t></r></p></body></document>"
+    files = frame([
+        ("good", box(word__document_xml=word)), ("no zip", b"junk"), ("no main part", box(word__styles_xml=b"<styles/>")),
+        ("broken", box(word__document_xml=b"<document><body><p>")), ("empty part", box(word__document_xml=b"")),
+        ("not utf-8", box(word__document_xml=b"<?xml version='1.0' encoding='latin-1'?><document>\xe9</document>")),
+        ("broken styles", box(word__document_xml=word, word__styles_xml=b"<styles>")), ("null", None),
+    ], "path string, content binary")
+    errors = {r["path"]: r["error"] for r in office.unreadable(files, "docx").collect()}
+    assert set(errors) == {"no zip", "no main part", "broken", "empty part", "not utf-8", "broken styles", "null"} and all(errors.values())
+    assert [tuple(r) for r in office.docx_render(files, "txt").collect()] == [("good", "hello")]
+    assert [r["path"] for r in office.docx_blocks(files).collect()] == ["good"]
+    for kind in ("xlsx", "pptx", "epub"):
+        assert office.unreadable(files, kind).count() == files.count()
+
+
+def test_tables_that_do_not_start_at_the_first_row(frame):
+    rows = frame([("g", 2, "x"), ("g", 3, "y"), (None, 5, "z")], "grp string, pos int, name string")
+    got = {r["grp"]: (r["markdown"], r["rows"]) for r in to_markdown_table(rows, ["grp"], "pos", ["name"]).collect()}
+    assert got == {"g": ("| name |\n| --- |\n| x |\n| y |", 2), None: ("| name |\n| --- |\n| z |", 1)}
+    parts = to_html_table(rows.filter("grp = 'g'"), ["grp"], "pos", ["name"], part_rows=2).orderBy("part_no").collect()
+    whole = "\n".join(r["html"] for r in parts)
+    assert whole.count("<thead>") == whole.count("</table>") == 1 and whole.startswith("<table") and whole.endswith("</table>")
+    assert len(parts) == 2
