@@ -11,9 +11,10 @@ Jaccard similarity reaches the threshold; the result names the component of ever
    if it shares enough. Verified links make components, so that near copies by the thousand are one node from then on.
 4. Signature trees: below a root stand nodes, the components met there, each with the OR of its members' token bitmaps, their
    range of sizes and their greatest slack (tokens minus bits); below a node its members, with their own. The trees of all
-   roots are traversed together, nodes with nodes, then the members of the node pairs that are left. A pair goes on only if its sizes can
-   meet the threshold, the bits both have, plus the lesser slack, reach the overlap that the least sizes need,
-   and so does what the number of their common roots allows. Pairs inside one component need no look. A node is a
+   roots are traversed together: nodes with nodes, then the members of the smaller node with the other node, then those that
+   are left with its members. A pair goes on only if its sizes can meet the threshold, the bits both have, plus the lesser
+   slack, reach the overlap that the least sizes need, and so does what the number of their common roots allows (nodes, and
+   pairs of members at the end). Two nodes meet once, not once a root. Pairs inside one component need no look. A node is a
    partial aggregate, however many members it has.
 5. Pairs of members that are left are verified on the sets themselves; their links join components.
 
@@ -260,22 +261,29 @@ def jaccard_components(
     # Signature trees over the components that meet under a root.
     placed = _placed(met, near)
     mixed = placed.groupBy("token").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p <> q").select("token")
-    members = settle(placed.join(mixed, "token").select("token", "node", "id"), "join-members")
-    nodes = settle(members.select("node", "id").distinct().join(leaves, "id").groupBy("node").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"),
+    under = settle(placed.join(mixed, "token").select("token", "node", "id"), "join-members")
+    members = settle(under.select("node", "id").distinct().join(leaves, "id"), "join-leaves")
+    nodes = settle(members.groupBy("node").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"), F.count(F.lit(1)).alias("m"),
         *[F.bit_or(b).alias(b) for b in BITS]), "join-nodes")
-    under = members.select("token", "node").distinct()
-    meet = under.select("token", F.col("node").alias("p")).join(under.select("token", F.col("node").alias("q")), "token").filter("p < q")
+    stands = under.select("token", "node").distinct()
+    meet = stands.select("token", F.col("node").alias("p")).join(stands.select("token", F.col("node").alias("q")), "token").filter("p < q")
     met_nodes = settle(meet.groupBy("p", "q").agg(F.count(F.lit(1)).alias("times")), "join-meet")
+    # The node with fewer members, p, is opened first; then its members meet those of q.
+    few = F.struct("a.m", "a.node") < F.struct("b.m", "b.node")
     open_nodes = settle(
         met_nodes.join(nodes.alias("a"), F.col("p") == F.col("a.node")).join(nodes.alias("b"), F.col("q") == F.col("b.node"))
-        .filter(_enough("times", "a", "b", percent) & _bound("a", "b", percent)).select("p", "q"), "join-open")
-    x = members.select("token", F.col("node").alias("p"), F.col("id").alias("a")).join(open_nodes, "p")
-    y = members.select("token", F.col("node").alias("q"), F.col("id").alias("b"))
-    found = x.join(y, ["token", "q"]).groupBy("a", "b", "p", "q").agg(F.count(F.lit(1)).alias("times"))
+        .filter(_enough("times", "a", "b", percent) & _bound("a", "b", percent))
+        .select(F.when(few, F.col("p")).otherwise(F.col("q")).alias("p"), F.when(few, F.col("q")).otherwise(F.col("p")).alias("q")), "join-open")
+    half_open = open_nodes.join(members.alias("x"), F.col("p") == F.col("x.node")).join(
+        nodes.alias("n"), (F.col("q") == F.col("n.node")) & _bound("x", "n", percent))
+    found = settle(half_open.join(members.alias("y"), (F.col("q") == F.col("y.node")) & _bound("x", "y", percent)).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b"), "p", "q"), "join-found")
+    firsts = reps.select("id", F.col("n").alias("low"), F.col("n").alias("high"), "prefix")
     pairs = settle(
-        found.join(leaves.alias("x"), F.col("a") == F.col("x.id")).join(leaves.alias("y"), F.col("b") == F.col("y.id"))
-        .filter(_enough("times", "x", "y", percent) & _bound("x", "y", percent)).select("a", "b", "p", "q"), "join-pairs")
+        found.join(firsts.alias("x"), F.col("a") == F.col("x.id")).join(firsts.alias("y"), F.col("b") == F.col("y.id"))
+        .withColumn("times", F.size(F.array_intersect("x.prefix", "y.prefix")))
+        .filter(_enough("times", "x", "y", percent)).select("a", "b", "p", "q"), "join-pairs")
     links = _verified(pairs.select("a", "b"), rows, size, percent, "join-pairs").join(pairs, ["a", "b"])
     far = components(links.select(F.col("p").alias("a"), F.col("q").alias("b")), "join-far")
 
