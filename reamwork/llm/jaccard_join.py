@@ -219,15 +219,14 @@ def _first_pairs(met: DataFrame, near: DataFrame | None, leaves: DataFrame, perc
         .filter(_bound("x", "y", percent) & _enough("times", "x", "y", percent)).select("a", "b"), label)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int, label: str) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets link."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = rows.join(_near(wanted), "id", "left_semi")
-    sets = settle(_sets(texts, size), f"{label}-sets")
-    of_a = sets.join(_near(pairs.select(F.col("a").alias("id")).distinct()), "id", "left_semi")
-    of_b = sets.join(_near(pairs.select(F.col("b").alias("id")).distinct()), "id", "left_semi")
-    left = pairs.join(of_a.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a")
-    both = left.join(of_b.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b")
+    def sets_of(side: str) -> DataFrame:
+        wanted = pairs.select(F.col(side).alias("id")).distinct()
+        return _sets(rows.join(_near(wanted), "id", "left_semi"), size)
+
+    left = pairs.join(sets_of("a").select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a")
+    both = left.join(sets_of("b").select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
     return both.select("a", "b", shared.alias("i"), (F.size("s") + F.size("t")).alias("sum")).filter(
         F.col("i") * (100 + percent) >= F.col("sum") * percent).select("a", "b").distinct()
@@ -254,7 +253,7 @@ def jaccard_components(
     near = None
     for k in range(FIRST_ROUNDS):
         pairs = _first_pairs(met, near, leaves, percent, f"join-first-{k}")
-        links = _verified(pairs, rows, size, percent, f"join-first-{k}")
+        links = _verified(pairs, rows, size, percent)
         links = settle(links if near is None else links.union(near.filter("v <> c").select(F.col("v").alias("a"), F.col("c").alias("b"))), f"join-links-{k}")
         near = components(links, f"join-near-{k}")
 
@@ -284,7 +283,7 @@ def jaccard_components(
         found.join(firsts.alias("x"), F.col("a") == F.col("x.id")).join(firsts.alias("y"), F.col("b") == F.col("y.id"))
         .withColumn("times", F.size(F.array_intersect("x.prefix", "y.prefix")))
         .filter(_enough("times", "x", "y", percent)).select("a", "b", "p", "q"), "join-pairs")
-    links = _verified(pairs.select("a", "b"), rows, size, percent, "join-pairs").join(pairs, ["a", "b"])
+    links = _verified(pairs.select("a", "b"), rows, size, percent).join(pairs, ["a", "b"])
     far = components(links.select(F.col("p").alias("a"), F.col("q").alias("b")), "join-far")
 
     named = classes.join(near.select(F.col("v").alias("rep"), F.col("c").alias("near")), "rep", "left").select(
