@@ -147,11 +147,16 @@ def concat_pages(
     page: str = "page_no", text: str = "text", part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Text of each document; the separator, with its page number, goes before every page but the
-    first. Adds ``char_count`` of the page texts alone."""
+    lowest that the document has. Adds ``char_count`` of the page texts alone."""
+    mark = F.coalesce(F.replace(F.lit(separator), F.lit("{page}"), F.col(page).cast("string")), F.lit(""))
     body = F.coalesce(F.col(text), F.lit(""))
-    mark = F.replace(F.lit(separator), F.lit("{page}"), F.col(page).cast("string"))
-    glued = F.when(F.col(page) > 1, F.concat(mark, body)).otherwise(body)
-    return glue_parts(pages, [doc], page, glued, part_rows=part_rows, char_count=F.length(body))
+    marked = pages.select(doc, page, F.concat(mark, body).alias("__marked"), F.length(body).alias("__chars"))
+    # One small row per document: how long the first separator is, which goes again.
+    lowest = pages.groupBy(doc).agg(F.min(page).alias(page)).select(doc, page, F.length(mark).alias("__skip"))
+    every = marked.unionByName(lowest, allowMissingColumns=True)
+    glued = glue_parts(every, [doc], page, "__marked", part_rows=part_rows, skip=F.col("__skip"), char_count=F.col("__chars"))
+    kept = F.substring("text", F.coalesce(F.col("skip"), F.lit(0)).cast("int") + 1, F.length("text"))
+    return glued.withColumn("text", kept).drop("skip")
 
 
 def page_sizes(

@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from reamwork.operators import sequence
 from reamwork.operators.config import nest_keys
 from reamwork.operators.ocr import assemble_ocr
 from reamwork.operators.tables import to_html_table, to_markdown_table
@@ -77,3 +78,10 @@ def test_tables_that_do_not_start_at_the_first_row(frame):
     whole = "\n".join(r["html"] for r in parts)
     assert whole.count("<thead>") == whole.count("</table>") == 1 and whole.startswith("<table") and whole.endswith("</table>")
     assert len(parts) == 2
+
+
+def test_selected_pages_start_without_separator(frame):
+    rows = [("a", 3, "x"), ("a", 4, "y"), ("b", 1, "p"), ("b", 2, None), ("c", 2, "q")]
+    pages = frame(rows, "doc_id string, page_no int, text string")
+    got = {r.doc_id: (r.text, r.char_count) for r in sequence.concat_pages(pages, "[{page}]").collect()}
+    assert got == {"a": ("x[4]y", 2), "b": ("p[2]", 1), "c": ("q", 1)}
