@@ -9,12 +9,15 @@ times that within the class. A unit computes update gate, reset gate and candida
 Work on Spark:
 
 * Documents are dealt into chunks by a hash of the row, of about ``CHUNK_BYTES`` by the total size.
-* Each chunk gives its distinct words with training counts, and of each training document one window
-  of ``WINDOW`` tokens at a place chosen by hash. Counts of all training tokens come from a partial
+* Each chunk gives its distinct words with training counts. Counts of all training tokens come from a partial
   aggregate, and go back to the chunks by a join on the word: (chunk, word) pairs, not tokens, are shuffled.
-* Training runs in ``ROUNDS``: tasks take shards of windows, run truncated back-propagation with the weights of the
-  last round and give their weights; Spark averages them. The number of shards grows with the corpus.
-  Each training document is in one round.
+* All tokens of the training documents are trained on, as entries of two bytes. A document is one run, or
+  several where it has more than ``RUN_WINDOWS`` windows; a run begins with the token before it. Runs are dealt to
+  shards by a hash of document and number, so equal texts spread.
+* Training runs in ``ROUNDS``: tasks take shards of runs, run truncated back-propagation with the weights of the
+  last round and give their weights; Spark averages them. The number of shards grows with the tokens.
+  Each run is in one round. ``BATCH`` runs go side by side, window after window; each window begins with the state
+  the last one of its run ended with, and the next run with the zero state.
 * Scoring cogroups a chunk's documents with its words. All documents of a chunk step together, ordered by length;
   the state of each goes on from window to window until its end. Chunks do not share anything.
 
@@ -45,7 +48,8 @@ CLASSES, CLASS_SIZE = 64, 64
 VOCABULARY = CLASSES * CLASS_SIZE  # entry 0 is "rare"
 WINDOW = 32
 BATCH = 64
-SHARD_WINDOWS = 8_192
+SHARD_WINDOWS = 65_536
+RUN_WINDOWS = 1_024
 ROUNDS = 2
 RATE = 0.1
 SEED = 11
@@ -139,70 +143,110 @@ def log_probs(w: dict[str, np.ndarray], states: np.ndarray, y: np.ndarray) -> np
     return out
 
 
-def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss of a batch of windows (rows) from the zero state, and its gradients by back-propagation
-    truncated to the window."""
+def _by_value(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts values, the distinct ones, and where each of them begins in it."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else order
+    return order, values[begins], begins
+
+
+def gradients(
+    w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray, carried: np.ndarray | None = None,
+) -> tuple[float, dict[str, np.ndarray]]:
+    """Loss of a batch of windows (rows), and its gradients by back-propagation truncated to the window.
+
+    The rows begin with the states ``carried`` (zero if not given), which become those after the last step.
+    """
     size, steps = x.shape
-    h, kept = np.zeros((size, STATE), w["state"].dtype), []
+    h, kept = np.zeros((size, STATE), w["state"].dtype) if carried is None else carried.copy(), []
     states = np.empty((steps, size, STATE), w["state"].dtype)
     for t in range(steps):
         new, *rest = step(w, x[:, t], h)
         kept.append((h, *rest))
         states[t] = h = new
+    if carried is not None:
+        carried[:] = h
     grads = {k: np.zeros(s, w["state"].dtype) for k, s in shapes().items()}
     rows = np.flatnonzero(mask.T.ravel())
-    s, targets = states.reshape(-1, STATE)[rows], y.T.ravel()[rows]
-    classes, scale = targets // CLASS_SIZE, 1 / max(len(rows), 1)
+    targets = y.T.ravel()[rows]
+    order, present, begins = _by_value(targets // CLASS_SIZE)
+    rows, targets = rows[order], targets[order]  # the targets of a class stand together
+    s = states.reshape(-1, STATE)[rows]
+    classes, within, scale = targets // CLASS_SIZE, targets % CLASS_SIZE, 1 / max(len(rows), 1)
     loss, p = _log_softmax(s @ w["class_w"] + w["class_b"], classes)
     p[np.arange(len(rows)), classes] -= 1
     p *= scale
     grads["class_w"], grads["class_b"] = s.T @ p, p.sum(0)
     to_states = p @ w["class_w"].T
-    for c in np.unique(classes):
-        i = np.flatnonzero(classes == c)
-        more, q = _log_softmax(s[i] @ w["word_w"][c] + w["word_b"][c], targets[i] % CLASS_SIZE)
-        loss[i] += more
-        q[np.arange(len(i)), targets[i] % CLASS_SIZE] -= 1
+    for c, i, j in zip(present, begins, [*begins[1:], len(rows)]):
+        more, q = _log_softmax(s[i:j] @ w["word_w"][c] + w["word_b"][c], within[i:j])
+        loss[i:j] += more
+        q[np.arange(j - i), within[i:j]] -= 1
         q *= scale
-        grads["word_w"][c], grads["word_b"][c] = s[i].T @ q, q.sum(0)
-        to_states[i] += q @ w["word_w"][c].T
+        grads["word_w"][c], grads["word_b"][c] = s[i:j].T @ q, q.sum(0)
+        to_states[i:j] += q @ w["word_w"][c].T
     d_states = np.zeros((steps * size, STATE), w["state"].dtype)
     d_states[rows] = to_states
     d_states = d_states.reshape(steps, size, STATE)
     d_next = np.zeros((size, STATE), w["state"].dtype)
+    d_own = np.empty((steps, size, 3 * STATE), w["state"].dtype)
+    d_from = np.empty((steps, size, 3 * STATE), w["state"].dtype)
+    before, z, r, inner, n = (np.stack(k) for k in zip(*kept))
+    to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), inner * r * (1 - r)
+    back = np.ascontiguousarray(w["state"].T)
     for t in range(steps - 1, -1, -1):
-        before, z, r, inner, n = kept[t]
         d = d_states[t] + d_next
-        d_n = d * (1 - z) * (1 - n * n)
-        d_z = d * (before - n) * z * (1 - z)
-        d_r = d_n * inner * r * (1 - r)
-        d_inner = d_n * r
-        d_own = np.concatenate([d_z, d_r, d_n], 1)
-        d_from = np.concatenate([d_z, d_r, d_inner], 1)
-        np.add.at(grads["inputs"], x[:, t], d_own)
-        grads["state"] += before.T @ d_from
-        grads["candidate"] += d_inner.sum(0)
-        d_next = d * z + d_from @ w["state"].T
+        d_n = d * to_n[t]
+        own, from_state = d_own[t], d_from[t]
+        np.multiply(d, to_z[t], out=own[:, :STATE])
+        np.multiply(d_n, to_r[t], out=own[:, STATE:2 * STATE])
+        own[:, 2 * STATE:] = d_n
+        from_state[:, :2 * STATE] = own[:, :2 * STATE]
+        np.multiply(d_n, r[t], out=from_state[:, 2 * STATE:])
+        d_next = d * z[t] + from_state @ back
+    d_from = d_from.reshape(-1, 3 * STATE)
+    grads["state"] = before.reshape(-1, STATE).T @ d_from
+    grads["candidate"] = d_from[:, 2 * STATE:].sum(0)
+    order, entries, begins = _by_value(x.T.ravel())
+    grads["inputs"][entries] = np.add.reduceat(d_own.reshape(-1, 3 * STATE)[order], begins)
     return float(-loss.sum() * scale), grads
 
 
-def train(w: dict[str, np.ndarray], windows: list[list[int]]) -> dict[str, np.ndarray]:
-    """Adaptive gradient descent over windows: entry 0 of each is the token before, the others are targets."""
+def train(w: dict[str, np.ndarray], runs: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Adaptive gradient descent over all windows of the runs: entry 0 of a run is the token before, the others are targets.
+
+    ``BATCH`` runs go side by side; where one ends, the next begins.
+    """
     w = {k: v.copy() for k, v in w.items()}
     seen = {k: np.full(v.shape, 1e-6, v.dtype) for k, v in w.items()}
-    for a in range(0, len(windows), BATCH):
-        batch = windows[a:a + BATCH]
-        longest = max(map(len, batch)) - 1
-        if longest < 1:
-            continue
-        x, y = np.zeros((len(batch), longest), np.int64), np.zeros((len(batch), longest), np.int64)
-        mask = np.zeros((len(batch), longest), bool)
-        for i, ids in enumerate(batch):
-            x[i, :len(ids) - 1], y[i, :len(ids) - 1], mask[i, :len(ids) - 1] = ids[:-1], ids[1:], True
-        _, grads = gradients(w, x, y, mask)
+    runs = [r for r in runs if len(r) > 1]
+    if not runs:
+        return w
+    ids = np.concatenate(runs).astype(np.int64)
+    ends = np.cumsum([len(r) for r in runs])
+    begins = ends - [len(r) for r in runs]
+    waiting = min(BATCH, len(runs))  # the next run to begin
+    at, end = begins[:waiting].copy(), ends[:waiting].copy()
+    states = np.zeros((waiting, STATE), w["state"].dtype)
+    while len(at):
+        longest = min(WINDOW, int((end - at).max()) - 1)
+        places = at[:, None] + np.arange(longest)
+        mask = places + 1 < end[:, None]
+        places = np.where(mask, places, at[:, None])
+        _, grads = gradients(w, ids[places], ids[places + 1], mask, states)
         for k, g in grads.items():
             seen[k] += g * g
             w[k] -= FLOAT(RATE) * g / np.sqrt(seen[k])
+        at += WINDOW
+        done = np.flatnonzero(at + 1 >= end)
+        new = np.arange(waiting, min(waiting + len(done), len(runs)))
+        waiting += len(new)
+        filled = done[:len(new)]
+        at[filled], end[filled], states[filled] = begins[new], ends[new], 0
+        left = done[len(new):]
+        if len(left):
+            at, end, states = np.delete(at, left), np.delete(end, left), np.delete(states, left, 0)
     return w
 
 
@@ -242,30 +286,53 @@ def held_out(ids) -> np.ndarray:
 
 
 def _gather(chunked: DataFrame) -> DataFrame:
-    """Per chunk: its distinct words with training counts (``word, n``), and windows of its training
-    documents (``window``: words separated by one space, the token before them first)."""
+    """Per chunk: its distinct words with training counts (``word, n``)."""
     import pyarrow as pa
 
     def of_chunk(group: pa.Table) -> pa.Table:
-        trained, other, windows = Counter(), set(), []
-        for text, key, out in zip(group["text"], group["doc_key"].to_pylist(), held_out(group["doc_key"].to_pylist())):
-            found = tokens(text.as_py())
-            if out:
-                other.update(found)
-                continue
-            trained.update(found)
-            at = zlib.crc32(b"window" + (key or "").encode()) % max(1, len(found) - WINDOW + 1)
-            windows.append(b" ".join([found[at - 1] if at else END, *found[at:at + WINDOW]]))
+        trained, other = Counter(), set()
+        for text, out in zip(group["text"], held_out(group["doc_key"].to_pylist())):
+            (other if out else trained).update(tokens(text.as_py()))
         words = [*trained, *(other - trained.keys())]
-        n = len(words) + len(windows)
         return pa.table({
-            "chunk": pa.array([group["chunk"][0].as_py()] * n, pa.int64()),
-            "word": pa.array(words + [None] * len(windows), pa.binary()),
-            "n": pa.array([trained.get(x, 0) for x in words] + [None] * len(windows), pa.int64()),
-            "window": pa.array([None] * len(words) + windows, pa.binary()),
+            "chunk": pa.array([group["chunk"][0].as_py()] * len(words), pa.int64()),
+            "word": pa.array(words, pa.binary()),
+            "n": pa.array([trained.get(x, 0) for x in words], pa.int64()),
         })
 
-    return chunked.groupBy("chunk").applyInArrow(of_chunk, "chunk bigint, word binary, n bigint, window binary")
+    return chunked.groupBy("chunk").applyInArrow(of_chunk, "chunk bigint, word binary, n bigint")
+
+
+def _runs(rows: DataFrame, entry: dict[bytes, int]) -> DataFrame:
+    """``doc_key, number, n, run`` of the training documents: entries of two bytes, the token before the run first, and its windows."""
+    import pyarrow as pa
+
+    end, size = entry.get(END, 0), RUN_WINDOWS * WINDOW
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, held = [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if held_out([key])[0]:
+                    continue
+                found = tokens(text.as_py())
+                ids = np.fromiter((entry.get(t, 0) for t in found), "<u2", len(found))
+                ids = np.concatenate([np.array([end], "<u2"), ids])
+                for number, a in enumerate(range(0, len(found), size)):
+                    run = ids[a:a + size + 1]
+                    out.append((key, number, -(-(len(run) - 1) // WINDOW), run.tobytes()))
+                    held += len(run)
+                if held > CHUNK_BYTES:
+                    yield _run_batch(out)
+                    out, held = [], 0
+            yield _run_batch(out)
+
+    def _run_batch(out: list) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [[]] * 4
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["doc_key", "number", "n", "run"])
+
+    return rows.select("doc_key", "text").mapInArrow(cut, "doc_key string, number bigint, n bigint, run binary")
 
 
 def vocabulary(counts: DataFrame, n_tokens: int) -> tuple[dict[bytes, int], np.ndarray]:
@@ -279,29 +346,28 @@ def vocabulary(counts: DataFrame, n_tokens: int) -> tuple[dict[bytes, int], np.n
     return entry, sizes
 
 
-def fit(gathered: DataFrame, entry: dict[bytes, int], sizes: np.ndarray) -> dict[str, np.ndarray]:
-    """Rounds of training on shards of windows, averaged."""
+def fit(rows: DataFrame, entry: dict[bytes, int], sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """Rounds of training on shards of the runs of all training documents, averaged."""
     import pyarrow as pa
 
-    windows = gathered.filter(F.col("window").isNotNull()).select("window")
-    n = windows.count()
+    runs = settle(_runs(rows, entry), "lm-runs")
+    n = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     weights = start(sizes)
     if not n:
         return weights
-    end = entry.get(END, 0)
+    shards = max(1, -(-n // (SHARD_WINDOWS * ROUNDS)))
     for k in range(ROUNDS):
-        shards = max(1, -(-n // (SHARD_WINDOWS * ROUNDS)))
         fixed = weights
 
         def of_shard(group: pa.Table) -> pa.Table:
-            rows = sorted(x.as_py() for x in group["window"])
-            np.random.default_rng(SEED).shuffle(rows)
-            ids = [[entry.get(t, 0) if t else end for t in row.split(b" ")] for row in rows]
-            values = flat(train(fixed, ids)).astype(np.float64)
+            order = sorted(zip(group["doc_key"].fill_null("").to_pylist(), group["number"].to_pylist(), group["run"].to_pylist()))
+            np.random.default_rng(SEED).shuffle(order)
+            values = flat(train(fixed, [np.frombuffer(run, "<u2") for _, _, run in order])).astype(np.float64)
             return pa.table({"i": pa.array(np.arange(len(values)), pa.int64()), "v": pa.array(values)})
 
-        hashed = F.xxhash64("window")
-        dealt = windows.filter(F.pmod(hashed, F.lit(ROUNDS)) == k).withColumn("shard", F.pmod(F.xxhash64(F.lit(k), "window"), F.lit(shards)))
+        hashed = [F.col("doc_key"), F.col("number"), F.col("run")]
+        dealt = runs.filter(F.pmod(F.xxhash64(*hashed), F.lit(ROUNDS)) == k).withColumn(
+            "shard", F.pmod(F.xxhash64(F.lit(k), *hashed), F.lit(shards)))
         mean = dealt.groupBy("shard").applyInArrow(of_shard, "i bigint, v double").groupBy("i").agg(F.avg("v").alias("v"))
         got = mean.toPandas()
         if len(got):
@@ -318,12 +384,11 @@ def lm_score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("string").alias("doc_key"), F.col(text).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_key", "text"), F.lit(text_chunks(rows, "text", CHUNK_BYTES)).cast("bigint")))
-    gathered = settle(_gather(chunked), "lm-words")
-    words = gathered.filter(F.col("word").isNotNull()).select("chunk", "word", "n")
+    words = settle(_gather(chunked), "lm-words")
     counts = settle(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
     n_tokens, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     entry, sizes = vocabulary(counts, n_tokens)
-    weights = flat(fit(gathered, entry, sizes))
+    weights = flat(fit(rows, entry, sizes))
     rare_tokens = n_tokens - sizes[1:].sum()
     rare_types = n_types - len(entry)
     end = entry.get(END, 0)

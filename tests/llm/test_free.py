@@ -192,3 +192,51 @@ def test_gradients_and_states():
             assert abs(got - want) < 1e-4
     finally:
         vars(lm_scoring).update(before)
+
+
+def test_training_sees_every_token_and_carries_the_state(frame, monkeypatch):
+    """Every target of the training documents is trained on once, and windows begin with the state of the one before."""
+    size = 2 * lm_scoring.RUN_WINDOWS * lm_scoring.WINDOW + 5
+    texts = ["", "a b c", " ".join(f"v{k % 50}" for k in range(200)), " ".join(f"u{k % 70}" for k in range(size))] * 4
+    rows = frame([(i, str(i), t) for i, t in enumerate(texts)], "doc_id bigint, doc_key string, text string")
+    entry = {w: i + 1 for i, w in enumerate([lm_scoring.END, *(f"{c}{k}".encode() for c in "uv" for k in range(70)), b"a", b"b", b"c"])}
+    runs = lm_scoring._runs(rows, entry).collect()
+    folds = lm_scoring.held_out([str(i) for i in range(len(texts))])
+    assert {r.doc_key for r in runs} == {str(i) for i in range(len(texts)) if not folds[i]} and 0 < folds.sum() < len(texts)
+    for i in np.flatnonzero(~folds):
+        own = [np.frombuffer(r.run, "<u2") for r in sorted((r for r in runs if r.doc_key == str(i)), key=lambda r: r.number)]
+        whole = [entry[t] for t in [lm_scoring.END, *lm_scoring.tokens(texts[i])]]
+        assert [whole[0], *(t for x in own for t in x[1:])] == whole
+        assert all(x[0] == y[-1] for x, y in zip(own[1:], own)) and max(map(len, own)) <= size // 2
+
+    inner, steps = lm_scoring.gradients, []
+
+    def watched(w, x, y, mask, states):
+        before = states.copy()
+        out = inner(w, x, y, mask, states)
+        steps.append((before, states.copy(), [y[i][mask[i]].tolist() for i in range(len(y))]))
+        return out
+
+    monkeypatch.setattr(lm_scoring, "gradients", watched)
+    monkeypatch.setattr(lm_scoring, "BATCH", 2)
+    weights = lm_scoring.start(np.ones(lm_scoring.VOCABULARY))
+    lm_scoring.train(weights, [np.arange(1, 102), np.arange(101, 301), np.arange(301, 304)])
+    assert sorted(t for *_, ys in steps for y in ys for t in y) == [*range(2, 102), *range(102, 301), 302, 303]
+    assert not steps[0][0].any() and steps[0][1].all()
+    assert (steps[1][0] == steps[0][1]).all() and (steps[2][0] == steps[1][1]).all()
+    assert steps[4][2][0] == [302, 303] and not steps[4][0][0].any() and (steps[4][0][1] == steps[3][1][1]).all()
+
+
+def test_gradients_from_a_carried_state():
+    dice = np.random.default_rng(4)
+    w = {k: dice.standard_normal(s) * .3 for k, s in lm_scoring.shapes().items()}
+    x, y, h = dice.integers(0, 99, (3, 4)), dice.integers(0, 99, (3, 4)), dice.standard_normal((3, lm_scoring.STATE))
+    mask = np.ones((3, 4), bool)
+    _, grads = lm_scoring.gradients(w, x, y, mask, h.copy())
+    for k, i in [("state", (2, 5)), ("candidate", (3,)), ("inputs", (x[1, 2], 7))]:
+        ends = []
+        for e in (1e-5, -1e-5):
+            w[k][i] += e
+            ends.append(lm_scoring.gradients(w, x, y, mask, h.copy())[0])
+            w[k][i] -= e
+        assert abs((ends[0] - ends[1]) / 2e-5 - grads[k][i]) < 1e-7
