@@ -185,13 +185,15 @@ def _bound(a: str, b: str, percent: int) -> Column:
 def _enough(times: str, a: str, b: str, percent: int) -> Column:
     """Whether two nodes can hold a linking pair if their members share so many first tokens at most.
 
-    Where the first tokens of one of two sets end, it has only its other tokens left to share. That bound is the widest for
-    the greatest size of one node and the least size of the other that can still link with it.
+    Where the first tokens of one of two sets end, it has only its other tokens left to share, ``ceil(t n) - 1``. That drops by
+    almost one against ``t n`` from size to size, so for a node of several sizes ``t n`` stands for it: then the bound is the
+    widest for the greatest size of one node and the least size of the other that can still link with it.
     """
     def widest(large: str, small: str) -> Column:
         n = F.col(f"{large}.high")
         m = F.least(n, F.greatest(F.col(f"{small}.low"), F.ceil(n * percent / 100)))
-        return (F.col(times) + F.ceil(n * percent / 100) - 1) * (100 + percent) >= (n + m) * percent
+        rest = F.when(F.col(f"{large}.low") == n, (F.ceil(n * percent / 100) - 1) * 100).otherwise(n * percent)
+        return (F.col(times) * 100 + rest) * (100 + percent) >= (n + m) * percent * 100
 
     return widest(a, b) | widest(b, a)
 

@@ -83,6 +83,23 @@ def test_jaccard_join(frame, seed):
     assert kept.columns == ["doc_id", "text", "token", "id"] and {r.doc_id for r in kept.collect()} == {c for _, _, c in got}
 
 
+def test_a_node_does_not_prune_what_its_members_need(frame):
+    """Whatever pair of members may link by its own first tokens, the nodes they stand in may link."""
+    node = "struct<low: bigint, high: bigint>"
+    least = lambda n: -(-75 * n // 100)
+    rows = [(3, (26, 26), (27, 28))]
+    for high in range(20, 61):
+        for n in (high - 1, high):
+            for m in range(least(n), n * 100 // 75 + 1):
+                times = next(k for k in range(1, 99) if any(
+                    (k + least(a) - 1) * 175 >= (n + m) * 75 for a in (n, m)))
+                rows += [(times, (high - 1, high), (m, m)), (times, (m, m), (high - 1, high)), (times, (high - 1, high), (m, m + 1))]
+    df = frame(rows, f"times bigint, a {node}, b {node}")
+    assert df.filter(~jaccard_join._enough("times", "a", "b", 75)).collect() == []
+    single = frame([(3, (28, 28), (26, 26))], f"times bigint, a {node}, b {node}")
+    assert single.filter(jaccard_join._enough("times", "a", "b", 75)).isEmpty()
+
+
 def test_jaccard_join_of_nothing(frame):
     assert jaccard_join.jaccard_components(docs(frame, []).limit(0)).count() == 0
     rows = frame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f")], "doc_id bigint, text string")
