@@ -3,12 +3,14 @@
 A page is read into a tree of elements. For every element the characters, link characters, tags and link
 tags of its subtree give the composite text density: characters per tag, adjusted by how much of them are
 links. The density sum of an element adds the densities of its children; the element with
-the greatest sum holds the article. The least density on the path from it to the body is the threshold:
-where the path's elements have further children at or above it beside the path, inside the same article, main or
-section element, those belong to the article too.
+the greatest sum holds the article. If it stands in an article or main element, that element is the article. Else
+the least density on the path from it to the body is the threshold: further children of the path's elements, the body
+included, belong to the article too if they are at or above it, if they stand between two that do and are not
+mostly links, or if they are headings before one that does; and so does text directly in the path's elements below the body.
 
 Elements that are never article text (scripts, styles, navigation, headers and footers of the page, sidebars,
-forms, adverts, notices, comments; by tag, role or class) are taken out before densities are computed.
+forms, adverts, notices, comments; by tag, role or class) are taken out before densities are computed. A class or id
+that also has a word of a wrapper or state (``has-sidebar``) does not count, and what alone holds the article stays.
 In the chosen elements nothing is dropped: character references are decoded, white space inside a block
 becomes one space, blocks are joined in page order.
 
@@ -47,7 +49,11 @@ DROPPED_WORDS = frozenset((
     "menu breadcrumb breadcrumbs sidebar side aside widget widgets footer masthead comment comments "
     "disqus replies respond reply notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended toolbar pagination pager").split())
-ARTICLE = frozenset("article main section".split())
+#: Parts of a class or id that make it one of a wrapper or a state, not of what its other words name.
+MODIFIERS = frozenset("has with without no is wrap wrapper enabled disabled on off open closed active layout container page main content".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies respond reply".split())
+ARTICLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Open elements that a start tag ends, by its name.
 _P_ENDERS = BLOCK - {"br", "body", "html", "head", "option", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
 _ENDS = {
@@ -72,6 +78,8 @@ class Tree:
         self.tag, self.parent, self.dropped = [""], [-1], [False]
         #: What the page shows, in order: (node, text), or (node, None) where a block begins or ends.
         self.shown: list[tuple[int, str | None]] = []
+        #: Elements with a dropped word in class or id, and whether it is one of comments.
+        self.named: dict[int, bool] = {}
 
     def add(self, tag: str, parent: int, attributes: str) -> int:
         self.tag.append(tag)
@@ -89,12 +97,18 @@ class Tree:
             return up <= 0
         if not attributes or tag in ("html", "body", "article", "main"):
             return False
+        named = set()
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
             if name == "role" and value in DROPPED_ROLES or name == "aria-hidden" and value == "true":
                 return True
-            if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(_WORD.findall(value)):
-                return True
+            if name in ("class", "id"):
+                for token in value.split():
+                    parts = set(_WORD.findall(token))
+                    if MODIFIERS.isdisjoint(parts):
+                        named |= parts & DROPPED_WORDS
+        if named:
+            self.named[len(self.dropped)] = not named.isdisjoint(COMMENT_WORDS)
         return bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none", attributes))
 
 
@@ -144,11 +158,39 @@ def read_tree(html: str) -> Tree:
             at = end.end() if end else len(html)
             continue
         stack.append(node)
+    drop_named(tree)
     return tree
 
 
-def densities(tree: Tree) -> tuple[list[float], list[float]]:
-    """Composite text density and density sum of every node that is not dropped (others 0)."""
+def drop_named(tree: Tree) -> None:
+    """Drops the elements named by a dropped word.
+
+    If the page has no article element outside of them, those that hold one stay, and so do those, comments apart,
+    that hold most of the page's characters outside links.
+    """
+    if not tree.named:
+        return
+    n = len(tree.tag)
+    inside, link, chars, holds = [False] * n, [False] * n, [0] * n, [False] * n
+    for i in range(1, n):
+        inside[i] = inside[tree.parent[i]] or i in tree.named
+        link[i] = link[tree.parent[i]] or tree.tag[i] == "a"
+        holds[i] = tree.tag[i] in ARTICLE and not tree.dropped[i]
+    left = any(holds[i] and not inside[i] for i in range(n))
+    if not left:
+        for node, text in tree.shown:
+            if text is not None and not tree.dropped[node] and not link[node]:
+                chars[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            chars[tree.parent[i]] += chars[i]
+            holds[tree.parent[i]] |= holds[i]
+    for i in range(1, n):
+        stays = not left and i in tree.named and not tree.named[i] and (holds[i] or 2 * chars[i] > chars[0])
+        tree.dropped[i] = tree.dropped[i] or tree.dropped[tree.parent[i]] or i in tree.named and not stays
+
+
+def densities(tree: Tree) -> tuple[list[float], list[float], list[int], list[int]]:
+    """Composite text density, density sum, characters and link characters of every node that is not dropped (others 0)."""
     n = len(tree.tag)
     chars, link_chars, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     inside_link = [False] * n
@@ -179,13 +221,13 @@ def densities(tree: Tree) -> tuple[list[float], list[float]]:
         inner = c / max(lc, 1) * t / lt
         density[i] = c / t * (math.log(inner) / math.log(base) if base > 1.0001 and inner > 1 else 1.0)
         total[tree.parent[i]] += density[i]
-    return density, total
+    return density, total, chars, link_chars
 
 
 def article_nodes(tree: Tree) -> list[bool]:
     """Which nodes belong to the article."""
     n = len(tree.tag)
-    density, total = densities(tree)
+    density, total, chars, links = densities(tree)
     chosen = [False] * n
     best = max(range(n), key=lambda i: (total[i], -i)) if n else 0
     if not total[best]:
@@ -193,21 +235,35 @@ def article_nodes(tree: Tree) -> list[bool]:
     path = [best]
     while path[-1] > 0:
         path.append(tree.parent[path[-1]])
-    body = next((k for k, i in enumerate(path) if tree.tag[i] in ("body", "html", "")), len(path) - 1)
-    path = path[:body] or path[:1]
-    threshold = min(density[i] for i in path)
-    # The outermost article element around the sum, if there is one, bounds what is taken from beside the path.
-    outer = max((k for k, i in enumerate(path) if tree.tag[i] in ARTICLE), default=0)
+    outer = max((k for k, i in enumerate(path) if tree.tag[i] in ARTICLE), default=None)
     chosen[best] = True
-    on_path = set(path[:outer + 1])
-    for i in range(1, n):
-        up = tree.parent[i]
-        if chosen[up] or up in on_path and i not in on_path and up != best and density[i] >= threshold:
-            chosen[i] = True
-    if tree.tag[path[outer]] in ("article", "main"):  # what an article element holds is the article
+    if outer is not None:  # what an article element holds is the article
         chosen[path[outer]] = True
         for i in range(path[outer] + 1, n):
             chosen[i] = chosen[i] or chosen[tree.parent[i]]
+        return chosen
+    body = next((k for k, i in enumerate(path) if tree.tag[i] in ("body", "html", "")), len(path) - 1)
+    path = path[:body + 1]
+    threshold = min(density[i] for i in path)
+    on_path = set(path)
+    beside = {i: [] for i in path[1:]}
+    for i in range(1, n):
+        if tree.parent[i] in beside and not tree.dropped[i] and density[i] > 0:
+            beside[tree.parent[i]].append(i)
+    for children in beside.values():
+        kept = [i in on_path or density[i] >= threshold for i in children]
+        first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+        for k in range(first, last):
+            kept[k] = kept[k] or 2 * links[children[k]] <= chars[children[k]]
+        for k in range(len(kept) - 2, -1, -1):  # a heading belongs to what follows it
+            kept[k] = kept[k] or kept[k + 1] and tree.tag[children[k]] in HEADINGS
+        for i, keep in zip(children, kept):
+            chosen[i] = keep and i not in on_path or chosen[i]
+    for i in range(1, n):
+        up = tree.parent[i]
+        chosen[i] = chosen[i] or i not in on_path and chosen[up]
+    for i in path[:-1]:
+        chosen[i] = True
     return chosen
 
 

@@ -124,6 +124,30 @@ def test_html(frame):
     assert sorted(tuple(r) for r in html_extract.extract_text(rows).fillna("").collect()) == [(1, "u", want, len(want))] * 2 + [(2, "", "", 0)]
 
 
+LONG = "A sentence of the main text with a good number of words in it, and some more of them. " * 3
+
+
+def test_html_without_an_article_element():
+    nav = '<nav><a href=x>Menu</a></nav><div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div>'
+    text, more = f"<p>{LONG}1<p>{LONG}2", f"<p>{LONG}3<p>{LONG}4<p>{LONG}5"
+    flat = lambda *x: " ".join(" ".join(x).split())
+    heading = f"<body>{nav}<div id=content><h1>Title</h1><div class=text>{text}</div></div><footer>f</footer></body>"
+    assert html_extract.main_text(heading) == flat("Title", LONG + "1", LONG + "2")
+    parts = f"<body>{nav}<div id=content><h1>Title</h1><div>{text}</div><blockquote>Quote.</blockquote><div>{more}</div></div></body>"
+    want = flat("Title", LONG + "1", LONG + "2", "Quote.", LONG + "3", LONG + "4", LONG + "5")
+    assert html_extract.main_text(parts) == want
+
+
+def test_html_in_layout_wrappers():
+    want = " ".join(LONG.split())
+    for name in ("content has-sidebar", "content-sidebar-wrap", "post social-enabled", "widget"):
+        for tag in ("article", "div"):
+            page = f"<body><div class='{name}' id=x><{tag}><p>{LONG}</p></{tag}><div class='sidebar'>Side text</div></div></body>"
+            assert html_extract.main_text(page) == want, (name, tag)
+    page = f"<body><article><p>{LONG}</p><div class='related-posts'><article>Teaser</article></div></article><div class=comments><p>{LONG * 9}</p></div></body>"
+    assert html_extract.main_text(page) == want
+
+
 def test_warc_round_trip_and_salvage(spark, frame, tmp_path):
     rows = [(1, "http://a/é b", "same"), (2, "http://a/2", "same"), (3, None, None), (4, "u", ""), (5, "u", "WARC/1.1\r\nnot a record"), (6, "u", "é" * 9_000_000)]
     pages = frame([(*r, "x") for r in rows], "page_id bigint, url string, html string, payload string").repartition(2)
