@@ -2,7 +2,8 @@
 
 A text is cut into sentences (at line ends and after ``.``, ``!`` or ``?`` before white space) and each is
 normalised: lower case, every run of characters other than letters and digits one space. A normalised
-sentence of :data:`SENTENCES` is recognised as its identifier. The identifiers of a text, in order, are
+sentence of :data:`SENTENCES` is recognised as its identifier. So is one that goes on over line ends (not after ``.``,
+``!`` or ``?``, other than that of ``v.``), with comment marks or empty lines between; its place is that of its first line. The identifiers of a text, in order, are
 matched against :data:`RULES`: a rule is a sequence of identifiers that must occur in that order with
 nothing else recognised between them. Rules are tried from the most to the least specific; what a rule
 matched is taken out before the next one looks, so a version-3-or-later notice is not also version 3.
@@ -95,10 +96,22 @@ RULES = (
 )
 
 
-def normalised_sentences(text: Column) -> Column:
+def raw_sentences(text: Column) -> Column:
     lines = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t\r]+", "$1\n")
-    return F.transform(
-        F.split(lines, "\n"), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
+    return F.split(lines, "\n")
+
+
+def _marked(s: Column, i: Column) -> Column:
+    """Number, tab, normalised sentence, and how it ends: a line feed, or a return where it may go on in the next line."""
+    ends = s.rlike(r"[.!?][^\p{L}\p{N}]*$") & ~s.rlike(r"(?i)(?<![\p{L}\p{N}])v\.\s*$")
+    return F.concat((i + 1).cast("string"), F.lit("\t"), F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")),
+                    F.when(ends, "\n").otherwise("\r"))
+
+
+#: A sentence of the table, over one or more marked sentences. The longest first.
+_GOES_ON = r"\r\d+\t"
+_KNOWN = r"\d+\t(?:" + "|".join(
+    s.replace(" ", rf"(?: |(?:{_GOES_ON})+)") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + r")[\n\r]"
 
 
 def _named(sentence: Column) -> Column:
@@ -112,10 +125,11 @@ def _named(sentence: Column) -> Column:
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: recognised sentences with their places, and the licenses with their counts."""
-    rows = boxed(df).select(field(doc_id).alias("doc_id"), normalised_sentences(field(text)).alias("sentences"))
-    known = rows.select("doc_id", F.size("sentences").cast("bigint").alias("n_sentences"), F.filter(
-        F.transform("sentences", lambda s, i: F.struct((i + 1).alias("place"), F.when(s.isin(*SENTENCES.values()), s).alias("s"))),
-        lambda x: x["s"].isNotNull()).alias("known"))
+    rows = boxed(df).select(field(doc_id).alias("doc_id"), raw_sentences(field(text)).alias("sentences"))
+    known = rows.select("doc_id", F.size("sentences").cast("bigint").alias("n_sentences"), F.transform(
+        F.regexp_extract_all(F.array_join(F.transform("sentences", _marked), ""), F.lit(_KNOWN), 0),
+        lambda m: F.struct(F.regexp_extract(m, r"^(\d+)\t", 1).cast("int").alias("place"), F.trim(F.regexp_replace(
+            F.regexp_replace(m, r"^\d+\t|[\n\r]$", ""), rf"(?:{_GOES_ON})+", " ")).alias("s"))).alias("known"))
     named = known.select("doc_id", "n_sentences", F.transform("known", lambda x: F.struct(
         x["place"].alias("place"), _named(x["s"]).alias("sentence_id"))).alias("recognised"))
     # The identifiers as one string, each between bars: "|a||b|". A matched sequence becomes "#rule#".

@@ -78,3 +78,62 @@ def test_license_scan(frame):
     assert [got[i]["licenses"] for i in range(6)] == ["", "", "CC-BY-NC-4.0:1", "MIT:1", "", "GPL-3.0:1,MIT:2"]
     assert got[2]["recognised"] == "2:cc-by-nc-named" and got[4]["n_recognised"] == 1
     assert licenses.license_scan(docs(frame, "a").limit(0)).count() == 0
+
+
+WRAPPED = {
+    "MIT": """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "BSD-2-Clause": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice,
+ *    this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+""",
+    "GPL-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+""",
+    "Apache-2.0": """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+// See the License for the specific language governing permissions and
+// limitations under the License.
+""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+""",
+}
+
+
+def test_wrapped_license_texts(frame):
+    got = by_id(licenses.license_scan(docs(frame, *WRAPPED.values(), *(t.replace("\n", "\r\n") for t in WRAPPED.values()), "Released under the.\nMIT license")))
+    names = [*WRAPPED] * 2
+    assert [got[i]["licenses"] for i in range(len(names))] == [f"{n}:1" for n in names]
+    assert [got[i]["n_recognised"] for i in range(len(names))] == [3, 3, 3, 5, 1] * 2
+    assert got[0]["recognised"] == "1:mit-title-short,3:mit-grant,10:mit-notice" and got[10]["n_recognised"] == 1 and got[10]["recognised"].startswith("2:")
