@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_dir
-from . import bpe_codec, decontaminate, html_extract, jaccard_join, licenses, line_dedup, lm_scoring, quality_rules, token_counts, warc
+from . import bpe_codec, decontaminate, html_extract, jaccard_join, licenses, line_dedup, lm_scoring, quality_rules, token_counts, warc, whitening
 from .common import table
 
 #: Vocabulary files of public tokenizers, on every machine.
@@ -59,10 +59,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_score(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 JOBS: dict[str, Job] = {
     f.__name__: f for f in (
         op1_license_scan, op2_bpe_codec, op3_jaccard_join, op4_decontaminate, op5_line_dedup, op6_token_counts, op7_html_extract,
-        op8_warc, op9_quality_rules, op10_lm_score)
+        op8_warc, op9_quality_rules, op10_lm_score, op11_whitening)
 }
 SQL: dict[str, str] = {
     "op1_license_scan": licenses.ORACLE_SQL,
