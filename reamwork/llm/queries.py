@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_dir
-from . import bpe_codec, decontaminate, html_extract, jaccard_join, licenses, line_dedup, lm_scoring, quality_rules, token_counts, warc, whitening
+from . import (
+    bpe_codec, decontaminate, html_extract, jaccard_join, licenses, line_dedup, lm_scoring, private_data, quality_rules, ranked_search, token_counts,
+    warc, whitening,
+)
 from .common import table
 
 #: Vocabulary files of public tokenizers, on every machine.
@@ -63,14 +66,24 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.private_digest(table(spark, sf_dir, "documents"))
+
+
 JOBS: dict[str, Job] = {
     f.__name__: f for f in (
         op1_license_scan, op2_bpe_codec, op3_jaccard_join, op4_decontaminate, op5_line_dedup, op6_token_counts, op7_html_extract,
-        op8_warc, op9_quality_rules, op10_lm_score, op11_whitening)
+        op8_warc, op9_quality_rules, op10_lm_score, op11_whitening, op12_ranked_search,
+        op13_private_data)
 }
 SQL: dict[str, str] = {
     "op1_license_scan": licenses.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
+    "op12_ranked_search": ranked_search.ORACLE_SQL,
 }
