@@ -158,26 +158,130 @@ def chapter_to_markdown(col: Column) -> Column:
     return F.array_join(F.concat(F.transform(blocks, _markdown_line), F.array(F.lit(""))), "\n")
 
 
+def _cell_text(html: Column) -> Column:
+    """Text of a table cell: line breaks for <br>, nothing for other tags, entities decoded; a run of line breaks, and
+    any longer run of white space, becomes one space."""
+    plain = F.regexp_replace(F.regexp_replace(html, r"(?i)<br(?=[\s>/])[^>]*>", "\n"), r"<[^>]*>", "")
+    return strip(F.regexp_replace(html_unescape(plain), r"(?U)[\r\n]+|\s{2,}", " "))
+
+
+def _table_sources(page: Column) -> Column:
+    """The inner HTML of each table of a page, by the order of the opening tags.
+
+    The page is cut at its table tags; a fold over the pieces keeps the stack of open tables. A table's source is made of its own
+    pieces and, so that its cells keep their whole text, of the text of the tables inside it. A closing tag without an
+    open table is ignored; a table that is not closed goes on to the end.
+    """
+    pieces = F.split(page, r"(?i)(?=<table[\s>/])|(?=</table[\s>])")
+    opened = "array<struct<text:string,stack:array<int>>>"
+    start = F.struct(F.array().cast("array<int>").alias("stack"), F.lit(0).alias("n"), F.array().cast(opened).alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        opens, closes = F.regexp_like(piece, F.lit(r"(?i)^<table[\s>/]")), F.regexp_like(piece, F.lit(r"(?i)^</table[\s>]"))
+        depth = F.size(acc["stack"])
+        stack = (
+            F.when(opens, F.concat(acc["stack"], F.array(acc["n"])))
+            .when(closes & (depth > 0), F.slice(acc["stack"], F.lit(1), depth - 1)).otherwise(acc["stack"])
+        )
+        text = F.regexp_replace(piece, r"(?i)^</?table(?=[\s>/])[^>]*>", "")
+        return F.struct(
+            stack.alias("stack"), (acc["n"] + opens.cast("int")).alias("n"),
+            F.concat(acc["out"], F.array(F.struct(text.alias("text"), stack.alias("stack")))).alias("out"))
+
+    def sources(done: Column) -> Column:
+        return F.transform(
+            F.when(done["n"] > 0, F.sequence(F.lit(0), done["n"] - 1)).otherwise(F.array().cast("array<int>")),
+            lambda t: F.array_join(F.transform(
+                F.filter(done["out"], lambda p: F.array_contains(p["stack"], t)),
+                lambda p: F.when(F.try_element_at(p["stack"], F.lit(-1)) == t, p["text"]).otherwise(
+                    F.regexp_replace(F.regexp_replace(p["text"], r"(?i)<br(?=[\s>/])[^>]*>", "<br>"), r"(?i)<(?!br>)[^>]*>", ""))), ""))
+
+    return F.transform(F.array(F.aggregate(pieces, start, step)), sources)[0]
+
+
+# The widest and the longest cell that browsers know.
+_MOST_COLUMNS, _MOST_ROWS = 1_000, 65_534
+
+_PLACED = "struct<col_idx:int,text:string,is_header:boolean,left:int>"
+
+
+def _span(tag: Column, name: str, most: int) -> Column:
+    found = F.regexp_extract(tag, rf"(?is)^<t[hd][^>]*?\s{name}\s*=\s*[\"']?\s*(\d+)", 1)
+    number = F.coalesce(found.try_cast("bigint"), F.when(found != "", F.lit(most)), F.lit(1))
+    return F.greatest(F.lit(1), F.least(F.lit(most), number)).cast("int")
+
+
+def _placed_rows(rows: Column) -> Column:
+    """Rows of raw cells to rows of placed ones: cells that reach over rows or columns stand at every place they cover.
+
+    The fold carries the cells that reach into the next row; others take the free places in their order. Cells
+    that reach below the last row make rows of their own.
+    """
+    wide = F.transform(rows, lambda row: F.flatten(F.transform(row, lambda c: F.array_repeat(c, c["cols"]))))
+    none = F.array().cast(f"array<{_PLACED}>")
+
+    def step(acc: Column, row: Column) -> Column:
+        held = acc["held"]
+        every = F.sequence(F.lit(0), F.size(row) + F.size(held))
+        free = F.slice(F.array_except(every, F.transform(held, lambda h: h["col_idx"])), F.lit(1), F.size(row))
+        new = F.zip_with(free, row, lambda i, c: F.struct(
+            i.alias("col_idx"), c["text"].alias("text"), c["is_header"].alias("is_header"), c["rows"].alias("left")))
+
+        def ended(now: Column) -> Column:
+            on = F.transform(now, lambda c: F.struct(
+                c["col_idx"].alias("col_idx"), c["text"].alias("text"), c["is_header"].alias("is_header"), (c["left"] - 1).alias("left")))
+            return F.struct(
+                F.concat(acc["out"], F.array(now)).alias("out"), F.filter(on, lambda c: c["left"] > 0).alias("held"))
+
+        return F.transform(F.array(F.array_sort(F.concat(held, new))), ended)[0]
+
+    def finished(acc: Column) -> Column:
+        more = F.coalesce(F.array_max(F.transform(acc["held"], lambda c: c["left"])), F.lit(0))
+        below = F.when(more > 0, F.sequence(F.lit(1), more)).otherwise(F.array().cast("array<int>"))
+        return F.concat(acc["out"], F.transform(below, lambda k: F.filter(acc["held"], lambda c: c["left"] >= k)))
+
+    start = F.struct(F.array().cast(f"array<array<{_PLACED}>>").alias("out"), none.alias("held"))
+    folded = F.aggregate(wide, start, step, finished)
+    plain = F.transform(wide, lambda row: F.transform(row, lambda c, i: F.struct(
+        i.alias("col_idx"), c["text"].alias("text"), c["is_header"].alias("is_header"), F.lit(1).alias("left"))))
+    return F.when(F.exists(rows, lambda row: F.exists(row, lambda c: c["rows"] > 1)), folded).otherwise(plain)
+
+
 def html_tables(col: Column) -> Column:
-    """All tables of a page: ARRAY<ARRAY<ARRAY<STRUCT<text, is_header>>>> of tables, rows, cells."""
+    """All tables of a page: ARRAY<STRUCT<rows ARRAY<ARRAY<STRUCT<col_idx, text, is_header, left>>>, header_rows>>.
+
+    Tables inside tables are tables of their own, listed by their opening tags; their text is also part of the cell that
+    holds them. ``rowspan`` and ``colspan`` are spread. ``header_rows`` counts the rows of ``<thead>`` or, where there is none,
+    the first rows whose cells are all ``<th>``. Rows without cells are left out.
+    """
 
     def cell(c: Column) -> Column:
         return F.struct(
-            _inner_text(c).alias("text"), F.regexp_like(c, F.lit(r"(?i)^<th")).alias("is_header")
-        )
+            _cell_text(c).alias("text"), F.regexp_like(c, F.lit(r"(?i)^<th")).alias("is_header"),
+            _span(c, "colspan", _MOST_COLUMNS).alias("cols"), _span(c, "rowspan", _MOST_ROWS).alias("rows"))
 
     def cells(row: Column) -> Column:
         pattern = r"(?is)<t[hd](?=[\s>/])[^>]*>.*?(?=</t[hd]\s*>|<t[hd](?=[\s>/])|$)"
         return F.transform(F.regexp_extract_all(row, F.lit(pattern), F.lit(0)), cell)
 
     def rows(table: Column) -> Column:
-        pattern = r"(?is)<tr(?=[\s>/])[^>]*>.*?(?=</tr\s*>|<tr(?=[\s>/])|</table|$)"
-        return F.transform(F.regexp_extract_all(table, F.lit(pattern), F.lit(0)), cells)
+        pattern = r"(?is)<tr(?=[\s>/])[^>]*>.*?(?=</tr\s*>|<tr(?=[\s>/])|$)"
+        return F.filter(F.transform(F.regexp_extract_all(table, F.lit(pattern), F.lit(0)), cells), lambda row: F.size(row) > 0)
 
-    tables = F.regexp_extract_all(
-        F.regexp_replace(col, _SKIPPED, ""), F.lit(r"(?is)<table(?=[\s>])[^>]*>.*?</table\s*>"), F.lit(0)
-    )
-    return F.transform(tables, rows)
+    def grid(table: Column) -> Column:
+        in_head = F.size(rows(F.regexp_extract(table, r"(?is)<thead(?=[\s>]).*?</thead\s*>", 0)))
+
+        def framed(found: Column) -> Column:
+            all_head = F.transform(found, lambda row: F.forall(row, lambda c: c["is_header"]))
+            leading = F.coalesce(F.nullif(F.array_position(all_head, False), F.lit(0)) - 1, F.size(all_head).cast("bigint"))
+            return F.struct(
+                _placed_rows(found).alias("rows"), F.when(in_head > 0, in_head).otherwise(leading.cast("int")).alias("header_rows"))
+
+        return F.transform(F.array(rows(table)), framed)[0]
+
+    page = F.regexp_replace(col, _SKIPPED, "")
+    none = F.array().cast(f"array<struct<rows:array<array<{_PLACED}>>,header_rows:int>>")
+    return F.when(F.regexp_like(col, F.lit(r"(?i)<table[\s>/]")), F.transform(_table_sources(page), grid)).otherwise(none)
 
 
 # ---------------------------------------------------------------------------- XML and JSON
@@ -305,6 +409,12 @@ def json_to_xml(col: Column, root_tag: str = "root") -> Column:
     return convert(col)
 
 
+def html_row_of(cells: Column, tag: str = "td") -> Column:
+    """An array of texts as a table row."""
+    parts = F.transform(cells, lambda c: F.concat(F.lit(f"<{tag}>"), html_escape(c), F.lit(f"</{tag}>")))
+    return F.concat(F.lit("<tr>"), F.array_join(parts, ""), F.lit("</tr>"))
+
+
 def html_row(cells: list[Column], tag: str = "td") -> Column:
     parts = [F.concat(F.lit(f"<{tag}>"), html_escape(c), F.lit(f"</{tag}>")) for c in cells]
     return F.concat(F.lit("<tr>"), *parts, F.lit("</tr>"))

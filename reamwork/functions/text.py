@@ -38,6 +38,11 @@ PAGE_MID = (
 PAGE_TAIL = "\n</body>\n</html>"
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def strip(col: Column) -> Column:
     return F.regexp_replace(col, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 

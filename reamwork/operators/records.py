@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import quoted
 from .ordered import PART_ROWS, glue_parts
 
 
@@ -20,7 +21,7 @@ def flatten_one_level(df: DataFrame) -> DataFrame:
     """Struct fields to dotted columns, arrays and maps to JSON text. Pure projection."""
     out: list[Column] = []
     for f in df.schema.fields:
-        col = F.col(f"`{f.name}`")
+        col = F.col(quoted(f.name))
         if isinstance(f.dataType, T.StructType):
             for inner in f.dataType.fields:
                 value = col.getField(inner.name)
@@ -40,7 +41,7 @@ def json_records(df: DataFrame, columns: list[str] | None = None, epoch_millis:
     cols = []
     for c in columns:
         dtype = df.schema[c].dataType
-        value = F.col(c)
+        value = F.col(quoted(c))
         if isinstance(dtype, (T.FloatType, T.DoubleType)):
             # NaN is no JSON literal
             value = F.when(~F.isnan(value), value)

@@ -10,7 +10,8 @@ from ..functions.markup import html_row, html_tables
 from ..functions.names import page_table_name
 from ..functions.text import PAGE_HEAD, PAGE_TAIL, extracted_page_html, html_escape, number_text, strip
 from .blocks import extracted_blocks
-from .ordered import PART_ROWS, dense_positions, glue_framed, glue_parts
+from .grids import bound, grid_width, unique_labels
+from .ordered import PART_ROWS, dense_positions, glue_framed, glue_parts, unnest
 from .sequence import Outcome, suppress_table_text
 
 
@@ -69,6 +70,16 @@ def to_html_table(
     return glue_framed(df, group, pos, row, opening, closing, "\n", "html", part_rows, first, rows=F.lit(1))
 
 
+def _own_cells(rows: DataFrame, keep: list) -> DataFrame:
+    """Cells of the placed rows in ``__rows``."""
+    return (
+        rows.select(*keep, F.posexplode_outer("__rows").alias("row_idx", "__cells")).filter(F.col("row_idx").isNotNull())
+        .select(*keep, "row_idx", F.explode("__cells").alias("__cell"))
+        .select(*keep, "row_idx", F.col("__cell.col_idx").alias("col_idx"), F.col("__cell.text").alias("text"),
+                F.col("__cell.is_header").alias("is_header"))
+    )
+
+
 def html_table_cells(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """Every cell of every table of a page corpus, with ``tables_found`` per page.
 
@@ -76,17 +87,35 @@ def html_table_cells(pages: DataFrame, keys: list[str], html: str = "html") -> D
     unnesting comes first because a plain one has the optimizer test the array's size in a filter
     of its own, which would parse each page twice more.
     """
-    return (
+    found = (
         pages.select(*keys, html_tables(F.col(html)).alias("__tables"))
         .select(*keys, F.size("__tables").cast("bigint").alias("tables_found"),
-                F.posexplode_outer("__tables").alias("table_idx", "__rows"))
+                F.posexplode_outer("__tables").alias("table_idx", "__table"))
         .filter(F.col("table_idx").isNotNull())
-        .select(*keys, "tables_found", "table_idx", F.posexplode("__rows").alias("row_idx", "__cells"))
-        .select(*keys, "tables_found", "table_idx", "row_idx",
-                F.posexplode("__cells").alias("col_idx", "__cell"))
-        .select(*keys, "tables_found", "table_idx", "row_idx", "col_idx",
-                F.col("__cell.text").alias("text"), F.col("__cell.is_header").alias("is_header"))
+        .withColumn("__rows", F.col("__table.rows"))
     )
+    return _own_cells(found, [*keys, "tables_found", "table_idx"])
+
+
+def html_table_grids(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """Every table of a page corpus as one row: (keys, table_idx, labels, grid, first_row).
+
+    Labels come from the table's header rows (a place's texts in several of them are joined with spaces, equal ones once); a table without
+    a header has its places, from 0, as labels. ``first_row`` is the first row that is no header. See :mod:`grids`.
+    """
+    found = unnest(pages.select(*keys, html_tables(F.col(html)).alias("__tables")), keys, "__tables", "table_idx", "__table")
+    grid = F.transform("__table.rows", lambda row, i: F.struct(
+        i.alias("row_idx"), F.transform(row, lambda c: F.struct(c["col_idx"].alias("col_idx"), c["text"].alias("text"))).alias("cells")))
+    made = found.select(*keys, "table_idx", F.col("__table.header_rows").alias("first_row"), grid.alias("grid"))
+
+    def labels(width: Column) -> Column:
+        places = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
+        heads = F.filter("grid", lambda r: r["row_idx"] < F.col("first_row"))
+        named = F.transform(places, lambda i: F.array_join(F.array_distinct(F.filter(F.flatten(F.transform(
+            heads, lambda r: F.transform(F.filter(r["cells"], lambda c: c["col_idx"] == i), lambda c: c["text"]))), lambda t: t != "")), " "))
+        return F.when(F.col("first_row") > 0, unique_labels(named)).otherwise(F.transform(places, lambda i: i.cast("string")))
+
+    return made.withColumn("labels", bound(grid_width(F.col("grid")), labels)).select(*keys, "table_idx", "labels", "grid", "first_row")
 
 
 def nth_table(
@@ -95,20 +124,19 @@ def nth_table(
     """Cells of one table per page; a page with fewer tables gives an error that says how many."""
     found = pages.select(*keys, html_tables(F.col(html)).alias("__tables"))
     have = F.size("__tables")
-    message = F.when(have == 0, F.lit("No tables found in the HTML file.")).otherwise(
-        F.concat(F.lit("Only "), have.cast("string"),
-                 F.lit(f" table(s) found; table_index {table_index} is out of range."))
-    )
-    errors = found.filter(have <= table_index).select(*keys, message.alias("error"))
-    rows = (
-        found.select(*keys, have.cast("bigint").alias("tables_found"),
-                     F.posexplode_outer(F.try_element_at("__tables", F.lit(table_index + 1))).alias("row_idx", "__cells"))
-        .filter(F.col("row_idx").isNotNull())
-        .select(*keys, "tables_found", "row_idx", F.posexplode("__cells").alias("col_idx", "__cell"))
-        .select(*keys, "tables_found", "row_idx", "col_idx", F.col("__cell.text").alias("text"),
-                F.col("__cell.is_header").alias("is_header"))
-    )
-    return Outcome(rows, errors)
+    errors = found.filter(have <= table_index).select(*keys, _too_few(have, table_index).alias("error"))
+    rows = found.select(
+        *keys, have.cast("bigint").alias("tables_found"), F.try_element_at("__tables", F.lit(table_index + 1))["rows"].alias("__rows"))
+    return Outcome(_own_cells(rows, [*keys, "tables_found"]), errors)
+
+
+# What a page without the wanted table gives.
+_NO_TABLES, _ONLY, _BEYOND = "No tables found in the HTML file.", "Only ", " table(s) found; table_index {} is out of range."
+
+
+def _too_few(have: Column, table_index: int) -> Column:
+    return F.when(have == 0, F.lit(_NO_TABLES)).otherwise(
+        F.concat(F.lit(_ONLY), have.cast("string"), F.lit(_BEYOND.format(table_index))))
 
 
 def pick_table(cells: DataFrame, keys: list[str], table_index: int = 0) -> Outcome:
@@ -118,11 +146,7 @@ def pick_table(cells: DataFrame, keys: list[str], table_index: int = 0) -> Outco
     aggregate; no distinct count and no window over the document is needed.
     """
     found = cells.groupBy(*keys).agg((F.max("table_idx") + 1).alias("tables_found"))
-    errors = found.filter(F.col("tables_found") <= table_index).select(
-        *keys,
-        F.concat(F.lit("Only "), F.col("tables_found").cast("string"),
-                 F.lit(f" table(s) found; table_index {table_index} is out of range.")).alias("error"),
-    )
+    errors = found.filter(F.col("tables_found") <= table_index).select(*keys, _too_few(F.col("tables_found"), table_index).alias("error"))
     return Outcome(cells.filter(F.col("table_idx") == table_index), errors)
 
 
@@ -137,14 +161,6 @@ def cells_to_rows(cells: DataFrame, keys: list[str], columns: list[str], header_
     )
 
 
-def header_names(cells: DataFrame) -> list[str]:
-    """Column names in row 0 of one table of a corpus whose tables share a shape."""
-    one = cells.filter("row_idx = 0").limit(1)
-    keys = [c for c in cells.columns if c not in ("row_idx", "col_idx", "text", "is_header", "tables_found")]
-    first = cells.filter("row_idx = 0").join(F.broadcast(one.select(*keys)), keys)
-    return [r["text"] for r in first.select("col_idx", "text").orderBy("col_idx").toLocalIterator()]
-
-
 def workbook_cells(cells: DataFrame, pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
     """Tables of extracted pages as sheet cells: (doc, sheet_name, row_idx, col_idx, text).
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import FORMAT_BY_EXT
 from ..operators.config import render_config
+from ..operators.grids import column_names, records_table
 from ..operators.records import flatten_one_level, json_records
+from ..session import settle
 from ..sources import archives, configs, office, sinks, tabular
-from ..operators.tables import cells_to_rows, header_names
 
 # The formats a conversion may name.
 FORMATS = ["json", "yaml", "csv", "toml", "xlsx"]
@@ -23,9 +24,12 @@ def supported_formats() -> dict:
     return {
         "formats": FORMATS,
         "conversions": [[a, b] for a in FORMATS for b in FORMATS if a != b],
+        "readable": FORMATS,
+        "writable": sorted(OUTPUT_EXT),
         "notes": {
-            "csv_xlsx": "Best for flat records; nested data is flattened one level. xlsx is input only.",
-            "toml": "The top level must be a table; lists are wrapped under an 'items' key.",
+            "tables": "A struct becomes one column per field, arrays and deeper structs become JSON text.",
+            "toml": "Rows of a table are written as [[items]]; null fields are left out.",
+            "xlsx": "Workbooks are read, each under the header of its own sheet, and not written.",
         },
     }
 
@@ -65,12 +69,29 @@ def document_records(docs: DataFrame, schema: str | None = None) -> DataFrame:
     return rows.select(F.from_json(F.to_json("record"), schema).alias("r")).select("r.*")
 
 
-def _table(spark: SparkSession, path: str, fmt: str, sheet_name: str, delimiter: str, schema: str | None) -> DataFrame:
-    if fmt == "csv":
-        return tabular.read_csv(spark, path, delimiter, schema)
-    cells = office.xlsx_cells(archives.binary_corpus(spark, path), sheet_name)
-    text = cells_to_rows(cells, ["path"], header_names(cells)).drop("path", "row_idx")
-    return tabular.apply_types(text, tabular.infer_types(text))
+def workbooks_table(files: DataFrame, sheet_name: str | None) -> tuple[DataFrame, int, int]:
+    """The named sheet of all workbooks (``path``, ``content``) as one table, the columns of all headers together; how many
+    workbooks were read and how many not."""
+    grids = settle(office.sheet_grids(files, sheet_name), "sheets")
+    names = column_names(grids.filter("error is null"), ["path", "sheet_idx"])
+    done, failed = grids.select("path", F.col("error").isNull().alias("ok")).distinct().agg(
+        F.count_if("ok"), F.count_if(~F.col("ok"))).first()
+    text = records_table(office.sheet_records(grids), names)
+    if not names:
+        return text, done, failed
+    text = settle(text, "sheet-records")
+    return tabular.apply_types(text, tabular.infer_types(text)), done, failed
+
+
+def _rendered(data: DataFrame, target: str, path: str, mode: str) -> dict:
+    """Rows written as YAML list items or TOML tables; how many were, and how many cannot be."""
+    one = F.concat(F.lit("["), json_records(data), F.lit("]"))
+    seen = Observation("rendered")
+    rows = data.select(render_config(one, target).alias("r")).select("r.text", "r.error").observe(
+        seen, F.count("text").alias("done"), F.count("error").alias("failed"))
+    sinks.write_text(rows.filter("text is not null"), path, "text", mode)
+    found = seen.get
+    return {"rows_converted": found["done"], "rows_failed": found["failed"], "success": not found["failed"] or found["done"] > 0}
 
 
 def convert(
@@ -82,7 +103,8 @@ def convert(
     Tables become one record per line in JSON, list items in YAML and ``[[items]]`` in TOML: the
     part files, one after the other, are the whole document, so a table of any size is written by
     all tasks at once. Documents keep their nesting and are rendered one by one; those that cannot
-    be read are left out and counted as failed.
+    be read are left out and counted as failed. Workbooks may have different headers: the table has the
+    columns of all of them, by name; a workbook that cannot be read or has no such sheet is counted as failed.
     """
     source = input_format or infer_path_format(input_path)
     if source not in FORMATS:
@@ -94,14 +116,18 @@ def convert(
     report = {"success": True, "input_path": input_path, "output_path": output_path, "input_format": source,
               "output_format": target}
     if source in ("csv", "xlsx"):
-        data = _table(spark, input_path, source, sheet_name, delimiter, schema)
+        if source == "csv":
+            data = tabular.read_csv(spark, input_path, delimiter, schema)
+        else:
+            data, done, failed = workbooks_table(archives.binary_corpus(spark, input_path), sheet_name)
+            report = {**report, "files": done, "failed": failed}
+            if not done or not data.columns:
+                return {**report, "success": False, "error": f"No workbook has a header on a sheet named {sheet_name!r}."}
         if target == "csv":
             return {**report, "rows_converted": sinks.write_csv(data, output_path, delimiter, mode)}
         if target == "json":
             return {**report, "rows_converted": sinks.write_jsonl(data, output_path, mode)}
-        one = F.concat(F.lit("["), json_records(data), F.lit("]"))
-        sinks.write_text(data.select(render_config(one, target)["text"].alias("text")), output_path, "text", mode)
-        return report
+        return {**report, **_rendered(data, target, output_path, mode)}
 
     docs = _documents(spark, input_path, source)
     if target == "csv":

@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 from .. import streaming
 from ..functions.markup import xml_escape
 from ..functions.text import lines
-from ..operators import blocks, sequence, tables
+from ..operators import blocks, grids, sequence, tables
 from ..session import scratch_dir, settle
-from ..sources import archives, images, office, sqlite, tabular
+from ..sources import archives, images, office, sinks, sqlite, tabular
+from . import convert
 from . import sqltext as q
 from .registry import query, spread, table
 from .text_jobs import _blocks_sql
@@ -201,33 +202,72 @@ def src12(spark, sf_dir):
     return office.xlsx_cells(workbooks(spark, sf_dir))
 
 
-@query("src12_xlsx_table", "SELECT 'w' || c_custkey // 100 AS path, c_custkey AS id, c_name AS name, c_mktsegment || ' & co' AS seg FROM customer")
+@query("src12_xlsx_table", """
+SELECT 'w' || c_custkey // 100 AS path, c_custkey::VARCHAR AS id, c_name AS name, NULL::VARCHAR AS "Unnamed: 2", c_mktsegment || ' & co' AS seg FROM customer""")
 def src12_table(spark, sf_dir):
-    cells = office.xlsx_cells(workbooks(spark, sf_dir), "People & co")
-    rows = tables.cells_to_rows(cells, ["path"], ["id", "name", "gap", "seg"])
-    return rows.select("path", F.col("id").cast("bigint").alias("id"), "name", "seg")
+    sheets = settle(office.sheet_grids(workbooks(spark, sf_dir), "People & co"), "sheets")
+    return grids.records_table(office.sheet_records(sheets), grids.column_names(sheets, ["path", "sheet_idx"]), ["path"])
 
 
-def sheet_rows(spark, sf_dir):
-    cells = office.xlsx_cells(workbooks(spark, sf_dir), "People & co")
-    return tables.cells_to_rows(cells, ["path"], ["id", "name", "gap", "seg"]).drop("gap")
+@query("src12_all_sheets", """
+WITH c AS (SELECT *, 'w' || c_custkey // 100 AS path, (c_custkey % 100)::INTEGER AS i FROM customer),
+head AS (SELECT path, coalesce(max(CASE WHEN i = 0 THEN c_nationkey::VARCHAR END), 'Unnamed: 27') AS label FROM c GROUP BY path)
+SELECT path, 'People & co' AS sheet_name, i + 1 AS row_idx, 'id=' || c_custkey || ';name=' || c_name || ';seg=' || c_mktsegment || ' & co' AS record FROM c
+UNION ALL SELECT path, 'Nations', i, label || '=' || c_nationkey FROM c JOIN head USING (path) WHERE i > 0""")
+def src12_all(spark, sf_dir):
+    found = office.sheet_records(office.sheet_grids(workbooks(spark, sf_dir)))
+    fields = F.transform(F.map_entries("record"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("path", "sheet_name", "row_idx", F.array_join(fields, ";").alias("record"))
 
 
 @query("src12_xlsx_to_markdown", """
-SELECT 'w' || c_custkey // 100 AS path, 0::BIGINT AS part_no, '| id | name | seg |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
-  string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' & co |', chr(10) ORDER BY c_custkey) AS markdown, count(*)::BIGINT AS rows FROM customer GROUP BY c_custkey // 100""")
+SELECT 'w' || c_custkey // 100 AS path, 0::BIGINT AS part_no, '| id | name | Unnamed: 2 | seg |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) ||
+  string_agg('| ' || c_custkey || ' | ' || c_name || ' | nan | ' || c_mktsegment || ' & co |', chr(10) ORDER BY c_custkey) AS markdown, count(*)::BIGINT AS rows FROM customer GROUP BY c_custkey // 100""")
 def src12_markdown(spark, sf_dir):
-    return tables.to_markdown_table(sheet_rows(spark, sf_dir), ["path"], "row_idx", ["id", "name", "seg"])
+    return office.sheet_markdown(office.sheet_grids(workbooks(spark, sf_dir), "People & co")).drop("sheet_idx", "sheet_name")
 
 
 @query("src12_xlsx_to_html", """
 SELECT 'w' || c_custkey // 100 AS path, 0::BIGINT AS part_no, '<h2>People &amp; co</h2>' || chr(10) || '<table border=''1''>' || chr(10) ||
-  '<thead><tr><th>id</th><th>name</th><th>seg</th></tr></thead>' || chr(10) || '<tbody>' || chr(10) || string_agg('<tr><td>' || c_custkey || '</td><td>' || c_name ||
-  '</td><td>' || c_mktsegment || ' &amp; co</td></tr>', chr(10) ORDER BY c_custkey) || chr(10) || '</tbody>' || chr(10) || '</table>' AS html, count(*)::BIGINT AS rows
+  '<thead><tr><th>id</th><th>name</th><th>Unnamed: 2</th><th>seg</th></tr></thead>' || chr(10) || '<tbody>' || chr(10) || string_agg('<tr><td>' || c_custkey || '</td><td>' || c_name ||
+  '</td><td>NaN</td><td>' || c_mktsegment || ' &amp; co</td></tr>', chr(10) ORDER BY c_custkey) || chr(10) || '</tbody>' || chr(10) || '</table>' AS html, count(*)::BIGINT AS rows
 FROM customer GROUP BY c_custkey // 100""")
 def src12_html(spark, sf_dir):
-    rows = settle(sheet_rows(spark, sf_dir), "sheet")
-    return tables.to_html_table(rows, ["path"], "row_idx", ["id", "name", "seg"], F.lit("People & co"))
+    return office.sheet_html(office.sheet_grids(workbooks(spark, sf_dir), "People & co")).drop("sheet_idx", "sheet_name")
+
+
+def mixed_workbooks(spark, sf_dir):
+    """The workbooks of customers, and one for each nation with a header of other names, order and case, and a repeated one."""
+    cell = lambda ref, text: f"'<c r=\"{ref}\" t=\"inlineStr\"><is><t>', {text}, '</t></is></c>'"
+    head = f"concat('<row r=\"1\">', {cell('A1', repr('NAME'))}, {cell('C1', repr('region'))}, {cell('D1', repr('Region'))}, '</row>')"
+    body = f"concat('<row r=\"2\">', {cell('A2', 'n_name')}, {cell('B2', repr('b'))}, {cell('C2', 'n_regionkey')}, {cell('D2', repr('x'))}, '</row>')"
+    sheet = F.expr(f"concat('<worksheet xmlns=\"m\"><sheetData>', {head}, {body}, '</sheetData></worksheet>')")
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("x"), F.col("n_nationkey")).alias("path"), zip_parts(parts_map(**{
+        "xl/workbook.xml": F.lit(WORKBOOK), "xl/_rels/workbook.xml.rels": F.lit(WORKBOOK_RELS), "xl/worksheets/sheet1.xml": sheet})).alias("content"))
+    broken = spark.createDataFrame([("y", b"no workbook")], "path string, content binary")
+    return workbooks(spark, sf_dir).unionByName(nations).unionByName(broken)
+
+
+MIXED = """
+SELECT c_custkey AS id, c_name AS name, NULL::{0} AS "Unnamed: 2", c_mktsegment || ' & co' AS seg, NULL::VARCHAR AS "Unnamed: 1", NULL::BIGINT AS region, NULL::VARCHAR AS "Region.1" FROM customer
+UNION ALL SELECT NULL, n_name, NULL, NULL, 'b', n_regionkey, 'x' FROM nation"""
+
+
+@query("snk10_convert_xlsx_to_csv", MIXED.format("VARCHAR"))
+def snk10_xlsx_csv(spark, sf_dir):
+    path = scratch_dir(spark, "convert")
+    data, _, _ = convert.workbooks_table(mixed_workbooks(spark, sf_dir), "People & co")
+    sinks.write_csv(data, path)
+    kinds = {"id": "bigint", "region": "bigint"}
+    return spark.read.csv(path, header=True, schema=", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in data.columns))
+
+
+@query("snk10_convert_xlsx_to_json", MIXED.format("DOUBLE"))
+def snk10_xlsx_json(spark, sf_dir):
+    path = scratch_dir(spark, "convert")
+    data, _, _ = convert.workbooks_table(mixed_workbooks(spark, sf_dir), "People & co")
+    sinks.write_jsonl(data, path)
+    return tabular.read_jsonl(spark, path, data.schema).select(*[F.col(f"`{c}`") for c in data.columns])
 
 
 # ---------------------------------------------------------------------------- Word documents

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions.text import markdown_to_text
-from ..operators import config, ordered, records, reports, sequence, tables
-from ..session import scratch_dir
+from ..operators import config, grids, ordered, records, reports, sequence, tables
+from ..session import scratch_dir, settle
 from ..sources import configs, sinks, tabular
 from . import convert
 from . import sqltext as q
@@ -139,6 +139,24 @@ def src04(spark, sf_dir):
     ).select("id", "name", "nation", "balance")
 
 
+@query("src04_tag_per_file", """
+WITH c AS (SELECT *, c_custkey // 500 AS grp FROM customer)
+SELECT c_custkey::VARCHAR AS id, c_name AS name, NULL::VARCHAR AS seg, NULL::VARCHAR AS error FROM c WHERE grp % 3 = 0
+UNION ALL SELECT c_custkey::VARCHAR, NULL, c_mktsegment, NULL FROM c WHERE grp % 3 = 1
+UNION ALL SELECT NULL, NULL, NULL, 'XML root has no children to flatten into rows.' FROM (SELECT DISTINCT grp FROM c WHERE grp % 3 = 2)""")
+def src04_tags(spark, sf_dir):
+    kind = F.col("grp") % 3
+    one = F.when(kind == 0, F.expr("concat('<rec id=\"', c_custkey, '\"><name>', c_name, '</name></rec>')")).when(
+        kind == 1, F.expr("concat('<x:entry xmlns:x=\"u\"><id>', c_custkey, '</id><seg>', c_mktsegment, '</seg></x:entry>')")).otherwise("")
+    rows = customer_tables(spark, sf_dir).withColumn("xml", one)
+    docs = ordered.glue_parts(rows, ["grp"], "pos", "xml", "\n", first=0).select("grp", F.concat(
+        F.lit("<?xml version='1.0'?><!-- <rec> and <entry> -->\n<data>"), F.col("text"), F.lit("</data>")).alias("value"))
+    path = scratch_dir(spark, "xml-tags")
+    docs.write.partitionBy("grp").text(path)
+    done = tabular.xml_corpus_records(spark, path)
+    return done.rows.select("id", "name", "seg").unionByName(done.errors.select("error"), allowMissingColumns=True)
+
+
 @query("snk04_write_xml", f"""
 SELECT c_custkey, {q.lit(markup.XML_DECLARATION)} || '<customer><id>' || c_custkey || '</id><name>' || c_name || ' &amp; &lt;co&gt;</name>' ||
   '<tags><item>' || c_mktsegment || '</item><item>None</item></tags><rich>' || CASE WHEN c_acctbal > 0 THEN 'True' ELSE 'False' END || '</rich></customer>' AS xml FROM customer""")
@@ -387,10 +405,45 @@ def src11(spark, sf_dir):
     return tables.html_table_cells(html_docs(spark, sf_dir), ["grp"])
 
 
-@query("src11_cells_to_rows", "SELECT c_custkey // 500 AS grp, c_custkey::VARCHAR AS id, c_name AS name FROM customer")
+@query("src11_cells_to_rows", "SELECT c_custkey // 500 AS grp, c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment || ' & \"co\"' AS seg FROM customer")
 def src11_rows(spark, sf_dir):
-    cells = tables.html_table_cells(html_docs(spark, sf_dir), ["grp"])
-    return tables.cells_to_rows(cells, ["grp", "table_idx"], ["id", "name"]).select("grp", "id", "name")
+    found = tables.html_table_grids(html_docs(spark, sf_dir), ["grp"])
+    rows = grids.grid_records(found, ["grp", "table_idx"], F.col("first_row"))
+    return grids.records_table(rows, grids.column_names(found, ["grp", "table_idx"]), ["grp"])
+
+
+def spanned_pages(spark, sf_dir):
+    """A page per customer: a header of two rows with cells over rows and columns, a table inside a cell, line breaks."""
+    parts = (
+        "'<p>x</p><table><thead><tr><th rowspan=2>k</th><th colspan=\"2\">who</th></tr><tr><th>first<br/>part</th><th>rest</th></tr></thead><tr><td>', c_custkey, "
+        "'<td>in<TABLE><tr><td ROWSPAN=\"3\">', c_nationkey, '</td><td>z</td></tr></TABLE>after</td><td> New <b>York</b> &amp;\n\n ', c_mktsegment, "
+        "'</td></tr><tr><td colspan=3>end</table><table><tr><td>a<td>b</table></table>'")
+    return customers(spark, sf_dir).select("c_custkey", F.expr(f"concat({parts})").alias("html"))
+
+
+@query("src11_html_spans", """
+WITH c AS (SELECT *, c_nationkey::VARCHAR AS nk FROM customer),
+cells AS (SELECT c_custkey, unnest([
+  {'t': 0, 'r': 0, 'c': 0, 'x': 'k', 'h': true}, {'t': 0, 'r': 0, 'c': 1, 'x': 'who', 'h': true}, {'t': 0, 'r': 0, 'c': 2, 'x': 'who', 'h': true},
+  {'t': 0, 'r': 1, 'c': 0, 'x': 'k', 'h': true}, {'t': 0, 'r': 1, 'c': 1, 'x': 'first part', 'h': true}, {'t': 0, 'r': 1, 'c': 2, 'x': 'rest', 'h': true},
+  {'t': 0, 'r': 2, 'c': 0, 'x': c_custkey::VARCHAR, 'h': false}, {'t': 0, 'r': 2, 'c': 1, 'x': 'in' || nk || 'zafter', 'h': false}, {'t': 0, 'r': 2, 'c': 2, 'x': 'New York &  ' || c_mktsegment, 'h': false},
+  {'t': 0, 'r': 3, 'c': 0, 'x': 'end', 'h': false}, {'t': 0, 'r': 3, 'c': 1, 'x': 'end', 'h': false}, {'t': 0, 'r': 3, 'c': 2, 'x': 'end', 'h': false},
+  {'t': 1, 'r': 0, 'c': 0, 'x': nk, 'h': false}, {'t': 1, 'r': 0, 'c': 1, 'x': 'z', 'h': false}, {'t': 1, 'r': 1, 'c': 0, 'x': nk, 'h': false}, {'t': 1, 'r': 2, 'c': 0, 'x': nk, 'h': false},
+  {'t': 2, 'r': 0, 'c': 0, 'x': 'a', 'h': false}, {'t': 2, 'r': 0, 'c': 1, 'x': 'b', 'h': false}]) AS s FROM c)
+SELECT c_custkey, 3::BIGINT AS tables_found, s.t::INTEGER AS table_idx, s.r::INTEGER AS row_idx, s.c::INTEGER AS col_idx, s.x AS text, s.h AS is_header FROM cells""")
+def src11_spans(spark, sf_dir):
+    return tables.html_table_cells(spread(spanned_pages(spark, sf_dir)), ["c_custkey"])
+
+
+@query("src11_html_records", """
+SELECT c_custkey, 0 AS table_idx, c_custkey::VARCHAR AS k, 'in' || c_nationkey || 'zafter' AS "who first part", 'New York &  ' || c_mktsegment AS "who rest", NULL::VARCHAR AS "0", NULL::VARCHAR AS "1" FROM customer
+UNION ALL SELECT c_custkey, 0, 'end', 'end', 'end', NULL, NULL FROM customer
+UNION ALL SELECT c_custkey, 1, NULL, NULL, NULL, c_nationkey::VARCHAR, CASE WHEN i = 0 THEN 'z' END FROM customer, range(3) r(i)
+UNION ALL SELECT c_custkey, 2, NULL, NULL, NULL, 'a', 'b' FROM customer""")
+def src11_records(spark, sf_dir):
+    found = settle(tables.html_table_grids(spread(spanned_pages(spark, sf_dir)), ["c_custkey"]), "html-grids")
+    rows = grids.grid_records(found, ["c_custkey", "table_idx"], F.col("first_row"))
+    return grids.records_table(rows, grids.column_names(found, ["c_custkey", "table_idx"]), ["c_custkey", "table_idx"])
 
 
 @query("prj05_nth_table", """
@@ -405,11 +458,8 @@ def prj05(spark, sf_dir):
         lambda i: F.concat(F.lit("<TABLE class='x'><tr><th> <b>t"), i, F.lit("</b> of "), F.col("page_id"), F.lit("</th></tr><tr><td>"),
                            F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</td></tr></TABLE>")))
     some = F.array_join(F.slice(made, 1, (F.col("page_id") % 4).cast("int")), "<p>x</p>")
-    # a space would be lost between the bold text and what follows it
-    html = F.concat(F.col("html"), F.replace(some, F.lit("</b> of "), F.lit(" of </b>")))
-    done = tables.nth_table(pages.select("page_id", html.alias("html")), ["page_id"], 1)
-    fixed = done.rows.withColumn("text", F.regexp_replace("text", r"of(\d)", "of $1"))
-    return fixed.unionByName(done.errors, allowMissingColumns=True)
+    done = tables.nth_table(pages.select("page_id", F.concat("html", some).alias("html")), ["page_id"], 1)
+    return done.rows.unionByName(done.errors, allowMissingColumns=True)
 
 
 @query("prj05_pick_table", f"""

@@ -15,6 +15,7 @@ from ..functions.names import stem
 from ..functions.text import html_escape as text_escape
 from ..functions.text import strip
 from ..operators.blocks import block_line
+from ..operators.grids import grid_html, grid_markdown, grid_records, sheet_labels
 from ..operators.ordered import PART_ROWS, glue_framed, glue_parts, unnest
 from .archives import archive_texts
 
@@ -78,13 +79,29 @@ def _column_index(ref: Column) -> Column:
     return F.aggregate(letters, F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 64) - 1
 
 
-def xlsx_cells(workbooks: DataFrame, sheet_name: str | None = None) -> DataFrame:
-    """Cells of all sheets, or of the named one: (path, sheet_idx, sheet_name, row_idx, col_idx, text).
+def _sheet_rows(xml: Column, shared: Column) -> Column:
+    """A worksheet as a grid. Rows and cells that name no place follow the one before them."""
 
-    Row and column indexes count from zero and keep the gaps of sparse sheets. A workbook that
-    cannot be read is left out here and listed by :func:`unreadable`.
-    """
-    books = _readable(workbooks, "xlsx")
+    def cell(c: Column, i: Column) -> Column:
+        v, kind = c["v"], c["_t"]
+        text = (
+            F.when(kind == "s", F.try_element_at(shared, v.try_cast("int") + 1))
+            .when(kind == "inlineStr", _rich(c["is"]))
+            .when(kind == "b", F.when(v == "1", "True").otherwise("False"))
+            .otherwise(v)
+        )
+        place = F.when(c["_r"].isNotNull(), _column_index(c["_r"])).otherwise(i)
+        return F.struct(place.alias("col_idx"), text.alias("text"))
+
+    def row(r: Column, i: Column) -> Column:
+        cells = F.transform(F.coalesce(r["c"], F.array()), cell)
+        return F.struct((F.coalesce(r["_r"], i + 1) - 1).alias("row_idx"), F.filter(cells, lambda c: c["text"].isNotNull()).alias("cells"))
+
+    return F.transform(F.coalesce(F.from_xml(xml, _SHEET, _XML)["sheetData"]["row"], F.array()), row)
+
+
+def _sheets(workbooks: DataFrame, keep: list[str]) -> DataFrame:
+    """(path, sheet_idx, sheet, ...) of readable workbooks, all sheets in order; no rows are parsed yet."""
     # r:id has the only prefixed attribute name that ends in id
     sheet_tag = r'<(?:\w+:)?sheet\s[^>]*>'
     tags = F.regexp_extract_all(_part("xl/workbook.xml"), F.lit(sheet_tag), F.lit(0))
@@ -97,30 +114,60 @@ def xlsx_cells(workbooks: DataFrame, sheet_name: str | None = None) -> DataFrame
         ),
     )
     shared = F.transform(F.from_xml(_part("xl/sharedStrings.xml"), _STRINGS, _XML)["si"], _rich)
-    opened = books.select(
-        "path", "parts", shared.alias("shared"), _relations("xl/_rels/workbook.xml.rels", "xl/").alias("rels"),
-        sheets.alias("sheets"),
+    return workbooks.select(
+        *keep, "parts", shared.alias("shared"), _relations("xl/_rels/workbook.xml.rels", "xl/").alias("rels"),
+        F.transform(sheets, lambda s, i: F.struct(i.alias("idx"), s["name"].alias("name"), s["rid"].alias("rid"))).alias("sheets"),
     )
-    listed = unnest(opened, ["path", "parts", "shared", "rels"], "sheets", "sheet_idx", "sheet")
+
+
+def sheet_grids(workbooks: DataFrame, sheet_name: str | None = None) -> DataFrame:
+    """Sheets as grids: (path, sheet_idx, sheet_name, labels, grid, error), one row per sheet.
+
+    All sheets, or the one named. A workbook that cannot be read, or has no such sheet, is one row with an error.
+    The labels are those of the sheet's own first row, see :mod:`..operators.grids`.
+    """
+    opened = _sheets(_opened(workbooks, "xlsx"), ["path", "error"])
+    wanted = F.col("sheets") if sheet_name is None else F.filter("sheets", lambda s: s["name"] == sheet_name)
+    listed = opened.select("path", "error", "parts", "shared", "rels", F.explode_outer(wanted).alias("sheet"))
+    xml = F.try_element_at("parts", F.try_element_at("rels", F.col("sheet.rid")))
+    missing = F.lit("The workbook has no sheet." if sheet_name is None else f"The workbook has no sheet named {sheet_name!r}.")
+    grids = listed.select(
+        "path", F.col("sheet.idx").alias("sheet_idx"), F.col("sheet.name").alias("sheet_name"),
+        F.when(F.col("sheet").isNotNull(), _sheet_rows(xml, F.col("shared"))).alias("grid"),
+        F.coalesce("error", F.when(F.col("sheet").isNull(), missing)).alias("error"))
+    return grids.withColumn("labels", sheet_labels(F.col("grid"))).select("path", "sheet_idx", "sheet_name", "labels", "grid", "error")
+
+
+def sheet_records(grids: DataFrame) -> DataFrame:
+    """Records of sheets under their own headers: (path, sheet_idx, sheet_name, row_idx, record)."""
+    return grid_records(grids.filter("error is null"), ["path", "sheet_idx", "sheet_name"])
+
+
+def sheet_markdown(grids: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Sheets as Markdown tables: (path, sheet_idx, sheet_name, part_no, markdown, rows)."""
+    return grid_markdown(grids.filter("error is null"), ["path", "sheet_idx", "sheet_name"], part_rows=part_rows)
+
+
+def sheet_html(grids: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Sheets as HTML tables headed by their names: (path, sheet_idx, sheet_name, part_no, html, rows)."""
+    return grid_html(grids.filter("error is null"), ["path", "sheet_idx", "sheet_name"], F.col("sheet_name"), part_rows=part_rows)
+
+
+def xlsx_cells(workbooks: DataFrame, sheet_name: str | None = None) -> DataFrame:
+    """Cells of all sheets, or of the named one: (path, sheet_idx, sheet_name, row_idx, col_idx, text).
+
+    Row and column indexes count from zero and keep the gaps of sparse sheets. A workbook that
+    cannot be read is left out here and listed by :func:`unreadable`.
+    """
+    opened = _sheets(_readable(workbooks, "xlsx"), ["path"])
+    listed = unnest(opened, ["path", "parts", "shared", "rels"], "sheets", "__s", "sheet")
     if sheet_name is not None:
         listed = listed.filter(F.col("sheet.name") == sheet_name)
     xml = F.try_element_at("parts", F.try_element_at("rels", F.col("sheet.rid")))
-    named = F.col("sheet.name").alias("sheet_name")
-    rows = unnest(
-        listed, ["path", "sheet_idx", named, "shared"], F.from_xml(xml, _SHEET, _XML)["sheetData"]["row"], "__r", "row"
-    )
-    cells = unnest(rows, ["path", "sheet_idx", "sheet_name", "shared", "row._r"], "row.c", "__c", "c")
-    v, kind = F.col("c.v"), F.col("c._t")
-    text = (
-        F.when(kind == "s", F.try_element_at("shared", v.try_cast("int") + 1))
-        .when(kind == "inlineStr", _rich(F.col("c.is")))
-        .when(kind == "b", F.when(v == "1", "True").otherwise("False"))
-        .otherwise(v)
-    )
-    return cells.select(
-        "path", "sheet_idx", "sheet_name", (F.col("_r") - 1).alias("row_idx"),
-        _column_index(F.col("c._r")).alias("col_idx"), text.alias("text"),
-    ).filter(F.col("text").isNotNull())
+    sheet = ["path", F.col("sheet.idx").alias("sheet_idx"), F.col("sheet.name").alias("sheet_name")]
+    rows = unnest(listed, sheet, _sheet_rows(xml, F.col("shared")), "__r", "row")
+    cells = unnest(rows, ["path", "sheet_idx", "sheet_name", "row.row_idx"], "row.cells", "__c", "c")
+    return cells.select("path", "sheet_idx", "sheet_name", "row_idx", F.col("c.col_idx").alias("col_idx"), F.col("c.text").alias("text"))
 
 
 def unreadable(files: DataFrame, kind: str | None = None) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import strip
+from ..functions.text import quoted, strip
+from ..operators.records import union_records
+from ..operators.sequence import Outcome
+from ..session import settle
 
 # Cell texts read as missing.
 NA_TOKENS = [
@@ -21,7 +28,7 @@ _NUMBER = r"(?i)^\s*[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf|infi
 
 
 def _na_to_null(name: str) -> Column:
-    col = F.col(f"`{name}`")
+    col = F.col(quoted(name))
     return F.when(~col.isin(*NA_TOKENS), col).alias(name)
 
 
@@ -34,7 +41,7 @@ def infer_types(df: DataFrame) -> T.StructType:
     booleans, else text. The single result row holds two counters per column and kind."""
     aggs = []
     for i, c in enumerate(df.columns):
-        col = F.col(f"`{c}`")
+        col = F.col(quoted(c))
         aggs += [
             F.count(col).alias(f"n{i}"),
             # patterns first: a cast that fails is far slower than a pattern that does not match
@@ -64,7 +71,7 @@ def apply_types(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Text columns to the wanted types; text that does not fit becomes null, never a failed job."""
     cols = []
     for f in schema.fields:
-        col = F.col(f"`{f.name}`")
+        col = F.col(quoted(f.name))
         value = _bool(col) if isinstance(f.dataType, T.BooleanType) else col.try_cast(f.dataType)
         cols.append(value.alias(f.name))
     return df.select(*cols)
@@ -125,15 +132,65 @@ def parse_jsonl(lines: DataFrame, schema: str, line: str = "value") -> DataFrame
     return kept.select(*rest, F.from_json(line, wanted, options).alias("__r")).select(*rest, "__r.*")
 
 
-def default_record_tag(spark: SparkSession, path: str) -> str:
-    """Local name of the root's first child, from one file of the corpus."""
-    one = spark.read.text(path, wholetext=True).select(
-        F.xpath_string("value", F.lit("local-name(/*/*[1])")).alias("tag")
-    )
-    tag = one.first()["tag"]
-    if not tag:
-        raise ValueError("XML root has no children to flatten into rows.")
-    return tag
+def _first_tags(pieces: Iterator[str]) -> tuple[str | None, str | None]:
+    """Names of the root and of its first child in XML cut after each ``>``; comments, CDATA, instructions and the document type count for none."""
+    root, until = None, None
+    for piece in pieces:
+        if until is not None:  # inside something that may hold any mark
+            if piece.endswith(until):
+                until = None
+            continue
+        at = piece.find("<")
+        if at < 0:
+            continue
+        mark = piece[at + 1:]
+        for opening, closing in (("!--", "--"), ("![CDATA[", "]]"), ("?", "?"), ("!DOCTYPE", "]")):
+            if mark.startswith(opening):
+                inner = mark[len(opening):]
+                whole = "[" not in inner if opening == "!DOCTYPE" else inner.endswith(closing)
+                until = None if whole or inner.rstrip().endswith(closing) else closing
+                break
+        else:
+            if mark.startswith("/"):
+                return root, None
+            words = mark.split(None, 1)
+            name = words[0].rstrip("/").rpartition(":")[2] if words else ""
+            if root is not None:
+                return root, name
+            root = name
+            if mark.endswith("/"):
+                return root, None
+    return root, None
+
+
+# Fixed value: what an XML file without records gives.
+NO_RECORDS = "XML root has no children to flatten into rows."
+
+
+def record_tags(spark: SparkSession, path: str) -> DataFrame:
+    """The inventory of an XML corpus: (file, tag, error), the tag being the local name of the root's first child.
+
+    Files of any size: only the part of a file before its second split is looked at, tag by tag and only up to the child.
+    Files without a single byte are no input to Spark's readers and have no row.
+    """
+    import pyarrow as pa
+
+    # the path of a file comes as a URI
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file")
+    pieces = spark.read.option("lineSep", ">").option("recursiveFileLookup", True).text(path).select(
+        file, "value", F.col("_metadata.file_block_start").alias("at")).filter("at = 0").select("file", "value")
+
+    def first_tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[str, str]]:
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+        for file, own in itertools.groupby(rows(), key=lambda r: r[0]):
+            root, tag = _first_tags(value for _, value in own)
+            error = None if tag else NO_RECORDS if root else "not an XML document"
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (file, tag, error)], ["file", "tag", "error"])
+
+    return pieces.mapInArrow(first_tags, "file string, tag string, error string")
 
 
 def _own_text(col: Column, kind: T.DataType) -> Column:
@@ -150,35 +207,61 @@ def _own_text(col: Column, kind: T.DataType) -> Column:
     return F.when(col.isNotNull(), strip(F.coalesce(inner, F.lit(""))))
 
 
-def read_xml_records(
-    spark: SparkSession, path: str, record_tag: str | None = None, schema: str | None = None
-) -> DataFrame:
-    """Repeating elements as rows of text columns: attributes and the direct children's own text; of
-    an attribute and a child with the same name the child stands.
-
-    Files are split at the record tag, so one huge file is read by many tasks. Give ``schema`` (all
-    STRING fields for plain children and attributes) to spare the pass that finds the columns.
-    """
+def _tagged_records(spark: SparkSession, paths: str | list[str], record_tag: str, schema: str | None) -> DataFrame:
     mark = "@"
     reader = (
-        spark.read.format("xml").option("rowTag", record_tag or default_record_tag(spark, path))
+        spark.read.format("xml").option("rowTag", record_tag)
         .option("attributePrefix", mark).option("valueTag", "_text").option("inferSchema", False)
         .option("ignoreNamespace", True)
     )
     if schema:
         wanted = T.StructType.fromDDL(schema)
         both = T.StructType(wanted.fields + [T.StructField(mark + f.name, T.StringType()) for f in wanted])
-        raw = reader.schema(both).load(path)
+        raw = reader.schema(both).load(paths)
     else:
-        raw = reader.load(path)
+        raw = reader.load(paths)
     have = {f.name: f.dataType for f in raw.schema.fields if f.name != "_text"}
     names = list(dict.fromkeys(n.removeprefix(mark) for n in have))
     cols = []
     for n in names:
-        found = [_own_text(F.col(f"`{c}`"), have[c]) for c in (n, mark + n) if c in have]
+        found = [_own_text(F.col(quoted(c)), have[c]) for c in (n, mark + n) if c in have]
         cols.append(F.coalesce(*found).alias(n))
     return raw.select(*cols)
 
 
+def xml_corpus_records(spark: SparkSession, path: str, schema: str | None = None) -> Outcome:
+    """Records of a corpus of XML files, each by the tag of its own root's first child; errors (file, error).
+
+    One splittable read for every distinct tag, over its files only; the columns of all reads together, by name. The list of a
+    tag's files goes to the reader, which lists the files it reads in any case.
+    """
+    tags = settle(record_tags(spark, path), "xml-tags")
+    errors = tags.filter("error is not null").select("file", "error")
+    good = tags.filter("tag is not null")
+    reads = []
+    for tag in [r["tag"] for r in good.select("tag").distinct().orderBy("tag").toLocalIterator()]:
+        # names are patterns to the reader
+        files = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["file"]) for r in good.filter(F.col("tag") == tag).select("file").orderBy("file").toLocalIterator()]
+        reads.append(_tagged_records(spark, files, tag, schema))
+    if not reads:
+        return Outcome(spark.createDataFrame([], T.StructType.fromDDL(schema) if schema else T.StructType()), errors)
+    return Outcome(union_records(*reads), errors)
+
+
+def read_xml_records(
+    spark: SparkSession, path: str, record_tag: str | None = None, schema: str | None = None
+) -> DataFrame:
+    """Repeating elements as rows of text columns: attributes and the direct children's own text; of
+    an attribute and a child with the same name the child stands.
+
+    Files are split at the record tag, so one huge file is read by many tasks. Without a tag each file has its own, see
+    :func:`xml_corpus_records`, which also lists the files without records. Give ``schema`` (all
+    STRING fields for plain children and attributes) to spare the pass that finds the columns.
+    """
+    if record_tag is None:
+        return xml_corpus_records(spark, path, schema).rows
+    return _tagged_records(spark, path, record_tag, schema)
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -1,6 +1,7 @@
 import json
 import sqlite3
 import struct
+import zipfile
 import zlib
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reamwork.operators import records, tables
 from reamwork.plans import convert
-from reamwork.sources import images, sinks, sqlite, tabular
+from reamwork.sources import archives, images, office, sinks, sqlite, tabular
 
 RECORDS = "id bigint, name string, score double, active boolean, tags array<string>, addr struct<city string, zip string>"
 
@@ -81,14 +82,82 @@ XML = """<data xmlns="u" xmlns:p="v"><rec id="1" k="a"><name> n1 </name><v>1</v>
 
 def test_xml_records(spark, tmp_path):
     (tmp_path / "a.xml").write_text(XML)
-    assert tabular.default_record_tag(spark, str(tmp_path)) == "rec"
+    assert [(r.tag, r.error) for r in tabular.record_tags(spark, str(tmp_path)).collect()] == [("rec", None)]
     got = {r.id: r.asDict() for r in tabular.read_xml_records(spark, str(tmp_path)).collect()}
     assert got["1"]["v"] == "007" and got["1"]["w"] == "t" and got["1"]["k"] == "a" and got["1"]["name"] == "n1"
     assert got["2"]["sub"] == "own" and got["2"]["k"] is None
-    (tmp_path / "empty").mkdir()
-    (tmp_path / "empty" / "e.xml").write_text("<data/>")
-    with pytest.raises(ValueError):
-        tabular.default_record_tag(spark, str(tmp_path / "empty"))
+
+
+def test_every_xml_file_has_its_own_tag(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "sub +x").mkdir(parents=True)
+    (folder / "a.xml").write_text("<?xml version='1.0'?><!-- <no> --><!DOCTYPE d [<!ELEMENT d (r)>]>\n<d><r><a>1</a></r><r><a>2</a></r></d>")
+    (folder / "sub +x" / "b c.xml").write_text("<d xmlns:q='u'><!-- > --><![CDATA[<r>]]><q:s b='3'><a>4</a></q:s></d>")
+    (folder / "none.xml").write_text("<d/>")
+    (folder / "text.xml").write_text("<d>only text</d>")
+    (folder / "bare.xml").write_text("no markup")
+    (folder / "empty.xml").write_text("")
+    done = tabular.xml_corpus_records(spark, str(folder))
+    assert sorted((r.a, r.b) for r in done.rows.collect()) == [("1", None), ("2", None), ("4", "3")]
+    assert {r.file.rsplit("/", 1)[1]: r.error for r in done.errors.collect()} == {
+        "none.xml": tabular.NO_RECORDS, "text.xml": tabular.NO_RECORDS, "bare.xml": "not an XML document"}
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "e.xml").write_text("<data/>")
+    none = tabular.xml_corpus_records(spark, str(tmp_path / "e"))
+    assert none.rows.count() == 0 and none.errors.count() == 1
+
+
+def test_tags_of_an_xml_file_in_many_splits(spark, tmp_path):
+    body = "".join(f"<rec><n>{i}</n></rec>" for i in range(4_000))
+    (tmp_path / "big.xml").write_text(f"<!-- {'<rec2>' * 300} --><d>{body}</d>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert [r.tag for r in tabular.record_tags(spark, str(tmp_path)).collect()] == ["rec"]
+        assert sorted(int(r.n) for r in tabular.read_xml_records(spark, str(tmp_path)).collect()) == list(range(4_000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def workbook(path, sheets):
+    """A workbook of sheets {name: {cell: text}}."""
+    names = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets))
+    rels = "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets)))
+    with zipfile.ZipFile(path, "w") as box:
+        box.writestr("xl/workbook.xml", f'<workbook xmlns="m" xmlns:r="r"><sheets>{names}</sheets></workbook>')
+        box.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="p">{rels}</Relationships>')
+        for i, cells in enumerate(sheets.values()):
+            rows = {}
+            for ref, text in cells.items():
+                rows.setdefault(int(ref.lstrip("ABCDEFGHIJ")), []).append(f'<c r="{ref}" t="inlineStr"><is><t>{text}</t></is></c>')
+            body = "".join(f'<row r="{r}">{"".join(c)}</row>' for r, c in sorted(rows.items()))
+            box.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="m"><sheetData>{body}</sheetData></worksheet>')
+
+
+def test_workbooks_of_different_headers_are_converted(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    workbook(folder / "a.xlsx", {"Sheet1": {"A1": "id", "C1": "name", "A2": "1", "B2": "X", "C2": "ann", "A4": "2"}, "More": {"A1": "z", "A2": "9"}})
+    workbook(folder / "b.xlsx", {"Sheet1": {"A1": "city", "B1": "pop", "A2": "rome", "B2": "5", "A3": "bonn", "B3": "7"}})
+    workbook(folder / "c.xlsx", {"Other": {"A1": "lost"}})
+    (folder / "d.xlsx").write_bytes(b"broken")
+    done = convert.convert(spark, str(folder), "csv", f"{tmp_path}/csv", input_format="xlsx")
+    assert (done["success"], done["files"], done["failed"], done["rows_converted"]) == (True, 2, 2, 4)
+    got = spark.read.option("header", True).csv(f"{tmp_path}/csv")
+    assert got.columns == ["id", "Unnamed: 1", "name", "city", "pop"]
+    want = [("1", "X", "ann", None, None), ("2", None, None, None, None), (None, None, None, "bonn", "7"), (None, None, None, "rome", "5")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    convert.convert(spark, str(folder), "json", f"{tmp_path}/json", input_format="xlsx")
+    lines = sorted(r.value for r in spark.read.text(f"{tmp_path}/json").collect())
+    assert '{"id":1,"Unnamed: 1":"X","name":"ann","city":null,"pop":null}' in lines and len(lines) == 4
+    done = convert.convert(spark, str(folder), "toml", f"{tmp_path}/toml", input_format="xlsx")
+    assert (done["rows_converted"], done["rows_failed"], done["failed"]) == (4, 0, 2)
+    missing = convert.convert(spark, str(folder), "csv", f"{tmp_path}/no", input_format="xlsx", sheet_name="None such")
+    assert not missing["success"] and missing["failed"] == 4
+    sheets = office.sheet_grids(archives.binary_corpus(spark, str(folder)))
+    text = {(r.path.rsplit("/", 1)[1], r.sheet_name): r.markdown for r in office.sheet_markdown(sheets, part_rows=1).filter("part_no = 0").collect()}
+    assert text["a.xlsx", "More"] == "| z |\n| --- |\n| 9 |" and text["c.xlsx", "Other"] == "| lost |\n| --- |\n"
+    assert text["b.xlsx", "Sheet1"] == "| city | pop |\n| --- | --- |\n| rome | 5 |"
 
 
 def test_xml_sink_wraps_arrays(spark, tmp_path, people):
