@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from ..functions.text import quoted, strip
 from ..operators.records import union_records
 from ..operators.sequence import Outcome
-from ..session import settle
+from ..session import scratch_dir, settle
+from .splits import csv_records, json_elements
 
 # Cell texts read as missing.
 NA_TOKENS = [
@@ -77,31 +78,71 @@ def apply_types(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
+def _csv_texts(spark: SparkSession, path: str, delimiter: str, quoted_newlines: bool) -> DataFrame:
+    options = {"sep": delimiter, "quote": '"', "escape": '"'}
+    reader = spark.read.options(header=True, enforceSchema=False, multiLine=quoted_newlines, **options)
+    raw = reader.csv(path)  # of a file's first record only
+    if not quoted_newlines or len(spark.read.text(path).columns) > 1:  # columns from folder names need Spark's own reader
+        return raw
+    places = ", ".join(f"_c{i} string" for i in range(len(raw.columns)))
+    parsed = csv_records(spark, path).filter("text <> ''").select("first", "text", F.from_csv("text", F.lit(places), options).alias("r"))
+    head = F.from_csv(F.lit(_csv_line(raw.columns, delimiter)), F.lit(places), options)
+    wrong = F.raise_error(F.concat(F.lit("CSV files with different headers: "), F.col("text"), F.lit(" is not "), F.to_csv(head, options)))
+    # repeated and empty names are given other ones by the reader, so only the first record that is no data can be wrong
+    names = F.transform(F.array(*[F.col(f"r._c{i}") for i in range(len(raw.columns))]), lambda x, i: F.coalesce(x, F.concat(F.lit("_c"), i.cast("string"))))
+    plain = F.forall(F.zip_with(names, F.array(*[F.lit(c) for c in raw.columns]), lambda a, b: F.startswith(b, a)), lambda ok: F.coalesce(ok, F.lit(False)))
+    body = parsed.filter(F.when(F.col("first"), F.when(plain, False).otherwise(wrong.cast("boolean"))).otherwise(True))
+    return body.select(*[F.col(f"r._c{i}").alias(c) for i, c in enumerate(raw.columns)])
+
+
+def _csv_line(names: list[str], delimiter: str) -> str:
+    return delimiter.join('"' + n.replace('"', '""') + '"' for n in names)
+
+
 def read_csv(
     spark: SparkSession, path: str, delimiter: str = ",", schema: T.StructType | str | None = None,
     quoted_newlines: bool = True,
 ) -> DataFrame:
     """Delimited text with a header row; missing-value texts become null.
 
-    Give ``schema`` to read the data once; without it the types are found in one aggregate over all
-    rows. ``quoted_newlines=False`` says that no quoted field holds a line break, so that Spark may
-    split big files.
+    Files are split among tasks, also where quoted fields hold line breaks (see :mod:`splits`). ``quoted_newlines=False`` says
+    that none does, which saves a pass. Give ``schema`` to spare the aggregate over all rows that finds the types, and
+    the table that is written for it.
     """
-    reader = (
-        spark.read.option("header", True).option("sep", delimiter).option("multiLine", quoted_newlines)
-        .option("quote", '"').option("escape", '"').option("enforceSchema", False)
-    )
-    raw = reader.csv(path)
+    raw = _csv_texts(spark, path, delimiter, quoted_newlines)
     raw = raw.select(*[_na_to_null(c) for c in raw.columns])
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    return apply_types(raw, schema or infer_types(raw))
+    if schema is None:
+        raw = settle(raw, "csv-texts")
+        schema = infer_types(raw)
+    return apply_types(raw, schema)
+
+
+def json_docs(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> Outcome:
+    """Records of files holding one JSON array or object each; errors (file, error) of those that are neither.
+
+    Big arrays are cut by all tasks, see :mod:`splits`. Without ``schema`` the elements are written as JSON Lines, from which Spark's
+    reader finds the columns. A file whose brackets do not close has no records; in other files, elements that do not parse have an error
+    row each.
+    """
+    done = json_elements(spark, path)
+    line = F.regexp_replace("text", r"[\r\n]+", " ")  # JSON has no line breaks inside strings
+    broken = done.rows.filter(F.try_parse_json("text").isNull()).select("file", F.lit("not valid JSON").alias("error"))
+    if schema is not None:
+        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        good = done.rows.filter(F.try_parse_json("text").isNotNull())
+        return Outcome(good.select(F.from_json("text", kind).alias("r")).select("r.*"), done.errors.unionByName(broken))
+    lines = settle(done.rows.select("file", line.alias("value"), F.try_parse_json("text").isNotNull().alias("ok")), "json-lines")
+    folder = scratch_dir(spark, "json-lines")
+    lines.filter("ok").select("value").write.text(folder)
+    errors = lines.filter("not ok").select("file", F.lit("not valid JSON").alias("error"))
+    return Outcome(spark.read.json(folder), done.errors.unionByName(errors))
 
 
 def read_json_docs(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Files holding one JSON array or object each; an object alone is one record."""
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path)
+    """The records of :func:`json_docs`: files holding one JSON array or object each; an object alone is one record."""
+    return json_docs(spark, path, schema).rows
 
 
 def json_variant_rows(spark: SparkSession, path: str) -> DataFrame:
