@@ -208,7 +208,8 @@ _PLACED = "struct<col_idx:int,text:string,is_header:boolean,left:int>"
 def _span(tag: Column, name: str, most: int) -> Column:
     found = F.regexp_extract(tag, rf"(?is)^<t[hd][^>]*?\s{name}\s*=\s*[\"']?\s*(\d+)", 1)
     number = F.coalesce(found.try_cast("bigint"), F.when(found != "", F.lit(most)), F.lit(1))
-    return F.greatest(F.lit(1), F.least(F.lit(most), number)).cast("int")
+    # most cells have a tag without attributes
+    return F.when(F.substring(tag, 4, 1) == ">", F.lit(1)).otherwise(F.greatest(F.lit(1), F.least(F.lit(most), number)).cast("int"))
 
 
 def _placed_rows(rows: Column) -> Column:
