@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import names
 
@@ -72,76 +68,130 @@ def bbox_envelope(bbox: Column, dpi: Column) -> Column:
     )
 
 
-def _jpeg_size(raw: bytes):
-    at = 2
-    while at + 9 <= len(raw):
-        if raw[at] != 0xFF:
-            return None
-        marker = raw[at + 1]
-        if marker == 0xFF:
-            at += 1
-        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            height, width, parts = struct.unpack(">HHB", raw[at + 5:at + 10])
-            return width, height, {1: "L", 3: "RGB", 4: "CMYK"}.get(parts, "RGB")
-        else:
-            at += 2 + struct.unpack(">H", raw[at + 2:at + 4])[0]
-    return None
-
-
-def _tiff_size(raw: bytes):
-    end = "<" if raw[:2] == b"II" else ">"
-    (at,) = struct.unpack(end + "I", raw[4:8])
-    (count,) = struct.unpack(end + "H", raw[at:at + 2])
-    tags = {}
-    for i in range(count):
-        entry = raw[at + 2 + 12 * i:at + 14 + 12 * i]
-        tag, kind = struct.unpack(end + "HH", entry[:4])
-        tags[tag] = struct.unpack(end + ("H" if kind == 3 else "I"), entry[8:10] if kind == 3 else entry[8:12])[0]
-    # tags: 256 width, 257 height, 262 colour model, 277 samples per pixel
-    mode = {0: "L", 1: "L", 2: "RGB", 3: "P", 5: "CMYK"}.get(tags.get(262), "RGB")
-    return tags[256], tags[257], "RGBA" if (mode, tags.get(277)) == ("RGB", 4) else mode
-
-
-def read_image_header(raw: bytes):
-    """(format, width, height, mode) from the header bytes, None for anything unreadable."""
-    try:
-        if raw[:8] == b"\x89PNG\r\n\x1a\n":
-            width, height, depth, colour = struct.unpack(">IIBB", raw[16:26])
-            mode = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}[colour]
-            return "PNG", width, height, "1" if (depth, colour) == (1, 0) else mode
-        if raw[:6] in (b"GIF87a", b"GIF89a"):
-            return ("GIF", *struct.unpack("<HH", raw[6:10]), "P")
-        if raw[:2] == b"BM":
-            width, height, _, bits = struct.unpack("<iiHH", raw[18:30])
-            return "BMP", width, abs(height), {1: "1", 8: "P", 32: "RGBA"}.get(bits, "RGB")
-        if raw[:3] == b"\xff\xd8\xff":
-            size = _jpeg_size(raw)
-            return ("JPEG", *size) if size else None
-        if raw[:4] in (b"II*\x00", b"MM\x00*"):
-            return ("TIFF", *_tiff_size(raw))
-        if raw[:4] == b"RIFF" and raw[8:12] == b"WEBP":
-            if raw[12:16] == b"VP8X":
-                width = 1 + int.from_bytes(raw[24:27], "little")
-                height = 1 + int.from_bytes(raw[27:30], "little")
-                return "WEBP", width, height, "RGBA" if raw[20] & 0x10 else "RGB"
-            if raw[12:16] == b"VP8L":
-                bits = int.from_bytes(raw[21:25], "little")
-                alpha = "RGBA" if bits >> 28 & 1 else "RGB"
-                return "WEBP", (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, alpha
-            width, height = struct.unpack("<HH", raw[26:30])
-            return "WEBP", width & 0x3FFF, height & 0x3FFF, "RGB"
-    except (struct.error, KeyError, IndexError):
-        pass
-    return None
-
-
-_HEADER = (
-    T.StructType().add("format", "string").add("width", "long").add("height", "long").add("mode", "string")
-)
-
-
-@F.pandas_udf(_HEADER)
-def image_header(content: pd.Series) -> pd.DataFrame:
-    found = [read_image_header(raw) or (None, None, None, None) for raw in content]
-    out = pd.DataFrame(found, columns=["format", "width", "height", "mode"])
-    return out.astype({"width": "Int64", "height": "Int64"})
+def _uint(raw: Column, at: Column | int, size: int, little: bool = False) -> Column:
+    """The whole number in ``size`` bytes from ``at`` (from 0) on, null beyond the end."""
+    # no cell reaches the last of the places that an int can name
+    first = F.lit(at + 1) if isinstance(at, int) else F.least(at + 1, F.lit((1 << 31) - 32)).cast("int")
+    piece = F.substr(raw, first, F.lit(size))
+    digits = F.hex(piece)
+    if little:
+        digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
+    return F.when(F.octet_length(piece) == size, F.conv(digits, 16, 10).cast("bigint"))
+
+
+def _signed(value: Column) -> Column:
+    return F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value)
+
+
+def _begins(raw: Column, *marks: bytes) -> Column:
+    return F.hex(F.substring(raw, 1, len(marks[0]))).isin(*[m.hex().upper() for m in marks])
+
+
+def _names(value: Column, names: dict[int, str], other: str | None = None) -> Column:
+    """The name of a number, null or ``other`` for one without."""
+    found = F.lit(other).cast("string")
+    for number, name in names.items():
+        found = F.when(value == number, name).otherwise(found)
+    return found
+
+
+def _header(kind: str, width: Column, height: Column, mode: Column) -> Column:
+    """A header whose parts were all found, else null."""
+    whole = F.struct(F.lit(kind).alias("format"), width.cast("bigint").alias("width"), height.cast("bigint").alias("height"), mode.alias("mode"))
+    return F.when(width.isNotNull() & height.isNotNull() & mode.isNotNull(), whole)
+
+
+_AHEAD = 64  # segments that a first look takes in; files with more of them before the size go on from there
+
+
+def _jpeg_header(raw: Column) -> Column:
+    """Walks from marker to marker to the first that starts a frame; the state is the place, then the frame's facts."""
+    end = F.octet_length(raw)
+    state = "struct<at:bigint,on:boolean,width:bigint,height:bigint,parts:bigint>"
+
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["at"]
+        marker = _uint(raw, at + 1, 1)
+        frame = marker.between(0xC0, 0xCF) & ~marker.isin(0xC4, 0xC8, 0xCC)
+        no = F.lit(None).cast("bigint")
+
+        def to(place: Column, on: Column, width: Column = no, height: Column = no, parts: Column = no) -> Column:
+            return F.struct(place, on, width, height, parts).cast(state)
+
+        return (
+            F.when(~acc["on"], acc)
+            .when((at + 9 > end) | (_uint(raw, at, 1) != 0xFF), to(at, F.lit(False)))
+            .when(marker == 0xFF, to(at + 1, F.lit(True)))
+            .when(frame, to(at, F.lit(False), _uint(raw, at + 7, 2), _uint(raw, at + 5, 2), _uint(raw, at + 9, 1)))
+            .otherwise(to(at + 2 + _uint(raw, at + 2, 2), F.lit(True)))
+        )
+
+    def onward(first: Column) -> Column:
+        far = F.aggregate(F.sequence(F.lit(1), F.greatest(end, F.lit(1))), first, step)
+        return F.when(first["on"], far).otherwise(first)
+
+    start = F.struct(F.lit(2), F.lit(True), F.lit(None), F.lit(None), F.lit(None)).cast(state)
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(_AHEAD)), start, step)
+    found = F.transform(F.array(near), onward)
+
+    def facts(done: Column) -> Column:
+        mode = F.when(done["parts"].isNotNull(), _names(done["parts"], {1: "L", 3: "RGB", 4: "CMYK"}, "RGB"))
+        return _header("JPEG", done["width"], done["height"], mode)
+
+    return F.transform(found, facts)[0]
+
+
+def _tiff_header(raw: Column, little: bool) -> Column:
+    first = _uint(raw, 4, 4, little)
+    count = _uint(raw, first, 2, little)
+
+    def entry(i: Column) -> Column:
+        at = first + 2 + i * 12
+        kind = _uint(raw, at + 2, 2, little)
+        value = F.when(kind == 3, _uint(raw, at + 8, 2, little)).otherwise(_uint(raw, at + 8, 4, little))
+        return F.struct(_uint(raw, at, 2, little).alias("tag"), value.alias("value"))
+
+    # an entry cut off makes the whole unreadable
+    entries = F.transform(F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)), entry)
+    whole = F.when(F.forall(entries, lambda e: e["value"].isNotNull()), entries)
+
+    def facts(every: Column) -> Column:
+        # the last entry of a tag stands
+        of = lambda tag: F.try_element_at(F.filter(every, lambda e: e["tag"] == tag), F.lit(-1))["value"]
+        # tags: 256 width, 257 height, 262 colour model, 277 samples per pixel
+        model = _names(F.coalesce(of(262), F.lit(-1)), {0: "L", 1: "L", 2: "RGB", 3: "P", 5: "CMYK"}, "RGB")
+        mode = F.when((model == "RGB") & F.coalesce(of(277) == 4, F.lit(False)), "RGBA").otherwise(model)
+        return _header("TIFF", of(256), of(257), mode)
+
+    return F.transform(F.array(whole), facts)[0]
+
+
+def _webp_header(raw: Column) -> Column:
+    kind, bits = F.hex(F.substring(raw, 13, 4)), _uint(raw, 21, 4, True)
+    flags = _uint(raw, 20, 1)
+    extended = _header("WEBP", _uint(raw, 24, 3, True) + 1, _uint(raw, 27, 3, True) + 1, F.when(flags.bitwiseAND(0x10) > 0, "RGBA").when(flags >= 0, "RGB"))
+    lossless = _header(
+        "WEBP", bits.bitwiseAND(0x3FFF) + 1, F.shiftright(bits, 14).bitwiseAND(0x3FFF) + 1,
+        F.when(F.shiftright(bits, 28).bitwiseAND(1) > 0, "RGBA").when(bits >= 0, "RGB"))
+    plain = _header("WEBP", _uint(raw, 26, 2, True).bitwiseAND(0x3FFF), _uint(raw, 28, 2, True).bitwiseAND(0x3FFF), F.lit("RGB"))
+    return F.when(kind == b"VP8X".hex().upper(), extended).when(kind == b"VP8L".hex().upper(), lossless).otherwise(plain)
+
+
+def image_header(raw: Column) -> Column:
+    """STRUCT<format, width, height, mode> from the bytes of a file's header, null for anything unreadable.
+
+    PNG, GIF, BMP, JPEG, TIFF and WEBP; column expressions only, so no file leaves the JVM.
+    """
+    depth, colour = _uint(raw, 24, 1), _uint(raw, 25, 1)
+    png_mode = F.when((depth == 1) & (colour == 0), "1").otherwise(_names(colour, {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}))
+    bits = _uint(raw, 28, 2, True)
+    return (
+        F.when(_begins(raw, b"\x89PNG\r\n\x1a\n"), _header("PNG", _uint(raw, 16, 4), _uint(raw, 20, 4), png_mode))
+        .when(_begins(raw, b"GIF87a", b"GIF89a"), _header("GIF", _uint(raw, 6, 2, True), _uint(raw, 8, 2, True), F.lit("P")))
+        .when(_begins(raw, b"BM"), _header(
+            "BMP", _signed(_uint(raw, 18, 4, True)), F.abs(_signed(_uint(raw, 22, 4, True))),
+            F.when(bits.isNotNull(), _names(bits, {1: "1", 8: "P", 32: "RGBA"}, "RGB"))))
+        .when(_begins(raw, b"\xff\xd8\xff"), _jpeg_header(raw))
+        .when(_begins(raw, b"II*\x00"), _tiff_header(raw, True)).when(_begins(raw, b"MM\x00*"), _tiff_header(raw, False))
+        .when(_begins(raw, b"RIFF") & (F.hex(F.substring(raw, 9, 4)) == b"WEBP".hex().upper()), _webp_header(raw))
+    )

@@ -55,10 +55,11 @@ def ocr_document(
         line = F.concat(F.lit("<p>"), html_escape(text), F.lit("</p>"))
         head = F.concat(F.lit(_HTML_HEAD), html_escape(title), F.lit(_HTML_MID))
         return glue_framed(blocks, keys, pos, line, head, F.lit(_HTML_TAIL), "\n", part_rows=part_rows, text_blocks=F.lit(1))
-    # an empty line of its own follows the title, whether or not the first block is blank
-    heading = F.when(F.col(pos) == 1, F.concat(F.lit("# "), title, F.lit("\n")))
-    line = F.nullif(F.concat_ws("\n\n", heading, F.when(strip(text) != "", text)), F.lit(""))
-    return glue_parts(blocks, keys, pos, line, "\n\n", part_rows=part_rows, text_blocks=F.lit(1))
+    # an empty line of its own follows the title, before the first block of the lowest position that has text
+    head = F.concat(F.lit("# "), title, F.lit("\n\n\n"))
+    shown = F.when(strip(text) != "", text)
+    glued = glue_framed(blocks, keys, pos, shown, head, F.lit(""), "\n\n", part_rows=part_rows, text_blocks=F.lit(1))
+    return glued.withColumn("text", F.regexp_replace("text", r"\A(# [^\n]*\n)\n\n\z", "$1"))
 
 
 def ocr_preview(assembled: DataFrame, n: int = 500) -> DataFrame:

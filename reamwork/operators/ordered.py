@@ -2,7 +2,7 @@
 
 A plain window over a document puts the whole document into one task. Here a sequence is cut into
 chunks by position: rows work within (keys, chunk), one summary row per chunk carries state over
-chunk borders, and the summaries are joined back. Each task sees ``chunk_rows`` rows at most,
+chunk borders (in two levels, see :func:`_carries`), and the summaries are joined back. Each task sees ``chunk_rows`` rows at most,
 however large one document is. The carry table is one row per chunk after the first, so for
 ordinary documents it is empty and AQE, which knows its measured size, joins it by broadcast.
 
@@ -36,6 +36,36 @@ def unnest(df: DataFrame, keep: list, array: str | Column, pos: str, out: str) -
     return rows.filter(F.col(pos).isNotNull())
 
 
+_GROUP, _LEVELS = "__group", 36  # chunks are grouped by 4 096; group numbers have up to 36 bits
+GROUP_CHUNKS = 4_096
+
+
+def _carries(chunks: DataFrame, keys: list[str], value: str, combine) -> DataFrame:
+    """What each chunk's rows see of the chunks before it: (keys, chunk, __carry), chunks without any left out.
+
+    ``combine`` is an aggregate function that may be applied in any grouping: a sum, or the greatest of (position, state). Two
+    levels: a window within each group of ``GROUP_CHUNKS`` chunks, and over the totals of groups a tree of partial
+    sums, joined by equality. No task sees all chunks of a sequence, and a sequence without keys needs no single partition.
+    A sequence within its first group, that is of less than 268 million positions, has no part in the tree.
+    """
+    grouped = chunks.withColumn(_GROUP, chunk_of(F.col(_CHUNK), GROUP_CHUNKS))
+    order = Window.partitionBy(*keys, _GROUP).orderBy(_CHUNK)
+    near = grouped.withColumn("__near", combine(F.col(value)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    totals = grouped.groupBy(*keys, _GROUP).agg(combine(F.col(value)).alias("__total"))
+    later = totals.filter(F.col(_GROUP) > 0)
+    some = totals.join(later.select(*keys).distinct(), keys, "left_semi") if keys else totals
+    # group g is summed up in the nodes (level, g >> level) with an even number; what is before g is one node for each bit of g
+    level = F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1)))
+    shifted = F.expr(f"shiftright({_GROUP}, __level)")
+    nodes = some.withColumn("__level", level).withColumn("__node", shifted).filter("__node % 2 = 0").groupBy(
+        *keys, "__level", "__node").agg(combine(F.col("__total")).alias("__sum"))
+    asked = later.select(*keys, _GROUP).withColumn("__level", level).withColumn("__node", shifted - 1).filter("__node % 2 = 0 AND __node >= 0")
+    far = asked.join(nodes, [*keys, "__level", "__node"]).groupBy(*keys, _GROUP).agg(combine(F.col("__sum")).alias("__far"))
+    both = near.join(far, [*keys, _GROUP], "left")
+    return both.select(*keys, _CHUNK, F.expr("array(__near, __far)").alias("__parts")).select(
+        *keys, _CHUNK, F.filter("__parts", lambda x: x.isNotNull()).alias("__parts")).filter(F.size("__parts") > 0)
+
+
 def _join_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(carry, [*keys, _CHUNK], "left")
 
@@ -52,13 +82,10 @@ def carry_last(
     tails = (
         base.select(*keys, _CHUNK, F.col(pos).alias("__pos"), value.alias("__value"))
         .groupBy(*keys, _CHUNK)
-        .agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col("__pos"))).alias("__tail"))
-    )
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        tails.withColumn(_CARRY, F.last("__tail", ignorenulls=True).over(before))
-        .filter(F.col(_CARRY).isNotNull()).select(*keys, _CHUNK, _CARRY)
+        .agg(F.max(F.when(F.col("__value").isNotNull(), F.struct("__pos", "__value"))).alias("__tail"))
     )
+    last = F.array_max("__parts")["__value"].alias(_CARRY)
+    carry = _carries(tails, keys, "__tail", F.max).select(*keys, _CHUNK, last)
     local = base.withColumn(_LOCAL, F.last(value, ignorenulls=True).over(within))
     return (
         _join_carry(local, carry, keys)
@@ -74,12 +101,9 @@ def running_total(
     value = F.col(value) if isinstance(value, str) else value
     base = df.withColumn(_CHUNK, chunk_of(pos, chunk_rows))
     within = Window.partitionBy(*keys, _CHUNK).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    sums = base.groupBy(*keys, _CHUNK).agg(F.sum(value).alias("__sum"))
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        sums.withColumn(_CARRY, F.sum("__sum").over(before))
-        .filter(F.col(_CARRY).isNotNull()).select(*keys, _CHUNK, _CARRY)
-    )
+    sums = base.groupBy(*keys, _CHUNK).agg(F.sum(value).alias("__sum_of"))
+    before = F.aggregate("__parts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias(_CARRY)
+    carry = _carries(sums, keys, "__sum_of", F.sum).select(*keys, _CHUNK, before)
     local = base.withColumn(_LOCAL, F.sum(value).over(within))
     total = F.coalesce(F.col(_LOCAL), F.lit(0)) + F.coalesce(F.col(_CARRY), F.lit(0))
     return _join_carry(local, carry, keys).withColumn(out, total).drop(_CHUNK, _CARRY, _LOCAL)
@@ -93,6 +117,20 @@ def dense_positions(
     return counted.withColumn(out, F.col(out) + F.lit(start))
 
 
+def nested_positions(
+    df: DataFrame, keys: list[str], outer: str, inner: str, out: str, start: int = 1, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Number rows without gaps by two positions, such as slide and paragraph, both without wide gaps themselves.
+
+    Rows are numbered within their outer position, and what is before that is a running total over the counts of outer positions:
+    neither many outer positions nor many rows in one of them meet a limit.
+    """
+    own = dense_positions(df, [*keys, outer], inner, "__own", 0, chunk_rows)
+    counts = df.groupBy(*keys, outer).agg(F.count(F.lit(1)).alias("__rows"))
+    offsets = running_total(counts, keys, outer, "__rows", "__before", chunk_rows).select(*keys, outer, "__before")
+    return own.join(offsets, [*keys, outer]).withColumn(out, F.col("__own") + F.col("__before") + F.lit(start)).drop("__own", "__before")
+
+
 def last_write_wins(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """Of the rows with equal keys keep the one with the highest position.
 
@@ -123,18 +161,25 @@ def list_runs(
     before it) and ``closes_after`` (only on the last line, when a list is still open). A heading
     inside a list does not close it.
     """
-    kinds = df.withColumn("kind", line_kind(F.col(line), numbered=False))
     state = F.when(F.col("kind").isin("1", "2", "3"), None).otherwise(F.col("kind") == "B")
-    prior = carry_last(kinds, keys, pos, state, "__in_list", inclusive=False, chunk_rows=chunk_rows)
-    in_list = F.coalesce(F.col("__in_list"), F.lit(False))
-    final = df.groupBy(*keys).agg(F.max(pos).alias("__last"))
-    still_open = F.coalesce(state, in_list) & (F.col(pos) == F.col("__last"))
+    base = df.withColumn("kind", line_kind(F.col(line), numbered=False)).withColumn("__state", state).withColumn(_CHUNK, chunk_of(pos, chunk_rows))
+    # one row a chunk: the state it leaves behind (none: unchanged), as the greatest position with one, and its last line
+    chunks = base.groupBy(*keys, _CHUNK).agg(
+        F.max(F.when(F.col("__state").isNotNull(), F.struct(F.col(pos).alias("__pos"), F.col("__state").alias("__value")))).alias("__tail"))
+    carry = _carries(chunks, keys, "__tail", F.max).select(*keys, _CHUNK, F.array_max("__parts")["__value"].alias(_CARRY))
+    last = chunks.groupBy(*keys).agg(F.max(_CHUNK).alias(_CHUNK), F.lit(True).alias("__final"))
+    marks = carry.join(last, [*keys, _CHUNK], "full")
+    within = Window.partitionBy(*keys, _CHUNK).orderBy(pos)
+    rows = base.withColumn(_LOCAL, F.last("__state", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
+        "__ends", F.lead(F.lit(1)).over(within).isNull())
+    in_list = F.coalesce(_LOCAL, _CARRY, F.lit(False))
+    still_open = F.coalesce(F.col("__state"), in_list) & F.col("__ends") & F.coalesce(F.col("__final"), F.lit(False))
     return (
-        prior.join(final, keys)
+        _join_carry(rows, marks, keys)
         .withColumn("opens", (F.col("kind") == "B") & ~in_list)
         .withColumn("closes", F.col("kind").isin("T", "X") & in_list)
         .withColumn("closes_after", still_open)
-        .drop("__in_list", "__last")
+        .drop(_CHUNK, _CARRY, _LOCAL, "__state", "__ends", "__final")
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape, strip
-from .ordered import CHUNK_ROWS, PART_ROWS, dense_positions, glue_parts, running_total
+from .ordered import CHUNK_ROWS, PART_ROWS, dense_positions, glue_parts, nested_positions, running_total
 
 
 class Outcome(NamedTuple):
@@ -256,14 +256,11 @@ def render_slides(
     else:
         shown, head = body, F.concat(F.lit("--- Slide "), no, F.lit(" ---"))
     line = F.concat_ws("\n", F.when(F.col(para) == 1, head), F.when(body != "", shown))
-    at = F.shiftleft(F.col(slide).cast("bigint"), 31) + F.col(para)
     rows = paragraphs.filter((body != "") | (F.col(para) == 1)).select(
-        doc, at.alias("__at"), line.alias("__text")
-    )
+        doc, F.col(slide).cast("bigint").alias("__slide"), F.col(para).cast("bigint").alias("__para"), line.alias("__text"))
     if fmt == "html":
         ends = paragraphs.groupBy(doc).agg(F.max(slide).cast("bigint").alias("__last"))
         rows = rows.unionByName(ends.select(
-            doc, F.shiftleft(F.col("__last") + 1, 31).alias("__at"), F.lit("</section>").alias("__text")
-        ))
-    numbered = dense_positions(rows, [doc], "__at", "__line")
+            doc, (F.col("__last") + 1).alias("__slide"), F.lit(0).cast("bigint").alias("__para"), F.lit("</section>").alias("__text")))
+    numbered = nested_positions(rows, [doc], "__slide", "__para", "__line")
     return glue_parts(numbered, [doc], "__line", "__text", "\n", part_rows=part_rows)

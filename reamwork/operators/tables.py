@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +11,7 @@ from ..functions.names import page_table_name
 from ..functions.text import PAGE_HEAD, PAGE_TAIL, extracted_page_html, html_escape, number_text, strip
 from .blocks import extracted_blocks
 from .grids import bound, grid_width, unique_labels
-from .ordered import PART_ROWS, dense_positions, glue_framed, glue_parts, unnest
+from .ordered import PART_ROWS, glue_framed, glue_parts, nested_positions, unnest
 from .sequence import Outcome, suppress_table_text
 
 
@@ -207,24 +207,23 @@ def pages_to_markdown(
     lines are level-2 headings and a rule stands before every page but the first.
     """
     keys = [doc, page]
-    at_page = F.shiftleft(F.col(page).cast("bigint"), 40)
-    rules = pages.filter(F.col(page) > 1).select(
-        doc, at_page.alias("__at"), F.lit("\n\n---\n").alias("__text")
-    )
+    whole = lambda c: F.coalesce(c.cast("bigint"), F.lit(0))
+
+    def placed(df: DataFrame, part: int, first: Column, second: Column, shown: Column) -> DataFrame:
+        """Lines of a page: its rule, then its tables by number and row, then its text."""
+        return df.select(doc, F.col(page).alias("__page"), F.struct(
+            F.lit(part).alias("part"), whole(first).alias("a"), whole(second).alias("b")).alias("__at"), shown.alias("__text"))
+
+    rules = placed(pages.filter(F.col(page) > 1), 0, F.lit(0), F.lit(0), F.lit("\n\n---\n"))
     table_rows = cell_lines(cells.withColumn("text", strip(F.coalesce("text", F.lit("")))), [*keys, "table_idx"])
-    grid = table_rows.select(
-        doc,
-        (at_page + F.shiftleft(F.col("table_idx").cast("bigint"), 20) + F.col("row_idx") + 1).alias("__at"),
-        F.col("line").alias("__text"),
-    )
-    lines = extracted_blocks(pages, keys, text)
-    kept = suppress_table_text(lines, cells, "text", "text", (doc, page))
+    grid = placed(table_rows, 1, F.col("table_idx"), F.col("row_idx"), F.col("line"))
+    kept = suppress_table_text(extracted_blocks(pages, keys, text), cells, "text", "text", (doc, page))
     shown = F.when(F.col("kind") == "heading", F.concat(F.lit("\n## "), "text", F.lit("\n"))).otherwise(F.col("text"))
-    body = kept.select(
-        doc, (at_page + F.lit(1 << 39) + F.col("block_idx")).alias("__at"), shown.alias("__text")
-    )
-    every = rules.unionByName(grid).unionByName(body)
-    return glue_parts(dense_positions(every, [doc], "__at", "__line"), [doc], "__line", "__text", "\n", part_rows=part_rows)
+    body = placed(kept, 2, F.col("block_idx"), F.lit(0), shown)
+    # the lines of a page come from one cell and its tables, so a window over a page is bounded; over a document it is not
+    every = rules.unionByName(grid).unionByName(body).withColumn(
+        "__no", F.row_number().over(Window.partitionBy(doc, "__page").orderBy("__at")).cast("bigint"))
+    return glue_parts(nested_positions(every, [doc], "__page", "__no", "__line"), [doc], "__line", "__text", "\n", part_rows=part_rows)
 
 
 def cell_lines(

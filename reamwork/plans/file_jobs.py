@@ -527,3 +527,49 @@ SELECT 'stream_convert' AS op, count(*)::BIGINT AS rows_seen, count(*) FILTER (e
 def str01_report(spark, sf_dir):
     report = spark.read.parquet(f"{run_stream(spark, sf_dir)}/report")
     return report.groupBy("op").agg(F.sum("files").alias("rows_seen"), F.sum("failed").alias("failed"))
+
+
+@query("str01_csv_stream", """
+SELECT c_custkey, 'line 1' || chr(10) || '"' || c_name || '"' AS c_name, c_acctbal, NULL::VARCHAR AS error FROM customer WHERE c_custkey % 50 <> 7
+UNION ALL SELECT NULL, NULL, NULL, 'not a row of the table' FROM customer WHERE c_custkey % 50 = 7""")
+def str01_csv(spark, sf_dir):
+    """CSV files with line breaks in quotes as a stream; rows whose key is no number go to quarantine."""
+    landing, out, marks = (scratch_dir(spark, f"stream-{n}") for n in ("landing", "out", "marks"))
+    key = F.col("c_custkey")
+    rows = spread(table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal")).select(
+        F.when(key % 50 == 7, "none").otherwise(key.cast("string")).alias("c_custkey"),
+        F.concat(F.lit('line 1\n"'), "c_name", F.lit('"')).alias("c_name"), "c_acctbal")
+    sinks.write_csv(rows, landing)
+    found = streaming.watch_csv(spark, landing, "c_custkey bigint, c_name string, c_acctbal double", max_files=3)
+    streaming.stream_convert(found, streaming.as_they_are, out, marks).awaitTermination()
+    good = spark.read.parquet(f"{out}/data").drop("batch")
+    bad = spark.read.schema("path string, value string, error string").json(f"{out}/quarantine").select("error")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+@query("str01_office_stream", """
+SELECT 'w' || c_custkey // 100 AS path, count(*)::BIGINT AS rows, true AS success, NULL::VARCHAR AS error, sum(c_custkey)::BIGINT AS ids FROM customer GROUP BY ALL
+UNION ALL SELECT 'x' || n_nationkey, 1, true, NULL, NULL FROM nation UNION ALL SELECT 'y', 0, false, 'error', NULL""")
+def str01_office(spark, sf_dir):
+    """Workbooks of different headers, one of them broken, as a stream of files: the report beside what was found."""
+    landing, out, marks = (scratch_dir(spark, f"stream-{n}") for n in ("landing", "out", "marks"))
+    mixed_workbooks(spark, sf_dir).repartition(4, "path").write.parquet(landing)
+    streaming.stream_files(
+        streaming.watch_packed(spark, landing, 2), streaming.workbook_converter("People & co"), out, marks).awaitTermination()
+    ids = spark.read.parquet(f"{out}/data").groupBy("path").agg(F.sum(F.try_element_at("record", F.lit("id")).cast("bigint")).alias("ids"))
+    report = spark.read.parquet(f"{out}/report").drop("batch").join(ids, "path", "left")
+    return report.withColumn("error", F.when(F.col("error").isNotNull(), "error"))
+
+
+@query("str01_latest_records", """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'late' ELSE event_type END AS event_type FROM events""")
+def str01_latest(spark, sf_dir):
+    """Two waves of files, the stream started anew for the second: of a record that comes again the later one stands."""
+    landing, out, marks = (scratch_dir(spark, f"stream-{n}") for n in ("landing", "out", "marks"))
+    events = table(spark, sf_dir, "events", "event_id", "event_type")
+    late = events.filter("event_id % 3 = 0").withColumn("event_type", F.lit("late"))
+    for wave in (spread(events), late):
+        wave.select(F.to_json(F.struct("event_id", "event_type")).alias("value")).write.mode("append").text(landing)
+        convert_lines = streaming.json_lines_converter("event_id bigint, event_type string")
+        streaming.stream_convert(streaming.watch_text(spark, landing, 5), convert_lines, out, marks).awaitTermination()
+    return streaming.latest_records(spark, out, ["event_id"])

@@ -104,11 +104,11 @@ def jn02(spark, sf_dir):
     return sequence.suppress_table_text(lines, cells)
 
 
-# Tables on every page: the first three lines as one column under a header, line 2 empty.
+# A table on every page: its first, third, fifth line and so on, beside a column of equal cells.
 @query("jn02_pages_to_markdown", f"""
 WITH ln AS ({q.lines('conversations', 'conv_id, turn', 'text')}),
 t AS (SELECT conv_id, turn, i, {q.strip('line')} AS line FROM ln WHERE {q.not_blank('line')}),
-cell AS (SELECT conv_id, turn, i - 1 AS row_idx, {q.strip('line')} AS cell FROM ln WHERE i <= 3),
+cell AS (SELECT conv_id, turn, (i - 1) // 2 AS row_idx, {q.strip('line')} AS cell FROM ln WHERE i % 2 = 1),
 every AS (
   SELECT conv_id, turn, 0 AS k, 0 AS n, chr(10) || chr(10) || '---' || chr(10) AS s FROM conversations WHERE turn > 0
   UNION ALL SELECT conv_id, turn, 1, row_idx, '| ' || cell || ' | c |' || CASE WHEN row_idx = 0 THEN chr(10) || '| --- | --- |' ELSE '' END FROM cell
@@ -117,24 +117,25 @@ every AS (
 SELECT conv_id AS doc_id, 0::BIGINT AS part_no, string_agg(s, chr(10) ORDER BY turn, k, n) AS text FROM every GROUP BY conv_id""")
 def jn02_markdown(spark, sf_dir):
     pages = spread(page_table(spark, sf_dir, "doc_id", "page_no", "text"))
-    grid = pages.select("doc_id", "page_no", F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("row_idx", "line"))
+    odd = F.filter(F.split("text", "\n"), lambda _, i: i % 2 == 0)
+    grid = pages.select("doc_id", "page_no", F.posexplode(odd).alias("row_idx", "line"))
     cells = grid.select("doc_id", "page_no", F.lit(0).alias("table_idx"), "row_idx",
                         F.posexplode(F.array("line", F.lit("c"))).alias("col_idx", "text"))
     return tables.pages_to_markdown(pages, cells)
 
 
-# Pages of more than one line have a table of their first two lines; documents without any go to
+# Pages of more than one line have a table of their lines; documents without any go to
 # a sheet of text lines.
 @query("win06_workbook_cells", f"""
 WITH ln AS ({q.lines('conversations', 'conv_id, turn', 'text')}), n AS (SELECT conv_id, turn, max(i) AS n FROM ln GROUP BY ALL),
-c AS (SELECT ln.* FROM ln JOIN n USING (conv_id, turn) WHERE n > 1 AND i <= 2)
+c AS (SELECT ln.* FROM ln JOIN n USING (conv_id, turn) WHERE n > 1)
 SELECT conv_id AS doc_id, 'Page' || (turn + 1) || '_T1' AS sheet_name, turn + 1 AS page, (i - 1)::INT AS row_idx, 0 AS col_idx, line AS text FROM c
 UNION ALL SELECT conv_id, 'Text', turn + 1, (i - 1)::INT, 0, line FROM ln WHERE conv_id NOT IN (SELECT conv_id FROM c)""")
 def win06_workbook(spark, sf_dir):
     pages = spread(page_table(spark, sf_dir, "doc_id", "page_no", "text"))
     ls = F.split("text", "\n")
     grid = pages.filter(F.size(ls) > 1).select(
-        "doc_id", "page_no", F.lit(0).alias("table_idx"), F.posexplode(F.slice(ls, 1, 2)).alias("row_idx", "text"))
+        "doc_id", "page_no", F.lit(0).alias("table_idx"), F.posexplode(ls).alias("row_idx", "text"))
     return tables.workbook_cells(grid.withColumn("col_idx", F.lit(0)), pages)
 
 

@@ -194,3 +194,48 @@ def test_stream_twice_over_a_landing_folder(spark, tmp_path):
     assert [r.value for r in spark.read.json(f"{out}/quarantine").collect()] == ["{broken"]
     report = spark.read.parquet(f"{out}/report").select("files", "failed").collect()
     assert sorted(map(tuple, report)) == [(1, 0), (3, 1)]
+
+
+def test_stream_of_office_files_started_again(spark, tmp_path):
+    from test_sources import workbook
+
+    landing, out, marks = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/marks"
+    landing.mkdir()
+    workbook(landing / "a.xlsx", {"S": {"A1": "k", "B1": "v", "A2": "1", "B2": "old", "A3": "2", "B3": "two"}})
+    (landing / "bad.xlsx").write_bytes(b"junk")
+    run = lambda: streaming.stream_files(
+        streaming.watch_binary(spark, str(landing), "*.xlsx", 1), streaming.workbook_converter(), out, marks).awaitTermination()
+    run()
+    first = spark.read.parquet(f"{out}/report").collect()
+    assert sorted((r.path[-8:], r.rows, r.success, bool(r.error)) for r in first) == [("/bad.xlsx"[-8:], 0, False, True), ("n/a.xlsx", 2, True, False)]
+    run()  # nothing new: nothing again
+    assert spark.read.parquet(f"{out}/report").count() == 2
+    workbook(landing / "b.xlsx", {"S": {"A1": "k", "C1": "v", "A2": "1", "C2": "new"}})
+    run()
+    rows = spark.read.parquet(f"{out}/data")
+    assert rows.count() == 3 and spark.read.parquet(f"{out}/report").count() == 3
+    # by key over all batches: a table of the records first, then the last write of each
+    keyed = rows.select("batch", F.col("record")["k"].alias("k"), F.col("record")["v"].alias("v"))
+    keyed.write.partitionBy("batch").parquet(f"{tmp_path}/keyed/data")
+    latest = streaming.latest_records(spark, f"{tmp_path}/keyed", ["k"])
+    assert sorted(map(tuple, latest.select("k", "v").collect())) == [("1", "new"), ("2", "two")]
+
+
+def test_stream_of_csv_files(spark, tmp_path):
+    landing, out, marks = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/marks"
+    landing.mkdir()
+    (landing / "a.csv").write_text('i,t\n1,"x\ny"\nno,z\n')
+    rows = lambda: streaming.watch_csv(spark, str(landing), "i int, t string")
+    streaming.stream_convert(rows(), streaming.as_they_are, out, marks).awaitTermination()
+    (landing / "b.csv").write_text("i,t\n2,q\n")
+    streaming.stream_convert(rows(), streaming.as_they_are, out, marks).awaitTermination()
+    assert sorted((r.i, r.t) for r in spark.read.parquet(f"{out}/data").collect()) == [(1, "x\ny"), (2, "q")]
+    assert [r.error for r in spark.read.json(f"{out}/quarantine").collect()] == ["not a row of the table"]
+
+
+def test_ocr_markdown_title_comes_before_the_lowest_position(frame):
+    rows = [(1, 3, " "), (1, 5, "a"), (1, 6, None), (1, 9, "b"), (2, 2, ""), (3, 1, "x")]
+    got = ocr.ocr_document(frame(rows, "doc_id int, block_idx int, text string"), "markdown", ["doc_id"], F.lit("T")).collect()
+    assert {r.doc_id: (r.text, r.text_blocks) for r in got} == {1: ("# T\n\n\na\n\nb", 4), 2: ("# T\n", 1), 3: ("# T\n\n\nx", 1)}
+    parts = ocr.ocr_document(frame(rows, "doc_id int, block_idx int, text string"), "markdown", ["doc_id"], F.lit("T"), part_rows=4).filter("doc_id = 1")
+    assert "\n\n".join(r.text for r in parts.orderBy("part_no").collect()) == "# T\n\n\na\n\nb"

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reamwork.operators import ordered, sequence
+from reamwork.operators import ordered, sequence, tables
 
 PAGES = "doc_id int, page_no int, text string"
 
@@ -143,3 +143,49 @@ def test_render_slides(frame, part_rows):
     assert joined("html") == (
         '<section id="slide-1"><h2>Slide 1</h2>\n<p>a&lt;b</p>\n<p>c</p>\n</section>\n<section id="slide-2"><h2>Slide 2</h2>\n</section>\n'
         '<section id="slide-3"><h2>Slide 3</h2>\n<p>z</p>\n</section>')
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_state_over_many_groups_of_chunks(frame, monkeypatch, keys):
+    """Chunks of three positions in groups of two chunks: the tree of groups has several levels."""
+    monkeypatch.setattr(ordered, "GROUP_CHUNKS", 2)
+    dice = random.Random(6)
+    rows = [(k, pos, dice.choice([None, 1, 5])) for k in ((1, 2, 3) if keys else (1,)) for pos in dice.sample(range(300), 120 if k < 3 else 2)]
+    src = frame(rows, "k int, pos int, v int")
+    total = {(r.k, r.pos): r.t for r in ordered.running_total(src, keys, "pos", "v", "t", 3).collect()}
+    last = {(r.k, r.pos): r.l for r in ordered.carry_last(src, keys, "pos", "v", "l", False, 3).collect()}
+    for k, pos, _ in rows:
+        before = sorted((p, v) for j, p, v in rows if j == k and p < pos and v is not None)
+        assert total[k, pos] == sum(v for _, v in before) and last[k, pos] == (before[-1][1] if before else None)
+
+
+@pytest.mark.parametrize("chunk, group", [(3, 2), (1000, 4096)])
+def test_nested_positions(frame, monkeypatch, chunk, group):
+    monkeypatch.setattr(ordered, "GROUP_CHUNKS", group)
+    dice = random.Random(7)
+    rows = sorted({(d, dice.randrange(1, 40), dice.randrange(1, 30)) for d in (1, 2) for _ in range(200)})
+    got = ordered.nested_positions(frame(rows, "d int, s int, p int"), ["d"], "s", "p", "n", 1, chunk).collect()
+    for d in (1, 2):
+        assert [(r.s, r.p) for r in sorted((r for r in got if r.d == d), key=lambda r: r.n)] == [(s, p) for e, s, p in rows if e == d]
+        assert sorted(r.n for r in got if r.d == d) == list(range(1, sum(e == d for e, _, _ in rows) + 1))
+
+
+def test_list_runs_over_many_chunks(frame, monkeypatch):
+    monkeypatch.setattr(ordered, "GROUP_CHUNKS", 2)
+    dice = random.Random(9)
+    lines = [(d, n, dice.choice(["- a", "# h", "text", "", "- b", "## i"])) for d in range(4) for n in range(1, 60)]
+    src = frame(lines, "d int, line_no int, line string")
+    key = lambda r: (r.d, r.line_no, r.kind, r.opens, r.closes, r.closes_after)
+    whole = sorted(map(key, ordered.list_runs(src, ["d"]).collect()))
+    assert sorted(map(key, ordered.list_runs(src, ["d"], chunk_rows=4).collect())) == whole
+    assert {r[1] for r in whole if r[5]} <= {59}
+
+
+def test_no_step_sees_all_rows_in_one_partition(frame):
+    """Sequences without keys, slides and pages as Markdown: no exchange into a single partition."""
+    pages = frame([(d, p, "A\ntext") for d in range(3) for p in range(1, 4)], "doc_id int, page_no int, text string")
+    order = pages.select("doc_id").distinct().selectExpr("doc_id AS position", "doc_id")
+    cells = frame([(1, 1, 0, 0, 0, "A")], "doc_id int, page_no int, table_idx int, row_idx int, col_idx int, text string")
+    paragraphs = pages.selectExpr("doc_id", "page_no AS slide_no", "1 AS para_idx", "text")
+    for df in (sequence.merge_sequences(pages, order, []).rows, sequence.render_slides(paragraphs, "html"), tables.pages_to_markdown(pages, cells)):
+        assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
