@@ -11,11 +11,11 @@ Work on Spark:
 * Documents are dealt into chunks by a hash of the row, of about ``CHUNK_BYTES`` by the total size.
 * Each chunk gives its distinct words with training counts. Counts of all training tokens come from a partial
   aggregate, and go back to the chunks by a join on the word: (chunk, word) pairs, not tokens, are shuffled.
-* All tokens of the training documents are trained on, as entries of two bytes. A document is one run, or
-  several where it has more than ``RUN_WINDOWS`` windows; a run begins with the token before it. Runs are dealt to
-  shards by a hash of document and number, so equal texts spread.
+* All tokens of the training documents are trained on, as entries of two bytes. A document is one run, whatever its
+  length; it begins with an end. Runs are dealt to shards by a hash of document and text, so equal texts spread.
 * Training runs in ``ROUNDS``: tasks take shards of runs, run truncated back-propagation with the weights of the
-  last round and give their weights; Spark averages them. The number of shards grows with the tokens.
+  last round and give their weights; those of a task are added in it, those of all tasks by ``GROUPS`` tasks and then one, packed, and the mean begins the next round.
+  The number of shards grows with the tokens.
   Each run is in one round. ``BATCH`` runs go side by side, window after window; each window begins with the state
   the last one of its run ended with, and the next run with the zero state.
 * Scoring cogroups a chunk's documents with its words. All documents of a chunk step together, ordered by length;
@@ -47,11 +47,12 @@ STATE = 16
 CLASSES, CLASS_SIZE = 64, 64
 VOCABULARY = CLASSES * CLASS_SIZE  # entry 0 is "rare"
 WINDOW = 32
-BATCH = 64
+BATCH = 256
 SHARD_WINDOWS = 65_536
-RUN_WINDOWS = 1_024
 ROUNDS = 2
-RATE = 0.1
+GROUPS = 32
+RATE = 0.2
+SEEN = 1e-6
 SEED = 11
 END = b""  # no word is empty
 OUTPUT_ROWS = 8_192
@@ -119,27 +120,37 @@ def step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.nda
     return n + z * (h - n), z, r, inner, n
 
 
-def _log_softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of entry ``at`` of each row; the probabilities of all entries (in place of the logits)."""
-    logits -= logits.max(1, keepdims=True)
-    picked = logits[np.arange(len(at)), at]
+def _is_tame(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether exponentials of the logits of any state can neither overflow nor all vanish: a state has no entry beyond 1."""
+    reach = np.abs(weights).sum(-2)
+    return bool((bias + reach).max() < 80 and (bias - reach).max(-1).min() > -80)
+
+
+def _log_softmax(logits: np.ndarray, at: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits in columns: the log-probability of entry ``at`` of each column; exponentials (in place of the logits) and their sums."""
+    if not tame:
+        logits -= logits.max(0)
+    picked = logits[at, np.arange(len(at))]
     np.exp(logits, out=logits)
-    total = logits.sum(1, keepdims=True)
-    logits /= total
-    return picked - np.log(total[:, 0]), logits
+    total = logits.sum(0)
+    return picked - np.log(total), logits, total
 
 
 def log_probs(w: dict[str, np.ndarray], states: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of the entries ``y`` after the states."""
-    classes, out = y // CLASS_SIZE, np.empty(len(y), np.float64)
+    classes = y // CLASS_SIZE
+    tame = _is_tame(w["class_w"], w["class_b"]), _is_tame(w["word_w"], w["word_b"])
+    order, present, begins = _by_value(classes)
+    states, classes, within, found = states[order], classes[order], y[order] % CLASS_SIZE, np.empty(len(y), np.float64)
     for a in range(0, len(y), OUTPUT_ROWS):
-        b = a + OUTPUT_ROWS
-        out[a:b] = _log_softmax(states[a:b] @ w["class_w"] + w["class_b"], classes[a:b])[0]
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(edges)):
-        rows = order[edges[c]:edges[c + 1]]
-        out[rows] += _log_softmax(states[rows] @ w["word_w"][c] + w["word_b"][c], y[rows] % CLASS_SIZE)[0]
+        s = slice(a, a + OUTPUT_ROWS)
+        found[s] = _log_softmax(w["class_w"].T @ states[s].T + w["class_b"][:, None], classes[s], tame[0])[0]
+    for c, i, j in zip(present, begins, [*begins[1:], len(y)]):
+        for a in range(i, j, OUTPUT_ROWS):
+            s = slice(a, min(a + OUTPUT_ROWS, j))
+            found[s] += _log_softmax(w["word_w"][c].T @ states[s].T + w["word_b"][c][:, None], within[s], tame[1])[0]
+    out = np.empty(len(y), np.float64)
+    out[order] = found
     return out
 
 
@@ -151,76 +162,98 @@ def _by_value(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, values[begins], begins
 
 
-def gradients(
+def sparse_gradients(
     w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray, carried: np.ndarray | None = None,
-) -> tuple[float, dict[str, np.ndarray]]:
+) -> tuple[float, dict[str, tuple[np.ndarray | slice, np.ndarray]]]:
     """Loss of a batch of windows (rows), and its gradients by back-propagation truncated to the window.
 
-    The rows begin with the states ``carried`` (zero if not given), which become those after the last step.
+    Of each kind of weight the gradient comes as (places, values); it is zero elsewhere. The rows begin
+    with the states ``carried`` (zero if not given), which become those after the last step. Both are sums over the targets divided
+    by the targets of a full batch, so that the last few documents of a shard do not count for more than others.
     """
     size, steps = x.shape
-    h, kept = np.zeros((size, STATE), w["state"].dtype) if carried is None else carried.copy(), []
-    states = np.empty((steps, size, STATE), w["state"].dtype)
+    kind, two = w["state"].dtype, 2 * STATE
+    every = slice(None)
+    before, z, r, inner, n, states = (np.empty((steps, size, STATE), kind) for _ in range(6))
+    own = w["inputs"][x.T]
+    h = np.zeros((size, STATE), kind) if carried is None else carried
     for t in range(steps):
-        new, *rest = step(w, x[:, t], h)
-        kept.append((h, *rest))
-        states[t] = h = new
+        before[t] = h
+        from_state = h @ w["state"]
+        gates = _sigmoid(own[t, :, :two] + from_state[:, :two])
+        z[t], r[t] = gates[:, :STATE], gates[:, STATE:]
+        np.add(from_state[:, two:], w["candidate"], out=inner[t])
+        np.tanh(own[t, :, two:] + r[t] * inner[t], out=n[t])
+        h = states[t] = n[t] + z[t] * (h - n[t])
     if carried is not None:
         carried[:] = h
-    grads = {k: np.zeros(s, w["state"].dtype) for k, s in shapes().items()}
     rows = np.flatnonzero(mask.T.ravel())
     targets = y.T.ravel()[rows]
     order, present, begins = _by_value(targets // CLASS_SIZE)
     rows, targets = rows[order], targets[order]  # the targets of a class stand together
     s = states.reshape(-1, STATE)[rows]
-    classes, within, scale = targets // CLASS_SIZE, targets % CLASS_SIZE, 1 / max(len(rows), 1)
-    loss, p = _log_softmax(s @ w["class_w"] + w["class_b"], classes)
-    p[np.arange(len(rows)), classes] -= 1
-    p *= scale
-    grads["class_w"], grads["class_b"] = s.T @ p, p.sum(0)
-    to_states = p @ w["class_w"].T
-    for c, i, j in zip(present, begins, [*begins[1:], len(rows)]):
-        more, q = _log_softmax(s[i:j] @ w["word_w"][c] + w["word_b"][c], within[i:j])
+    classes, within, scale = targets // CLASS_SIZE, targets % CLASS_SIZE, kind.type(1 / max(len(rows), BATCH * WINDOW))
+    places = np.arange(len(rows))
+    loss, p, total = _log_softmax(w["class_w"].T @ s.T + w["class_b"][:, None], classes, _is_tame(w["class_w"], w["class_b"]))
+    p *= scale / total
+    p[classes, places] -= scale
+    grads: dict[str, tuple[np.ndarray | slice, np.ndarray]] = {"class_w": (every, s.T @ p.T), "class_b": (every, p.sum(1))}
+    to_states = p.T @ w["class_w"].T
+    tame = _is_tame(w["word_w"], w["word_b"])
+    word_w, word_b = np.empty((len(present), STATE, CLASS_SIZE), kind), np.empty((len(present), CLASS_SIZE), kind)
+    for k, (c, i, j) in enumerate(zip(present, begins, [*begins[1:], len(rows)])):
+        more, q, total = _log_softmax(w["word_w"][c].T @ s[i:j].T + w["word_b"][c][:, None], within[i:j], tame)
         loss[i:j] += more
-        q[np.arange(j - i), within[i:j]] -= 1
-        q *= scale
-        grads["word_w"][c], grads["word_b"][c] = s[i:j].T @ q, q.sum(0)
-        to_states[i:j] += q @ w["word_w"][c].T
-    d_states = np.zeros((steps * size, STATE), w["state"].dtype)
+        q *= scale / total
+        q[within[i:j], places[:j - i]] -= scale
+        word_w[k], word_b[k] = s[i:j].T @ q.T, q.sum(1)
+        to_states[i:j] += q.T @ w["word_w"][c].T
+    grads["word_w"], grads["word_b"] = (present, word_w), (present, word_b)
+    d_states = np.zeros((steps * size, STATE), kind)
     d_states[rows] = to_states
     d_states = d_states.reshape(steps, size, STATE)
-    d_next = np.zeros((size, STATE), w["state"].dtype)
-    d_own = np.empty((steps, size, 3 * STATE), w["state"].dtype)
-    d_from = np.empty((steps, size, 3 * STATE), w["state"].dtype)
-    before, z, r, inner, n = (np.stack(k) for k in zip(*kept))
+    d_next = np.zeros((size, STATE), kind)
+    d_own, d_from = np.empty((steps, size, 3 * STATE), kind), np.empty((steps, size, 3 * STATE), kind)
     to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), inner * r * (1 - r)
     back = np.ascontiguousarray(w["state"].T)
     for t in range(steps - 1, -1, -1):
         d = d_states[t] + d_next
         d_n = d * to_n[t]
-        own, from_state = d_own[t], d_from[t]
-        np.multiply(d, to_z[t], out=own[:, :STATE])
-        np.multiply(d_n, to_r[t], out=own[:, STATE:2 * STATE])
-        own[:, 2 * STATE:] = d_n
-        from_state[:, :2 * STATE] = own[:, :2 * STATE]
-        np.multiply(d_n, r[t], out=from_state[:, 2 * STATE:])
-        d_next = d * z[t] + from_state @ back
+        own_t, from_t = d_own[t], d_from[t]
+        np.multiply(d, to_z[t], out=own_t[:, :STATE])
+        np.multiply(d_n, to_r[t], out=own_t[:, STATE:two])
+        own_t[:, two:] = d_n
+        from_t[:, :two] = own_t[:, :two]
+        np.multiply(d_n, r[t], out=from_t[:, two:])
+        d_next = d * z[t] + from_t @ back
     d_from = d_from.reshape(-1, 3 * STATE)
-    grads["state"] = before.reshape(-1, STATE).T @ d_from
-    grads["candidate"] = d_from[:, 2 * STATE:].sum(0)
+    grads["state"] = every, before.reshape(-1, STATE).T @ d_from
+    grads["candidate"] = every, d_from[:, two:].sum(0)
     order, entries, begins = _by_value(x.T.ravel())
-    grads["inputs"][entries] = np.add.reduceat(d_own.reshape(-1, 3 * STATE)[order], begins)
+    grads["inputs"] = entries, np.add.reduceat(d_own.reshape(-1, 3 * STATE)[order], begins)
     return float(-loss.sum() * scale), grads
 
 
+def gradients(
+    w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray, carried: np.ndarray | None = None,
+) -> tuple[float, dict[str, np.ndarray]]:
+    """:func:`sparse_gradients` with all zeros written out."""
+    loss, sparse = sparse_gradients(w, x, y, mask, carried)
+    whole = {k: np.zeros(s, w["state"].dtype) for k, s in shapes().items()}
+    for k, (places, values) in sparse.items():
+        whole[k][places] = values
+    return loss, whole
+
+
 def train(w: dict[str, np.ndarray], runs: list[np.ndarray]) -> dict[str, np.ndarray]:
     """Adaptive gradient descent over all windows of the runs: entry 0 of a run is the token before, the others are targets.
 
     ``BATCH`` runs go side by side; where one ends, the next begins.
     """
     w = {k: v.copy() for k, v in w.items()}
-    seen = {k: np.full(v.shape, 1e-6, v.dtype) for k, v in w.items()}
-    runs = [r for r in runs if len(r) > 1]
+    seen = {k: np.full(v.shape, SEEN, v.dtype) for k, v in w.items()}
+    # the longest first: so lanes end at about the same time
+    runs = sorted((r for r in runs if len(r) > 1), key=lambda r: -len(r))
     if not runs:
         return w
     ids = np.concatenate(runs).astype(np.int64)
@@ -234,10 +267,11 @@ def train(w: dict[str, np.ndarray], runs: list[np.ndarray]) -> dict[str, np.ndar
         places = at[:, None] + np.arange(longest)
         mask = places + 1 < end[:, None]
         places = np.where(mask, places, at[:, None])
-        _, grads = gradients(w, ids[places], ids[places + 1], mask, states)
-        for k, g in grads.items():
-            seen[k] += g * g
-            w[k] -= FLOAT(RATE) * g / np.sqrt(seen[k])
+        _, grads = sparse_gradients(w, ids[places], ids[places + 1], mask, states)
+        for k, (at_k, g) in grads.items():  # where the gradient is zero a step changes nothing
+            so_far = seen[k][at_k] + g * g
+            seen[k][at_k] = so_far
+            w[k][at_k] -= FLOAT(RATE) * g / np.sqrt(so_far)
         at += WINDOW
         done = np.flatnonzero(at + 1 >= end)
         new = np.arange(waiting, min(waiting + len(done), len(runs)))
@@ -304,10 +338,10 @@ def _gather(chunked: DataFrame) -> DataFrame:
 
 
 def _runs(rows: DataFrame, entry: dict[bytes, int]) -> DataFrame:
-    """``doc_key, number, n, run`` of the training documents: entries of two bytes, the token before the run first, and its windows."""
+    """``doc_key, n, run`` of the training documents: an end and the text as entries of two bytes, and its windows."""
     import pyarrow as pa
 
-    end, size = entry.get(END, 0), RUN_WINDOWS * WINDOW
+    end = entry.get(END, 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,23 +350,22 @@ def _runs(rows: DataFrame, entry: dict[bytes, int]) -> DataFrame:
                 if held_out([key])[0]:
                     continue
                 found = tokens(text.as_py())
-                ids = np.fromiter((entry.get(t, 0) for t in found), "<u2", len(found))
-                ids = np.concatenate([np.array([end], "<u2"), ids])
-                for number, a in enumerate(range(0, len(found), size)):
-                    run = ids[a:a + size + 1]
-                    out.append((key, number, -(-(len(run) - 1) // WINDOW), run.tobytes()))
-                    held += len(run)
+                run = np.empty(len(found) + 1, "<u2")
+                run[0] = end
+                run[1:] = [entry.get(t, 0) for t in found]
+                out.append((key, -(-len(found) // WINDOW), run.tobytes()))
+                held += len(run)
                 if held > CHUNK_BYTES:
                     yield _run_batch(out)
                     out, held = [], 0
             yield _run_batch(out)
 
     def _run_batch(out: list) -> pa.RecordBatch:
-        columns = list(zip(*out)) or [[]] * 4
+        columns = list(zip(*out)) or [[]] * 3
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["doc_key", "number", "n", "run"])
+            [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()))], ["doc_key", "n", "run"])
 
-    return rows.select("doc_key", "text").mapInArrow(cut, "doc_key string, number bigint, n bigint, run binary")
+    return rows.select("doc_key", "text").mapInArrow(cut, "doc_key string, n bigint, run binary")
 
 
 def vocabulary(counts: DataFrame, n_tokens: int) -> tuple[dict[bytes, int], np.ndarray]:
@@ -356,24 +389,45 @@ def fit(rows: DataFrame, entry: dict[bytes, int], sizes: np.ndarray) -> dict[str
     if not n:
         return weights
     shards = max(1, -(-n // (SHARD_WINDOWS * ROUNDS)))
+    shape = "part int, n bigint, weights binary"
+
+    def packed(part: int, n: int, values: np.ndarray) -> dict:
+        return {"part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64()), "weights": pa.array([values.tobytes()], pa.binary())}
+
+    def added(rows: list[tuple[int, int, bytes]]) -> tuple[int, np.ndarray]:
+        """The number of shards and the sum of their weights, in the order of the parts."""
+        return sum(n for _, n, _ in rows), sum(np.frombuffer(w) for _, _, w in sorted(rows, key=lambda r: r[0]))
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n, total = 0, 0.0
+        for batch in batches:
+            for w in batch.column(2):
+                n, total = n + 1, total + np.frombuffer(w.as_py())
+        if n:
+            yield pa.RecordBatch.from_pydict(packed(TaskContext.get().partitionId(), n, total))
+
+    def of_group(group: pa.Table) -> pa.Table:
+        rows = list(zip(*(group[c].to_pylist() for c in ("part", "n", "weights"))))
+        return pa.table(packed(min(r[0] for r in rows), *added(rows)))
+
     for k in range(ROUNDS):
         fixed = weights
 
         def of_shard(group: pa.Table) -> pa.Table:
-            order = sorted(zip(group["doc_key"].fill_null("").to_pylist(), group["number"].to_pylist(), group["run"].to_pylist()))
+            order = sorted(zip(group["doc_key"].fill_null("").to_pylist(), group["run"].to_pylist()))
             np.random.default_rng(SEED).shuffle(order)
-            values = flat(train(fixed, [np.frombuffer(run, "<u2") for _, _, run in order])).astype(np.float64)
-            return pa.table({"i": pa.array(np.arange(len(values)), pa.int64()), "v": pa.array(values)})
+            return pa.table(packed(0, 1, flat(train(fixed, [np.frombuffer(run, "<u2") for _, run in order])).astype(np.float64)))  # noqa: B023
 
-        hashed = [F.col("doc_key"), F.col("number"), F.col("run")]
+        hashed = [F.col("doc_key"), F.col("run")]
         dealt = runs.filter(F.pmod(F.xxhash64(*hashed), F.lit(ROUNDS)) == k).withColumn(
             "shard", F.pmod(F.xxhash64(F.lit(k), *hashed), F.lit(shards)))
-        mean = dealt.groupBy("shard").applyInArrow(of_shard, "i bigint, v double").groupBy("i").agg(F.avg("v").alias("v"))
-        got = mean.toPandas()
-        if len(got):
-            values = flat(weights).astype(np.float64)
-            values[got["i"].to_numpy()] = got["v"].to_numpy()
-            weights = unflat(values)
+        sums = dealt.groupBy("shard").applyInArrow(of_shard, shape).mapInArrow(of_task, shape)
+        few = sums.groupBy(F.pmod("part", F.lit(GROUPS))).applyInArrow(of_group, shape)
+        got = few.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(of_group, shape).collect()
+        if got:
+            weights = unflat(np.frombuffer(bytes(got[0]["weights"])) / got[0]["n"])
     return weights
 
 
