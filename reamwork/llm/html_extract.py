@@ -10,12 +10,13 @@ mostly links, or if they are headings before one that does; and so does text dir
 
 Elements that are never article text (scripts, styles, navigation, headers and footers of the page, sidebars,
 forms, adverts, notices, comments; by tag, role or class) are taken out before densities are computed. A class or id
-that also has a word of a wrapper or state (``has-sidebar``) does not count, and what alone holds the article stays.
+that also has a word of a wrapper or state (``has-sidebar``) does not count, and what alone holds the article stays, also a
+form, a dialog or a part hidden from screen readers around a whole page.
 In the chosen elements nothing is dropped: character references are decoded, white space inside a block
 becomes one space, blocks are joined in page order.
 
-The work of a page is linear in its length (a regular expression finds tags; nothing recurses), and
-nothing is shuffled.
+The work of a page is linear in its length: a tag ends at the next ``<`` at the latest, so no search for one starts over; what is not
+open is not looked for among the open elements; nothing recurses. Nothing is shuffled.
 
 Defined results: a null or empty page, and one without text outside what is taken out, gives an empty text; of equal density
 sums the element that begins first wins; tags that are not closed end with their parent or
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -44,6 +46,11 @@ DROPPED_TAGS = frozenset((
     "script style noscript template iframe svg math head nav aside footer form button select input textarea object embed "
     "dialog menu").split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert".split())
+#: Of these, what pages put around their whole body; such an element stays if it alone holds the article.
+AROUND_TAGS = frozenset("form dialog".split())
+AROUND_ROLES = frozenset("form dialog alertdialog".split())
+#: Ids and roles of what holds the article, besides the elements made for it.
+MAIN_IDS = frozenset("main content article".split())
 DROPPED_WORDS = frozenset((
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
     "menu breadcrumb breadcrumbs sidebar side aside widget widgets footer masthead comment comments "
@@ -66,8 +73,9 @@ _P_SCOPE = frozenset("article aside section main div td th li table body html na
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: A name without a value is read as well, so that no long one is tried again from each of its characters.
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -76,92 +84,153 @@ class Tree:
 
     def __init__(self):
         self.tag, self.parent, self.dropped = [""], [-1], [False]
+        #: Whether an element is, or stands in, one that holds an article.
+        self.in_main = [False]
         #: What the page shows, in order: (node, text), or (node, None) where a block begins or ends.
         self.shown: list[tuple[int, str | None]] = []
         #: Elements with a dropped word in class or id, and whether it is one of comments.
         self.named: dict[int, bool] = {}
+        #: Forms and the like, which stay if they alone hold the article.
+        self.around: set[int] = set()
 
     def add(self, tag: str, parent: int, attributes: str) -> int:
+        node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(parent)
-        self.dropped.append(self.dropped[parent] or self._drops(tag, parent, attributes))
-        return len(self.tag) - 1
-
-    def _drops(self, tag: str, parent: int, attributes: str) -> bool:
-        if tag in DROPPED_TAGS:
+        self.in_main.append(self.in_main[parent] or tag in ARTICLE)
+        self.dropped.append(self.dropped[parent] or self._drops(node, tag, attributes))
+        return node
+
+    def _drops(self, node: int, tag: str, attributes: str) -> bool:
+        if tag in AROUND_TAGS:
+            self.around.add(node)
+        elif tag in DROPPED_TAGS or tag == "header" and not self.in_main[node]:  # an article's own header holds its title
             return True
-        if tag == "header":  # an article's own header holds its title; the page's does not
-            up = parent
-            while up > 0 and self.tag[up] not in ("article", "main"):
-                up = self.parent[up]
-            return up <= 0
         if not attributes or tag in ("html", "body", "article", "main"):
             return False
         named = set()
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
-            if name == "role" and value in DROPPED_ROLES or name == "aria-hidden" and value == "true":
+            if name == "role" and value in AROUND_ROLES or name == "aria-hidden" and value == "true":
+                self.around.add(node)
+            elif name == "role" and value in DROPPED_ROLES:
                 return True
+            if name == "role" and value == "main" or name == "id" and value in MAIN_IDS:
+                self.in_main[node] = True
             if name in ("class", "id"):
                 for token in value.split():
                     parts = set(_WORD.findall(token))
                     if MODIFIERS.isdisjoint(parts):
                         named |= parts & DROPPED_WORDS
         if named:
-            self.named[len(self.dropped)] = not named.isdisjoint(COMMENT_WORDS)
-        return bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none", attributes))
+            self.named[node] = not named.isdisjoint(COMMENT_WORDS)
+        return bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|$|=)|display\s*+:\s*+none", attributes))
 
 
-def read_tree(html: str) -> Tree:
-    tree, stack, at = Tree(), [0], 0
-    shown = tree.shown
+class Stack:
+    """The open elements, and how many there are of each name."""
+
+    def __init__(self, tree: Tree):
+        self.tree, self.nodes, self.open = tree, [0], Counter()
+
+    def push(self, node: int) -> None:
+        self.nodes.append(node)
+        self.open[self.tree.tag[node]] += 1
 
-    def end_to(names: set, scope: set | frozenset) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = tree.tag[stack[depth]]
+    def close(self, names: set | frozenset, scope: set | frozenset = frozenset()) -> bool:
+        """Closes the innermost element of one of these names and all in it, unless one of the scope comes first."""
+        if not any(self.open[n] for n in names):
+            return False
+        for depth in range(len(self.nodes) - 1, 0, -1):
+            tag = self.tree.tag[self.nodes[depth]]
             if tag in names:
-                del stack[depth:]
-                return end_to(names, scope)
+                self.open.subtract(self.tree.tag[n] for n in self.nodes[depth:])
+                del self.nodes[depth:]
+                return True
             if tag in scope:
-                return
+                return False
+        return False
+
 
+def read_tree(html: str) -> Tree:
+    tree, at = Tree(), 0
+    stack, shown = Stack(tree), tree.shown
     while at < len(html):
         found = _TOKEN.search(html, at)
         if found is None:
-            shown.append((stack[-1], html[at:]))
+            shown.append((stack.nodes[-1], html[at:]))
             break
         if found.start() > at:
-            shown.append((stack[-1], html[at:found.start()]))
+            shown.append((stack.nodes[-1], html[at:found.start()]))
         at = found.end()
         if found[2] is None:
             continue
         tag = found[2].lower()
         if tag in BLOCK:
-            shown.append((stack[-1], None))
+            shown.append((stack.nodes[-1], None))
         if found[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[depth]] == tag:
-                    del stack[depth:]
-                    break
+            stack.close({tag})
             continue
         if tag in _P_ENDERS:
-            end_to({"p"}, _P_SCOPE)
+            while stack.close({"p"}, _P_SCOPE):
+                pass
         if tag in _ENDS:
-            end_to(*_ENDS[tag])
+            while stack.close(*_ENDS[tag]):
+                pass
         attributes = found[3]
-        node = tree.add(tag, stack[-1], attributes)
+        node = tree.add(tag, stack.nodes[-1], attributes)
         if tag in VOID or attributes.endswith("/") and tag in RAW:
             continue
         if tag in RAW:
             # Case does not matter, and lowering may change lengths of other characters than ASCII.
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^<>]*+>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        stack.append(node)
+        stack.push(node)
+    drop_around(tree)
     drop_named(tree)
     return tree
 
 
+def _plain_characters(tree: Tree) -> list[int]:
+    """Characters outside links, white space apart, of every element's subtree, what is dropped left out."""
+    n = len(tree.tag)
+    link, chars = [False] * n, [0] * n
+    for i in range(1, n):
+        link[i] = link[tree.parent[i]] or tree.tag[i] == "a"
+    for node, text in tree.shown:
+        if text is not None and not tree.dropped[node] and not link[node]:
+            chars[node] += len("".join(text.split()))
+    for i in range(n - 1, 0, -1):
+        chars[tree.parent[i]] += chars[i]
+    return chars
+
+
+def drop_around(tree: Tree) -> None:
+    """Drops forms, dialogs and parts hidden from screen readers.
+
+    Those stay that hold an article element, if no other part of the page does; and, on a page without one, those that hold a
+    paragraph and most of the page's characters outside links.
+    """
+    if not tree.around:
+        return
+    n = len(tree.tag)
+    inside, holds, paragraph = [False] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        inside[i] = inside[tree.parent[i]] or i in tree.around
+        holds[i] = tree.tag[i] in ARTICLE and not tree.dropped[i]
+        paragraph[i] = tree.tag[i] in ("p", "blockquote", "pre") and not tree.dropped[i]
+    left = any(holds[i] and not inside[i] for i in range(n))
+    some = any(holds)
+    chars = _plain_characters(tree)
+    for i in range(n - 1, 0, -1):
+        holds[tree.parent[i]] |= holds[i]
+        paragraph[tree.parent[i]] |= paragraph[i]
+    for i in range(1, n):
+        stays = not left and i in tree.around and (holds[i] or not some and paragraph[i] and 2 * chars[i] > chars[0])
+        tree.dropped[i] = tree.dropped[i] or tree.dropped[tree.parent[i]] or i in tree.around and not stays
+
+
 def drop_named(tree: Tree) -> None:
     """Drops the elements named by a dropped word.
 
@@ -171,18 +240,14 @@ def drop_named(tree: Tree) -> None:
     if not tree.named:
         return
     n = len(tree.tag)
-    inside, link, chars, holds = [False] * n, [False] * n, [0] * n, [False] * n
+    inside, holds, chars = [False] * n, [False] * n, [0] * n
     for i in range(1, n):
         inside[i] = inside[tree.parent[i]] or i in tree.named
-        link[i] = link[tree.parent[i]] or tree.tag[i] == "a"
         holds[i] = tree.tag[i] in ARTICLE and not tree.dropped[i]
     left = any(holds[i] and not inside[i] for i in range(n))
     if not left:
-        for node, text in tree.shown:
-            if text is not None and not tree.dropped[node] and not link[node]:
-                chars[node] += len("".join(text.split()))
+        chars = _plain_characters(tree)
         for i in range(n - 1, 0, -1):
-            chars[tree.parent[i]] += chars[i]
             holds[tree.parent[i]] |= holds[i]
     for i in range(1, n):
         stays = not left and i in tree.named and not tree.named[i] and (holds[i] or 2 * chars[i] > chars[0])
