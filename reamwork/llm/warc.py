@@ -8,10 +8,12 @@ text sink writes and commits the files, on any file system: a member ends in the
 whose last byte is zero, and that zero is the sink's line separator (a record of 16 MiB or more is followed by an empty
 member, which ends so too). The files are ordinary ``.warc.gz``.
 
-Reading. An archive is walked member by member (or, uncompressed, record by record). Checks: gzip checksum, version
-line, headers, length, the end of the record, the payload's digest. Where one fails, the reader
+Reading. An archive is walked member by member (or, uncompressed, record by record); a member may hold several records. Checks: gzip checksum, version
+line, headers, length, the end of the record, the payload's digest (SHA-1, SHA-256, SHA-512 or MD5, in base 32 or
+hexadecimal; other kinds are not checked). Where one fails, the reader
 searches for the next member or version line that passes, goes on from there, and logs the bytes
-between as a gap with its reason.
+between as a gap with its reason. The search goes over no byte twice for the same mark. Of a member of several records the first has the member's length and the others none; what is damaged
+inside it is a gap beside the records that are not.
 
 Defined results: a null html is an empty payload; null ids and urls are left out of the headers and null
 when read; rows of one id and payload are alike, all responses where the id is the largest; a record without any id to refer to is a response;
@@ -38,7 +40,8 @@ VERSION = b"WARC/1.1\r\n"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EMPTY_MEMBER = zlib.compress(b"", wbits=31)
 MAGIC = b"\x1f\x8b\x08"
-_VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_VERSION_LINE = re.compile(rb"WARC/\d{1,2}\.\d{1,2}\r\n")
+HASHES = {"sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256, "sha512": hashlib.sha512, "md5": hashlib.md5}
 _PIECE = 1 << 16
 
 READ = T.StructType([
@@ -122,6 +125,25 @@ def _page(name: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
+def _names(named: str, payload: bytes) -> bool:
+    """Whether a digest header can be that of a payload; kinds that are not known can."""
+    kind, _, value = named.partition(":")
+    make = HASHES.get(kind.strip().lower())
+    if make is None:
+        return True
+    found = make(payload).digest()
+    return value.strip().upper().rstrip("=") in (base64.b32encode(found).decode().rstrip("="), found.hex().upper())
+
+
+def _sha1_of(named: str) -> str | None:
+    """The SHA-1 of a digest header as upper-case base 32."""
+    kind, _, value = named.partition(":")
+    if kind.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    value = value.strip().upper()
+    return base64.b32encode(bytes.fromhex(value)).decode() if re.fullmatch(r"[0-9A-F]{40}", value) else value
+
+
 def parse(data: bytes) -> tuple[dict, int]:
     """The record at the start of ``data``, checked, and how many bytes it takes."""
     if not _VERSION_LINE.match(data):
@@ -135,18 +157,18 @@ def parse(data: bytes) -> tuple[dict, int]:
         raise Damaged("the length does not meet the end of a record")
     block = data[at:end]
     kind = headers.get("warc-type")
-    http, body = _headers(block) if kind in ("response", "revisit") else ({}, 0)
+    # a revisit may come without a block; a response may be of another protocol
+    is_http = kind in ("response", "revisit") and block and "application/http" in headers.get("content-type", "application/http").lower()
+    http, body = _headers(block) if is_http else ({}, 0)
     payload = block[body:]
-    named = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response" and named and named != digest(payload):
+    named = headers.get("warc-payload-digest", "")
+    if kind == "response" and named and not _names(named, payload):
         raise Damaged("the payload is not that of its digest")
-    size = http.get("content-length", "") if kind == "revisit" else len(payload)
-    if kind == "revisit" and not size.isdigit():
-        raise Damaged("a revisit without the length of its payload")
+    size = http.get("content-length", "") if kind == "revisit" else str(len(payload))
     return {
         "page_id": _page(headers.get("warc-record-id")), "url": headers.get("warc-target-uri"), "record_type": kind,
-        "refers_to": _page(headers.get("warc-refers-to")), "payload_bytes": int(size),
-        "payload_digest": named or digest(payload), "payload": None if kind == "revisit" else payload,
+        "refers_to": _page(headers.get("warc-refers-to")), "payload_bytes": int(size) if size.isdigit() else None,
+        "payload_digest": _sha1_of(named) if kind == "revisit" else digest(payload), "payload": None if kind == "revisit" else payload,
     }, end + 4
 
 
@@ -165,49 +187,65 @@ def inflate(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), fed - len(unpack.unused_data)
 
 
-def _one(data: bytes, view: memoryview, at: int) -> tuple[dict | None, int]:
-    """The record at a place, compressed or plain, and the place after it; None for an empty member."""
-    if data.startswith(MAGIC, at):
-        member_data, end = inflate(view, at)
-        if not member_data:
-            return None, end
-        found, used = parse(member_data)
-        if used != len(member_data):
-            raise Damaged("more than one record in a member")
-        return found, end
-    # A plain record: its headers say how far it goes.
-    head = data.find(b"\r\n\r\n", at)
-    if not _VERSION_LINE.match(data, at) or head < 0:
+class Marks:
+    """Where marks stand in an archive: each search goes on from where the last one of its kind ended."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, {}
+
+    def next(self, mark: bytes | re.Pattern, at: int) -> int:
+        """The first place of a mark at or after ``at``, or the end. ``at`` must not go back."""
+        known = self.found.get(mark, -1)
+        if known < at:
+            if isinstance(mark, bytes):
+                known = self.data.find(mark, at)
+            else:
+                line = mark.search(self.data, at)
+                known = line.start() if line else -1
+            self.found[mark] = known = len(self.data) if known < 0 else known
+        return known
+
+
+def _plain(data: bytes, marks: Marks, at: int) -> tuple[dict, int]:
+    """The uncompressed record at a place and the place after it: its headers say how far it goes."""
+    if not _VERSION_LINE.match(data, at):
         raise Damaged("neither a member nor a version line")
-    length = re.search(rb"\r\ncontent-length:\s*(\d+)", data[at:head + 2].lower())
-    end = head + 8 + int(length[1]) if length else head + 8
+    head = marks.next(b"\r\n\r\n", at)
+    if head >= min(len(data), marks.next(_VERSION_LINE, at + 1)):
+        raise Damaged("headers do not end")
+    length = re.search(rb"\r\ncontent-length:\s*(\d{1,18})", data[at:head + 2].lower())
+    if not length:
+        raise Damaged("no length")
+    end = head + 8 + int(length[1])
+    if data[end - 4:end] != b"\r\n\r\n":
+        raise Damaged("the length does not meet the end of a record")
     found, used = parse(data[at:end])
     return found, at + used
 
 
-def _next_start(data: bytes, at: int) -> int:
-    """The next place from ``at`` where a member or a version line may begin, or the end."""
-    member_at = data.find(MAGIC, at)
-    line = _VERSION_LINE.search(data, at)
-    return min(x for x in (member_at if member_at >= 0 else len(data), line.start() if line else len(data)))
-
-
 def salvage(data: bytes) -> Iterator[dict]:
     """Records and gaps of one archive, in order: every byte belongs to one of them or to an empty member."""
-    view, at, gap, why = memoryview(data), 0, None, ""
+    view, marks, at, gap, why = memoryview(data), Marks(data), 0, None, ""
     while at < len(data):
         try:
-            found, end = _one(data, view, at)
+            if data.startswith(MAGIC, at):
+                inside, end = inflate(view, at)
+                found = list(salvage(inside)) if inside else []
+                if found and all(r.get("gap") for r in found):
+                    raise Damaged(found[0]["gap"])
+            else:
+                record_found, end = _plain(data, marks, at)
+                found = [record_found]
         except Damaged as problem:
             if gap is None:
                 gap, why = at, str(problem)
-            at = _next_start(data, at + 1)
+            at = min(marks.next(MAGIC, at + 1), marks.next(_VERSION_LINE, at + 1))
             continue
         if gap is not None:
             yield {"start": gap, "length": at - gap, "gap": why}
             gap = None
-        if found is not None:
-            yield {"start": at, "length": end - at, **found}
+        for k, one in enumerate(found):
+            yield {**one, "start": at, "length": 0 if k else end - at}
         at = end
     if gap is not None:
         yield {"start": gap, "length": len(data) - gap, "gap": why}
