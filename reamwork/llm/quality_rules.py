@@ -4,9 +4,13 @@ Counts of a text (words, characters, symbols, lines, stop words, repeated passag
 expressions; :data:`RULES` names ratios of these counts and the range each may have. No user
 function runs and nothing is shuffled: a document is judged inside its own row.
 
+The stop-word rule speaks only of texts in the languages whose function words are listed: those whose column ``lang``
+names one (``en``, ``en-GB``). Texts of other languages, of none (null) and of tables without such a column are judged by the
+other rules, so that no language is thrown out for its words; ``few_stop_words`` says of every text whether it has fewer than the rule asks for.
+
 Defined results: a null or empty text has no words and fails; ties do not arise; repeated rows are
 judged each for itself; an empty table gives an empty table; columns of the input other than the
-text do not matter and may have any names.
+text and ``lang`` do not matter and may have any names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-#: Frequent function words of the languages of the corpus.
+#: Frequent function words of some languages, and their codes.
+LANGUAGES = ("en", "fr", "de", "es")
 STOP_WORDS = (
     "the be to of and that have with in is it for as on are this by from or was at an a "
     "le la les de des du et en un une que qui est pour dans sur pas au avec ce "
@@ -35,13 +40,14 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """``low <= 1000 * top / bottom <= high`` over two counts; a missing bound is open."""
+    """``low <= 1000 * top / bottom <= high`` over two counts; a missing bound is open. ``listed``: for languages of the list alone."""
 
     name: str
     top: str
     bottom: str
     low: int | None = None
     high: int | None = None
+    listed: bool = False
 
     def passes(self) -> Column:
         top, bottom, ok = F.col(self.top) * 1000, F.col(self.bottom), F.lit(True)
@@ -55,7 +61,7 @@ class Rule:
 RULES = (
     Rule("mean word length", "word_chars", "n_words", low=2_000, high=14_000),
     Rule("symbols per word", "n_symbols", "n_words", high=100),
-    Rule("stop words", "n_stop_words", "n_words", low=10),
+    Rule("stop words", "n_stop_words", "n_words", low=10, listed=True),
     Rule("lines seen before", "n_dup_lines", "n_lines", high=300),
 )
 
@@ -101,31 +107,34 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
 
 
-def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The input boxed as ``row``, its counts, ``base_failed`` and ``kept``."""
+def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, lang: str = "lang") -> DataFrame:
+    """The input boxed as ``row``, its counts, ``base_failed``, ``few_stop_words`` and ``kept``."""
     counted = counts(boxed(df), field(text))
-    verdict = F.lit(True)
+    code = F.lower(F.substring(field(lang).cast("string"), 1, 2)) if lang in df.columns else F.lit(None).cast("string")
+    listed = F.coalesce(code.isin(*LANGUAGES), F.lit(False))
+    verdict, few = F.lit(True), F.lit(False)
     for rule in rules:
-        verdict = verdict & rule.passes()
-    return counted.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict})
+        verdict = verdict & (rule.passes() | ~listed if rule.listed else rule.passes())
+        few = few | ~rule.passes() if rule.listed else few
+    return counted.withColumns({"base_failed": base_failed(), "few_stop_words": few, "kept": ~base_failed() & verdict})
 
 
-def quality_rules(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_rules(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Counts and verdict of every document."""
-    return judge(df, text).select(
+    return judge(df, text, lang=lang).select(
         field(doc_id).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "n_stop_words", "n_lines",
+        "base_failed", "kept", "n_stop_words", "n_lines", "few_stop_words",
     )
 
 
-def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
+def keep_good(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return unboxed(rows_where(judge(df, text), F.col("kept")), df.columns)
+    return unboxed(rows_where(judge(df, text, lang=lang), F.col("kept")), df.columns)
 
 
 ORACLE_SQL = r"""
 WITH parts AS (
-  SELECT doc_id, coalesce(text, '') AS t,
+  SELECT doc_id, lang, coalesce(text, '') AS t,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
@@ -135,7 +144,7 @@ twice AS (SELECT doc_id, w FROM windows GROUP BY doc_id, w HAVING count(*) > 1),
 hit AS (SELECT DISTINCT doc_id, i + unnest(range(0, 8)) AS i FROM windows JOIN twice USING (doc_id, w)),
 repeats AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id),
 counted AS (
-  SELECT p.doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  SELECT p.doc_id, p.lang, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
     len(list_filter(words, lambda w: list_contains(string_split('the be to of and that have with in is it for as on are this by from or was at an a le la les de des du et en un une que qui est pour dans sur pas au avec ce der die das und den von zu mit sich ist für auf dem nicht ein eine im des als el los las y del se por con una su para es al lo como más o no', ' '), lower(w)))) AS n_stop_words,
@@ -146,7 +155,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 14 * n_words AND 10 * n_symbols <= n_words
-    AND 100 * n_stop_words >= n_words AND 10 * n_dup_lines <= 3 * n_lines AS kept,
-  CAST(n_stop_words AS BIGINT) AS n_stop_words, CAST(n_lines AS BIGINT) AS n_lines
+    AND (100 * n_stop_words >= n_words OR lang IS NULL OR lower(lang[1:2]) NOT IN ('en', 'fr', 'de', 'es')) AND 10 * n_dup_lines <= 3 * n_lines AS kept,
+  CAST(n_stop_words AS BIGINT) AS n_stop_words, CAST(n_lines AS BIGINT) AS n_lines, 100 * n_stop_words < n_words AS few_stop_words
 FROM failed
 """
