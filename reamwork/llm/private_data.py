@@ -16,8 +16,8 @@ belief of ``CERTAIN`` or more; added spans never touch base ones.
 The field is trained on the base spans of at most about ``SAMPLE`` texts, chosen by a hash among those with a candidate (a bounded sample, so
 that the fit runs in one task; repeated texts count once), by the gradient of the likelihood under the same beliefs. Each text
 is given as it is, and followed by itself with its spans written otherwise (no country code, other separators, a bare host, another span or a number
-with a wrong check sum beside it) and half of the shapes hidden: so the field learns from neighbours and distant likes. Words of matches that fail for too many digits are
-left out, as they may hold two numbers; it is those that the field is asked about later. Only the weights reach the driver. Labelling is one pass over the whole table without a shuffle.
+with a wrong check sum beside it) and half of the shapes hidden: so the field learns from neighbours and distant likes. Words of matches that fail for too many digits, as
+they may hold two numbers, and words like those of a span are left out; it is those that the field is asked about later. Only the weights reach the driver. Labelling is one pass over the whole table without a shuffle.
 
 Memory of a task is bounded by the candidates of the longest text; patterns and words are found in linear time.
 
@@ -39,7 +39,7 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2_000
 FEATURES = 1 << 12
 SWEEPS = 12
-STEPS = 60
+STEPS = 80
 RATE = 0.3
 DECAY = 1e-3
 CERTAIN = 0.8
@@ -135,10 +135,34 @@ def likeness(word: str) -> str | None:
     return word.lower() if len(word) >= 5 else None
 
 
-def doubtful(text: str) -> list[tuple[int, int]]:
-    """Matches that fail because they may hold more than one number: nothing can be learned from their words."""
-    return [m.span() for m in _CARD.finditer(text) if not m.group().isdigit() and sum(map(str.isdigit, m.group())) > 16] + [
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the words with a digit or an at sign, marks at their ends left out."""
+    for m in _WORD.finditer(text):
+        start, end = m.start(), m.end()
+        while start < end and text[start] in _EDGES:
+            start += 1
+        while end > start and text[end - 1] in _EDGES:
+            end -= 1
+        if start < end:
+            yield start, end
+
+
+def doubtful(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Parts that nothing can be learned from: matches that fail because they may hold more than one number, and words
+    that are like one of a span and stand in none."""
+    parts = [m.span() for m in _CARD.finditer(text) if not m.group().isdigit() and sum(map(str.isdigit, m.group())) > 16] + [
         m.span() for m in _PHONE.finditer(text) if sum(map(str.isdigit, m.group())) > 15]
+    inside, outside, at = set(), [], 0
+    covered = sorted((a, b) for _, a, b in spans)
+    for start, end in candidates(text):
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        like = likeness(text[start:end])
+        if any(a < end and start < b for a, b in covered[at:at + 4]):
+            inside.add(like)
+        elif like is not None:
+            outside.append((like, start, end))
+    return parts + [(start, end) for like, start, end in outside if like in inside]
 
 
 def rewritten(
@@ -197,14 +221,7 @@ class Field:
         """The candidates of a text but for those within ``unsure`` parts. With a source of dice, half of the shapes are hidden."""
         starts, covered = set(), sorted((a, b, k) for k, a, b in spans)
         last_end, last_like, at = -1, {}, 0
-        for m in _WORD.finditer(text):
-            start, end = m.start(), m.end()
-            while start < end and text[start] in _EDGES:
-                start += 1
-            while end > start and text[end - 1] in _EDGES:
-                end -= 1
-            if start == end:
-                continue
+        for start, end in candidates(text):
             word, label = text[start:end], 0
             while at < len(covered) and covered[at][1] <= start:
                 at += 1
@@ -355,7 +372,7 @@ def fit(texts: DataFrame) -> np.ndarray | None:
         for text in sorted(group["text"].to_pylist()):
             spans = base_spans(text)
             found += len(spans)
-            unsure = doubtful(text)
+            unsure = doubtful(text, spans)
             field.add(text, spans, unsure)
             field.add(*rewritten(text, spans, unsure, others, dice), dice)
         return pa.table({"w": pa.array([train(field).tobytes()] if found else [], pa.binary())})
