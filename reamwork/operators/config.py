@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
+from .ordered import amount_before
 
 _FOLD = "\x01"  # stands for the line break inside a folded value
 
@@ -134,20 +135,16 @@ def nest_keys(
 ) -> DataFrame:
     """Tall (section, key, value) rows to one nested JSON document per file.
 
-    A file of more than ``max_keys`` keys is written as several documents whose deep merge is the
-    whole: keys are spread over as many parts as needed by hash, so no group grows without bound.
+    A document holds ``max_keys`` keys at most; the keys of a file are counted in the order of their hashes, and a new part begins wherever that many
+    have piled up. The deep merge of a file's parts is the whole; most files are part 0 alone.
     Of a key that a section repeats the row with the highest ``pos`` stands (without ``pos`` the greatest
     value), by a partial aggregate. Adds ``sections`` and ``keys`` per part.
     """
     stands = F.max(value) if pos is None else F.max_by(value, pos)
     rows = rows.groupBy(*doc, section, key).agg(stands.alias(value))
-    big = (
-        rows.groupBy(*doc).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_keys)
-        .select(*doc, F.ceil(F.col("__n") / (max_keys / 2)).cast("int").alias("__parts"))
-    )
-    salt = F.pmod(F.xxhash64(section, key), F.coalesce("__parts", F.lit(1))).cast("bigint")
+    counted = amount_before(rows, doc, [section, key], F.lit(1).cast("bigint"), "__piled")
     per_section = (
-        rows.join(big, doc, "left").withColumn("part_no", salt)
+        counted.withColumn("part_no", F.floor(F.col("__piled") / max_keys).cast("bigint"))
         .groupBy(*doc, "part_no", section)
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("__pairs"))
     )

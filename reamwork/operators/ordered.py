@@ -131,6 +131,31 @@ def nested_positions(
     return own.join(offsets, [*keys, outer]).withColumn(out, F.col("__own") + F.col("__before") + F.lit(start)).drop("__own", "__before")
 
 
+HASH_BUCKETS = 65_536
+
+
+def amount_before(df: DataFrame, keys: list[str], items: list[str], amount: Column, out: str) -> DataFrame:
+    """The sum of ``amount`` over the rows of a group before each row, in an order of its own: by hash bucket of the items, then by the items.
+
+    For cutting groups of any size by what has piled up. Rows are added up within (keys, bucket), and a window over the totals of
+    the buckets, ``HASH_BUCKETS`` small rows a group at most, says what is before them; a group is never in one task.
+    """
+    based = df.withColumn("__bucket", F.pmod(F.xxhash64(*items), F.lit(HASH_BUCKETS))).withColumn("__amount", amount)
+    nothing = F.lit(0).cast("bigint")
+    order = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = based.groupBy(*keys, "__bucket").agg(F.sum("__amount").alias("__total")).select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__b"),
+        F.coalesce(F.sum("__total").over(order), nothing).alias("__before"))
+    within = Window.partitionBy(*keys, "__bucket").orderBy(*items).rowsBetween(Window.unboundedPreceding, -1)
+    rows = based.withColumn("__within", F.coalesce(F.sum("__amount").over(within), nothing))
+    same = F.col("__bucket") == F.col("__b")
+    for i, k in enumerate(keys):  # null keys are a group too
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = rows.join(totals, same)
+    return joined.withColumn(out, F.col("__within") + F.col("__before")).drop(
+        "__bucket", "__amount", "__within", "__b", "__before", *[f"__k{i}" for i in range(len(keys))])
+
+
 def last_write_wins(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """Of the rows with equal keys keep the one with the highest position.
 

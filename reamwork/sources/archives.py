@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import amount_before
+
 MEMBER_SCHEMA = "path string, member string, size bigint, content binary, error string"
 _BATCH_BYTES = 16 << 20
 
@@ -93,17 +95,16 @@ def archive_listing(members: DataFrame) -> DataFrame:
 
 
 def spread_bundles(members: DataFrame, bundle: str, member: str, max_bytes: int, size: str) -> DataFrame:
-    """Add ``bundle_part``: a bundle above ``max_bytes`` is spread over several containers.
+    """Add ``bundle_part``: a bundle is cut into containers of ``max_bytes`` at most, but for single members above that.
 
-    The size of each bundle is a partial aggregate; only the few big ones are joined back.
+    The same rule at every size: a new part begins wherever another half of ``max_bytes`` has piled up, and a member above
+    half of it is a part of its own. Bundles below half are part 0 alone. Part numbers may have gaps.
     """
-    big = (
-        members.groupBy(bundle).agg(F.sum(size).alias("__bytes"))
-        .filter(F.col("__bytes") > max_bytes)
-        .select(bundle, F.ceil(F.col("__bytes") / (max_bytes / 2)).cast("int").alias("__parts"))
-    )
-    part = F.pmod(F.xxhash64(member), F.coalesce("__parts", F.lit(1))).cast("bigint")
-    return members.join(big, bundle, "left").withColumn("bundle_part", part).drop("__parts")
+    half = max(1, max_bytes // 2)
+    bytes_of = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
+    placed = amount_before(members, [bundle], [member], bytes_of, "__piled")
+    own = F.when(bytes_of > half, 1).otherwise(0)
+    return placed.withColumn("bundle_part", (2 * F.floor(F.col("__piled") / half) + own).cast("bigint")).drop("__piled")
 
 
 def pack_manifest(packed: DataFrame, bundle: str, size: str) -> DataFrame:
@@ -120,7 +121,7 @@ PACKED_CODECS = ("uncompressed", "gzip", "zstd", "snappy", "lz4")
 def write_packed(packed: DataFrame, path: str, bundle: str, compression: str = "gzip", mode: str = "errorifexists") -> None:
     """Many small members into few compressed Parquet containers, one set per bundle.
 
-    Hot bundles were given several parts by :func:`spread_bundles`, so no single task writes one.
+    Big bundles were given several parts by :func:`spread_bundles`, so no single task writes one.
     """
     codec = {"": "uncompressed", "none": "uncompressed", "gz": "gzip"}.get(compression, compression)
     if codec not in PACKED_CODECS:

@@ -239,3 +239,24 @@ def test_ocr_markdown_title_comes_before_the_lowest_position(frame):
     assert {r.doc_id: (r.text, r.text_blocks) for r in got} == {1: ("# T\n\n\na\n\nb", 4), 2: ("# T\n", 1), 3: ("# T\n\n\nx", 1)}
     parts = ocr.ocr_document(frame(rows, "doc_id int, block_idx int, text string"), "markdown", ["doc_id"], F.lit("T"), part_rows=4).filter("doc_id = 1")
     assert "\n\n".join(r.text for r in parts.orderBy("part_no").collect()) == "# T\n\n\na\n\nb"
+
+
+@pytest.mark.parametrize("limit", [1, 7, 8, 9, 100])
+def test_bundles_stay_below_the_bound(frame, limit):
+    """Members of equal and of odd sizes, in bundles below, at and above the bound; a null bundle is one too."""
+    rows = [("a", f"m{i}", 1) for i in range(8)] + [("b", f"m{i}", (i * 7) % 11) for i in range(40)] + [(None, "n", 4), (None, "n", 4), ("c", "big", 1_000), ("d", "x", None)]
+    packed = archives.spread_bundles(frame(rows, "bundle string, member string, size bigint"), "bundle", "member", limit, "size").collect()
+    assert sorted((r.bundle or "", r.member, r["size"] or 0) for r in packed) == sorted((b or "", m, s or 0) for b, m, s in rows)
+    parts = {}
+    for r in packed:
+        parts.setdefault((r.bundle, r.bundle_part), []).append(r["size"] or 0)
+    assert all(sum(sizes) <= limit or sum(s > 0 for s in sizes) == 1 for sizes in parts.values())
+    assert len([k for k in parts if k[0] == "a"]) == {1: 8, 7: 3, 8: 2, 9: 2, 100: 1}[limit]
+
+
+@pytest.mark.parametrize("limit", [1, 39, 40, 41])
+def test_documents_hold_at_most_their_keys(frame, limit):
+    rows = [("f", f"s{i % 4}", f"k{i}", "v") for i in range(40)] + [(None, "s", "k", "v")]
+    docs = config.nest_keys(frame(rows, "path string, section string, key string, value string"), ["path"], limit).collect()
+    of = {p: sorted(d.keys for d in docs if d.path == p) for p in ("f", None)}
+    assert max(of["f"]) <= limit and sum(of["f"]) == 40 and len(of["f"]) == -(-40 // limit) and of[None] == [1]
