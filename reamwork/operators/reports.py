@@ -50,14 +50,15 @@ def reduction_percent(before: Column, after: Column) -> Column:
 
 
 def size_reduction(before: DataFrame, after: DataFrame, keys: list[str], size: str = "bytes") -> DataFrame:
-    """Total size before and after, and the reduction in percent. Each side is reduced to one row
-    per key before the join."""
-    old = before.groupBy(*keys).agg(F.sum(size).alias("original_size_bytes"))
-    new = after.groupBy(*keys).agg(F.sum(size).alias("compressed_size_bytes"))
-    return old.join(new, keys).withColumn(
-        "size_reduction_percent",
-        reduction_percent(F.col("original_size_bytes"), F.col("compressed_size_bytes")),
-    )
+    """Total size before and after, and the reduction in percent, of the keys that both sides have. One aggregate over both
+    sides together, with partial sums, in place of an aggregate each and a join."""
+    old, new = "original_size_bytes", "compressed_size_bytes"
+    sides = before.select(*keys, F.col(size).alias(old), F.lit(1).alias("__old")).unionByName(
+        after.select(*keys, F.col(size).alias(new), F.lit(1).alias("__new")), allowMissingColumns=True)
+    sums = sides.groupBy(*keys).agg(
+        F.sum(old).alias(old), F.sum(new).alias(new), F.count("__old").alias("__old"), F.count("__new").alias("__new"))
+    both = sums.filter("__old > 0 AND __new > 0").drop("__old", "__new")
+    return both.withColumn("size_reduction_percent", reduction_percent(F.col(old), F.col(new)))
 
 
 def route_by_size(df: DataFrame, size: Column, limit: int = INLINE_BYTES) -> Outcome:

@@ -525,6 +525,40 @@ def snk10_csv(spark, sf_dir):
     return out.select("c_custkey", F.regexp_replace("c_name", "é", "").alias("c_name"), "c_acctbal")
 
 
+def config_documents(spark, sf_dir, line, separator, prefix=""):
+    """Files of 500 customers each, a record rendered by ``line``; returns the folder."""
+    path = scratch_dir(spark, "convert")
+    rows = customer_tables(spark, sf_dir).withColumn("line", F.expr(line))
+    docs = ordered.glue_parts(rows, ["grp"], "pos", "line", separator, first=0).select("grp", F.concat(F.lit(prefix), "text").alias("value"))
+    docs.write.partitionBy("grp").text(f"{path}/in")
+    return path
+
+
+@query("snk10_convert_yaml_to_csv", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def snk10_yaml_csv(spark, sf_dir):
+    path = config_documents(spark, sf_dir, "concat('- {c_custkey: ', c_custkey, ', c_name: \"', c_name, '\", c_acctbal: ', c_acctbal, '}')", "\n")
+    convert.convert(spark, f"{path}/in", "csv", f"{path}/out", input_format="yaml")
+    return tabular.read_csv(spark, f"{path}/out", schema="c_acctbal double, c_custkey bigint, c_name string")
+
+
+@query("snk10_convert_toml_to_json", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def snk10_toml_json(spark, sf_dir):
+    path = config_documents(
+        spark, sf_dir, "concat('[[items]]\nc_custkey = ', c_custkey, '\nc_name = \"', c_name, '\"\nc_acctbal = ', c_acctbal)", "\n", "# customers\n")
+    convert.convert(spark, f"{path}/in", "json", f"{path}/out", input_format="toml")
+    parsed = F.from_json("text", "items array<struct<c_custkey bigint, c_name string, c_acctbal double>>")
+    return spark.read.parquet(f"{path}/out").select(F.inline(parsed["items"]))
+
+
+@query("snk10_convert_csv_to_toml", """
+SELECT unnest(['[[items]]', 'c_custkey = ' || c_custkey, 'c_name = "' || c_name || '"', 'c_acctbal = ' || c_acctbal]) AS line FROM customer""")
+def snk10_toml(spark, sf_dir):
+    path = scratch_dir(spark, "convert")
+    sinks.write_csv(customers(spark, sf_dir, "c_custkey", "c_name", "c_acctbal"), f"{path}/in.csv")
+    convert.convert(spark, f"{path}/in.csv", "toml", f"{path}/out.toml")
+    return spark.read.text(f"{path}/out.toml").select(F.col("value").alias("line")).filter("line <> ''")
+
+
 @query("set01_union_records", """
 SELECT event_id AS id, event_type AS kind, NULL::BIGINT AS k, value FROM events WHERE event_id % 2 = 0
 UNION ALL SELECT event_id, NULL, json_extract_string(props, '$.k')::BIGINT, NULL FROM events WHERE event_id % 2 = 1""")
