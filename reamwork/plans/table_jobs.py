@@ -140,7 +140,7 @@ def src04(spark, sf_dir):
 
 
 @query("src04_tag_per_file", """
-WITH c AS (SELECT *, c_custkey // 500 AS grp FROM customer)
+WITH c AS (SELECT *, c_custkey // 50 AS grp FROM customer)
 SELECT c_custkey::VARCHAR AS id, c_name AS name, NULL::VARCHAR AS seg, NULL::VARCHAR AS error FROM c WHERE grp % 3 = 0
 UNION ALL SELECT c_custkey::VARCHAR, NULL, c_mktsegment, NULL FROM c WHERE grp % 3 = 1
 UNION ALL SELECT NULL, NULL, NULL, 'XML root has no children to flatten into rows.' FROM (SELECT DISTINCT grp FROM c WHERE grp % 3 = 2)""")
@@ -148,7 +148,7 @@ def src04_tags(spark, sf_dir):
     kind = F.col("grp") % 3
     one = F.when(kind == 0, F.expr("concat('<rec id=\"', c_custkey, '\"><name>', c_name, '</name></rec>')")).when(
         kind == 1, F.expr("concat('<x:entry xmlns:x=\"u\"><id>', c_custkey, '</id><seg>', c_mktsegment, '</seg></x:entry>')")).otherwise("")
-    rows = customer_tables(spark, sf_dir).withColumn("xml", one)
+    rows = customers(spark, sf_dir).withColumn("grp", F.floor(F.col("c_custkey") / 50)).withColumn("pos", F.col("c_custkey") % 50).withColumn("xml", one)
     docs = ordered.glue_parts(rows, ["grp"], "pos", "xml", "\n", first=0).select("grp", F.concat(
         F.lit("<?xml version='1.0'?><!-- <rec> and <entry> -->\n<data>"), F.col("text"), F.lit("</data>")).alias("value"))
     path = scratch_dir(spark, "xml-tags")
