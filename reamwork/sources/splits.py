@@ -168,9 +168,13 @@ def _cut(pieces: DataFrame, states: DataFrame, separator: str, closes: bool, sma
                         found.append((*key, WHOLE, False, text))
                 rest = int(ends[-1]) + 1 if len(ends) else 0
                 held += texts.slice(rest).to_pylist()
-                if found:
-                    yield rows(found)
-                if alone.any():
+                if found:  # in the order of the file
+                    own = texts.take(pa.array(ends[alone])).to_pylist()
+                    whole = [(int(e), (*key, WHOLE, False, text + closing)) for e, text in zip(ends[alone], own)]
+                    joined = [(-1, r) for r in found[:len(found) - int((~alone).sum())]]
+                    joined += zip(ends[~alone].tolist(), found[len(joined):])
+                    yield rows([r for _, r in sorted(joined + whole, key=lambda x: x[0])])
+                elif alone.any():
                     own = texts.take(pa.array(ends[alone]))
                     own = pc.binary_join_element_wise(own, closing, "") if closes else own
                     n = len(own)
