@@ -139,6 +139,8 @@ def amount_before(df: DataFrame, keys: list[str], items: list[str], amount: Colu
 
     For cutting groups of any size by what has piled up. Rows are added up within (keys, bucket), and a window over the totals of
     the buckets, ``HASH_BUCKETS`` small rows a group at most, says what is before them; a group is never in one task.
+    Of many small groups the totals are as many as the rows, and the optimizer, which takes exploded rows for no more than
+    their source has, would send them through the driver: the join is a merge at any size.
     """
     based = df.withColumn("__bucket", F.pmod(F.xxhash64(*items), F.lit(HASH_BUCKETS))).withColumn("__amount", amount)
     nothing = F.lit(0).cast("bigint")
@@ -151,7 +153,7 @@ def amount_before(df: DataFrame, keys: list[str], items: list[str], amount: Colu
     same = F.col("__bucket") == F.col("__b")
     for i, k in enumerate(keys):  # null keys are a group too
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = rows.join(totals, same)
+    joined = rows.join(totals.hint("merge"), same)
     return joined.withColumn(out, F.col("__within") + F.col("__before")).drop(
         "__bucket", "__amount", "__within", "__b", "__before", *[f"__k{i}" for i in range(len(keys))])
 
