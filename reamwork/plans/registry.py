@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Job = Callable[[SparkSession, str], DataFrame]
 JOBS: dict[str, Job] = {}
@@ -38,3 +39,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def several(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """Deal a table to tasks of about ``rows`` rows each, and to all cores at least; costs a count.
+
+    By the columns named, else by the rows' numbers. Both are hashed: a plain repartition sorts all rows of a task first.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    if by:
+        return df.repartition(parts, *by)
+    return df.withColumn("__at", F.monotonically_increasing_id()).repartition(parts, "__at").drop("__at")

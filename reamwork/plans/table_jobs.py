@@ -11,7 +11,7 @@ from ..session import scratch_dir, settle
 from ..sources import configs, sinks, tabular
 from . import convert
 from . import sqltext as q
-from .registry import query, spread, table
+from .registry import query, several, spread, table
 
 CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
@@ -152,7 +152,8 @@ def src04_tags(spark, sf_dir):
     docs = ordered.glue_parts(rows, ["grp"], "pos", "xml", "\n", first=0).select("grp", F.concat(
         F.lit("<?xml version='1.0'?><!-- <rec> and <entry> -->\n<data>"), F.col("text"), F.lit("</data>")).alias("value"))
     path = scratch_dir(spark, "xml-tags")
-    docs.write.partitionBy("grp").text(path)
+    # a file for each document, from tasks that write a few hundred of them
+    several(docs, 500, "grp").select("value").write.option("maxRecordsPerFile", 1).text(path)
     done = tabular.xml_corpus_records(spark, path)
     return done.rows.select("id", "name", "seg").unionByName(done.errors.select("error"), allowMissingColumns=True)
 

@@ -6,7 +6,7 @@ import itertools
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,6 +204,9 @@ def _first_tags(pieces: Iterator[str]) -> tuple[str | None, str | None]:
     return root, None
 
 
+# So many files are looked at for their columns without a pass over their shapes.
+SHAPED_FILES = 100
+
 # Fixed value: what an XML file without records gives.
 NO_RECORDS = "XML root has no children to flatten into rows."
 
@@ -216,8 +219,7 @@ def record_tags(spark: SparkSession, path: str) -> DataFrame:
     """
     import pyarrow as pa
 
-    # the path of a file comes as a URI
-    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file")
+    file = _uri_path().alias("file")
     pieces = spark.read.option("lineSep", ">").option("recursiveFileLookup", True).text(path).select(
         file, "value", F.col("_metadata.file_block_start").alias("at")).filter("at = 0").select("file", "value")
 
@@ -248,19 +250,56 @@ def _own_text(col: Column, kind: T.DataType) -> Column:
     return F.when(col.isNotNull(), strip(F.coalesce(inner, F.lit(""))))
 
 
+def _uri_path() -> Column:
+    """The path of a row's file, which comes as a URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _as_patterns(files: list[str]) -> list[str]:
+    """Names as the reader takes them, which are patterns to it."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in files]
+
+
+# The types of a variant that are one plain text to a reader that infers none.
+_PLAIN = r"\b(?:BOOLEAN|BIGINT|DOUBLE|STRING|DECIMAL\(\d+,\s*\d+\)|DATE|TIMESTAMP(?:_NTZ)?)\b"
+
+
+def _shape_files(reader: DataFrameReader, files: list[str]) -> list[str]:
+    """Files with every shape that a child or an attribute has in any of the files: one for each name and shape.
+
+    The reader finds the columns of a list of files in a time that grows with the square of its length, as every file is read along with the
+    whole list; from these few it finds the same ones.
+    """
+    found = reader.option("singleVariantColumn", "record").load(files).select("record", _uri_path().alias("file"))
+    whole = F.struct(F.lit(None).cast("string").alias("name"), F.schema_of_variant("record").alias("shape"))
+    fields = F.transform(
+        F.map_entries(F.try_variant_get("record", "$", "map<string, variant>")),
+        lambda e: F.struct(e["key"].alias("name"), F.schema_of_variant(e["value"]).alias("shape")))
+    shapes = found.select("file", F.explode(F.coalesce(fields, F.array(whole))).alias("s"))
+    plain = F.regexp_replace("s.shape", _PLAIN, "STRING")
+    kept = shapes.groupBy("s.name", plain.alias("shape")).agg(F.min("file").alias("file")).select("file").distinct().orderBy("file")
+    return [r["file"] for r in kept.toLocalIterator()]
+
+
 def _tagged_records(spark: SparkSession, paths: str | list[str], record_tag: str, schema: str | None) -> DataFrame:
     mark = "@"
-    reader = (
-        spark.read.format("xml").option("rowTag", record_tag)
-        .option("attributePrefix", mark).option("valueTag", "_text").option("inferSchema", False)
-        .option("ignoreNamespace", True)
-    )
+
+    def reader() -> DataFrameReader:
+        return (
+            spark.read.format("xml").option("rowTag", record_tag)
+            .option("attributePrefix", mark).option("valueTag", "_text").option("inferSchema", False)
+            .option("ignoreNamespace", True)
+        )
+
     if schema:
         wanted = T.StructType.fromDDL(schema)
         both = T.StructType(wanted.fields + [T.StructField(mark + f.name, T.StringType()) for f in wanted])
-        raw = reader.schema(both).load(paths)
+        raw = reader().schema(both).load(paths)
+    elif isinstance(paths, list) and len(paths) > SHAPED_FILES:
+        shaped = _shape_files(reader(), paths)
+        raw = reader().schema(reader().load(_as_patterns(shaped)).schema).load(paths) if shaped else reader().load(paths)
     else:
-        raw = reader.load(paths)
+        raw = reader().load(paths)
     have = {f.name: f.dataType for f in raw.schema.fields if f.name != "_text"}
     names = list(dict.fromkeys(n.removeprefix(mark) for n in have))
     cols = []
@@ -281,8 +320,7 @@ def xml_corpus_records(spark: SparkSession, path: str, schema: str | None = None
     good = tags.filter("tag is not null")
     reads = []
     for tag in [r["tag"] for r in good.select("tag").distinct().orderBy("tag").toLocalIterator()]:
-        # names are patterns to the reader
-        files = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["file"]) for r in good.filter(F.col("tag") == tag).select("file").orderBy("file").toLocalIterator()]
+        files = _as_patterns([r["file"] for r in good.filter(F.col("tag") == tag).select("file").orderBy("file").toLocalIterator()])
         reads.append(_tagged_records(spark, files, tag, schema))
     if not reads:
         return Outcome(spark.createDataFrame([], T.StructType.fromDDL(schema) if schema else T.StructType()), errors)

@@ -1,16 +1,40 @@
 """Plans and batches that once grew with the input."""
 
 from reamwork.operators import ordered
-from reamwork.sources import configs
+from reamwork.sources import configs, tabular
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_totals_of_small_groups_are_not_sent_through_the_driver(frame):
-    files = frame([(f"f{i}", "A=1\nB=2\n") for i in range(20)], "path string, value string")
-    rows = configs.read_env(files, ["path"])
+def test_totals_of_small_groups_are_not_sent_through_the_driver(spark, frame, tmp_path):
+    frame([(f"f{i}", "A=1\nB=2\n") for i in range(20)], "path string, value string").write.parquet(f"{tmp_path}/files")
+    rows = configs.read_env(spark.read.parquet(f"{tmp_path}/files"), ["path"])
     placed = ordered.amount_before(rows, ["path"], ["key"], ordered.F.lit(1).cast("bigint"), "piled")
     assert "Broadcast" not in plan_of(placed)
     assert sorted((r.path, r.piled) for r in placed.collect()) == sorted((f"f{i}", n) for i in range(20) for n in (0, 1))
+
+
+XML = [
+    '<data><rec id="007"><name> a </name><v>1</v><v>02</v><e/><b cur="x">5</b><m>t1<i>k</i>t2</m><q>s</q></rec><rec><q><z>1</z></q><w a="1">p</w><w>q</w></rec></data>',
+    '<data><rec id="8"><name>b</name><v>x</v></rec>plain<rec>only text</rec></data>',
+    '<data><rec id="9"><name>b</name><v>x</rec></data>',
+    '<data><rec><b>6</b><d>2024-01-01</d><n>true</n></rec></data>',
+]
+
+
+def test_columns_of_xml_files_are_found_in_one_file_a_shape(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"f {i}.xml").write_text(f"<data><rec id='{i}'><name>{'n' if i % 2 else i}</name></rec></data>")
+    for i, text in enumerate(XML):
+        (tmp_path / f"odd+{i}.xml").write_text(text)
+    files = [str(f) for f in tmp_path.iterdir()]
+    reader = spark.read.format("xml").options(rowTag="rec", attributePrefix="@", valueTag="_text", inferSchema=False, ignoreNamespace=True)
+    assert len(tabular._shape_files(reader, tabular._as_patterns(files))) <= 1 + len(XML)
+    monkeypatch.setattr(tabular, "SHAPED_FILES", 1_000)
+    whole = tabular.xml_corpus_records(spark, str(tmp_path)).rows
+    monkeypatch.setattr(tabular, "SHAPED_FILES", 0)
+    shaped = tabular.xml_corpus_records(spark, str(tmp_path)).rows
+    assert shaped.schema == whole.schema
+    assert sorted(map(str, shaped.collect())) == sorted(map(str, whole.collect())) and shaped.count() > 30
