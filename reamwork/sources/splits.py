@@ -30,20 +30,21 @@ HEAD, MIDDLE, TAIL, WHOLE = range(4)
 
 
 def _file() -> Column:
-    """The path of a row's file, which comes as a URI."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file")
+    """The path of a file, which comes as a URI. Decoded at the end only: that costs more than most of a row's other work."""
+    return F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B"))).alias("file")
 
 
 def _pieces(spark: SparkSession, path: str, separator: str, odd: Column, outside: Column, inside: Column) -> DataFrame:
     """Pieces in the order of their split: whether the quotes are odd, and the change of depth for either start."""
     read = spark.read.option("lineSep", separator).option("recursiveFileLookup", True).text(path)
     return read.select(
-        _file(), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_size").alias("file_size"),
         F.monotonically_increasing_id().alias("id"), "value", odd.cast("int").alias("odd"), outside.cast("int").alias("d0"), inside.cast("int").alias("d1"))
 
 
 def _number_of(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+    """Of one of the ASCII characters."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def _columns(batch, *names: str) -> list[np.ndarray]:
@@ -54,17 +55,21 @@ def _segments(batch) -> Iterator[tuple[tuple[str, int], int, int]]:
     """Runs of rows of one split: (file, start of the split), first row, row after the last."""
     if not batch.num_rows:
         return
-    files, at = batch.column(0).to_numpy(zero_copy_only=False), _columns(batch, "at")[0]
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (files[1:] != files[:-1])]))
+    import pyarrow.compute as pc
+
+    files, at = batch.column(0), _columns(batch, "at")[0]
+    other = pc.not_equal(files.slice(1), files.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | other]))
     for a, b in zip(new, [*new[1:], batch.num_rows]):
-        yield (files[a], int(at[a])), int(a), int(b)
+        yield (files[int(a)].as_py(), int(at[a])), int(a), int(b)
 
 
 def split_states(pieces: DataFrame, closes: bool) -> DataFrame:
     """The state at the start of each split: (file, at, quoted, depth, base, open_start, open_end, last, root), and the file's end (last_quoted, last_depth, file_bytes, file_size).
 
     ``closes``: the separator is a closing bracket. ``depth`` and ``open_end`` take records to end at depth 0 outside
-    quotes, or at depth 1 where the file's first character is an opening bracket.
+    quotes, or at depth 1 where the file's first character is an opening bracket. Without brackets all depths are 0, and the
+    sums of a split need no order: they are an aggregate.
     """
     import pyarrow as pa
 
@@ -101,9 +106,16 @@ def split_states(pieces: DataFrame, closes: bool) -> DataFrame:
         if key is not None:
             yield done()
 
-    summed = pieces.select(
-        "file", "at", "file_size", "odd", "d0", "d1", F.octet_length("value").cast("bigint").alias("length"),
-        F.substring(strip(F.col("value")), 1, 1).alias("start")).mapInArrow(of_task, out)
+    length = F.octet_length("value").cast("bigint")
+    if closes:
+        summed = pieces.select(
+            "file", "at", "file_size", "odd", "d0", "d1", length.alias("length"),
+            F.substring(strip(F.col("value")), 1, 1).alias("start")).mapInArrow(of_task, out)
+    else:
+        nothing = F.lit(0).cast("bigint")
+        summed = pieces.groupBy("file", "at", "file_size").agg(
+            (F.sum("odd") % 2).cast("int").alias("odd"), nothing.alias("d0"), nothing.alias("d1"), F.sum(length + 1).alias("bytes"),
+            F.lit(None).cast("string").alias("root"))
     order = Window.partitionBy("file").orderBy("at")
     before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file")
     known = summed.withColumn("quoted", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).withColumn(
@@ -133,20 +145,20 @@ def _cut(pieces: DataFrame, states: DataFrame, separator: str, closes: bool, sma
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, quoted, depth, base, head, held, first, last = None, 0, 0, 0, False, [], False, False
 
-        def rows(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
+        def row(*values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, *values), types)], names)
 
-        def left() -> tuple:
-            return (*key, MIDDLE if head else WHOLE if last else TAIL, first, separator.join(held))
+        def left() -> pa.RecordBatch:
+            return row(MIDDLE if head else WHOLE if last else TAIL, first, separator.join(held))
 
         for batch in batches:
-            odd, d0, d1, quoted_at, depth_at, base_at, last_at = _columns(batch, "odd", "d0", "d1", "quoted", "depth", "base", "last")
+            odd, quoted_at, last_at = _columns(batch, "odd", "quoted", "last")
+            d0, d1, depth_at, base_at = _columns(batch, "d0", "d1", "depth", "base") if closes else [np.zeros_like(odd)] * 4
             values = batch.column(batch.schema.get_field_index("value"))
             for k, a, b in _segments(batch):
-                found = []
                 if k != key:
                     if held:
-                        found.append(left())
+                        yield left()
                     key, quoted, depth, base, held = k, int(quoted_at[a]), int(depth_at[a]), int(base_at[a]), []
                     first, last = k[1] == 0, bool(last_at[a])
                     head = not first and bool(quoted or depth != base)
@@ -155,37 +167,24 @@ def _cut(pieces: DataFrame, states: DataFrame, separator: str, closes: bool, sma
                 ends = np.flatnonzero((after == 0) & (depths == base))
                 quoted, depth = int(after[-1]), int(depths[-1])
                 texts = values.slice(a, b - a)
-                alone = np.diff(ends, prepend=-1) == 1  # a record of one piece
-                if len(ends) and (held or head or first):
-                    alone[0] = False
-                for e in np.flatnonzero(~alone):
-                    begin = int(ends[e - 1]) + 1 if e else 0
-                    text = separator.join([*(held if e == 0 else []), *texts.slice(begin, int(ends[e]) + 1 - begin).to_pylist()]) + closing
-                    if e == 0:
-                        found.append((*key, HEAD if head else WHOLE, first, text))
-                        held, head, first = [], False, False
-                    else:
-                        found.append((*key, WHOLE, False, text))
                 rest = int(ends[-1]) + 1 if len(ends) else 0
+                if len(ends):
+                    # the pieces of each record as a list, and all lists joined at once
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends + 1]), pa.int32()), texts.slice(0, rest))
+                    own = pc.binary_join(lists, separator)
+                    if held or head or first:
+                        yield row(HEAD if head else WHOLE, first, separator.join([*held, own[0].as_py()]) + closing)
+                        held, head, first, own = [], False, False, own.slice(1)
+                    if len(own):
+                        own = pc.binary_join_element_wise(own, closing, "") if closes else own
+                        same = [pa.repeat(pa.scalar(v, t), len(own)) for v, t in zip((*key, WHOLE, False), types)]
+                        yield pa.RecordBatch.from_arrays([*same, own.cast(pa.string())], names)
                 held += texts.slice(rest).to_pylist()
-                if found:  # in the order of the file
-                    own = texts.take(pa.array(ends[alone])).to_pylist()
-                    whole = [(int(e), (*key, WHOLE, False, text + closing)) for e, text in zip(ends[alone], own)]
-                    joined = [(-1, r) for r in found[:len(found) - int((~alone).sum())]]
-                    joined += zip(ends[~alone].tolist(), found[len(joined):])
-                    yield rows([r for _, r in sorted(joined + whole, key=lambda x: x[0])])
-                elif alone.any():
-                    own = texts.take(pa.array(ends[alone]))
-                    own = pc.binary_join_element_wise(own, closing, "") if closes else own
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key[0]] * n, types[0]), pa.array([key[1]] * n, types[1]), pa.array([WHOLE] * n, types[2]),
-                         pa.array([False] * n), own.cast(pa.string())], names)
         if held:
-            yield rows([left()])
+            yield left()
 
     wanted = pieces.join(F.broadcast(states) if small else states, ["file", "at"]).select(
-        "file", "at", "id", "value", "odd", "d0", "d1", "quoted", "depth", "base", "last")
+        "file", "at", "id", "value", "odd", "quoted", "last", *(("d0", "d1", "depth", "base") if closes else ()))
     if not small:  # dealt by split, and out of order
         wanted = wanted.sortWithinPartitions("file", "at", "id")
     return wanted.mapInArrow(of_task, "file string, at bigint, kind int, first boolean, text string")
@@ -212,7 +211,8 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     nothing = F.lit(0)
     pieces = _pieces(spark, path, "\n", _number_of(F.col("value"), '"') % 2, nothing, nothing)
     states = settle(split_states(pieces, False), "csv-splits")
-    return records(pieces, states, "\n", False).withColumn("text", F.regexp_replace("text", r"\r$", ""))
+    found = records(pieces, states, "\n", False)
+    return found.select(_file(), "first", F.when(F.contains("text", F.lit("\r")), F.regexp_replace("text", r"\r$", "")).otherwise(F.col("text")).alias("text"))
 
 
 def json_elements(spark: SparkSession, path: str) -> Outcome:
@@ -233,7 +233,7 @@ def json_elements(spark: SparkSession, path: str) -> Outcome:
     left = F.col("last_depth") + F.when(F.col("file_bytes") == F.col("file_size") + 1, F.when(F.col("last_quoted") == 0, 1).otherwise(0)).otherwise(0)
     packed = (F.col("file_bytes") < F.col("file_size")) | (F.col("file_bytes") > F.col("file_size") + 1)
     closed = (F.col("last_quoted") == 0) & ((left == 0) | (packed & (F.col("last_depth") == -1))) & F.col("root").isNotNull()
-    errors = states.filter(~F.coalesce(closed, F.lit(False))).select("file").distinct().withColumn("error", F.lit("not valid JSON"))
+    errors = states.filter(~F.coalesce(closed, F.lit(False))).select("file").distinct().select(_file(), F.lit("not valid JSON").alias("error"))
     found = records(pieces, states.filter(closed), "}", True)
     one = F.col("text")
     listed = found.join(states.filter("at = 0").select("file", "root"), "file").select("file", "root", one)
@@ -245,7 +245,7 @@ def json_elements(spark: SparkSession, path: str) -> Outcome:
     chunk = F.when(is_object, F.array("text")).otherwise(F.when(
         F.col("root") == "[", F.when(F.coalesce(end, F.lit("")) != "", _elements(F.when(F.col("text").endswith("}"), F.col("text")).otherwise(end))))
         .otherwise(F.array("text")))
-    return Outcome(rest.select("file", F.explode(chunk).alias("text")).filter("text <> ''"), errors)
+    return Outcome(rest.select(_file(), F.explode(chunk).alias("text")).filter("text <> ''"), errors)
 
 
 def _elements(chunk: Column) -> Column:

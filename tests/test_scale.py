@@ -1,7 +1,14 @@
 """Plans and batches that once grew with the input."""
 
-from reamwork.operators import ordered
-from reamwork.sources import configs, tabular
+import io
+import json
+import zipfile
+
+import yaml
+
+from reamwork.operators import config, ordered
+from reamwork.plans import registry
+from reamwork.sources import archives, configs, splits, tabular
 
 
 def plan_of(df):
@@ -38,3 +45,43 @@ def test_columns_of_xml_files_are_found_in_one_file_a_shape(spark, tmp_path, mon
     shaped = tabular.xml_corpus_records(spark, str(tmp_path)).rows
     assert shaped.schema == whole.schema
     assert sorted(map(str, shaped.collect())) == sorted(map(str, whole.collect())) and shaped.count() > 30
+
+
+def test_states_of_csv_splits_are_an_aggregate(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text('x,y\n1,"two\nlines"\n2,"a ""q"" b"\n')
+    pieces = splits._pieces(spark, str(tmp_path), "\n", splits._number_of(splits.F.col("value"), '"') % 2, splits.F.lit(0), splits.F.lit(0))
+    assert "InArrow" not in plan_of(splits.split_states(pieces, False))
+    found = splits.csv_records(spark, str(tmp_path))
+    assert [(r.file.endswith("/a b.csv"), r["first"], r.text) for r in found.collect()] == [
+        (True, True, "x,y"), (True, False, '1,"two\nlines"'), (True, False, '2,"a ""q"" b"')]
+
+
+def test_archives_are_not_taken_as_pandas_objects(frame):
+    def packed(text):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as box:
+            box.writestr("a.xml", text)
+        return out.getvalue()
+
+    rows = [(f"f{i}", bytearray(packed(f"<a>{i}</a>"))) for i in range(2_500)] + [("bad", bytearray(b"x")), ("none", None)]
+    texts = archives.archive_texts(frame(rows, "path string, content binary"), r"\.xml$", main=r"\.xml$", checked="xml").cache()
+    assert "MapInArrow" in plan_of(texts) and "MapInPandas" not in plan_of(texts)
+    got = {r.path: (r.parts, r.error) for r in texts.collect()}
+    assert len(got) == 2_502 and all(got[f"f{i}"] == ({"a.xml": f"<a>{i}</a>"}, None) for i in range(2_500))
+    assert got["bad"][0] is None and got["bad"][1] and got["none"][0] is None and got["none"][1]
+
+
+def test_yaml_of_words_is_written_without_the_library(monkeypatch):
+    words = ["a", "yes", "No", "null", "1", "007", "08", "1.5", "1e5", "1_000", "2024", "_", "on", "inf", "1.2.3", "0x1F", "é", "a b", "one\ntwo", "", "~", "x" * 130]
+    dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
+    for key in words:
+        for value in words:
+            doc = {"s": {key: value, "z": value}, key: value}
+            assert config._render(json.dumps(doc), "yaml") == (yaml.dump(doc, Dumper=dumper, allow_unicode=True, default_flow_style=False), None)
+    monkeypatch.setattr(config, "_yaml_dump", None)
+    assert config._render('{"s": {"b": "007", "a": "x.y"}}', "yaml") == ("s:\n  a: x.y\n  b: '007'\n", None)
+
+
+def test_a_small_file_of_many_rows_is_dealt_to_many_tasks(spark):
+    assert registry.several(spark.range(1_000).coalesce(1), 50).rdd.getNumPartitions() == 20
+    assert sorted(r.id for r in registry.several(spark.range(1_000).coalesce(1), 50).collect()) == list(range(1_000))
