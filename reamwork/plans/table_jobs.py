@@ -279,7 +279,8 @@ def agg06_parts(spark, sf_dir):
 
 
 def env_files(spark, sf_dir):
-    parts = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size")
+    # a table of few bytes is read by few tasks, and the files' lines are sorted within a task
+    parts = several(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size"), 100_000)
     text = F.expr(
         "concat('# env\\n\\n  NAME = \"', p_name, '\"  \\nBRAND=''', p_brand, '''\\nURL=http://x?a=', p_partkey, '\\nSIZE=0\\nno line\\n"
         "SIZE = ', p_size, '\\r\\nEMPTY=\\n')")
