@@ -12,6 +12,7 @@ import tarfile
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +30,9 @@ from .text_jobs import _blocks_sql
 ROWS_PER_FILE = 100
 
 
-@F.pandas_udf(T.BinaryType())
-def zip_parts(parts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def zip_parts(parts: pa.Array) -> pa.Array:
+    """One file after the other is taken out of the batch: as pandas objects a batch takes several times its bytes."""
     def pack(entries) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as box:
@@ -38,7 +40,7 @@ def zip_parts(parts: pd.Series) -> pd.Series:
                 box.writestr(name, text)
         return out.getvalue()
 
-    return parts.map(pack)
+    return pa.array((pack(p.as_py()) for p in parts), pa.binary())
 
 
 @F.pandas_udf(T.BinaryType())

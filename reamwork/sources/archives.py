@@ -17,6 +17,7 @@ from ..operators.ordered import amount_before
 
 MEMBER_SCHEMA = "path string, member string, size bigint, content binary, error string"
 _BATCH_BYTES = 16 << 20
+_TEXT_CHARS = 4 << 20
 
 
 def binary_corpus(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -176,18 +177,28 @@ def archive_texts(
     inside the row and need no join and no shuffle. A file has either parts or an error: it is an
     error that no member matches ``main``, that a wanted member is not UTF-8, and that one whose
     name matches ``checked`` is no well-formed XML.
+
+    Files are read one by one, and their texts leave in batches of bounded size.
     """
     import re
 
+    import pyarrow as pa
+
+    types = [pa.string(), pa.list_(pa.struct([("name", pa.string()), ("text", pa.string())])), pa.string()]
+
+    def rows_of(done: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], ["path", "parts", "error"])
+
     pattern = re.compile(wanted)
     needed, strict = re.compile(main or ""), re.compile(checked or "(?!)")
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for where, raw in zip(frame["path"], frame["content"]):
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, held = [], 0
+            for where, raw in zip(batch.column(0), batch.column(1)):  # out of the batch one by one
                 parts, error = None, None
                 try:
-                    with zipfile.ZipFile(io.BytesIO(raw or b"")) as box:
+                    with zipfile.ZipFile(io.BytesIO(raw.as_py() or b"")) as box:
                         if main and not any(map(needed.search, box.namelist())):
                             raise ValueError(f"no part of the archive matches {main}")
                         read = []
@@ -201,8 +212,14 @@ def archive_texts(
                 except (zipfile.BadZipFile, RuntimeError, OSError, EOFError, zlib.error,
                         NotImplementedError, ValueError) as problem:
                     error = _error_text(problem)
-                yield pd.DataFrame({"path": [where], "parts": [parts], "error": [error]})
+                done.append((where.as_py(), parts, error))
+                held += sum(len(p["text"]) for p in parts or ())
+                if held > _TEXT_CHARS or len(done) >= 1_000:
+                    yield rows_of(done)
+                    done, held = [], 0
+            if done:
+                yield rows_of(done)
 
     source = archives.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content"))
-    rows = source.mapInPandas(unpack, "path string, parts array<struct<name string, text string>>, error string")
+    rows = source.mapInArrow(unpack, "path string, parts array<struct<name string, text string>>, error string")
     return rows.withColumn("parts", F.map_from_entries("parts"))
