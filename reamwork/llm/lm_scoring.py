@@ -57,7 +57,7 @@ RATE = 0.2
 SEEN = 1e-6
 SEED = 11
 END = b""  # no word is empty
-OUTPUT_ROWS = 8_192
+OUTPUT_ROWS = 32_768
 BLOCK_ROWS = 512  # of a product of matrices: what its inputs and outputs take stays in a core's cache
 SLAB_ROWS = 2_048
 LANES = 512
@@ -296,11 +296,11 @@ def sparse_gradients(
         "word_w": (every, within[:, :STATE]), "word_b": (every, within[:, STATE])}
     d_states = d_states.reshape(steps, size, STATE)
     d_own, back = np.empty((3, steps, size, STATE), kind), np.ascontiguousarray(w["state"].reshape(STATE, 3, STATE).transpose(1, 2, 0))
-    d_inner, d_next, some = (np.zeros((size, STATE), kind) for _ in range(3))
-    d_before, d_state, all_inner = np.empty((3, size, STATE), kind), np.zeros((3, STATE, STATE), kind), np.zeros((size, STATE), kind)
+    d_next, some = np.zeros((size, STATE), kind), np.empty((size, STATE), kind)
+    all_inner, d_before = np.empty((steps, size, STATE), kind), np.empty((3, size, STATE), kind)
     for t in range(steps - 1, -1, -1):
         before, z, r, n_t = states[t - 1] if t else first, gates[t, 0], gates[t, 1], n[t]
-        d, d_z, d_r, d_n = d_states[t], d_own[0, t], d_own[1, t], d_own[2, t]
+        d, d_z, d_r, d_n, d_inner = d_states[t], d_own[0, t], d_own[1, t], d_own[2, t], all_inner[t]
         d += d_next
         np.multiply(d, z, out=d_next)
         np.subtract(d, d_next, out=d_n)  # d (1 - z)
@@ -318,9 +318,12 @@ def sparse_gradients(
         np.matmul(d_inner, back[2], out=d_before[2])
         for k in range(3):
             d_next += d_before[k]
-        d_state[:2] += before.T @ d_own[:2, t]
-        d_state[2] += before.T @ d_inner
-        all_inner += d_inner
+    d_state, all_inner = np.zeros((3, STATE, STATE), kind), all_inner.reshape(-1, STATE)
+    before, d_gates = np.concatenate([first[None], states[:-1]]).reshape(-1, STATE), d_own[:2].reshape(2, -1, STATE)
+    for i in range(0, len(before), BLOCK_ROWS):
+        own = slice(i, i + BLOCK_ROWS)
+        d_state[:2] += before[own].T @ d_gates[:, own]
+        d_state[2] += before[own].T @ all_inner[own]
     grads["state"] = every, d_state.transpose(1, 0, 2).reshape(STATE, -1)
     grads["candidate"] = every, all_inner.sum(0)
     grads["inputs"] = _sums_by_value(entries.ravel(), d_own.reshape(3, -1, STATE))
