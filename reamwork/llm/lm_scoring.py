@@ -57,7 +57,7 @@ RATE = 0.2
 SEEN = 1e-6
 SEED = 11
 END = b""  # no word is empty
-OUTPUT_ROWS = 32_768
+OUTPUT_ROWS = 16_384
 BLOCK_ROWS = 512  # of a product of matrices: what its inputs and outputs take stays in a core's cache
 SLAB_ROWS = 2_048
 LANES = 512
